@@ -148,9 +148,11 @@ SELECT o_orderkey AS board_ord,
 FROM orders) p
 """)
 
-# Page sequences: l_orderkey is a board (and term), its lines are the pages.
+# Page sequences: l_orderkey is a board (and term), its lines are the pages. A page
+# number is the count of earlier pages: DuckDB 2.0 shifts ROW_NUMBER() - 1 by one
+# when a filter on it meets its top-n rewrite.
 _view("page_rows_fx", "lineitem", """
-SELECT k, ROW_NUMBER() OVER (PARTITION BY k ORDER BY l) - 1 AS page_no, p, s
+SELECT k, COUNT(*) OVER (PARTITION BY k ORDER BY l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS page_no, p, s
 FROM (SELECT l_orderkey AS k, l_linenumber AS l, MIN(l_partkey) AS p, MIN(l_suppkey) AS s
       FROM lineitem GROUP BY l_orderkey, l_linenumber) q
 """)

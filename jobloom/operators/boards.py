@@ -92,17 +92,13 @@ def _slug_links(
     clean: Link = F.lower,
     name: Link = lambda slug: slug,
 ) -> Link:
-    def links(body: Column) -> list[Column]:
-        out = []
-        for rule, pattern in enumerate(patterns):
-            def link(raw: Column, rule: int = rule) -> Column:
-                slug = clean(raw)
-                return _link(ats, rule, slug, name(slug))
+    def rule_links(body: Column, rule: int, pattern: str) -> Column:
+        def link(raw: Column) -> Column:
+            return _link(ats, rule, clean(raw), name(clean(raw)))
 
-            out.append(_proper(ats, _all(body, host, pattern, link), lambda x: x["slug"]))
-        return out
+        return _proper(ats, _all(body, host, pattern, link), lambda x: x["slug"])
 
-    return links
+    return lambda body: [rule_links(body, i, p) for i, p in enumerate(patterns)]
 
 
 def _listed(path: str) -> Link:

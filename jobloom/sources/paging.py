@@ -18,7 +18,7 @@ def usable(pages: DataFrame) -> DataFrame:
 
 
 def _count(items: Column) -> Column:
-    return F.coalesce(F.size(items), F.lit(0))
+    return F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
 
 
 def _until_stop(pages: DataFrame, group: list[str], failed: Column, last: Column) -> DataFrame:
@@ -40,40 +40,42 @@ def _bad() -> Column:
 def workday_pages(pages: DataFrame, page_limit: int, max_pages: int) -> DataFrame:
     """Per term: stop at a failed or empty page, or once the offset reaches total."""
     capped = pages.where(F.col("page_no") < max_pages)
-    empty = _count(F.col("doc.jobPostings")) <= 0
+    empty = _count(F.col("doc.jobPostings")) == 0
     reached = (F.col("page_no") + 1) * page_limit >= F.coalesce("doc.total", F.lit(0))
     return _until_stop(capped, ["board", "term"], _bad() | empty, reached)
 
 
+def _so_far(size: Column) -> Column:
+    pages = Window.partitionBy("board").orderBy("page_no")
+    return F.sum(size).over(pages.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+
+def rows_so_far(
+    pages: DataFrame, max_pages: int = SMARTRECRUITERS_MAX_PAGES
+) -> DataFrame:
+    """Pages below the cap with ``rows`` and the running ``rows_so_far`` of the board."""
+    size = _count(F.col("doc.content"))
+    capped = pages.where(F.col("page_no") < max_pages)
+    return capped.withColumns({"rows": size, "rows_so_far": _so_far(size)})
+
+
 def smartrecruiters_pages(
     pages: DataFrame, max_pages: int = SMARTRECRUITERS_MAX_PAGES
 ) -> DataFrame:
     """Stop at a failed page, an empty one, or once the rows so far reach totalFound."""
-    so_far = Window.partitionBy("board").orderBy("page_no").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    size = F.greatest(_count(F.col("doc.content")), F.lit(0))
-    capped = pages.where(F.col("page_no") < max_pages).withColumns(
-        {"_rows": size, "_offset": F.sum(size).over(so_far)}
+    counted = rows_so_far(pages, max_pages)
+    last = (F.col("rows") == 0) | (
+        F.col("rows_so_far") >= F.coalesce("doc.totalFound", F.lit(0))
     )
-    last = (F.col("_rows") == 0) | (
-        F.col("_offset") >= F.coalesce("doc.totalFound", F.lit(0))
-    )
-    return _until_stop(capped, ["board"], _bad(), last).drop("_rows", "_offset")
+    return _until_stop(counted, ["board"], _bad(), last).drop("rows", "rows_so_far")
 
 
 def workable_pages(pages: DataFrame, max_pages: int = WORKABLE_MAX_PAGES) -> DataFrame:
     """As above, counting rows with a shortcode; also stop without a next page."""
-    so_far = Window.partitionBy("board").orderBy("page_no").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     results = F.col("doc.results")
-    kept = F.greatest(
-        _count(F.filter(results, lambda r: F.coalesce(r["shortcode"], F.lit("")) != "")),
-        F.lit(0),
-    )
+    kept = _count(F.filter(results, lambda r: F.coalesce(r["shortcode"], F.lit("")) != ""))
     capped = pages.where(F.col("page_no") < max_pages).withColumns(
-        {"_rows": F.greatest(_count(results), F.lit(0)), "_kept": F.sum(kept).over(so_far)}
+        {"_rows": _count(results), "_kept": _so_far(kept)}
     )
     last = (
         (F.col("_rows") == 0)

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.keys import SEQ_BITS, batch_seq
 from jobloom.functions.text import strip, text
+from jobloom.operators.coverage import systems
 from jobloom.operators.dedupe import first_per_key
 from jobloom.schemas import POSTING_COLS, SOURCE_ORDER
 from jobloom.settings import Settings
 from jobloom.sources.paging import (
+    rows_so_far,
     smartrecruiters_pages,
     usable,
     workable_pages,
@@ -96,6 +98,12 @@ def kept_pages(pages: DataFrame, ats: str, settings: Settings = Settings()) -> D
     return usable(own)
 
 
+def running_offsets(pages: DataFrame) -> DataFrame:
+    """SmartRecruiters pages with the rows listed so far."""
+    own = pages.where(F.col("ats") == "smartrecruiters")
+    return rows_so_far(own.withColumn("doc", parse("smartrecruiters", F.col("body"))).drop("body"))
+
+
 def scan(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
     """One row per item (``p``) of the kept pages, with its place in the batch."""
     kept = kept_pages(pages, ats, settings)
@@ -275,3 +283,9 @@ def unified_batch(
 def board_counts(postings: DataFrame) -> DataFrame:
     """Postings per board."""
     return postings.groupBy("ats", "board").agg(F.count(F.lit(1)).alias("postings"))
+
+
+def ats_counts(postings: DataFrame) -> DataFrame:
+    """Postings per system; a system without any shows 0."""
+    counts = postings.groupBy("ats").agg(F.count(F.lit(1)).alias("postings"))
+    return systems(postings.sparkSession).join(counts, "ats", "left").na.fill(0, ["postings"])
