@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "text_queries",
     "source_queries",
+    "state_queries",
 )
 
 

@@ -70,17 +70,25 @@ def flag_text(col: Column) -> Column:
     return F.trim(F.regexp_replace(lines, rf"(?U){SPACE}+", " "))
 
 
-@F.pandas_udf(StringType())
-def _unescape(col: pd.Series) -> pd.Series:
-    return col.map(html.unescape, na_action="ignore")
+# The UDFs are made inside functions so that workers get them by value and need
+# no copy of this package.
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _unescape_each(col: pd.Series) -> pd.Series:
-    return col.map(
-        lambda items: [None if x is None else html.unescape(x) for x in items],
-        na_action="ignore",
-    )
+def _unescape(col: Column) -> Column:
+    def unescape(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.pandas_udf(unescape, StringType())(col)
+
+
+def _unescape_each(col: Column) -> Column:
+    def unescape(lists: pd.Series) -> pd.Series:
+        def each(items):
+            return [None if x is None else html.unescape(x) for x in items]
+
+        return lists.map(each, na_action="ignore")
+
+    return F.pandas_udf(unescape, ArrayType(StringType()))(col)
 
 
 TAG = "<[^>]+>"
