@@ -6,6 +6,8 @@ MODULES = (
     "text_queries",
     "source_queries",
     "state_queries",
+    "discovery_queries",
+    "streaming_queries",
 )
 
 

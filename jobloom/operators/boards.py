@@ -69,7 +69,7 @@ def _all(body: Column, host: str, pattern: str, link: Link, group: int = 1) -> C
 
 
 def _proper(ats: str, links: Column, token: Callable[[Column], Column]) -> Column:
-    bad = NOT_BOARDS[ats]
+    bad = NOT_BOARDS.get(ats, ())
     return F.filter(links, lambda x: ~F.lower(token(x)).isin(*bad)) if bad else links
 
 
@@ -85,7 +85,7 @@ def _workday_links(body: Column) -> list[Column]:
     return [_proper("workday", links, lambda x: x["site"])]
 
 
-def _slug_links(
+def slug_links(
     ats: str,
     host: str,
     patterns: tuple[str, ...],
@@ -101,13 +101,15 @@ def _slug_links(
     return lambda body: [rule_links(body, i, p) for i, p in enumerate(patterns)]
 
 
-def _listed(path: str) -> Link:
+def listed(path: str) -> Link:
+    """Alive: the list at ``path`` is not empty."""
     return lambda body: F.coalesce(
         F.json_array_length(F.get_json_object(body, path)) > 0, F.lit(False)
     )
 
 
-def _counted(path: str) -> Link:
+def counted(path: str) -> Link:
+    """Alive: the number at ``path`` is not zero."""
     return lambda body: F.coalesce(
         F.get_json_object(body, path).try_cast("bigint") != 0, F.lit(False)
     )
@@ -127,37 +129,37 @@ class Ats:
 ATS: dict[str, Ats] = {
     a.name: a
     for a in (
-        Ats("workday", _workday_links, _listed("$.jobPostings"), ("*.myworkdayjobs.com/*",)),
+        Ats("workday", _workday_links, listed("$.jobPostings"), ("*.myworkdayjobs.com/*",)),
         Ats(
             "greenhouse",
-            _slug_links("greenhouse", "greenhouse.io/", GREENHOUSE_URLS),
-            _listed("$.jobs"),
+            slug_links("greenhouse", "greenhouse.io/", GREENHOUSE_URLS),
+            listed("$.jobs"),
             ("boards.greenhouse.io/*", "job-boards.greenhouse.io/*"),
         ),
         Ats(
             "lever",
-            _slug_links("lever", "jobs.lever.co/", (LEVER_URL,)),
-            _listed("$"),
+            slug_links("lever", "jobs.lever.co/", (LEVER_URL,)),
+            listed("$"),
             ("jobs.lever.co/*",),
         ),
         Ats(
             "ashby",
-            _slug_links("ashby", "jobs.ashbyhq.com/", (ASHBY_URL,), slug_clean, percent_decode),
-            _listed("$.jobs"),
+            slug_links("ashby", "jobs.ashbyhq.com/", (ASHBY_URL,), slug_clean, percent_decode),
+            listed("$.jobs"),
             ("jobs.ashbyhq.com/*",),
         ),
         Ats(
             "smartrecruiters",
-            _slug_links(
+            slug_links(
                 "smartrecruiters", ".smartrecruiters.com/", (SMARTRECRUITERS_URL,), lambda s: s
             ),
-            _counted("$.totalFound"),
+            counted("$.totalFound"),
             ("jobs.smartrecruiters.com/*", "careers.smartrecruiters.com/*"),
         ),
         Ats(
             "workable",
-            _slug_links("workable", "apply.workable.com/", (WORKABLE_URL,)),
-            _counted("$.total"),
+            slug_links("workable", "apply.workable.com/", (WORKABLE_URL,)),
+            counted("$.total"),
             ("apply.workable.com/*",),
         ),
     )
@@ -234,5 +236,8 @@ def merge_registry(registry: DataFrame, survivors: DataFrame) -> DataFrame:
 
 
 def added_counts(survivors: DataFrame) -> DataFrame:
-    return survivors.groupBy("ats").agg(F.count(F.lit(1)).alias("added"))
+    """Boards added per system, 0 included."""
+    counts = survivors.groupBy("ats").agg(F.count(F.lit(1)).alias("added"))
+    systems = survivors.sparkSession.createDataFrame([(name,) for name in ATS], "ats string")
+    return systems.join(counts, "ats", "left").na.fill(0, ["added"])
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import SPACE
+from jobloom.schemas import CANDIDATE
 
 
 def seed_lines(lines: DataFrame) -> DataFrame:
@@ -50,3 +51,21 @@ def pending_pairs(pairs: DataFrame, ledger: DataFrame) -> DataFrame:
     return pairs.join(
         ledger.select("index_name", "pattern").distinct(), ["index_name", "pattern"], "left_anti"
     )
+
+
+def append_ledger(path: str, pairs: DataFrame, candidates: DataFrame) -> None:
+    """Store the candidates first, then mark their pairs as done.
+
+    A crash between the two only means that the pairs are read again; the distinct
+    step after the harvest makes the repeat harmless.
+    """
+    candidates.write.mode("append").parquet(f"{path}/found")
+    pairs.select("index_name", "pattern").write.mode("append").parquet(f"{path}/done")
+
+
+def done_pairs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("index_name STRING, pattern STRING").parquet(f"{path}/done")
+
+
+def ledger_candidates(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CANDIDATE).parquet(f"{path}/found")
