@@ -323,10 +323,18 @@ def with_views(*names: str) -> str:
     return ",\n".join(f"{n} AS (\n{VIEWS[n][1]}\n)" for n in _closure(names))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Here each is one file with one row group, which Spark can only
+    read in one task; its rows are then dealt out. Tables of many files are not."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view (or given table) as a DataFrame."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return table(spark, sf_dir, name)
     for need in VIEWS[name][0]:
         view(spark, sf_dir, need).createOrReplaceTempView(need)
     return spark.sql(VIEWS[name][1])

@@ -17,6 +17,7 @@ from jobloom.operators import scoring as sc
 from jobloom.operators.ranking import global_row_number
 from jobloom.plans import hourly
 from jobloom.schemas import STATE_COLS
+from jobloom.session import written
 
 col = F.col
 STATE = ", ".join(STATE_COLS)
@@ -31,7 +32,8 @@ def reconciled(v):
 
 
 def fresh(v):
-    return rc.without_relistings(rc.new_jobs(reconciled(v)), rc.active_keys(v.prior_jobs_fx))
+    new_jobs = written(rc.new_jobs(reconciled(v)), "new_jobs")
+    return rc.without_relistings(new_jobs, rc.active_keys(v.prior_jobs_fx))
 
 
 ANNOUNCE = f"role_type IN ('intern', 'new_grad') AND {s.in_us()}"
@@ -258,6 +260,21 @@ add(
     "FROM postings_fx p JOIN title_labels_fx l ON l.title = p.title",
 )
 
+add(
+    "g4_scored_state",
+    lambda v: rc.next_state(
+        rc.with_scored_roles(
+            written(reconciled(v), "reconciled"),
+            v.title_labels_fx.select("title", "label"),
+        )
+    ).select("job_id", "role_type"),
+    BOTH + " title_labels_fx",
+    f"SELECT job_id, CASE WHEN change = 'new' AND {s.keyword_role()} IS NULL THEN coalesce("
+    "(SELECT label FROM title_labels_fx t WHERE t.title = rec.title), 'mid') ELSE role_type END "
+    "AS role_type FROM rec",
+    REC,
+)
+
 # --- enrichment --------------------------------------------------------------
 
 
@@ -350,8 +367,11 @@ add(
 )
 
 
-def fresh_flags(v):
-    return fl.with_flags(en.targets(fresh(v)).drop(*FLAGS), "description")
+def enriched_state(v):
+    rec = written(reconciled(v), "reconciled")
+    left = rc.without_relistings(rc.new_jobs(rec), rc.active_keys(v.prior_jobs_fx))
+    flagged = fl.with_flags(en.targets(left).drop(*FLAGS), "description")
+    return rc.merge_flags(rc.next_state(rec), flagged)
 
 
 FRESH_FLAGS = FRESH + s.flagged(f"(SELECT * FROM fresh WHERE {s.announceable('role_type')}) f", "description")
@@ -371,7 +391,7 @@ add(
 )
 add(
     "u2_enriched_state",
-    lambda v: rc.merge_flags(rc.next_state(reconciled(v)), fresh_flags(v)),
+    enriched_state,
     BOTH,
     f"SELECT {', '.join('r.' + c if c not in FLAGS else f'coalesce(f.{c}, r.{c}) AS {c}' for c in STATE_COLS)} "
     "FROM rec r LEFT JOIN flagged f ON f.job_id = r.job_id",
@@ -382,9 +402,11 @@ add(
 
 
 def run_counters(v):
-    marked = de.cross_source_marked(v.postings_fx)
-    rec = rc.reconcile(marked.where(~col("dropped")), v.prior_jobs_fx, NOW)
-    left = rc.without_relistings(rc.new_jobs(rec), rc.active_keys(v.prior_jobs_fx))
+    marked = written(de.cross_source_marked(v.postings_fx), "batch")
+    rec = written(rc.reconcile(marked.where(~col("dropped")), v.prior_jobs_fx, NOW), "reconciled")
+    left = written(
+        rc.without_relistings(rc.new_jobs(rec), rc.active_keys(v.prior_jobs_fx)), "fresh"
+    )
     flagged = fl.with_flags(left.drop(*FLAGS), "description")
     told = flagged.where(~ro.announceable(col("role_type")) | (col("sponsorship") != "no"))
     return hourly.counters(marked, rec, left, told)

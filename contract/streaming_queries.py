@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from contract import fragments as s
 from contract.fixtures import VIEWS as FIXTURES
 from contract.registry import add
+from jobloom.operators.reconcile import FLAGS
 from jobloom.schemas import CANDIDATE_COLS, STATE_COLS
 from jobloom.session import scratch
 from jobloom.sources.state import StateStore
@@ -45,9 +46,15 @@ def run_ctes() -> list[tuple[str, str]]:
                 sql = sql.replace(f"FROM {old}", f"FROM {new}")
             ctes.append((names[name], sql))
         ctes += s.reconciled(f"kept_{i}", before, run_ts(i), name=f"rec_{i}")
-        ctes.append((f"state_{i}", f"SELECT {', '.join(STATE_COLS)} FROM rec_{i}"))
         ctes.append(s.new_jobs(f"rec_{i}", f"new_{i}"))
         ctes.append(s.fresh(before, f"new_{i}", f"fresh_{i}"))
+        ctes.append((f"flagged_{i}", f"""
+SELECT job_id, {s.sponsorship('t')} AS sponsorship, {s.clearance('t')} AS clearance, {s.grad_years('t')} AS grad_year
+FROM (SELECT job_id, {s.flag_text('description')} AS t FROM fresh_{i} WHERE {s.announceable('role_type')}) q"""))
+        cols = ", ".join(
+            f"coalesce(f.{c}, r.{c}) AS {c}" if c in FLAGS else f"r.{c}" for c in STATE_COLS
+        )
+        ctes.append((f"state_{i}", f"SELECT {cols} FROM rec_{i} r LEFT JOIN flagged_{i} f ON f.job_id = r.job_id"))
         before = f"state_{i}"
     return ctes
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import fuzzy_key
-from jobloom.operators.skew import HOT_ROWS, join_unique
+from jobloom.operators.skew import HOT_ROWS, join_unique, largest
 
 KeyFn = Callable[[Column, Column, Column], Column]
 
@@ -34,26 +34,39 @@ def cross_source_marked(
 ) -> DataFrame:
     """Postings plus ``dropped``: true if the key was first seen under another source.
 
-    Twins of one source are kept, and so are rows without a key. Only keys that
-    occur under two sources or more take part in the join back.
+    Twins of one source are kept, and so are rows without a key. One aggregate by
+    key gives the first source, whether there is another one, and the row count
+    that tells hot keys; only keys with two sources or more are joined back.
     """
     rows = with_key(
         postings.withColumn("source", F.coalesce("source", F.lit("workday"))), key_fn
     )
-    mixed = (
-        rows.where(F.col("fuzzy_key").isNotNull())
-        .groupBy("fuzzy_key")
-        .agg(
-            F.min_by("source", "seq").alias("_first_source"),
-            F.min("source").alias("_low"),
-            F.max("source").alias("_high"),
-        )
-        .where(F.col("_low") != F.col("_high"))
-        .select("fuzzy_key", "_first_source")
+    # Rows without a key share the group '', so that no NULL filter sets the two
+    # uses of the aggregate apart: Spark then shuffles it once for both. Each use
+    # reads all four values for the same reason.
+    rows = rows.withColumn("_key", F.coalesce("fuzzy_key", F.lit("")))
+    per_key = rows.groupBy("_key").agg(
+        F.min_by("source", "seq").alias("_first_source"),
+        F.min("source").alias("_low"),
+        F.max("source").alias("_high"),
+        F.count(F.lit(1)).alias("_n"),
     )
-    joined = join_unique(rows, mixed, ["fuzzy_key"], "left", "seq", hot_rows)
-    dropped = F.coalesce(F.col("source") != F.col("_first_source"), F.lit(False))
-    return joined.withColumn("dropped", dropped).drop("_first_source")
+    counts = per_key.where(
+        F.col("_first_source").isNotNull() & (F.col("_low") <= F.col("_high"))
+    ).select(F.xxhash64("_key").alias("_h"), "_n")
+    mixed = per_key.where((F.col("_low") != F.col("_high")) & (F.col("_n") > 0))
+    joined = join_unique(
+        rows,
+        mixed.select("_key", "_first_source"),
+        ["_key"],
+        "left",
+        "seq",
+        hot=largest(counts, hot_rows),
+    )
+    dropped = F.col("fuzzy_key").isNotNull() & F.coalesce(
+        F.col("source") != F.col("_first_source"), F.lit(False)
+    )
+    return joined.withColumn("dropped", dropped).drop("_first_source", "_key")
 
 
 def cross_source_dedupe(

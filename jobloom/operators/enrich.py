@@ -93,9 +93,18 @@ def description(source: Column, scraped: Column, body: Column) -> Column:
     return F.coalesce(F.when(scraped != "", scraped), fetched, F.lit(""))
 
 
-def enrich(jobs: DataFrame, details: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Jobs with ``full_description`` and the three flags set from it."""
-    joined = with_details(jobs, details, hot_rows)
+def enrich(
+    jobs: DataFrame, details: DataFrame | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Jobs with ``full_description`` and the three flags set from it.
+
+    Without detail payloads only scrape-time descriptions count.
+    """
+    if details is None:
+        nothing = F.lit(None).cast("string")
+        joined = with_detail_key(jobs).withColumn("body", nothing)
+    else:
+        joined = with_details(jobs, details, hot_rows)
     described = joined.withColumn(
         "full_description", description(F.col("source"), F.col("description"), F.col("body"))
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.roles import role
+from jobloom.functions.roles import keyword_role, role
 from jobloom.functions.text import fuzzy_key
 from jobloom.operators.dedupe import KeyFn, with_key
 from jobloom.operators.skew import HOT_ROWS, join_unique
@@ -15,7 +15,7 @@ from jobloom.schemas import DEFAULT_ROLE, STATE_COLS, STATE_DEFAULTS
 
 RoleFn = Callable[[Column], Column]
 FLAGS = ("sponsorship", "clearance", "grad_year")
-FIRST_COLS = ("company", "title", "apply_url", "location", "posted_on", "source", "description")
+FIRST_COLS = ("company", "title", "apply_url", "location", "posted_on", "source")
 LAST_COLS = ("title", "apply_url", "location")
 
 
@@ -57,8 +57,9 @@ def without_relistings(
 
 def batch_by_id(postings: DataFrame) -> DataFrame:
     """One row per id: the first row, what the last row overwrites, and the count."""
+    first = [c for c in (*FIRST_COLS, "description") if c in postings.columns]
     return postings.groupBy("job_id").agg(
-        F.min_by(F.struct("seq", *FIRST_COLS), F.col("seq")).alias("first"),
+        F.min_by(F.struct("seq", *first), F.col("seq")).alias("first"),
         F.max_by(F.struct(*LAST_COLS), F.col("seq")).alias("last"),
         F.count(F.lit(1)).alias("n"),
     )
@@ -69,7 +70,6 @@ def reconcile(
     state: DataFrame,
     now: str,
     role_for: RoleFn = role,
-    title_labels: DataFrame | None = None,
     complete_sources: Sequence[str] | None = None,
 ) -> DataFrame:
     """Full outer join of the batch, one row per id, with the state.
@@ -78,10 +78,10 @@ def reconcile(
     kept), ``n`` (rows of the batch with this id) and ``first`` (the batch's first
     row). Both sides are unique on ``job_id``, so no key can be hot here.
 
-    ``role_for`` maps the last title of a new id to its role. ``title_labels``
-    (title, label) gives labels that go before the default. An active row that
-    the batch lacks is removed; ``complete_sources`` limits that to the sources
-    named, for runs in which other sources failed.
+    ``role_for`` maps the last title of a new id to its role. An active row that the
+    batch lacks is removed; ``complete_sources`` limits that to the sources named,
+    for runs in which other sources failed. Postings may come without their
+    descriptions, which are the bulk of a batch and not needed here.
     """
     batch = batch_by_id(postings)
     old = state.select("job_id", F.struct(*STATE_COLS[1:]).alias("old"))
@@ -101,9 +101,6 @@ def reconcile(
     is_new, seen, gone = F.col("change") == "new", in_batch, F.col("change") == "removed"
 
     label = role_for(F.col("last.title"))
-    if title_labels is not None:
-        rows = _with_label(rows, title_labels)
-        label = role_for(F.col("last.title"), F.col("label"))
 
     def frozen(name: str) -> Column:
         return F.when(is_new, F.col(f"first.{name}")).otherwise(F.col(f"old.{name}"))
@@ -140,12 +137,22 @@ def reconcile(
     )
 
 
-def _with_label(rows: DataFrame, title_labels: DataFrame) -> DataFrame:
-    keyed = rows.withColumn(
-        "_title", F.when(F.col("change") == "new", F.col("last.title"))
+def undecided(reconciled: DataFrame) -> DataFrame:
+    """New rows whose (last) title no keyword rule decides."""
+    return reconciled.where(
+        (F.col("change") == "new") & keyword_role(F.col("title")).isNull()
     )
-    labels = title_labels.select(F.col("title").alias("_title"), "label")
-    return join_unique(keyed, labels, ["_title"], "left", "job_id").drop("_title")
+
+
+def with_scored_roles(reconciled: DataFrame, labels: DataFrame) -> DataFrame:
+    """Roles of the undecided rows from ``labels`` (title, label).
+
+    Only those rows take part in the join; the rest of the state is not shuffled.
+    """
+    open_ = (F.col("change") == "new") & keyword_role(F.col("title")).isNull()
+    scored = join_unique(undecided(reconciled), labels, ["title"], "left", "job_id")
+    scored = scored.withColumn("role_type", F.coalesce("label", "role_type"))
+    return reconciled.where(~open_).unionByName(scored.select(*reconciled.columns))
 
 
 def next_state(reconciled: DataFrame) -> DataFrame:
@@ -154,7 +161,8 @@ def next_state(reconciled: DataFrame) -> DataFrame:
 
 def new_jobs(reconciled: DataFrame) -> DataFrame:
     """Ids seen for the first time, with the values of their first row."""
-    first = [F.col(f"first.{c}").alias(c) for c in FIRST_COLS if c != "source"]
+    names = reconciled.schema["first"].dataType.names
+    first = [F.col(f"first.{c}").alias(c) for c in names if c not in ("seq", "source")]
     return reconciled.where(F.col("change") == "new").select(
         F.col("first.seq").alias("seq"),
         "job_id",
@@ -166,6 +174,15 @@ def new_jobs(reconciled: DataFrame) -> DataFrame:
     )
 
 
+def with_descriptions(jobs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Jobs with the description of their first row, found again by ``seq``.
+
+    ``seq`` is unique on both sides. The jobs are a small part of the batch, so
+    most rows of ``postings`` fall to Spark's runtime filter or a broadcast.
+    """
+    return jobs.join(postings.select("seq", "description"), "seq", "left")
+
+
 def change_counts(reconciled: DataFrame) -> DataFrame:
     """One row: new, updated and removed. A repeat of a new id counts as updated."""
     is_new = F.col("change") == "new"

@@ -22,19 +22,22 @@ MAX_HOT = 10_000
 SALTS = 256
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with at least ``hot_rows`` rows, the MAX_HOT largest."""
+def largest(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Of rows (_h, _n), the at most MAX_HOT largest with ``_n`` >= ``hot_rows``."""
     return (
-        df.select(F.xxhash64(*keys).alias("_h"))
-        .groupBy("_h")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= hot_rows)
+        counts.where(F.col("_n") >= hot_rows)
         .orderBy(F.col("_n").desc(), "_h")
         .limit(MAX_HOT)
         .select("_h", F.lit(True).alias("_hot"))
     )
 
 
+def hot_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Hashes of the keys with at least ``hot_rows`` rows."""
+    counts = df.select(F.xxhash64(*keys).alias("_h")).groupBy("_h")
+    return largest(counts.agg(F.count(F.lit(1)).alias("_n")), hot_rows)
+
+
 def join_unique(
     fact: DataFrame,
     unique: DataFrame,
@@ -43,15 +46,18 @@ def join_unique(
     spread: str | Sequence[str],
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """``fact`` joined (inner, left, left_semi, left_anti) to ``unique`` on ``keys``.
 
     ``unique`` has one row per key. ``spread`` names columns of ``fact`` that differ
-    between rows of one key, such as ``seq``; they choose the salt.
+    between rows of one key, such as ``seq``; they choose the salt. Counting the
+    keys reads ``fact`` a second time, columns ``keys`` only: pass a stored table, or
+    ``hot`` where the counts are at hand.
     """
     keys = list(keys)
     spread = [spread] if isinstance(spread, str) else list(spread)
-    hot = F.broadcast(hot_hashes(fact, keys, hot_rows))
+    hot = F.broadcast(hot_hashes(fact, keys, hot_rows) if hot is None else hot)
 
     def with_salt(df: DataFrame, salt: Column) -> DataFrame:
         marked = df.withColumn("_h", F.xxhash64(*keys)).join(hot, "_h", "left")

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.roles import announceable, keyword_role
 from jobloom.operators import enrich as en
 from jobloom.operators import publish as pub
 from jobloom.operators import reconcile as rc
-from jobloom.operators.dedupe import cross_source_marked
+from jobloom.operators.dedupe import cross_source_dedupe, cross_source_marked
 from jobloom.operators.scoring import Scorer, score_titles
 from jobloom.session import written
 from jobloom.settings import Settings
@@ -29,39 +29,45 @@ class Run:
     counters: DataFrame
 
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 def run(
     postings: DataFrame,
     state: DataFrame,
     now: str,
     details: DataFrame | None = None,
     settings: Settings = Settings(),
-    scorer=None,
-    keep=written,
+    scorer: Callable[[], Scorer] | None = None,
+    keep: Keep = written,
 ) -> Run:
     """Process one whole batch against the state before it.
 
     ``keep(df, name)`` stores a table that several outputs read, so that it is
-    computed once; ``scorer`` builds a Scorer for titles without a keyword label.
+    computed once and no plan grows over several steps. Descriptions stay out of
+    the shuffles: they are fetched for the few jobs that are announced.
+    ``details`` are landed detail payloads; ``scorer`` builds a model for titles
+    without a keyword label.
     """
-    marked = keep(cross_source_marked(postings), "batch")
-    kept = marked.where(~F.col("dropped")).drop("dropped", "fuzzy_key")
-    labels = None if scorer is None else _labels(kept, state, scorer)
-    reconciled = keep(rc.reconcile(kept, state, now, title_labels=labels), "reconciled")
+    slim = postings.drop("description")
+    marked = keep(cross_source_marked(slim), "batch")
+    kept = marked.where(~F.col("dropped"))
+    reconciled = keep(rc.reconcile(kept, state, now), "reconciled")
+    if scorer is not None:
+        titles = rc.undecided(reconciled).select("title").distinct()
+        labels = keep(score_titles(titles, scorer), "labels")
+        reconciled = keep(rc.with_scored_roles(reconciled, labels), "scored")
+
     new_jobs = rc.new_jobs(reconciled)
     fresh = keep(rc.without_relistings(new_jobs, rc.active_keys(state)), "fresh")
-
-    flagged = None
-    if settings.enrich_descriptions and details is not None:
-        flagged = keep(
-            en.enrich(en.targets(fresh), details).select("job_id", *rc.FLAGS), "flagged"
-        )
-        rest = fresh.drop(*rc.FLAGS).join(flagged, "job_id", "left")
-        fresh = rest.na.fill("", list(rc.FLAGS)).select(*fresh.columns)
-    told = en.without_no_sponsorship(fresh) if settings.exclude_no_sponsorship else fresh
-
     after = rc.next_state(reconciled)
-    if flagged is not None:
+    if settings.enrich_descriptions:
+        targets = rc.with_descriptions(en.targets(fresh), postings)
+        flagged = keep(en.enrich(targets, details).select("job_id", *rc.FLAGS), "flagged")
+        fresh = rc.merge_flags(fresh, flagged)
         after = rc.merge_flags(after, flagged)
+    told = en.without_no_sponsorship(fresh) if settings.exclude_no_sponsorship else fresh
+
     return Run(
         state=after,
         new_jobs=new_jobs,
@@ -72,12 +78,6 @@ def run(
     )
 
 
-def _labels(kept: DataFrame, state: DataFrame, scorer) -> DataFrame:
-    """Model labels of the distinct ambiguous titles among the new postings."""
-    titles = rc.unseen(kept, state).select("title").distinct()
-    return score_titles(titles.where(keyword_role(F.col("title")).isNull()), scorer)
-
-
 def counters(
     marked: DataFrame, reconciled: DataFrame, fresh: DataFrame, told: DataFrame
 ) -> DataFrame:
@@ -102,12 +102,11 @@ def counters(
     )
 
 
-def announceable_jobs(postings: DataFrame, state: DataFrame, now: str) -> DataFrame:
-    """New US intern and new-grad jobs of a run, lazily, without stored tables."""
-    kept = cross_source_marked(postings).where(~F.col("dropped"))
+def announceable_jobs(
+    postings: DataFrame, state: DataFrame, now: str, keep: Keep = written
+) -> DataFrame:
+    """New US intern and new-grad jobs of a run, without the other outputs."""
+    kept = cross_source_dedupe(postings.drop("description"))
     new_jobs = rc.new_jobs(rc.reconcile(kept, state, now))
-    picked = new_jobs.where(announceable(F.col("role_type")))
-    return pub.to_announce(rc.without_relistings(picked, rc.active_keys(state)))
-
-
-__all__ = ["Run", "Scorer", "announceable_jobs", "counters", "run"]
+    told = keep(pub.to_announce(new_jobs), "announceable")
+    return rc.without_relistings(told, rc.active_keys(state))
