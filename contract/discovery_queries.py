@@ -12,6 +12,7 @@ from jobloom.plans import discovery as di
 from jobloom.schemas import BOARD_COLS, CANDIDATE_COLS
 from jobloom.session import scratch, written
 from jobloom.sources import harvest as ha
+from jobloom.sources import payloads as pl
 from jobloom.sources.registry import with_board_key
 
 col = F.col
@@ -248,3 +249,48 @@ add(
         *s.links("index_lines", "line_no"),
     ],
 )
+
+
+PATTERNS = [(p, a.name) for a in bo.ATS.values() for p in a.crawl_patterns]
+
+
+def patterned(v):
+    """URL-index rows, each fetched under one of the crawl patterns."""
+    names = F.array(*[F.lit(p) for p, _ in PATTERNS])
+    urls = ha.index_urls(v.url_lines_fx)
+    return urls.withColumn("pattern", F.get(names, (col("line_no") % len(PATTERNS)).cast("int")))
+
+
+add(
+    "s16_crawl_candidates",
+    lambda v: di.crawl_candidates(patterned(v), "line_no"),
+    "url_lines_fx",
+    f"""
+SELECT ats, board_key, tenant, wd, site, slug, name, 'index' AS origin,
+  line_no * 1048576 + ROW_NUMBER() OVER (PARTITION BY line_no ORDER BY pos) - 1 AS seq
+FROM links WHERE ats = list_extract([{', '.join(f"'{a}'" for _, a in PATTERNS)}], CAST(line_no % {len(PATTERNS)} + 1 AS INTEGER))""",
+    [
+        ("index_lines", "SELECT line_no, coalesce(json_extract_string(value, '$.url'), '') AS body "
+                  "FROM url_lines_fx WHERE json_valid(value)"),
+        *s.links("index_lines", "line_no"),
+    ],
+)
+
+
+def registered_pages(v):
+    """Probe bodies read as landed pages of the registered boards."""
+    pages = v.probes_fx.withColumns({
+        "term": F.lit(""), "term_ord": F.lit(0), "page_no": F.lit(0).cast("bigint"),
+    })
+    return pl.of_boards(pages, registry(v))
+
+
+add(
+    "s8_registered_pages",
+    lambda v: registered_pages(v).select("ats", "board_key", "board", "board_ord", "name"),
+    "boards_fx probes_fx",
+    f"""
+SELECT b.ats, b.board_key, coalesce(b.slug, b.board_key) AS board, b.ord AS board_ord, b.name
+FROM (SELECT *, {s.board_key()} AS board_key FROM boards_fx) b
+JOIN probes_fx p ON p.ats = b.ats AND p.board_key = b.board_key""",
+)

@@ -166,26 +166,42 @@ ATS: dict[str, Ats] = {
 }
 
 
-def board_links(body: Column, systems: dict[str, Ats] = ATS) -> Column:
-    """All board links of a text, system by system, as an array of structs."""
+def pattern_system(pattern: Column, systems: dict[str, Ats] = ATS) -> Column:
+    """System whose crawl pattern this is."""
+    return F.coalesce(
+        *[F.when(pattern.isin(*a.crawl_patterns), a.name) for a in systems.values()]
+    )
+
+
+def board_links(
+    body: Column, systems: dict[str, Ats] = ATS, queried: Column | None = None
+) -> Column:
+    """All board links of a text, system by system, as an array of structs.
+
+    With ``queried`` only the links of the system it names are looked for.
+    """
     empty = F.array().cast(
         "array<struct<ats:string,board_key:string,tenant:string,wd:string,"
         "site:string,slug:string,name:string,rule:int>>"
     )
-    found = [F.coalesce(x, empty) for a in systems.values() for x in a.links(body)]
-    return F.concat(*found)
+
+    def links(a: Ats) -> list[Column]:
+        asked = F.lit(True) if queried is None else queried == a.name
+        return [F.coalesce(F.when(asked, x), empty) for x in a.links(body)]
+
+    return F.concat(*[x for a in systems.values() for x in links(a)])
 
 
 def extract_boards(
-    texts: DataFrame, body: str = "body", systems: dict[str, Ats] = ATS
+    texts: DataFrame,
+    body: str = "body",
+    systems: dict[str, Ats] = ATS,
+    queried: Column | None = None,
 ) -> DataFrame:
-    """One row per link with the text's other columns and ``pos``; no shuffle.
-
-    To look for one system only, as for a crawl of its own addresses, pass it alone.
-    """
+    """One row per link with the text's other columns and ``pos``; no shuffle."""
     rest = [c for c in texts.columns if c != body]
-    links = texts.select(*rest, F.posexplode(board_links(F.col(body), systems)).alias("pos", "x"))
-    return links.select(*rest, "pos", "x.*")
+    found = board_links(F.col(body), systems, queried)
+    return texts.select(*rest, F.posexplode(found).alias("pos", "x")).select(*rest, "pos", "x.*")
 
 
 def alive(ats: Column, body: Column, systems: dict[str, Ats] = ATS) -> Column:

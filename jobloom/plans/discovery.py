@@ -26,6 +26,20 @@ def candidates(
     ``seq`` leaves 2^20 places for the links of one text.
     """
     found = b.extract_boards(texts.select(F.col(order).alias("_doc"), body), body, systems)
+    return _placed(found, origin)
+
+
+def crawl_candidates(urls: DataFrame, order: str, systems=b.ATS) -> DataFrame:
+    """Candidates of URL-index rows (``pattern``, ``url``).
+
+    A row is searched for the system whose pattern it answers, and for no other.
+    """
+    rows = urls.select(F.col(order).alias("_doc"), "pattern", "url")
+    queried = b.pattern_system(F.col("pattern"), systems)
+    return _placed(b.extract_boards(rows, "url", systems, queried), "index")
+
+
+def _placed(found: DataFrame, origin: str) -> DataFrame:
     seq = F.shiftleft(F.col("_doc").cast("bigint"), 20) + F.col("pos")
     return found.withColumns({"origin": F.lit(origin), "seq": seq}).select(*CANDIDATE_COLS)
 

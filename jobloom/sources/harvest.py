@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import SPACE
 from jobloom.schemas import CANDIDATE
 
+# Crawls to read when the list of crawls is not to be had.
+FALLBACK_INDEXES = ("CC-MAIN-2025-18-index", "CC-MAIN-2025-13-index")
+
 
 def seed_lines(lines: DataFrame) -> DataFrame:
     """Lines (``value``) that are not comments."""
@@ -34,11 +39,25 @@ def index_urls(lines: DataFrame) -> DataFrame:
     ).drop("_json")
 
 
-def newest_indexes(indexes: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` of the index list, which has the newest first."""
+def newest_indexes(
+    indexes: DataFrame, n: int, fallback: Sequence[str] = FALLBACK_INDEXES
+) -> DataFrame:
+    """The first ``n`` of the index list, which has the newest first.
+
+    An empty list, as when it could not be fetched, is replaced by ``fallback``.
+    """
+    if indexes.isEmpty():
+        rows = list(enumerate(fallback))
+        indexes = indexes.sparkSession.createDataFrame(rows, "list_ord BIGINT, index_name STRING")
     return indexes.orderBy("list_ord").limit(n)
 
 
+def answered(pairs: DataFrame) -> DataFrame:
+    """Pairs whose page count is known. Only these may be marked as done; a page of
+    theirs that failed is left out, and stays out."""
+    return pairs.where(F.col("num_pages").isNotNull())
+
+
 def pages_to_fetch(counts: DataFrame, max_pages: int) -> DataFrame:
     """One row per page of each (index, pattern), at most ``max_pages`` each."""
     fetch = F.least(F.coalesce("num_pages", F.lit(0)), F.lit(max_pages)).cast("int")

@@ -85,6 +85,25 @@ def present(value: Column) -> Column:
     return F.coalesce(~value.isin("", "0"), F.lit(False))
 
 
+def of_boards(pages: DataFrame, boards: DataFrame) -> DataFrame:
+    """Landed pages (ats, board_key, ...) of the registered boards, with their fields.
+
+    The inner join leaves out pages of boards that are not registered. A page set
+    is partitioned by ``ats``, so each reader scans its own partitions only.
+    """
+    fields = boards.select(
+        "ats",
+        "board_key",
+        F.coalesce("slug", "board_key").alias("board"),
+        F.col("ord").alias("board_ord"),
+        "name",
+        "tenant",
+        "wd",
+        "site",
+    )
+    return pages.join(fields, ["ats", "board_key"])
+
+
 def kept_pages(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
     """Parsed pages (``doc``) of one system that its stop rule lets through."""
     own = pages.where(F.col("ats") == ats)
@@ -117,14 +136,10 @@ def scan(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFra
     return placed.withColumn("seq", seq)
 
 
-def _company() -> Column:
-    return F.coalesce(F.col("name"), F.col("board"))
-
-
 def _posting(rows: DataFrame, **cols: Column) -> DataFrame:
     cols = {
         "seq": F.col("seq"),
-        "company": _company(),
+        "company": F.coalesce("name", "board"),
         "source": F.col("ats"),
         "description": F.lit(""),
     } | cols
@@ -155,6 +170,7 @@ def read_workday(pages: DataFrame, settings: Settings = Settings()) -> DataFrame
     rows = scan(pages, "workday", settings)
     postings = _posting(
         rows,
+        company=F.coalesce("name", "tenant"),
         job_id=workday_id(F.col("p.bulletFields"), F.col("p.externalPath")),
         title=strip(F.col("p.title")),
         apply_url=F.concat(
