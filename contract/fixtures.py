@@ -331,10 +331,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows if len(rows.inputFiles()) >= cores else rows.repartition(cores)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The view (or given table) as a DataFrame."""
-    if name in TABLES:
-        return table(spark, sf_dir, name)
-    for need in VIEWS[name][0]:
-        view(spark, sf_dir, need).createOrReplaceTempView(need)
-    return spark.sql(VIEWS[name][1])
+def view(
+    spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """The view (or given table) as a DataFrame; ``made`` holds those made before."""
+    made = {} if made is None else made
+    if name not in made:
+        if name in TABLES:
+            made[name] = table(spark, sf_dir, name)
+        else:
+            for need in VIEWS[name][0]:
+                view(spark, sf_dir, need, made).createOrReplaceTempView(need)
+            made[name] = spark.sql(VIEWS[name][1])
+    return made[name]

@@ -93,7 +93,7 @@ add(
 )
 add(
     "s9_active_keys",
-    lambda v: rc.active_keys(v.prior_jobs_fx),
+    lambda v: rc.active_keys(v.prior_jobs_fx).distinct(),
     BOTH,
     f"SELECT DISTINCT {s.fuzzy_key()} AS fuzzy_key FROM prior_jobs_fx "
     f"WHERE status = 'active' AND {s.fuzzy_key()} IS NOT NULL",
@@ -371,7 +371,7 @@ def enriched_state(v):
     rec = written(reconciled(v), "reconciled")
     left = rc.without_relistings(rc.new_jobs(rec), rc.active_keys(v.prior_jobs_fx))
     flagged = fl.with_flags(en.targets(left).drop(*FLAGS), "description")
-    return rc.merge_flags(rc.next_state(rec), flagged)
+    return rc.flagged_state(rec, flagged)
 
 
 FRESH_FLAGS = FRESH + s.flagged(f"(SELECT * FROM fresh WHERE {s.announceable('role_type')}) f", "description")

@@ -40,6 +40,7 @@ NOT_BOARDS = {
 }
 
 ANY_CASE = "(?iu)"
+LOWERED = "_lowered"
 
 Link = Callable[[Column], Column]
 
@@ -61,11 +62,13 @@ def _link(ats: str, rule: int, slug: Column, name: Column, **workday: Column) ->
 
 
 def _all(body: Column, host: str, pattern: str, link: Link, group: int = 1) -> Column:
-    """Links of all matches. The regex runs only where the host occurs."""
+    """Links of all matches. The regex runs only where the host occurs.
+
+    Both cases of the body are columns: written out for each of the eight rules,
+    ``lower`` would run eight times.
+    """
     found = F.regexp_extract_all(body, F.lit(ANY_CASE + pattern), group)
-    return F.when(
-        F.lower(body).contains(host), F.transform(found, link)
-    )
+    return F.when(F.col(LOWERED).contains(host), F.transform(found, link))
 
 
 def _proper(ats: str, links: Column, token: Callable[[Column], Column]) -> Column:
@@ -178,7 +181,7 @@ def board_links(
 ) -> Column:
     """All board links of a text, system by system, as an array of structs.
 
-    With ``queried`` only the links of the system it names are looked for.
+    The text in lower case is expected in column ``_lowered``. With ``queried`` only the links of the system it names are looked for.
     """
     empty = F.array().cast(
         "array<struct<ats:string,board_key:string,tenant:string,wd:string,"
@@ -201,6 +204,7 @@ def extract_boards(
     """One row per link with the text's other columns and ``pos``; no shuffle."""
     rest = [c for c in texts.columns if c != body]
     found = board_links(F.col(body), systems, queried)
+    texts = texts.withColumn(LOWERED, F.lower(body))
     return texts.select(*rest, F.posexplode(found).alias("pos", "x")).select(*rest, "pos", "x.*")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.keys import key_label
 from jobloom.operators.boards import ATS
+from jobloom.session import written
 from jobloom.settings import MISSING_SAMPLE
 
 
@@ -67,9 +70,16 @@ def missing_sample(marked: DataFrame, size: int = MISSING_SAMPLE) -> DataFrame:
     return missing.withColumn("place", place).where(F.col("place") <= size)
 
 
-def report(surfaced: DataFrame, registry: DataFrame) -> DataFrame:
-    """Registry size, funnel and sample of missing boards, one row per system."""
-    marked = funnel_keys(surfaced, registry)
+def report(
+    surfaced: DataFrame,
+    registry: DataFrame,
+    keep: Callable[[DataFrame, str], DataFrame] = written,
+) -> DataFrame:
+    """Registry size, funnel and sample of missing boards, one row per system.
+
+    The marked keys are stored, so that the harvest is not read once per part.
+    """
+    marked = keep(funnel_keys(surfaced, registry), "funnel")
     sample = missing_sample(marked).groupBy("ats").agg(
         F.array_sort(F.collect_list(F.struct("place", "board"))).alias("_s")
     )

@@ -55,42 +55,60 @@ def with_details(jobs: DataFrame, details: DataFrame, hot_rows: int = HOT_ROWS)
 
     A detail landed more than once counts once.
     """
-    ok = details.where(F.col("status") == 200)
-    once = ok.groupBy("source", "detail_key").agg(F.min("body").alias("body"))
+    ok = details.where(F.col("status") == 200).select("source", "detail_key", "body")
     return join_unique(
-        with_detail_key(jobs), once, ["source", "detail_key"], "left", "job_id", hot_rows
+        with_detail_key(jobs),
+        ok,
+        ["source", "detail_key"],
+        "left",
+        "job_id",
+        hot_rows,
+        reduce=[F.min("body").alias("body")],
     )
 
 
-def description(source: Column, scraped: Column, body: Column) -> Column:
-    """The scrape-time text, else the payload's, else ''."""
-    def of(name: str) -> Column:
-        return F.when(source == name, body)
+def with_description(jobs: DataFrame) -> DataFrame:
+    """Add ``full_description``: the scrape-time text, else the payload's, else ''.
 
-    workday = F.from_json(of("workday"), DETAIL_WORKDAY)["jobPostingInfo"]["jobDescription"]
-    greenhouse = F.from_json(of("greenhouse"), DETAIL_GREENHOUSE)["content"]
-    lever = F.from_json(of("lever"), DETAIL_LEVER)
-    ashby = F.from_json(of("ashby"), DETAIL_ASHBY)
+    Payloads are parsed into columns first, so that each body is parsed once.
+    """
+    source = F.col("source")
+
+    def payload(name: str, schema: str) -> Column:
+        return F.from_json(F.when(source == name, F.col("body")), schema)
 
+    parsed = jobs.withColumns({
+        "_workday": payload("workday", DETAIL_WORKDAY)["jobPostingInfo"]["jobDescription"],
+        "_greenhouse": payload("greenhouse", DETAIL_GREENHOUSE)["content"],
+        "_lever": payload("lever", DETAIL_LEVER),
+        "_ashby": payload("ashby", DETAIL_ASHBY),
+    })
     # One source per row, so one pass through the HTML clean-up serves all.
-    markup = F.coalesce(workday, greenhouse, F.when(
-        text(ashby["descriptionPlain"]) == "", ashby["descriptionHtml"]
-    ))
-    bullets = strip_html_each(F.transform(lever["lists"], lambda x: x["content"]))
+    ashby_plain, ashby_html = F.col("_ashby.descriptionPlain"), F.col("_ashby.descriptionHtml")
+    ready = parsed.withColumns({
+        "_markup": F.coalesce(
+            "_workday", "_greenhouse", F.when(text(ashby_plain) == "", ashby_html)
+        ),
+        "_bullets": F.transform("_lever.lists", lambda x: x["content"]),
+    }).withColumns({
+        "_markup": strip_html(F.col("_markup")),
+        "_bullets": strip_html_each(F.col("_bullets")),
+    })
+    none = F.array().cast("array<string>")
     pieces = F.concat(
-        F.array(text(lever["descriptionPlain"]), text(lever["additionalPlain"])),
-        F.coalesce(bullets, F.array().cast("array<string>")),
+        F.array(text(F.col("_lever.descriptionPlain")), text(F.col("_lever.additionalPlain"))),
+        F.coalesce("_bullets", none),
     )
-    lever_text = F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
+    lever = F.array_join(F.filter(pieces, lambda p: p != ""), "\n")
     fetched = (
-        F.when(source == "lever", lever_text)
-        .when(
-            (source == "ashby") & (text(ashby["descriptionPlain"]) != ""),
-            ashby["descriptionPlain"],
-        )
-        .when(source.isin("workday", "greenhouse", "ashby"), strip_html(markup))
+        F.when(source == "lever", lever)
+        .when((source == "ashby") & (text(ashby_plain) != ""), ashby_plain)
+        .otherwise(F.col("_markup"))
+    )
+    scraped = F.nullif("description", F.lit(""))
+    return ready.withColumn("full_description", F.coalesce(scraped, fetched)).drop(
+        "_workday", "_greenhouse", "_lever", "_ashby", "_markup", "_bullets"
     )
-    return F.coalesce(F.when(scraped != "", scraped), fetched, F.lit(""))
 
 
 def enrich(
@@ -105,10 +123,8 @@ def enrich(
         joined = with_detail_key(jobs).withColumn("body", nothing)
     else:
         joined = with_details(jobs, details, hot_rows)
-    described = joined.withColumn(
-        "full_description", description(F.col("source"), F.col("description"), F.col("body"))
-    )
-    return with_flags(described, "full_description").drop("body", "detail_key")
+    flagged = with_flags(with_description(joined), "full_description")
+    return flagged.drop("body", "detail_key")
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:

@@ -96,8 +96,10 @@ def sheet_append(
 
     An empty id is always appended, and so are repeats inside one payload.
     """
-    ids = sheet.where(text(F.col("job_id")) != "").select("job_id").distinct()
-    return join_unique(jobs, ids, ["job_id"], "left_anti", "append_seq", hot_rows)
+    ids = sheet.where(text(F.col("job_id")) != "").select("job_id")
+    return join_unique(
+        jobs, ids, ["job_id"], "left_anti", "append_seq", hot_rows, reduce=[]
+    )
 
 
 def sheet_sorted(sheet: DataFrame) -> DataFrame:

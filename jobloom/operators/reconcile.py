@@ -32,9 +32,9 @@ def known_ids(state: DataFrame) -> DataFrame:
 
 
 def active_keys(state: DataFrame, key_fn: KeyFn = fuzzy_key) -> DataFrame:
-    """Distinct fuzzy keys of the active rows."""
+    """Fuzzy keys of the active rows, one row per job that has a key."""
     keyed = with_key(state.where(F.col("status") == "active"), key_fn)
-    return keyed.where(F.col("fuzzy_key").isNotNull()).select("fuzzy_key").distinct()
+    return keyed.where(F.col("fuzzy_key").isNotNull()).select("fuzzy_key")
 
 
 def unseen(postings: DataFrame, state: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -51,7 +51,9 @@ def without_relistings(
 ) -> DataFrame:
     """Jobs whose key no prior active row has; a job without a key always stays."""
     keyed = with_key(jobs, key_fn)
-    kept = join_unique(keyed, prior_keys, ["fuzzy_key"], "left_anti", spread, hot_rows)
+    kept = join_unique(
+        keyed, prior_keys, ["fuzzy_key"], "left_anti", spread, hot_rows, reduce=[]
+    )
     return kept.drop("fuzzy_key")
 
 
@@ -201,3 +203,11 @@ def merge_flags(state: DataFrame, flagged: DataFrame) -> DataFrame:
     return merged.withColumns(
         {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in FLAGS}
     ).select(*state.columns)
+
+
+def flagged_state(reconciled: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Next state with the run's flags. Only new rows can have any, so only they are
+    joined; the rest of the state is not shuffled."""
+    is_new = F.col("change") == "new"
+    new = merge_flags(next_state(reconciled.where(is_new)), flagged)
+    return next_state(reconciled.where(~is_new)).unionByName(new)

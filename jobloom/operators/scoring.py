@@ -21,12 +21,18 @@ def ambiguous_titles(postings: DataFrame) -> DataFrame:
     return titles.where(keyword_role(F.col("title")).isNull())
 
 
-def score_titles(titles: DataFrame, factory: Callable[[], Scorer]) -> DataFrame:
+def score_titles(
+    titles: DataFrame, factory: Callable[[], Scorer], tasks: int | None = None
+) -> DataFrame:
     """(title, label): label NULL where the model fails or answers off the list.
 
     ``factory`` builds the model once per task; it is then called once per Arrow
     batch with the titles and the label texts, and returns the best text of each.
+    ``tasks`` spreads few titles over many tasks, as a slow model needs; left to
+    itself Spark packs them into few.
     """
+    if tasks is not None:
+        titles = titles.repartition(tasks, "title")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_text = {text: name for name, text in SCORER_LABELS.items()}

@@ -47,10 +47,13 @@ def join_unique(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     hot: DataFrame | None = None,
+    reduce: Sequence[Column] | None = None,
 ) -> DataFrame:
     """``fact`` joined (inner, left, left_semi, left_anti) to ``unique`` on ``keys``.
 
-    ``unique`` has one row per key. ``spread`` names columns of ``fact`` that differ
+    ``unique`` has one row per key, or is brought to that by the aggregates in
+    ``reduce`` ([] keeps the keys alone). That happens after the salt is set, so that
+    the aggregate and the join share one shuffle. ``spread`` names columns of ``fact`` that differ
     between rows of one key, such as ``seq``; they choose the salt. Counting the
     keys reads ``fact`` a second time, columns ``keys`` only: pass a stored table, or
     ``hot`` where the counts are at hand.
@@ -68,8 +71,9 @@ def join_unique(
     every = F.explode(
         F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     )
-    return (
-        with_salt(fact, one)
-        .join(with_salt(unique, every), keys + ["_salt"], how)
-        .drop("_salt")
-    )
+    salted = with_salt(unique, every)
+    if reduce:
+        salted = salted.groupBy(*keys, "_salt").agg(*reduce)
+    elif reduce is not None:
+        salted = salted.select(*keys, "_salt").distinct()
+    return with_salt(fact, one).join(salted, keys + ["_salt"], how).drop("_salt")

@@ -65,7 +65,7 @@ def run(
         targets = rc.with_descriptions(en.targets(fresh), postings)
         flagged = keep(en.enrich(targets, details).select("job_id", *rc.FLAGS), "flagged")
         fresh = rc.merge_flags(fresh, flagged)
-        after = rc.merge_flags(after, flagged)
+        after = rc.flagged_state(reconciled, flagged)
     told = en.without_no_sponsorship(fresh) if settings.exclude_no_sponsorship else fresh
 
     return Run(

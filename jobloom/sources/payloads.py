@@ -125,7 +125,13 @@ def running_offsets(pages: DataFrame) -> DataFrame:
 
 def scan(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
     """One row per item (``p``) of the kept pages, with its place in the batch."""
-    kept = kept_pages(pages, ats, settings)
+    if ats in ("greenhouse", "lever", "ashby"):
+        # A body that does not parse has no items. To filter on that as well would
+        # make Spark parse every body twice.
+        ok = pages.where((F.col("ats") == ats) & (F.col("status") == 200))
+        kept = ok.withColumn("doc", parse(ats, F.col("body"))).drop("body")
+    else:
+        kept = kept_pages(pages, ats, settings)
     items = F.col(f"doc.{ITEMS[ats]}" if ITEMS[ats] else "doc")
     placed = kept.select("*", F.posexplode(items).alias("pos", "p")).drop("doc")
     rank = F.element_at(
