@@ -201,7 +201,7 @@ add(
     "g3_added_system",
     lambda v: bo.extract_boards(
         v.crawl_text_fx,
-        systems={
+        among={
             "teamtailor": bo.Ats(
                 "teamtailor",
                 bo.slug_links("teamtailor", "example.", (r"([a-z0-9.-]+)\.example\.(?:com|net|org)",)),

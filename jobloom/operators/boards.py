@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.keys import board_key
@@ -169,15 +169,20 @@ ATS: dict[str, Ats] = {
 }
 
 
-def pattern_system(pattern: Column, systems: dict[str, Ats] = ATS) -> Column:
+def systems(spark: SparkSession) -> DataFrame:
+    """One row per system, so that reports show systems without boards as 0."""
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, ATS))).alias("ats"))
+
+
+def pattern_system(pattern: Column, among: dict[str, Ats] = ATS) -> Column:
     """System whose crawl pattern this is."""
     return F.coalesce(
-        *[F.when(pattern.isin(*a.crawl_patterns), a.name) for a in systems.values()]
+        *[F.when(pattern.isin(*a.crawl_patterns), a.name) for a in among.values()]
     )
 
 
 def board_links(
-    body: Column, systems: dict[str, Ats] = ATS, queried: Column | None = None
+    body: Column, among: dict[str, Ats] = ATS, queried: Column | None = None
 ) -> Column:
     """All board links of a text, system by system, as an array of structs.
 
@@ -192,25 +197,25 @@ def board_links(
         asked = F.lit(True) if queried is None else queried == a.name
         return [F.coalesce(F.when(asked, x), empty) for x in a.links(body)]
 
-    return F.concat(*[x for a in systems.values() for x in links(a)])
+    return F.concat(*[x for a in among.values() for x in links(a)])
 
 
 def extract_boards(
     texts: DataFrame,
     body: str = "body",
-    systems: dict[str, Ats] = ATS,
+    among: dict[str, Ats] = ATS,
     queried: Column | None = None,
 ) -> DataFrame:
     """One row per link with the text's other columns and ``pos``; no shuffle."""
     rest = [c for c in texts.columns if c != body]
-    found = board_links(F.col(body), systems, queried)
+    found = board_links(F.col(body), among, queried)
     texts = texts.withColumn(LOWERED, F.lower(body))
     return texts.select(*rest, F.posexplode(found).alias("pos", "x")).select(*rest, "pos", "x.*")
 
 
-def alive(ats: Column, body: Column, systems: dict[str, Ats] = ATS) -> Column:
+def alive(ats: Column, body: Column, among: dict[str, Ats] = ATS) -> Column:
     """Whether a probe's body shows a board with jobs."""
-    tests = [F.when(ats == a.name, a.alive(body)) for a in systems.values()]
+    tests = [F.when(ats == a.name, a.alive(body)) for a in among.values()]
     return F.coalesce(*tests, F.lit(False))
 
 
@@ -258,6 +263,5 @@ def merge_registry(registry: DataFrame, survivors: DataFrame) -> DataFrame:
 def added_counts(survivors: DataFrame) -> DataFrame:
     """Boards added per system, 0 included."""
     counts = survivors.groupBy("ats").agg(F.count(F.lit(1)).alias("added"))
-    systems = survivors.sparkSession.createDataFrame([(name,) for name in ATS], "ats string")
-    return systems.join(counts, "ats", "left").na.fill(0, ["added"])
+    return systems(survivors.sparkSession).join(counts, "ats", "left").na.fill(0, ["added"])
 

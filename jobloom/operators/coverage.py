@@ -4,20 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.functions.keys import key_label
-from jobloom.operators.boards import ATS
+from jobloom.operators.boards import systems
 from jobloom.session import written
 from jobloom.settings import MISSING_SAMPLE
 
 
-def systems(spark: SparkSession) -> DataFrame:
-    """One row per system, so that reports show systems without boards as 0."""
-    return spark.createDataFrame([(name,) for name in ATS], "ats string")
-
-
 def entry_counts(boards: DataFrame) -> DataFrame:
     """Rows and distinct keys per system.
 

@@ -89,6 +89,23 @@ def messages(jobs: DataFrame, size: int = MESSAGE_SIZE) -> DataFrame:
     return grouped.select("message_no", F.col("placed.card").alias("cards"))
 
 
+def payloads(batches: DataFrame) -> DataFrame:
+    """(message_no, payload): each message as the JSON a chat webhook takes."""
+    body = F.to_json(F.struct(F.col("cards").alias("embeds")))
+    return batches.select("message_no", body.alias("payload"))
+
+
+def write_messages(batches: DataFrame, path: str) -> None:
+    """One JSON line per message, files sorted by message number."""
+    payloads(batches).orderBy("message_no").select("payload").write.text(path)
+
+
+def write_sheet(sheet: DataFrame, path: str) -> None:
+    """The sorted sheet as CSV with a header; part files follow the order."""
+    rows = sheet_sorted(sheet).select(*SHEET_COLS)
+    rows.write.option("header", True).option("emptyValue", "").csv(path)
+
+
 def sheet_append(
     sheet: DataFrame, jobs: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

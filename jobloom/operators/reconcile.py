@@ -177,12 +177,14 @@ def new_jobs(reconciled: DataFrame) -> DataFrame:
 
 
 def with_descriptions(jobs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Jobs with the description of their first row, found again by ``seq``.
+    """Jobs with the description of their first row ('' if none), found by ``seq``.
 
-    ``seq`` is unique on both sides. The jobs are a small part of the batch, so
-    most rows of ``postings`` fall to Spark's runtime filter or a broadcast.
+    The inner join comes first: it lets Spark broadcast or filter by the jobs, a
+    small part of the batch, where a left join would shuffle every description.
     """
-    return jobs.join(postings.select("seq", "description"), "seq", "left")
+    texts = postings.where(F.col("description") != "").select("seq", "description")
+    wanted = texts.join(jobs.select("seq"), "seq")
+    return jobs.join(wanted, "seq", "left").na.fill("", ["description"])
 
 
 def change_counts(reconciled: DataFrame) -> DataFrame:

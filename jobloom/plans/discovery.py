@@ -19,24 +19,24 @@ class Discovery:
 
 
 def candidates(
-    texts: DataFrame, origin: str, order: str, body: str = "body", systems=b.ATS
+    texts: DataFrame, origin: str, order: str, body: str = "body", among=b.ATS
 ) -> DataFrame:
     """Candidates of one harvest source, in the order of its texts.
 
     ``seq`` leaves 2^20 places for the links of one text.
     """
-    found = b.extract_boards(texts.select(F.col(order).alias("_doc"), body), body, systems)
+    found = b.extract_boards(texts.select(F.col(order).alias("_doc"), body), body, among)
     return _placed(found, origin)
 
 
-def crawl_candidates(urls: DataFrame, order: str, systems=b.ATS) -> DataFrame:
+def crawl_candidates(urls: DataFrame, order: str, among=b.ATS) -> DataFrame:
     """Candidates of URL-index rows (``pattern``, ``url``).
 
     A row is searched for the system whose pattern it answers, and for no other.
     """
     rows = urls.select(F.col(order).alias("_doc"), "pattern", "url")
-    queried = b.pattern_system(F.col("pattern"), systems)
-    return _placed(b.extract_boards(rows, "url", systems, queried), "index")
+    queried = b.pattern_system(F.col("pattern"), among)
+    return _placed(b.extract_boards(rows, "url", among, queried), "index")
 
 
 def _placed(found: DataFrame, origin: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from jobloom.functions.keys import surrogate_id
 from jobloom.functions.text import strip
 from jobloom.operators.dedupe import first_per_key
 from jobloom.schemas import POSTING_COLS
+from jobloom.settings import HOURS_OLD, RESULTS_PER_TERM
 
 # Cells that mean "no value", and the URL columns harvested.
 EMPTY_CELLS = ("nan", "nat", "none")
@@ -46,16 +49,24 @@ def read_listings(listings: DataFrame) -> DataFrame:
 
 
 def source_filters(
-    listings: DataFrame, run_ts: str, hours_old: int, results_per_term: int
+    listings: DataFrame,
+    run_ts: str,
+    hours_old: int = HOURS_OLD,
+    results_per_term: int = RESULTS_PER_TERM,
+    sites: Sequence[str] | None = None,
+    terms: Sequence[str] | None = None,
 ) -> DataFrame:
     """Listings of the last ``hours_old`` hours, at most so many per site and term.
 
-    Rows without a date stay. The cap is part of the feature; as the filter on
+    ``sites`` and ``terms`` keep those scanned for; both filters reach the scan. Rows without a date stay. The cap is part of the feature; as the filter on
     ``row_number`` is visible to Spark, each map task keeps at most that many rows
     per (site, term) before the shuffle.
     """
     oldest = F.lit(run_ts).cast("timestamp") - F.expr(f"INTERVAL {hours_old} HOURS")
     posted = F.try_to_timestamp(cell(F.col("date_posted")))
+    for column, wanted in (("scanned_site", sites), ("term", terms)):
+        if wanted is not None:
+            listings = listings.where(F.col(column).isin(*wanted))
     recent = listings.where(posted.isNull() | (posted >= oldest))
     by_term = Window.partitionBy("scanned_site", "term").orderBy("seq")
     ranked = recent.withColumn("_rank", F.row_number().over(by_term))

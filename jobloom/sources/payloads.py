@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from jobloom.functions.keys import SEQ_BITS, batch_seq
 from jobloom.functions.text import strip, text
-from jobloom.operators.coverage import systems
+from jobloom.operators.boards import systems
 from jobloom.operators.dedupe import first_per_key
 from jobloom.schemas import POSTING_COLS, SOURCE_ORDER
 from jobloom.settings import Settings

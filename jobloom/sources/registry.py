@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +12,13 @@ from jobloom.functions.keys import board_key
 from jobloom.operators.boards import ATS
 from jobloom.schemas import BOARD, BOARD_COLS
 
-# Registry file of each system, and the field that holds its slug.
-REGISTRY_FILES = {
-    "workday": ("companies.yaml", None),
-    "greenhouse": ("greenhouse.yaml", "token"),
-    "lever": ("lever.yaml", "slug"),
-    "ashby": ("ashby.yaml", "slug"),
-    "smartrecruiters": ("smartrecruiters.yaml", "company"),
-    "workable": ("workable.yaml", "slug"),
+# The field of a registry entry that holds its slug.
+SLUG_FIELDS = {
+    "greenhouse": "token",
+    "lever": "slug",
+    "ashby": "slug",
+    "smartrecruiters": "company",
+    "workable": "slug",
 }
 
 
@@ -28,8 +27,8 @@ def with_board_key(boards: DataFrame) -> DataFrame:
     return boards.withColumn("board_key", key).select(*BOARD_COLS)
 
 
-def read_yaml(spark: SparkSession, folder: str) -> DataFrame:
-    """Registry files of a folder; a missing or empty file adds no boards.
+def read_yaml(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
+    """Registry files by system; a missing or empty file adds no boards.
 
     The files are small, hand-kept configuration. Large registries live in a
     table with the same columns.
@@ -37,14 +36,13 @@ def read_yaml(spark: SparkSession, folder: str) -> DataFrame:
     import yaml
 
     rows = []
-    for ats, (file, field) in REGISTRY_FILES.items():
-        path = os.path.join(folder, file)
+    for ats, path in files.items():
         if not os.path.exists(path):
             continue
         with open(path, encoding="utf-8") as handle:
             companies = (yaml.safe_load(handle) or {}).get("companies") or []
         for place, entry in enumerate(companies):
-            slug = None if field is None else str(entry[field])
+            slug = str(entry[SLUG_FIELDS[ats]]) if ats in SLUG_FIELDS else None
             parts = [entry.get(c) for c in ("tenant", "wd", "site")]
             rows.append((ats, None, *parts, slug, entry.get("name"), place))
     return with_board_key(spark.createDataFrame(rows, BOARD))

@@ -131,3 +131,20 @@ def test_run_with_scorer(spark):
 def test_sheet_rows(spark):
     row = pu.sheet_rows(spark.createDataFrame([job(1, location=None)], JOB)).first()
     assert row.location == "" and list(row.asDict()) == list(pu.SHEET_COLS)
+
+
+def test_written_messages_and_sheet(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([job(i, sponsorship="yes") for i in range(12)], JOB)
+    pu.write_messages(pu.messages(df), str(tmp_path / "m"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "m")).collect()]
+    assert sorted(len(m["embeds"]) for m in lines) == [2, 10]
+    card = max(lines, key=lambda m: len(m["embeds"]))["embeds"][0]
+    assert card["title"] == "T0" and card["url"] == "u0" and card["color"] == 0x2ECC71
+    assert card["fields"][0] == {"name": "Company", "value": "C", "inline": True}
+
+    sheet = df.withColumnRenamed("seq", "append_seq")
+    pu.write_sheet(sheet, str(tmp_path / "s"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "s"))
+    assert back.columns == list(pu.SHEET_COLS) and back.count() == 12

@@ -215,6 +215,8 @@ def test_source_filters(spark):
     df = spark.createDataFrame(rows, LISTING)
     got = aggregator.source_filters(df, "2026-01-03T00:00:00+00:00", 72, 3)
     assert sorted(r.seq for r in got.collect()) == [0, 2, 3]
+    assert aggregator.source_filters(df, "2026-01-03", sites=["glassdoor"]).count() == 0
+    assert aggregator.source_filters(df, "2026-01-03", terms=["a"], sites=["indeed"]).count() == 5
 
 
 def test_index_urls(spark):
@@ -256,10 +258,11 @@ def test_ledger(spark, tmp_path):
 
 def test_registry_files(spark, tmp_path):
     pytest.importorskip("yaml")
-    (tmp_path / "companies.yaml").write_text("companies:\n- {tenant: t, wd: wd1, site: S, name: N}\n")
-    (tmp_path / "ashby.yaml").write_text("companies:\n- slug: OpenX\n- slug: b\n  name: B\n")
-    (tmp_path / "lever.yaml").write_text("")
-    boards = registry.read_yaml(spark, str(tmp_path))
+    (tmp_path / "w.yaml").write_text("companies:\n- {tenant: t, wd: wd1, site: S, name: N}\n")
+    (tmp_path / "a.yaml").write_text("companies:\n- slug: OpenX\n- slug: b\n  name: B\n")
+    (tmp_path / "l.yaml").write_text("")
+    files = {"workday": "w", "ashby": "a", "lever": "l", "greenhouse": "none"}
+    boards = registry.read_yaml(spark, {k: str(tmp_path / f"{f}.yaml") for k, f in files.items()})
     rows = {(r.ats, r.board_key): (r.name, r.ord) for r in boards.collect()}
     assert rows == {("workday", "t/wd1/S"): ("N", 0), ("ashby", "openx"): (None, 0), ("ashby", "b"): ("B", 1)}
     assert registry.of_systems(boards, ["Ashby"]).count() == 2
