@@ -9,6 +9,7 @@ which must not happen because half of the run had landed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -17,6 +18,8 @@ from jobloom.plans.hourly import Run, run
 from jobloom.settings import Settings
 from jobloom.sources.state import StateStore
 
+# What a run leaves behind; the state is read by the next run.
+OUTPUTS = ("state", "fresh", "messages", "sheet_rows", "counters")
 ANNOUNCED = "run_id BIGINT, run_ts STRING"
 
 
@@ -38,10 +41,14 @@ def process_run(
         return None
     postings = spark.read.parquet(f"{landing}/runs/run_id={run_id}")
     result = run(postings, store.read(), run_ts, settings=settings)
-    store.write(result.state, run_id)
-    for name in ("fresh", "messages", "sheet_rows", "counters"):
+
+    def write(name: str) -> None:
         table: DataFrame = getattr(result, name)
         table.write.mode("overwrite").parquet(f"{store.root}/{name}/run_id={run_id}")
+
+    # Independent small jobs: side by side they share the cluster.
+    with ThreadPoolExecutor(len(OUTPUTS)) as pool:
+        list(pool.map(write, OUTPUTS))
     store.commit(run_id)
     return result
 
