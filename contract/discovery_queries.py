@@ -141,12 +141,12 @@ add(
 )
 add(
     "o3_surfaced_and_registered",
-    lambda v: found(v).select("ats", "board_key").intersect(registry(v).select("ats", "board_key")),
+    lambda v: co.registered(found(v), registry(v)),
     VIEWS, "SELECT ats, board_key FROM found INTERSECT SELECT ats, board_key FROM registry", FOUND,
 )
 add(
     "o4_surfaced_not_registered",
-    lambda v: found(v).select("ats", "board_key").subtract(registry(v).select("ats", "board_key")),
+    lambda v: co.unregistered(found(v), registry(v)),
     VIEWS, "SELECT ats, board_key FROM found EXCEPT SELECT ats, board_key FROM registry", FOUND,
 )
 add(

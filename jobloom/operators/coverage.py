@@ -36,6 +36,18 @@ def funnel_keys(surfaced: DataFrame, registry: DataFrame) -> DataFrame:
     return found.join(known, keys, "full_outer").na.fill(False, ["surfaced", "validated"])
 
 
+def registered(surfaced: DataFrame, registry: DataFrame) -> DataFrame:
+    """Keys on both sides. Repeats go first: Spark would join before it drops them."""
+    keys = ["ats", "board_key"]
+    return surfaced.select(*keys).distinct().intersect(registry.select(*keys).distinct())
+
+
+def unregistered(surfaced: DataFrame, registry: DataFrame) -> DataFrame:
+    """Surfaced keys the registry lacks."""
+    keys = ["ats", "board_key"]
+    return surfaced.select(*keys).distinct().subtract(registry.select(*keys).distinct())
+
+
 def funnel(marked: DataFrame) -> DataFrame:
     """Per system: surfaced, validated, missing and the percentage validated."""
     both = F.col("surfaced") & F.col("validated")

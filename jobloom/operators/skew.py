@@ -3,11 +3,15 @@
 AQE splits skewed shuffle partitions only where both join inputs are plain
 shuffles. Here one input is usually an aggregate, so hot keys are split by hand:
 keys with ``hot_rows`` rows or more are found by a partial aggregation over
-64-bit key hashes, their rows are spread over ``salts`` sub-keys, and only their
-rows of the unique side are repeated. All other keys are shuffled once, unsalted.
+64-bit key hashes, and their rows are dealt to sub-keys of about ``hot_rows`` rows
+each, however many that takes. Only their one row of the unique side is repeated,
+so all repeats together are at most (rows / hot_rows). All other keys are shuffled
+once, unsalted.
 
-What is broadcast is the list of hot hashes: at most ``MAX_HOT`` rows of 8 bytes.
-A hash collision only salts a key that did not need it; joins compare real keys.
+What is broadcast is the list of hot hashes and their number of sub-keys: at most
+``MAX_HOT`` rows of 12 bytes. Keys past that list are small next to those on it: none
+has more than 1/MAX_HOT of all rows. A hash collision only salts a key that did not
+need it; joins compare real keys.
 """
 
 from __future__ import annotations
@@ -19,21 +23,24 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT = 10_000
-SALTS = 256
 
 
 def largest(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Of rows (_h, _n), the at most MAX_HOT largest with ``_n`` >= ``hot_rows``."""
+    """Sub-keys (_h, _salts) of the MAX_HOT largest hashes with ``hot_rows`` rows or more.
+
+    ``counts`` has _h and _n. Two keys may share a hash, so it is grouped once more;
+    by then it holds hot keys only.
+    """
+    hot = counts.where(F.col("_n") >= hot_rows).groupBy("_h").agg(F.sum("_n").alias("_n"))
     return (
-        counts.where(F.col("_n") >= hot_rows)
-        .orderBy(F.col("_n").desc(), "_h")
+        hot.orderBy(F.col("_n").desc(), "_h")
         .limit(MAX_HOT)
-        .select("_h", F.lit(True).alias("_hot"))
+        .select("_h", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
     )
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the keys with at least ``hot_rows`` rows."""
+    """Hashes of the keys with at least ``hot_rows`` rows, and their sub-keys."""
     counts = df.select(F.xxhash64(*keys).alias("_h")).groupBy("_h")
     return largest(counts.agg(F.count(F.lit(1)).alias("_n")), hot_rows)
 
@@ -45,7 +52,6 @@ def join_unique(
     how: str,
     spread: str | Sequence[str],
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
     hot: DataFrame | None = None,
     reduce: Sequence[Column] | None = None,
 ) -> DataFrame:
@@ -64,12 +70,12 @@ def join_unique(
 
     def with_salt(df: DataFrame, salt: Column) -> DataFrame:
         marked = df.withColumn("_h", F.xxhash64(*keys)).join(hot, "_h", "left")
-        return marked.withColumn("_salt", salt).drop("_h", "_hot")
+        return marked.withColumn("_salt", salt).drop("_h", "_salts")
 
-    is_hot = F.col("_hot").isNotNull()
-    one = F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0)
+    salts = F.col("_salts")
+    one = F.when(salts.isNotNull(), F.pmod(F.xxhash64(*spread), salts).cast("int")).otherwise(0)
     every = F.explode(
-        F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+        F.when(salts.isNotNull(), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.lit(0)))
     )
     salted = with_salt(unique, every)
     if reduce:

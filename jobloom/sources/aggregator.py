@@ -62,8 +62,9 @@ def source_filters(
     ``row_number`` is visible to Spark, each map task keeps at most that many rows
     per (site, term) before the shuffle.
     """
-    oldest = F.lit(run_ts).cast("timestamp") - F.expr(f"INTERVAL {hours_old} HOURS")
-    posted = F.try_to_timestamp(cell(F.col("date_posted")))
+    # Both are UTC wall-clock times, free of the session's time zone.
+    oldest = F.lit(run_ts[:19]).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours_old} HOURS")
+    posted = cell(F.col("date_posted")).try_cast("timestamp_ntz")
     for column, wanted in (("scanned_site", sites), ("term", terms)):
         if wanted is not None:
             listings = listings.where(F.col(column).isin(*wanted))

@@ -67,6 +67,9 @@ ITEMS = {
     "workable": "results",
 }
 
+DAY_MILLIS = 86_400_000
+FIRST_MILLIS, LAST_MILLIS = -62_135_596_800_000, 253_402_300_799_999
+
 
 def parse(ats: str, body: Column) -> Column:
     """Payload of a system, NULL where the root is of the wrong kind."""
@@ -156,6 +159,15 @@ def _day(value: Column) -> Column:
     return F.substring(text(value), 1, 10)
 
 
+def _utc_day(millis: Column) -> Column:
+    """UTC date of epoch milliseconds, whatever the session's time zone; '' for 0,
+    NULL and years outside 1 to 9999."""
+    days = F.floor(millis / F.lit(DAY_MILLIS)).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
+    valid = millis.between(FIRST_MILLIS, LAST_MILLIS) & (millis != 0)
+    return F.when(valid, day).otherwise("")
+
+
 def _joined(*parts: Column) -> Column:
     return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), ", ")
 
@@ -215,10 +227,7 @@ def read_lever(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 place["location"]
             )
         ),
-        posted_on=F.when(
-            F.coalesce(millis, F.lit(0)) != 0,
-            F.date_format(F.timestamp_millis(millis), "yyyy-MM-dd"),
-        ).otherwise(""),
+        posted_on=_utc_day(millis),
     )
 
 

@@ -89,7 +89,7 @@ def test_join_unique_equals_join(spark, how, hot_rows):
     facts = [(i, rnd.choice(["hot"] * 5 + ["a", "b", "c", None])) for i in range(300)]
     fact = spark.createDataFrame(facts, "i int, k string")
     unique = spark.createDataFrame([("hot", 1), ("a", 2), ("z", 3)], "k string, v int")
-    got = skew.join_unique(fact, unique, ["k"], how, "i", hot_rows=hot_rows, salts=4)
+    got = skew.join_unique(fact, unique, ["k"], how, "i", hot_rows=hot_rows)
     want = fact.join(unique, "k", how)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
 
@@ -108,11 +108,32 @@ def test_hot_rows_are_spread(spark):
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < 2000
 
 
+def test_sub_keys_grow_with_the_key(spark):
+    df = spark.range(1000).select((F.col("id") % 10 == 0).alias("k"))
+    hot = skew.hot_hashes(df, ["k"], hot_rows=90)
+    assert sorted(r._salts for r in hot.collect()) == [2, 10]
+
+
+def test_keys_that_share_a_hash_give_one_row(spark):
+    counts = spark.createDataFrame([(7, 5), (7, 6), (8, 5), (9, 1)], "_h bigint, _n bigint")
+    assert sorted(map(tuple, skew.largest(counts, 5).collect())) == [(7, 3), (8, 1)]
+
+
+def test_reduce_makes_the_other_side_unique(spark):
+    fact = spark.createDataFrame([(i, "hot" if i < 50 else "a") for i in range(60)], "i int, k string")
+    many = spark.createDataFrame([("hot", 3), ("hot", 2), ("a", 1), ("a", 1), ("z", 9)], "k string, v int")
+    for hot_rows in (1, 20, 10**6):
+        got = skew.join_unique(fact, many, ["k"], "left", "i", hot_rows, reduce=[F.min("v").alias("v")])
+        assert sorted((r.i, r.v) for r in got.collect()) == [(i, 2 if i < 50 else 1) for i in range(60)]
+        semi = skew.join_unique(fact, many.where("k = 'a'"), ["k"], "left_anti", "i", hot_rows, reduce=[])
+        assert sorted(r.i for r in semi.collect()) == list(range(50))
+
+
 def test_hot_list_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(skew, "MAX_HOT", 3)
     df = spark.range(100).select((F.col("id") % 10).alias("k"))
     hot = skew.hot_hashes(df, ["k"], hot_rows=1)
-    assert hot.count() == 3 and hot.columns == ["_h", "_hot"]
+    assert hot.count() == 3 and hot.columns == ["_h", "_salts"]
 
 
 def test_global_row_number(spark):

@@ -79,6 +79,23 @@ def test_lever(spark):
     assert not read(spark, "lever", page("lever", {"ok": False}))
 
 
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_dates_do_not_follow_the_session_zone(spark, zone):
+    items = [{"id": str(i), "createdAt": ms} for i, ms in enumerate(
+        [1700000000000, 1699920000000, 1700006399999, -1, 10**17, 1])]
+    rows = [(i, "indeed", "a", None, f"u{i}", None, None, None, None, None, d, None)
+            for i, d in enumerate(["2025-12-31", "2025-12-30"])]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = [r.posted_on for r in read(spark, "lever", page("lever", items))]
+        kept = aggregator.source_filters(spark.createDataFrame(rows, LISTING), "2026-01-03T00:00:00+00:00")
+        seqs = [r.seq for r in kept.collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["2023-11-14", "2023-11-14", "2023-11-14", "1969-12-31", "", "1970-01-01"]
+    assert seqs == [0]
+
+
 def test_ashby(spark):
     jobs = [{"id": "q", "title": " A ", "publishedAt": "2026-05-06T00:00:00Z"},
             {"id": "r", "jobUrl": "https://x", "location": None}, {"id": ""}]
