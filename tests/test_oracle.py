@@ -7,10 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from contract import load_all
 from contract.fixtures import TABLES
+from contract.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+load_all()
 
 
 @pytest.fixture(scope="module")
