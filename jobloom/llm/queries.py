@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import bpe, html_text, secret_scan, sharding, sql, topk, warc
+from jobloom.llm import bpe, html_text, preference_chat, quality, secret_scan, sharding, sql, topk, warc
 from jobloom.llm.registry import query
 from jobloom.llm.spread import table
 from jobloom.session import written
@@ -54,6 +54,29 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 5 == 0
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality.fit(quality.labelled(docs, labels.filter(~held_out(F.col("doc_id")))))
+    return quality.scored(docs, model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+@query("op8_preference_chat", sql.OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference_chat.formatted(table(spark, sf_dir, "conversations"))
+    for c in ("chosen_mask", "rejected_mask"):
+        spans = F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+        out = out.withColumn(c, spans)
+    return out
+
+
 @query("op9_shards", sql.shards(sharding.SHARD_BYTES, sharding.HASH_BITS))
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))

@@ -50,6 +50,43 @@ WITH v AS (
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+def _mask(side: str) -> str:
+    pieces = f"list_transform({side}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10))"
+    at = f"coalesce(list_sum(list_transform({pieces}[:i - 1], lambda x: length(x))), 0)"
+    return f"""array_to_string(list_transform(list_filter(range(1, len({side}) + 1), lambda i: {side}[i].role = 'assistant'),
+      lambda i: ({at} + length({side}[i].role) + 5)::BIGINT || ':' || ({at} + length({pieces}[i]))::BIGINT), ',')"""
+
+
+def _text(side: str) -> str:
+    return f"array_to_string(list_transform({side}, lambda t: '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10)), '')"
+
+
+OP8 = f"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), d AS (
+  SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY turn NULLS FIRST, role, text) AS turns,
+    sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said
+  FROM t GROUP BY conv_id
+), n AS (
+  SELECT *, turns[1] AS opening, row_number() OVER (PARTITION BY turns[1] ORDER BY substr(md5(conv_id::VARCHAR), 1, 2), conv_id) - 1 AS seat FROM d
+), p AS (
+  SELECT list({{'id': conv_id, 'turns': turns}} ORDER BY said DESC, seat) AS two FROM n GROUP BY opening, seat // 2
+), s AS (
+  SELECT two[1].id AS chosen_id, two[2].id AS rejected_id, two[1].turns AS c, two[2].turns AS r FROM p
+), k AS (
+  SELECT *, CASE WHEN rejected_id IS NULL
+      THEN len(c) - coalesce(list_position(list_reverse(list_transform(c, lambda x: x.role = 'assistant')), true), 0)
+      ELSE coalesce(list_min(list_filter(range(1, greatest(len(c), len(r)) + 1), lambda i: c[i] IS DISTINCT FROM r[i])) - 1, len(c)) END AS shared FROM s
+), f AS (
+  SELECT chosen_id, rejected_id, shared, c[:shared] AS p, c[shared + 1:] AS c, r[shared + 1:] AS r FROM k
+)
+SELECT chosen_id, rejected_id, shared::INTEGER AS n_prompt_turns, {_text('p')} AS prompt, {_text('c')} AS chosen,
+  CASE WHEN rejected_id IS NOT NULL THEN {_text('r')} END AS rejected, {_mask('c')} AS chosen_mask,
+  CASE WHEN rejected_id IS NOT NULL THEN {_mask('r')} END AS rejected_mask
+FROM f
+"""
+
 OP10 = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages

@@ -53,12 +53,14 @@ def with_targets(rows: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFrame
 def dictionary(pages: DataFrame, samples: int = DICTIONARY_SAMPLES, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary trained on at most ``samples`` payloads, those of the smallest digests.
 
-    The sample is cut to 16 KB each, so the driver holds 4 MB; the archives hold all bytes.
-    Empty if there are too few pages to train on.
+    Only the digests are ranked, so a task sends the driver no payloads but the ones picked,
+    each cut to 16 KB: 4 MB in all. The archives hold all bytes. Empty if there are too few
+    pages to train on.
     """
     rows = payloads(pages).filter("size > 0")
-    picked = rows.select("digest", F.substring("payload", 1, 16 << 10).alias("p")).orderBy("digest", "p").limit(samples)
-    texts = [bytes(r.p) for r in picked.collect()]
+    picked = [r.digest for r in rows.select("digest").distinct().orderBy("digest").limit(samples).collect()]
+    one = rows.filter(F.col("digest").isin(picked)).dropDuplicates(["digest"])
+    texts = [bytes(r.p) for r in one.orderBy("digest").select(F.substring("payload", 1, 16 << 10).alias("p")).collect()]
     try:
         return zstandard.train_dictionary(size, texts).as_bytes() if len(texts) >= 16 else b""
     except zstandard.ZstdError:
