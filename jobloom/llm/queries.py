@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import bpe, html_text, preference_chat, quality, secret_scan, sharding, sql, topk, warc
+from jobloom.llm import bpe, html_text, preference_chat, quality, secret_scan, sharding, sql, templates, topk, warc
 from jobloom.llm.registry import query
 from jobloom.llm.spread import table
 from jobloom.session import written
@@ -14,6 +14,11 @@ from jobloom.session import written
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@query("op1_template_leaks")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op2_html_text")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
