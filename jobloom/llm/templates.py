@@ -24,50 +24,67 @@ UNITS = (
     "dollars?", "euros?", "cents?", "percent", "degrees?",
 )
 
-#: A private-use character before each placeholder, then its kind: N number, U unit, P proper name.
-MARK = ""
+#: Private-use characters: one before each placeholder, one in place of a number's inner points.
+#: After the mark comes the kind: n number, u unit, p proper name.
+MARK, POINT = "\ue000", "\ue001"
 NAME = r"\p{Lu}(?<=[\p{Ll},;:0-9] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
-NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+(?!\p{L})"
-UNIT = rf"({MARK}N[0-9.,:/]++) (?: ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-#: What parts tokens: all but letters, digits, marks, and points inside a number.
-BETWEEN = rf"(?:[^\p{{L}}\p{{N}}{MARK}.,:/]|[.,:/](?![0-9])|(?<![0-9])[.,:/])+"
+NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+"
+UNIT = rf"({MARK}n[0-9.,:/]++) (?: ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+INNER = rf"(?<={MARK}n[0-9.,:/]{{1,99}})[.,:/](?=[0-9])"
+VALUE = rf"{MARK}(?:n[0-9]++(?:[.,:/][0-9]++)*+|([pu])[\p{{L}}\p{{N}}]++)"
+BETWEEN = rf"[^\p{{L}}\p{{N}}{MARK}{POINT}]+"
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case words of a whole text; placeholders are a mark, their kind and their value.
+def marked(text: Column) -> Column:
+    """A whole text in lower case, with a mark and a kind before each number, unit and name.
 
     A number is a run of digits with inner points, commas, colons or slashes; a unit is one of
     UNITS right after a number; a name is a capitalised word that opens no sentence. Null
     counts as empty.
     """
-    t = F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit(MARK), F.lit(" "))
-    t = F.regexp_replace(t, NAME, f"{MARK}P$0")
-    t = F.regexp_replace(t, NUMBER, f" {MARK}N$0 ")
-    t = F.regexp_replace(t, UNIT, f"$1 {MARK}U$2 ")
-    return F.filter(F.split(F.lower(t), BETWEEN), lambda x: x != "")
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    t = F.replace(F.replace(t, F.lit(MARK), F.lit(" ")), F.lit(POINT), F.lit(" "))
+    t = F.regexp_replace(t, NAME, f"{MARK}p$0")
+    t = F.regexp_replace(t, NUMBER, f" {MARK}n$0 ")
+    return F.lower(F.regexp_replace(t, UNIT, f"$1 {MARK}u$2 "))
 
 
-def windows(words: Column, size: int = WINDOW) -> Column:
-    """Hashes of all windows of ``size`` tokens with placeholders in place of values.
+def values(text: Column) -> Column:
+    """Words; a placeholder is its mark, kind and value."""
+    return F.array_remove(F.split(F.regexp_replace(marked(text), INNER, POINT), BETWEEN), "")
 
-    A text of fewer tokens has one window, the whole; a text of none has none.
-    """
-    own = F.transform(words, lambda x: F.xxhash64(F.when(x.startswith(MARK), F.substring(x, 1, 2)).otherwise(x)))
-    return F.when(F.size(words) > 0, _slices(own, size)).otherwise(F.expr("CAST(array() AS array<bigint>)"))
+
+def template(text: Column) -> Column:
+    """The same words, but a placeholder is only its mark and kind."""
+    kinds = F.regexp_replace(F.regexp_replace(marked(text), VALUE, f"{MARK}$1"), f"{MARK}(?![pu])", f"{MARK}n")
+    return F.array_remove(F.split(kinds, BETWEEN), "")
 
 
-def _slices(own: Column, size: int) -> Column:
-    # one array in, so that the hashes of the tokens are computed once
-    return F.flatten(F.transform(F.array(own), lambda a: F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(a) - size + 1, F.lit(1))),
-        lambda i: F.xxhash64(F.slice(a, i, F.least(F.size(a), F.lit(size)))))))
+def windowed(rows: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``rows`` with ``windows``, the hashes of all runs of ``size`` words of ``template``.
+
+    A text of fewer words has one window, the whole; a text of none has none. Hashes of runs
+    double in length until two of them, overlapping, cover a window.
+    """
+    names = [c for c in rows.columns if c != "template"]
+    out = rows.select(*names, F.transform("template", lambda x: F.xxhash64(x)).alias("__h"), F.xxhash64("template").alias("__all"))
+    n, done = F.size("__h"), 1
+    out = out.withColumn("__n", n)
+    while done < size:
+        step = min(done, size - done)
+        left = F.greatest(F.col("__n") - done - step + 1, F.lit(0))
+        both = F.zip_with(F.slice("__h", F.lit(1), left), F.slice("__h", F.lit(1 + step), left), lambda x, y: F.xxhash64(x, y))
+        out = out.withColumn("__h", both)
+        done += step
+    none = F.expr("CAST(array() AS array<bigint>)")
+    all_ = F.when(F.col("__n") >= size, F.col("__h")).when(F.col("__n") > 0, F.array("__all")).otherwise(none)
+    return out.select(*names, all_.alias("windows"))
 
 
 def items(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(item_id, words, all): tokens and windows of each item. Rows without an item_id are left out."""
+    """(item_id, words, windows) of each item. Rows without an item_id are left out."""
     rows = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct()
-    rows = rows.select("item_id", tokens(F.col("text")).alias("words"))
-    return rows.select("item_id", "words", windows(F.col("words"), size).alias("all"))
+    return windowed(rows.select("item_id", values(F.col("text")).alias("words"), template(F.col("text")).alias("template")), size)
 
 
 def hits(docs: DataFrame, known: DataFrame, size: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
@@ -76,10 +93,10 @@ def hits(docs: DataFrame, known: DataFrame, size: int = WINDOW, most: int = MOST
     ``known`` is the output of ``items``. Its windows are broadcast if counted to be few, so
     that documents are not shuffled.
     """
-    marks = known.select("item_id", F.posexplode("all").alias("place", "window"))
+    marks = known.select("item_id", F.posexplode("windows").alias("place", "window"))
     marks, _ = small(marks, "benchmark-windows", most)
-    found = docs.filter("doc_id IS NOT NULL").select("doc_id", windows(tokens(F.col("text")), size).alias("all"))
-    return found.select("doc_id", F.posexplode("all").alias("at", "window")).join(marks, "window").drop("window")
+    found = windowed(docs.filter("doc_id IS NOT NULL").select("doc_id", template(F.col("text")).alias("template")), size)
+    return found.select("doc_id", F.posexplode("windows").alias("at", "window")).join(marks, "window").drop("window")
 
 
 def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -92,17 +109,17 @@ def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDO
     of_typed = found.join(typed.select("item_id").distinct(), "item_id", "left_semi")
     ids, _ = small(of_typed.select("doc_id").distinct(), "documents-with-slots")
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").distinct()
-    given = texts.select("doc_id", tokens(F.col("text")).alias("given"))
+    given = texts.select("doc_id", values(F.col("text")).alias("given"))
     near = of_typed.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
     rows = near.join(given, "doc_id").join(typed, "item_id")
 
-    def values(hit: Column) -> Column:
+    def behind(hit: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(
             (hit["at"] - hit["place"]).alias("shift"),
             F.get(F.col("words"), hit["place"] + k).alias("asked"), F.get(F.col("given"), hit["at"] + k).alias("given")))
         return F.filter(each, lambda s: s["asked"].startswith(MARK))
 
-    pairs = rows.select("doc_id", "item_id", F.explode(F.array_distinct(F.flatten(F.transform("hits", values)))).alias("s"))
+    pairs = rows.select("doc_id", "item_id", F.explode(F.array_distinct(F.flatten(F.transform("hits", behind)))).alias("s"))
     return pairs.select("doc_id", "item_id", "s.*")
 
 
@@ -129,7 +146,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: floa
         F.sum((F.col("low") != F.col("asked")).cast("int")).alias("changed"))
     places = found.select("doc_id", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"))
     sound = places.join(per_place, ["doc_id", "item_id", "shift"], "left").filter("coalesce(mixed, 0) = 0")
-    total = known.select("item_id", F.size("all").alias("windows")).groupBy("item_id").agg(F.min("windows").alias("windows"))
+    total = known.select("item_id", F.size("windows").alias("windows")).groupBy("item_id").agg(F.min("windows").alias("windows"))
     out = sound.groupBy("doc_id", "item_id").agg(
         F.count_distinct("place").alias("covered"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots"),
         F.coalesce(F.min("changed"), F.lit(0)).alias("changed")).join(total, "item_id")
