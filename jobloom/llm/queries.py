@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import bpe, html_text, preference_chat, quality, secret_scan, sharding, sql, templates, topk, warc
+from jobloom.llm import bpe, html_text, ngram_join, preference_chat, quality, secret_scan, sharding, sql, templates, topk, warc
 from jobloom.llm.registry import query
 from jobloom.llm.spread import table
 from jobloom.session import written
@@ -73,6 +73,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_ngram_join")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 @query("op8_preference_chat", sql.OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = preference_chat.formatted(table(spark, sf_dir, "conversations"))
