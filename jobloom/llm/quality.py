@@ -138,8 +138,8 @@ def fit(rows: DataFrame, pairs: int = PAIRS, seed: int = 7, penalty: float = 1e-
     return Model(tuple(map(float, weights)), cut + float((x.mean(axis=0) * weights).sum()), k)
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``. Every text has one, null and empty texts too."""
+def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a score of every text, null and empty texts too."""
     names = docs.columns
     rows = docs.withColumn("__features", features("text"))
-    return rows.select(*names, model.score(F.col("__features")).alias("score"))
+    return rows.select(*names, model.score(F.col("__features")).alias(name))

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import bpe
-from jobloom.llm.spread import table
+from jobloom.llm import bpe, ngram_join, quality, secret_scan, templates
+from jobloom.llm.spread import table, without_ids
 from jobloom.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,13 +17,69 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject.
+
+    It learns from ``labels`` of documents that are present; with no usable labels all stay.
+    Null and empty texts are scored like others, and repeated rows alike.
+    """
+    model = quality.fit(quality.labelled(docs, table(spark, sf_dir, "labels")))
+    kept = quality.scored(docs, model, "__score").filter(F.col("__score") >= quality.THRESHOLD)
+    return kept.drop("__score")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest doc_id.
+
+    Documents without words or without a doc_id stay. Of rows that share a doc_id one stays.
+    """
+    groups = ngram_join.similar(docs)
+    rest = without_ids(docs, groups.filter("class_id <> doc_id").select("doc_id"), "near-duplicates")
+    return one_per_id(rest)
+
+
+def one_per_id(docs: DataFrame) -> DataFrame:
+    """``docs`` without further rows of a doc_id, if there are any; that of the smallest text stays.
+
+    The ids are counted first, so that texts are shuffled only where an id repeats.
+    """
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if ids.isEmpty():
+        return docs
+    names = docs.columns
+    twice = docs.join(ids, "doc_id", "left_semi").select(F.struct(*names).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("order"))
+    first = twice.groupBy("doc_id").agg(F.min_by("row", F.struct("order", F.xxhash64("row"))).alias("row")).select("row.*")
+    return without_ids(docs, ids, "repeated-ids").select(*names).unionByName(first.select(*names))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no item of ``benchmark`` leaks. Those without a doc_id stay."""
+    found = templates.leaks(docs, table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, found.select("doc_id"), "leaks")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mark in place of each secret and ``n_chars`` counted anew."""
+    found = secret_scan.scan(docs, ledger=secret_scan.empty_ledger(spark)).findings
+    clean = secret_scan.redacted(docs, secret_scan.per_blob(found))
+    changed = F.col("n_chars").isNotNull() & F.col("text").isNotNull()
+    kind = docs.schema["n_chars"].dataType
+    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every text."""
+    """(doc_id, n_tokens, ids) of every text; null and empty texts have no ids."""
     coded = docs.select("doc_id", bpe.encode(RANKS, public_tokenizers.PATTERN)("text").alias("ids"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("token_ids", token_ids)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good_quality),
+    ("near_duplicates", one_of_each),
+    ("decontamination", decontaminated),
+    ("secrets", without_secrets),
+    ("tokens", token_ids),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
