@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contract import fragments as s
 from contract.registry import add
+from contract.source_queries import mixed_ctes
 from jobloom.operators import boards as bo
 from jobloom.operators import coverage as co
 from jobloom.plans import discovery as di
@@ -51,7 +52,7 @@ FROM url_lines_fx WHERE json_valid(value)"""),
     *s.links("harvest", "doc"),
     ("found", """
 SELECT ats, board_key, tenant, wd, site, slug, name,
-  CASE WHEN doc >= 1099511627776 THEN 'index' ELSE 'texts' END AS origin, doc * 1048576 + pos AS seq
+  CASE WHEN doc >= 1099511627776 THEN 'index' ELSE 'texts' END AS origin, (doc::HUGEINT * 1000000000000::HUGEINT + pos)::DECIMAL(38,0) AS seq
 FROM links"""),
     ("uniq", "SELECT * FROM found QUALIFY ROW_NUMBER() OVER (PARTITION BY ats, board_key ORDER BY seq) = 1"),
     ("registry", f"SELECT ats, {s.board_key()} AS board_key, tenant, wd, site, slug, name, ord FROM boards_fx"),
@@ -70,7 +71,7 @@ SELECT ats, board_key FROM probes_fx WHERE status = 200 AND CASE ats
     ("merged", f"""
 SELECT {BOARD} FROM registry
 UNION ALL
-SELECT s.ats, board_key, tenant, wd, site, slug, name, coalesce(e.last, -1) + 1 + seq
+SELECT s.ats, board_key, tenant, wd, site, slug, name, coalesce(e.last, -1) + ROW_NUMBER() OVER (PARTITION BY s.ats ORDER BY seq, board_key)
 FROM survivors s LEFT JOIN (SELECT ats, MAX(ord) AS last FROM registry GROUP BY ats) e ON e.ats = s.ats"""),
     ("both_sides", """
 SELECT coalesce(u.ats, r.ats) AS ats, coalesce(u.board_key, r.board_key) AS board_key,
@@ -81,7 +82,7 @@ FROM uniq u FULL JOIN (SELECT DISTINCT ats, board_key FROM registry) r
 SELECT n.ats, COUNT(*) FILTER (surfaced) AS surfaced, COUNT(*) FILTER (surfaced AND validated) AS validated,
   COUNT(*) FILTER (surfaced AND NOT validated) AS missing,
   CASE WHEN COUNT(*) FILTER (surfaced) > 0 THEN
-    round(100.0 * COUNT(*) FILTER (surfaced AND validated) / COUNT(*) FILTER (surfaced), 1) ELSE 0.0 END AS pct
+    round_even(100.0 * COUNT(*) FILTER (surfaced AND validated) / COUNT(*) FILTER (surfaced), 1) ELSE 0.0 END AS pct
 FROM (VALUES {SYSTEMS}) n(ats) LEFT JOIN both_sides b ON b.ats = n.ats GROUP BY n.ats"""),
     ("sampled", """
 SELECT * FROM (SELECT ats, board, ROW_NUMBER() OVER (PARTITION BY ats ORDER BY board) AS place FROM (
@@ -156,14 +157,14 @@ add(
 )
 add(
     "t2_missing_sample",
-    lambda v: co.missing_sample(co.funnel_keys(found(v), registry(v))).withColumn(
+    lambda v: co.missing_sample(co.funnel_keys(found(v), registry(v)), 15).withColumn(
         "place", col("place").cast("bigint")
     ),
     VIEWS, "SELECT ats, board, place FROM sampled", FOUND,
 )
 add(
     "u6_coverage_report",
-    lambda v: co.report(found(v), registry(v)),
+    lambda v: co.report(found(v), registry(v), 15),
     VIEWS,
     f"""
 SELECT f.ats, coalesce(r.entries, 0) AS entries, coalesce(r.unique_keys, 0) AS unique_keys, f.surfaced,
@@ -242,7 +243,7 @@ add(
     "u7_harvest_ledger",
     resumed,
     "url_lines_fx",
-    f"SELECT ats, board_key, tenant, wd, site, slug, name, 'index' AS origin, line_no * 1048576 + pos AS seq FROM links",
+    f"SELECT ats, board_key, tenant, wd, site, slug, name, 'index' AS origin, (line_no::HUGEINT * 1000000000000::HUGEINT + pos)::DECIMAL(38,0) AS seq FROM links",
     [
         ("index_lines", "SELECT line_no, coalesce(json_extract_string(value, '$.url'), '') AS body "
                   "FROM url_lines_fx WHERE json_valid(value)"),
@@ -267,7 +268,7 @@ add(
     "url_lines_fx",
     f"""
 SELECT ats, board_key, tenant, wd, site, slug, name, 'index' AS origin,
-  line_no * 1048576 + ROW_NUMBER() OVER (PARTITION BY line_no ORDER BY pos) - 1 AS seq
+  (line_no::HUGEINT * 1000000000000::HUGEINT + ROW_NUMBER() OVER (PARTITION BY line_no ORDER BY pos) - 1)::DECIMAL(38,0) AS seq
 FROM links WHERE ats = list_extract([{', '.join(f"'{a}'" for _, a in PATTERNS)}], CAST(line_no % {len(PATTERNS)} + 1 AS INTEGER))""",
     [
         ("index_lines", "SELECT line_no, coalesce(json_extract_string(value, '$.url'), '') AS body "
@@ -294,3 +295,28 @@ SELECT b.ats, b.board_key, coalesce(b.slug, b.board_key) AS board, b.ord AS boar
 FROM (SELECT *, {s.board_key()} AS board_key FROM boards_fx) b
 JOIN probes_fx p ON p.ats = b.ats AND p.board_key = b.board_key""",
 )
+
+
+def merged_batch(v):
+    """The registry after a merge, and the postings on the pages of its boards, new ones too."""
+    merged = di.discover(found(v), registry(v), v.probes_fx).registry
+    pages = v.probes_fx.withColumns({
+        "term": F.lit(""), "term_ord": F.lit(0), "page_no": F.lit(0).cast("bigint"),
+    })
+    return pl.read_boards(pl.of_boards(pages, merged)).select("ats", "board", "job_id", "seq")
+
+
+add(
+    "o6_batch_of_merged_registry",
+    merged_batch,
+    VIEWS,
+    "SELECT ats, board, job_id, seq FROM batch",
+    [
+        *FOUND,
+        ("merged_pages", """
+SELECT m.ats, coalesce(m.slug, m.board_key) AS board, m.name, m.tenant, m.wd, m.site, '' AS term, 0 AS term_ord,
+  m.ord AS board_ord, 0::BIGINT AS page_no, p.status, p.body
+FROM merged m JOIN probes_fx p ON p.ats = m.ats AND p.board_key = m.board_key"""),
+        *mixed_ctes("merged_pages"),
+    ],
+)

@@ -10,7 +10,7 @@ from jobloom.functions.keys import batch_seq
 from jobloom.operators import boards as bo
 from jobloom.operators.dedupe import first_per_key
 from jobloom.schemas import POSTING_COLS
-from jobloom.settings import CRAWL_INDEXES, CRAWL_MAX_PAGES, Settings
+from jobloom.settings import Settings
 from jobloom.sources import aggregator as ag
 from jobloom.sources import harvest as ha
 from jobloom.sources import payloads as pl
@@ -32,6 +32,14 @@ def valid(body: str = "body") -> str:
     return f"CASE WHEN json_valid({body}) THEN CAST({body} AS JSON) END"
 
 
+def batch_order(source, board, term, page, pos) -> str:
+    """Decimal digits: 1 for the source, 13 for the board, 4, 10 and 10 for the rest."""
+    return (
+        f"((((({source}::HUGEINT * 10000000000000::HUGEINT + {board}) * 10000::HUGEINT + {term}) "
+        f"* 10000000000::HUGEINT + {page}) * 10000000000::HUGEINT) + {pos})::DECIMAL(38,0)"
+    )
+
+
 def usable_ctes(view: str, ats: str) -> list[tuple[str, str]]:
     """``ok``: pages of one system that answered 200 with JSON, with their items."""
     return [
@@ -50,7 +58,7 @@ def kept_ctes(view: str, ats: str) -> list[tuple[str, str]]:
             ("ruled", """
 SELECT *, NOT ok OR items = 0 AS failed,
   (page_no + 1) * 20 >= coalesce(CAST(json_extract_string(doc, '$.total') AS BIGINT), 0) AS last
-FROM sized WHERE page_no < 50"""),
+FROM sized"""),
         ]
         group = "board, term"
     elif ats == "smartrecruiters":
@@ -59,14 +67,14 @@ FROM sized WHERE page_no < 50"""),
 SELECT *, NOT ok AS failed, items = 0 OR
   SUM(items) OVER (PARTITION BY board ORDER BY page_no) >=
     coalesce(CAST(json_extract_string(doc, '$.totalFound') AS BIGINT), 0) AS last
-FROM sized WHERE page_no < 50"""),
+FROM sized"""),
         ]
         group = "board"
     elif ats == "workable":
         ctes += [
             ("counted", """
 SELECT *, len(list_filter(json_extract_string(doc, '$.results[*].shortcode'), lambda x: x <> '')) AS codes
-FROM sized WHERE page_no < 200"""),
+FROM sized"""),
             ("ruled", """
 SELECT *, NOT ok AS failed, items = 0 OR coalesce(json_extract_string(doc, '$.nextPage'), '') = '' OR
   coalesce(SUM(codes) OVER (PARTITION BY board ORDER BY page_no), 0) >=
@@ -92,7 +100,7 @@ SELECT *, unnest(range(items)) AS pos,
   unnest(CAST(json_extract(doc, '{path}') AS JSON[])) AS p
 FROM pages_kept WHERE items > 0"""),
         ("items", f"""
-SELECT *, (((({RANK[ats]}::BIGINT * 1048576 + board_ord) * 16 + term_ord) * 1048576 + page_no) * 65536) + pos AS seq
+SELECT *, {batch_order(RANK[ats], 'board_ord', 'term_ord', 'page_no', 'pos')} AS seq
 FROM exploded"""),
     ]
 
@@ -243,11 +251,11 @@ def mixed_pages(v):
 MIXED = "payloads_fx wd_pages_fx sr_pages_fx wk_pages_fx"
 
 
-def mixed_ctes() -> list[tuple[str, str]]:
+def mixed_ctes(views: str = MIXED) -> list[tuple[str, str]]:
     """``batch``: postings of all systems over the mixed pages, with ats and board."""
     ctes = [("mixed", " UNION ALL ".join(
         f"SELECT * FROM (SELECT ats, board, name, tenant, wd, site, term, term_ord, board_ord, "
-        f"page_no, status, body FROM {x})" for x in MIXED.split()))]
+        f"page_no, status, body FROM {x})" for x in views.split()))]
     for ats in LIST_PATH:
         own = posting_ctes("mixed", ats)
         names = [n for n, _ in own]
@@ -305,7 +313,7 @@ add(
 
 UNIFIED = (
     f"SELECT {POSTING} FROM batch UNION ALL SELECT {POSTING} FROM "
-    "(SELECT * REPLACE (6917529027641081856 + seq AS seq) FROM listings)"
+    "(SELECT * REPLACE ((60000000000000000000000000000000000000::HUGEINT + seq)::DECIMAL(38,0) AS seq) FROM listings)"
 )
 add(
     "n8_unified_batch",
@@ -383,15 +391,14 @@ add(
 )
 add(
     "f8_source_filters",
-    lambda v: ag.source_filters(v.listings_fx, "1998-06-01T00:00:00+00:00", 24 * 365, 100).select(
+    lambda v: ag.source_filters(v.listings_fx, "1998-06-01T02:00:00+02:00", 24 * 365).select(
         "seq", "scanned_site", "term"
     ),
     "listings_fx",
     f"""
 SELECT seq, scanned_site, term FROM listings_fx
 WHERE try_cast({cell('date_posted')} AS TIMESTAMP) IS NULL
-   OR try_cast({cell('date_posted')} AS TIMESTAMP) >= TIMESTAMP '1997-06-01 00:00:00'
-QUALIFY ROW_NUMBER() OVER (PARTITION BY scanned_site, term ORDER BY seq) <= 100""",
+   OR try_cast({cell('date_posted')} AS TIMESTAMP) >= TIMESTAMP '1997-06-01 00:00:00'""",
 )
 add(
     "t3_page_caps",
@@ -407,7 +414,7 @@ add(
     lambda v: pl.running_offsets(v.sr_pages_fx).select("board", "page_no", "rows_so_far"),
     "sr_pages_fx",
     "SELECT board, page_no, CAST(SUM(items) OVER (PARTITION BY board ORDER BY page_no) AS BIGINT) "
-    "AS rows_so_far FROM sized WHERE page_no < 50",
+    "AS rows_so_far FROM sized",
     usable_ctes("sr_pages_fx", "smartrecruiters"),
 )
 
@@ -477,8 +484,8 @@ add(
 
 def crawl_plan(v):
     pairs = v.crawl_pairs_fx
-    newest = ha.newest_indexes(pairs.select("index_name", "list_ord").distinct(), CRAWL_INDEXES)
-    return ha.pages_to_fetch(pairs.join(newest, ["index_name", "list_ord"]), CRAWL_MAX_PAGES)
+    newest = ha.newest_indexes(pairs.select("index_name", "list_ord").distinct())
+    return ha.pages_to_fetch(pairs.join(newest, ["index_name", "list_ord"]))
 
 
 add(
@@ -486,9 +493,8 @@ add(
     crawl_plan,
     "crawl_pairs_fx",
     """
-SELECT index_name, pattern, CAST(unnest(range(least(num_pages, 40))) AS INTEGER) AS page
-FROM crawl_pairs_fx
-WHERE list_ord IN (SELECT DISTINCT list_ord FROM crawl_pairs_fx ORDER BY list_ord LIMIT 3)""",
+SELECT index_name, pattern, CAST(unnest(range(num_pages)) AS INTEGER) AS page
+FROM crawl_pairs_fx""",
 )
 add(
     "s16_pending_pairs",
@@ -505,6 +511,6 @@ add(
         batch_seq(F.lit(0), col("board_ord"), col("term_ord"), col("page_no"), F.lit(0)).alias("seq"),
     ),
     "wd_pages_fx",
-    "SELECT board, term, page_no, ((board_ord * 16 + term_ord) * 1048576 + page_no) * 65536 AS seq "
+    f"SELECT board, term, page_no, {batch_order(0, 'board_ord', 'term_ord', 'page_no', 0)} AS seq "
     "FROM wd_pages_fx",
 )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contract import fragments as s
 from contract.registry import NOW, add
+from contract.source_queries import LISTING_CTES, MIXED, UNIFIED, mixed_ctes, mixed_pages
 from contract.text_queries import DETAIL_KEY
 from jobloom.functions import flags as fl
 from jobloom.functions import roles as ro
@@ -18,6 +19,7 @@ from jobloom.operators.ranking import global_row_number
 from jobloom.plans import hourly
 from jobloom.schemas import STATE_COLS
 from jobloom.session import written
+from jobloom.settings import Settings
 
 col = F.col
 STATE = ", ".join(STATE_COLS)
@@ -48,6 +50,32 @@ add(
     FRESH,
 )
 
+# --- a whole run from landed pages -------------------------------------------
+
+
+def landed_run(v):
+    """Boards and pages of the mixed payloads, and the listings, to the run's new jobs."""
+    mixed = mixed_pages(v)
+    boards = mixed.select(
+        "ats", col("board").alias("board_key"), "tenant", "wd", "site",
+        F.lit(None).cast("string").alias("slug"), "name", col("board_ord").alias("ord"),
+    ).distinct()
+    pages = mixed.select(
+        "ats", col("board").alias("board_key"), "term", "term_ord", "page_no", "status", "body"
+    )
+    every = Settings(hours_old=24 * 366 * 60, enrich_descriptions=False)
+    return hourly.run_landed(boards, pages, v.listings_fx, v.prior_jobs_fx, NOW, settings=every)
+
+
+add(
+    "run_landed_pages",
+    lambda v: landed_run(v).fresh.select("seq", "job_id", "title", "role_type", "source", "first_seen"),
+    MIXED + " listings_fx prior_jobs_fx",
+    "SELECT seq, job_id, title, role_type, source, first_seen FROM fresh",
+    mixed_ctes() + LISTING_CTES + [("whole", UNIFIED)] + s.deduped("whole")
+    + s.reconciled("kept", "prior_jobs_fx", NOW) + [s.new_jobs(), s.fresh("prior_jobs_fx")],
+)
+
 # --- dedupe ------------------------------------------------------------------
 
 add(
@@ -441,7 +469,7 @@ add(
 )
 
 CARD = f"""
-SELECT seq, substr(title, 1, 256) AS title, apply_url AS url,
+SELECT seq, title, apply_url AS url,
   CASE role_type WHEN 'intern' THEN {0x2ECC71} WHEN 'new_grad' THEN {0x3498DB}
     WHEN 'mid' THEN {0xF1C40F} WHEN 'senior' THEN {0xE74C3C} ELSE {0x95A5A6} END AS color,
   array_to_string(list_filter([

@@ -95,6 +95,6 @@ add(
     "st2_harvest_stream",
     harvested,
     "crawl_text_fx",
-    "SELECT ats, board_key, tenant, wd, site, slug, name, 'texts' AS origin, page_id * 1048576 + pos AS seq FROM links",
+    "SELECT ats, board_key, tenant, wd, site, slug, name, 'texts' AS origin, (page_id::HUGEINT * 1000000000000::HUGEINT + pos)::DECIMAL(38,0) AS seq FROM links",
     s.links("crawl_text_fx", "page_id"),
 )

@@ -89,23 +89,29 @@ def key_label(ats: Column, tenant: Column, wd: Column, site: Column, key: Column
     return F.when(ats == "workday", printed).otherwise(key)
 
 
-# Bits per part of the batch order; 63 in all.
-SEQ_BITS = {"source": 3, "board": 20, "term": 4, "page": 20, "pos": 16}
+# Decimal digits per part of the batch order; 38 in all.
+SEQ_DIGITS = {"source": 1, "board": 13, "term": 4, "page": 10, "pos": 10}
+SEQ_TYPE = "DECIMAL(38,0)"
 
 
 def batch_seq(source: Column, board: Column, term: Column, page: Column, pos: Column) -> Column:
-    """One BIGINT that sorts like (source, board, term, page, pos).
+    """One DECIMAL(38,0) that sorts like (source, board, term, page, pos).
 
-    It comes from the data alone, so it is the same after any retry or
-    repartitioning. A part that outgrows its bits fails the job.
+    It comes from the data alone, so it is the same after any retry or repartitioning.
+    Parts have room for 10^13 boards, 10^4 terms, and 10^10 pages and items on a page; a
+    larger or negative part fails the job rather than to collide.
     """
-    parts = dict(zip(SEQ_BITS, (source, board, term, page, pos)))
-    seq = F.lit(0).cast("bigint")
-    fits = F.lit(True)
+    parts = dict(zip(SEQ_DIGITS, (source, board, term, page, pos)))
+    fits, digits = F.lit(True), []
     for name, part in parts.items():
         part = part.cast("bigint")
-        fits = fits & part.between(0, (1 << SEQ_BITS[name]) - 1)
-        seq = F.shiftleft(seq, SEQ_BITS[name]).bitwiseOR(part)
-    return F.when(fits, seq).otherwise(
-        F.raise_error(F.lit("batch order part out of range")).cast("bigint")
+        fits = fits & part.between(0, 10 ** SEQ_DIGITS[name] - 1)
+        digits.append(F.lpad(part.cast("string"), SEQ_DIGITS[name], "0"))
+    return F.when(fits, F.concat(*digits).cast(SEQ_TYPE)).otherwise(
+        F.raise_error(F.lit("batch order part out of range")).cast(SEQ_TYPE)
     )
+
+
+def link_seq(text_order: Column, pos: Column) -> Column:
+    """One DECIMAL(38,0) that sorts like (order of the text, place of the link in it)."""
+    return (text_order.cast("DECIMAL(20,0)") * F.lit(10**12) + pos).cast(SEQ_TYPE)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from jobloom.functions.keys import board_key
 from jobloom.functions.text import percent_decode, slug_clean
 from jobloom.operators.dedupe import first_per_key
+from jobloom.operators.ranking import global_row_number
+from jobloom.session import written
 from jobloom.schemas import BOARD_COLS, CANDIDATE_COLS
 
 # Board addresses, and captures that are not boards.
@@ -248,14 +250,16 @@ def union_candidates(sources: list[DataFrame]) -> DataFrame:
 def merge_registry(registry: DataFrame, survivors: DataFrame) -> DataFrame:
     """Existing boards in their order, then the survivors in order of discovery.
 
-    New boards get the system's last ``ord`` + 1 + their ``seq``: sorted as
-    appended, without numbering rows in one task.
+    New boards are numbered on from the system's last ``ord``, without gaps, however large
+    their ``seq``: positions over all survivors, less those of the systems before.
     """
     known = registry.where(F.col("ats").isin(*ATS))
     # One row per system of ATS, so six at most.
     ends = known.groupBy("ats").agg(F.max("ord").alias("_end"))
-    placed = survivors.join(F.broadcast(ends), "ats", "left").withColumn(
-        "ord", F.coalesce("_end", F.lit(-1)) + 1 + F.col("seq")
+    numbered = written(global_row_number(survivors, ["ats", "seq", "board_key"], "_pos"), "survivors")
+    starts = numbered.groupBy("ats").agg(F.min("_pos").alias("_start")).join(ends, "ats", "left")
+    placed = numbered.join(F.broadcast(starts), "ats").withColumn(
+        "ord", F.coalesce("_end", F.lit(-1)) + 1 + F.col("_pos") - F.col("_start")
     )
     return registry.select(*BOARD_COLS).unionByName(placed.select(*BOARD_COLS))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from jobloom.functions.keys import key_label
 from jobloom.operators.boards import systems
 from jobloom.session import written
-from jobloom.settings import MISSING_SAMPLE
 
 
 def entry_counts(boards: DataFrame) -> DataFrame:
@@ -59,35 +58,39 @@ def funnel(marked: DataFrame) -> DataFrame:
     listed = systems(marked.sparkSession).join(counts, "ats", "left")
     listed = listed.na.fill(0, ["surfaced", "validated", "missing"])
     pct = F.when(
-        F.col("surfaced") > 0, F.round(100 * F.col("validated") / F.col("surfaced"), 1)
+        F.col("surfaced") > 0, F.bround(100 * F.col("validated") / F.col("surfaced"), 1)
     ).otherwise(0.0)
     return listed.withColumn("pct", pct)
 
 
-def missing_sample(marked: DataFrame, size: int = MISSING_SAMPLE) -> DataFrame:
-    """The first missing boards of each system, by printed key.
+def missing_boards(marked: DataFrame) -> DataFrame:
+    """(ats, board): every missing board, by its printed key."""
+    label = key_label(*[F.col(c) for c in ("ats", "tenant", "wd", "site", "board_key")])
+    missing = F.col("surfaced") & ~F.col("validated")
+    return marked.where(missing).select("ats", label.alias("board"))
+
+
+def missing_sample(marked: DataFrame, size: int) -> DataFrame:
+    """The first ``size`` missing boards of each system.
 
     Spark cuts each map task to ``size`` rows per system before the shuffle.
     """
-    label = key_label(*[F.col(c) for c in ("ats", "tenant", "wd", "site", "board_key")])
-    missing = marked.where(F.col("surfaced") & ~F.col("validated")).select(
-        "ats", label.alias("board")
-    )
     place = F.row_number().over(Window.partitionBy("ats").orderBy("board"))
-    return missing.withColumn("place", place).where(F.col("place") <= size)
+    return missing_boards(marked).withColumn("place", place).where(F.col("place") <= size)
 
 
 def report(
     surfaced: DataFrame,
     registry: DataFrame,
+    sample_size: int,
     keep: Callable[[DataFrame, str], DataFrame] = written,
 ) -> DataFrame:
-    """Registry size, funnel and sample of missing boards, one row per system.
+    """Registry size, funnel and ``sample_size`` missing boards, one row per system.
 
     The marked keys are stored, so that the harvest is not read once per part.
     """
     marked = keep(funnel_keys(surfaced, registry), "funnel")
-    sample = missing_sample(marked).groupBy("ats").agg(
+    sample = missing_sample(marked, sample_size).groupBy("ats").agg(
         F.array_sort(F.collect_list(F.struct("place", "board"))).alias("_s")
     )
     rows = entry_counts(registry).join(funnel(marked), "ats").join(sample, "ats", "left")

@@ -44,11 +44,15 @@ def cross_source_marked(
     # Rows without a key share the group '', so that no NULL filter sets the two
     # uses of the aggregate apart: Spark then shuffles it once for both. Each use
     # reads all four values for the same reason.
-    rows = rows.withColumn("_key", F.coalesce("fuzzy_key", F.lit("")))
+    # Sources are compared by hash: buffers of fixed width keep it a hash aggregate, where
+    # strings would have the whole batch sorted.
+    rows = rows.withColumns(
+        {"_key": F.coalesce("fuzzy_key", F.lit("")), "_source": F.xxhash64("source")}
+    )
     per_key = rows.groupBy("_key").agg(
-        F.min_by("source", "seq").alias("_first_source"),
-        F.min("source").alias("_low"),
-        F.max("source").alias("_high"),
+        F.min_by("_source", "seq").alias("_first_source"),
+        F.min("_source").alias("_low"),
+        F.max("_source").alias("_high"),
         F.count(F.lit(1)).alias("_n"),
     )
     counts = per_key.where(
@@ -64,9 +68,9 @@ def cross_source_marked(
         hot=largest(counts, hot_rows),
     )
     dropped = F.col("fuzzy_key").isNotNull() & F.coalesce(
-        F.col("source") != F.col("_first_source"), F.lit(False)
+        F.col("_source") != F.col("_first_source"), F.lit(False)
     )
-    return joined.withColumn("dropped", dropped).drop("_first_source", "_key")
+    return joined.withColumn("dropped", dropped).drop("_first_source", "_key", "_source")
 
 
 def cross_source_dedupe(

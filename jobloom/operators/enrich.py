@@ -53,9 +53,13 @@ def ashby_details(boards: DataFrame) -> DataFrame:
 def with_details(jobs: DataFrame, details: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Jobs joined to the landed detail payload of their source and key.
 
-    A detail landed more than once counts once.
+    Of a detail landed more than once the newest counts, by the column ``landed`` if there
+    is one; at a tie, and without it, the last body by its text.
     """
-    ok = details.where(F.col("status") == 200).select("source", "detail_key", "body")
+    landed = F.col("landed") if "landed" in details.columns else F.lit(0)
+    ok = details.where(F.col("status") == 200).select(
+        "source", "detail_key", F.struct(landed.alias("landed"), "body").alias("_detail")
+    )
     return join_unique(
         with_detail_key(jobs),
         ok,
@@ -63,7 +67,7 @@ def with_details(jobs: DataFrame, details: DataFrame, hot_rows: int = HOT_ROWS)
         "left",
         "job_id",
         hot_rows,
-        reduce=[F.min("body").alias("body")],
+        reduce=[F.max("_detail")["body"].alias("body")],
     )
 
 

@@ -9,7 +9,7 @@ from jobloom.functions.roles import announceable, in_us, role_rank
 from jobloom.functions.text import text
 from jobloom.operators.ranking import global_row_number
 from jobloom.operators.skew import HOT_ROWS, join_unique
-from jobloom.settings import MESSAGE_SIZE, TITLE_LIMIT
+from jobloom.settings import MESSAGE_SIZE
 
 # Sheet columns in order, card colours and card texts.
 SHEET_COLS = (
@@ -43,8 +43,11 @@ def _field(name: str, value: Column, show: Column | None = None) -> Column:
     return made if show is None else F.when(show, made)
 
 
-def card() -> Column:
-    """Announcement card of a job row: title, url, color and the fields that apply."""
+def card(title_limit: int | None = None) -> Column:
+    """Announcement card of a job row: title, url, color and the fields that apply.
+
+    ``title_limit`` cuts the title for services that refuse longer ones.
+    """
     def set_(name: str) -> Column:
         return text(F.col(name)) != ""
 
@@ -70,16 +73,18 @@ def card() -> Column:
         )
     )
     return F.struct(
-        F.substring("title", 1, TITLE_LIMIT).alias("title"),
+        (F.col("title") if title_limit is None else F.substring("title", 1, title_limit)).alias("title"),
         F.col("apply_url").alias("url"),
         color.alias("color"),
         fields.alias("fields"),
     )
 
 
-def messages(jobs: DataFrame, size: int = MESSAGE_SIZE) -> DataFrame:
+def messages(
+    jobs: DataFrame, size: int = MESSAGE_SIZE, title_limit: int | None = None
+) -> DataFrame:
     """(message_no, cards): the jobs to announce, in batch order, ``size`` to a message."""
-    cards = to_announce(jobs).select("seq", card().alias("card"))
+    cards = to_announce(jobs).select("seq", card(title_limit).alias("card"))
     placed = global_row_number(cards, "seq", "pos")
     number = F.floor((F.col("pos") - 1) / size).cast("bigint").alias("message_no")
     # At most ``size`` rows meet in one group.

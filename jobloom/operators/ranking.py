@@ -2,41 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 21
+from jobloom.session import written
+
+# The low bits of monotonically_increasing_id, which count a partition's rows.
+IN_PARTITION = (1 << 33) - 1
 
 
-def global_row_number(df: DataFrame, seq: str, out: str) -> DataFrame:
-    """Dense position 1..n by ``seq``, a unique, non-negative BIGINT.
+def global_row_number(df: DataFrame, order: str | Sequence[str], out: str) -> DataFrame:
+    """Dense position 1..n by ``order``, columns that together are unique.
 
-    ``seq`` is cut into three 21-bit digits. As it is unique, no window partition
-    below can hold more than 2^21 rows, whatever the size of the table: rows within
-    a low group, low groups within a high group, and the high groups themselves.
+    Rows are dealt by range and sorted within partitions, and stored with their place, so
+    that both uses below see the same ranges. A position is that place plus the rows of the
+    partitions before; only one row per partition meets in the window.
     """
-    low, high = F.shiftright(seq, BITS), F.shiftright("_low", BITS)
-    before = (Window.unboundedPreceding, -1)
-
-    counts = df.groupBy(low.alias("_low")).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.withColumn("_high", high)
-    highs = counts.groupBy("_high").agg(F.sum("_n").alias("_total"))
-    highs = highs.select(
-        "_high",
-        F.coalesce(
-            F.sum("_total").over(Window.orderBy("_high").rowsBetween(*before)), F.lit(0)
-        ).alias("_start"),
-    )
-    in_high = Window.partitionBy("_high").orderBy("_low").rowsBetween(*before)
-    lows = (
-        counts.withColumn("_skip", F.coalesce(F.sum("_n").over(in_high), F.lit(0)))
-        .join(highs, "_high")
-        .select("_low", (F.col("_start") + F.col("_skip")).alias("_offset"))
-    )
-    in_low = Window.partitionBy("_low").orderBy(seq)
+    order = [order] if isinstance(order, str) else list(order)
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(dealt.withColumn("_id", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    skip = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_skip"))
+    position = F.col("_skip") + F.col("_id").bitwiseAND(IN_PARTITION) + 1
     return (
-        df.withColumn("_low", low)
-        .join(lows, "_low")
-        .withColumn(out, F.col("_offset") + F.row_number().over(in_low))
-        .drop("_low", "_offset")
+        placed.withColumn("_part", part)
+        .join(F.broadcast(skip), "_part")  # one row per shuffle partition
+        .withColumn(out, position.cast("bigint"))
+        .drop("_part", "_skip", "_id")
     )

@@ -8,10 +8,10 @@ each, however many that takes. Only their one row of the unique side is repeated
 so all repeats together are at most (rows / hot_rows). All other keys are shuffled
 once, unsalted.
 
-What is broadcast is the list of hot hashes and their number of sub-keys: at most
-``MAX_HOT`` rows of 12 bytes. Keys past that list are small next to those on it: none
-has more than 1/MAX_HOT of all rows. A hash collision only salts a key that did not
-need it; joins compare real keys.
+The list of hot hashes and their number of sub-keys has at most (rows / hot_rows) rows of
+12 bytes, none cut off: 12 MB for 10^12 rows at the default, so Spark's own limit decides
+whether it is broadcast. Raise ``hot_rows`` with the table. A hash collision only salts a key
+that did not need it; joins compare real keys.
 """
 
 from __future__ import annotations
@@ -22,21 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
-MAX_HOT = 10_000
 
 
 def largest(counts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Sub-keys (_h, _salts) of the MAX_HOT largest hashes with ``hot_rows`` rows or more.
+    """Sub-keys (_h, _salts) of the hashes with ``hot_rows`` rows or more.
 
     ``counts`` has _h and _n. Two keys may share a hash, so it is grouped once more;
     by then it holds hot keys only.
     """
     hot = counts.where(F.col("_n") >= hot_rows).groupBy("_h").agg(F.sum("_n").alias("_n"))
-    return (
-        hot.orderBy(F.col("_n").desc(), "_h")
-        .limit(MAX_HOT)
-        .select("_h", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
-    )
+    return hot.select("_h", F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts"))
 
 
 def hot_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -66,7 +61,7 @@ def join_unique(
     """
     keys = list(keys)
     spread = [spread] if isinstance(spread, str) else list(spread)
-    hot = F.broadcast(hot_hashes(fact, keys, hot_rows) if hot is None else hot)
+    hot = hot_hashes(fact, keys, hot_rows) if hot is None else hot
 
     def with_salt(df: DataFrame, salt: Column) -> DataFrame:
         marked = df.withColumn("_h", F.xxhash64(*keys)).join(hot, "_h", "left")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobloom.functions.keys import link_seq
 from jobloom.operators import boards as b
 from jobloom.schemas import CANDIDATE_COLS
 
@@ -21,10 +22,7 @@ class Discovery:
 def candidates(
     texts: DataFrame, origin: str, order: str, body: str = "body", among=b.ATS
 ) -> DataFrame:
-    """Candidates of one harvest source, in the order of its texts.
-
-    ``seq`` leaves 2^20 places for the links of one text.
-    """
+    """Candidates of one harvest source, in the order of its texts."""
     found = b.extract_boards(texts.select(F.col(order).alias("_doc"), body), body, among)
     return _placed(found, origin)
 
@@ -40,7 +38,7 @@ def crawl_candidates(urls: DataFrame, order: str, among=b.ATS) -> DataFrame:
 
 
 def _placed(found: DataFrame, origin: str) -> DataFrame:
-    seq = F.shiftleft(F.col("_doc").cast("bigint"), 20) + F.col("pos")
+    seq = link_seq(F.col("_doc"), F.col("pos"))
     return found.withColumns({"origin": F.lit(origin), "seq": seq}).select(*CANDIDATE_COLS)
 
 

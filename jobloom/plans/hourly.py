@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +15,8 @@ from jobloom.operators.dedupe import cross_source_dedupe, cross_source_marked
 from jobloom.operators.scoring import Scorer, score_titles
 from jobloom.session import written
 from jobloom.settings import Settings
+from jobloom.sources.aggregator import read_listings, source_filters
+from jobloom.sources.payloads import of_boards, unified_batch
 
 
 @dataclass
@@ -40,6 +42,7 @@ def run(
     settings: Settings = Settings(),
     scorer: Callable[[], Scorer] | None = None,
     keep: Keep = written,
+    complete_sources: Sequence[str] | None = None,
 ) -> Run:
     """Process one whole batch against the state before it.
 
@@ -47,12 +50,13 @@ def run(
     computed once and no plan grows over several steps. Descriptions stay out of
     the shuffles: they are fetched for the few jobs that are announced.
     ``details`` are landed detail payloads; ``scorer`` builds a model for titles
-    without a keyword label.
+    without a keyword label. ``complete_sources`` names the sources whose jobs may be removed
+    for being absent, where others failed; by default all.
     """
     slim = postings.drop("description")
     marked = keep(cross_source_marked(slim), "batch")
     kept = marked.where(~F.col("dropped"))
-    reconciled = keep(rc.reconcile(kept, state, now), "reconciled")
+    reconciled = keep(rc.reconcile(kept, state, now, complete_sources=complete_sources), "reconciled")
     if scorer is not None:
         titles = rc.undecided(reconciled).select("title").distinct()
         labels = keep(score_titles(titles, scorer), "labels")
@@ -78,6 +82,31 @@ def run(
     )
 
 
+def run_landed(
+    registry: DataFrame,
+    pages: DataFrame,
+    listings: DataFrame | None,
+    state: DataFrame,
+    now: str,
+    details: DataFrame | None = None,
+    settings: Settings = Settings(),
+    scorer: Callable[[], Scorer] | None = None,
+    keep: Keep = written,
+    complete_sources: Sequence[str] | None = None,
+) -> Run:
+    """A whole run from landed data: registered boards' pages and listings to all outputs.
+
+    The batch is stored once, so that each payload is parsed once for all that reads it.
+    ``pages`` carry ats, board_key, term, term_ord, page_no, status and body.
+    """
+    found = None
+    if listings is not None:
+        recent = source_filters(listings, now, settings.hours_old, settings.results_per_term)
+        found = read_listings(recent)
+    batch = keep(unified_batch(of_boards(pages, registry), found, settings), "postings")
+    return run(batch, state, now, details, settings, scorer, keep, complete_sources)
+
+
 def counters(
     marked: DataFrame, reconciled: DataFrame, fresh: DataFrame, told: DataFrame
 ) -> DataFrame:

@@ -1,7 +1,8 @@
 """Row shapes shared by every module.
 
 All text columns are strings, timestamps included; an empty string means
-"unknown" and only ``location`` may be NULL.
+"unknown" and only ``location`` may be NULL. ``seq`` may be any unique number that gives the
+order; batches built here have a DECIMAL(38,0).
 """
 
 POSTING = (
@@ -23,7 +24,7 @@ BOARD = (
 )
 CANDIDATE = (
     "ats STRING, board_key STRING, tenant STRING, wd STRING, site STRING, "
-    "slug STRING, name STRING, origin STRING, seq BIGINT"
+    "slug STRING, name STRING, origin STRING, seq DECIMAL(38,0)"
 )
 PROBE = "ats STRING, board_key STRING, status INT, body STRING"
 DETAIL = "source STRING, detail_key STRING, status INT, body STRING"

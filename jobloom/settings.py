@@ -4,33 +4,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Search terms and caps of a default run.
-SEARCH_TERMS = ("intern", "new grad", "university", "early career", "entry level")
-AGGREGATOR_SITES = ("indeed", "glassdoor", "zip_recruiter")
-AGGREGATOR_TERMS = (
-    "software engineer intern",
-    "software engineering internship",
-    "new grad software engineer",
-    "entry level software engineer",
-)
 WORKDAY_PAGE_LIMIT = 20
-WORKDAY_MAX_PAGES = 50
-SMARTRECRUITERS_MAX_PAGES = 50
-WORKABLE_MAX_PAGES = 200
-RESULTS_PER_TERM = 100
 HOURS_OLD = 72
-CRAWL_MAX_PAGES = 40
-CRAWL_INDEXES = 3
 MESSAGE_SIZE = 10
-MISSING_SAMPLE = 15
-TITLE_LIMIT = 256
 
 
 @dataclass(frozen=True)
 class Settings:
+    """Caps are for callers that want them; by default every landed page and row counts."""
+
     page_limit: int = WORKDAY_PAGE_LIMIT
-    max_pages_per_term: int = WORKDAY_MAX_PAGES
-    results_per_term: int = RESULTS_PER_TERM
+    max_pages_per_term: int | None = None
+    smartrecruiters_pages: int | None = None
+    workable_pages: int | None = None
+    results_per_term: int | None = None
     hours_old: int = HOURS_OLD
     enrich_descriptions: bool = True
     exclude_no_sponsorship: bool = False

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from jobloom.functions.keys import surrogate_id
 from jobloom.functions.text import strip
 from jobloom.operators.dedupe import first_per_key
 from jobloom.schemas import POSTING_COLS
-from jobloom.settings import HOURS_OLD, RESULTS_PER_TERM
+from jobloom.settings import HOURS_OLD
 
 # Cells that mean "no value", and the URL columns harvested.
 EMPTY_CELLS = ("nan", "nat", "none")
@@ -44,31 +45,38 @@ def normalize(listings: DataFrame) -> DataFrame:
 
 
 def read_listings(listings: DataFrame) -> DataFrame:
-    """Normalized postings, the first of each id over all sites and terms."""
-    return first_per_key(normalize(listings), ["job_id"])
+    """Normalized postings, the first of each (source, address) over all sites and terms.
+
+    The id is a short hash of both and only a label: two addresses may share it.
+    """
+    return first_per_key(normalize(listings), ["source", "apply_url"])
 
 
 def source_filters(
     listings: DataFrame,
     run_ts: str,
     hours_old: int = HOURS_OLD,
-    results_per_term: int = RESULTS_PER_TERM,
+    results_per_term: int | None = None,
     sites: Sequence[str] | None = None,
     terms: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Listings of the last ``hours_old`` hours, at most so many per site and term.
+    """Listings of the ``hours_old`` hours before ``run_ts``, an ISO time with its offset.
 
-    ``sites`` and ``terms`` keep those scanned for; both filters reach the scan. Rows without a date stay. The cap is part of the feature; as the filter on
-    ``row_number`` is visible to Spark, each map task keeps at most that many rows
-    per (site, term) before the shuffle.
+    ``sites`` and ``terms`` keep those scanned for; both filters reach the scan. Rows without
+    a date stay. ``results_per_term`` caps the rows per site and term if it is given; as that
+    filter is on ``row_number``, each map task keeps no more before the shuffle.
     """
-    # Both are UTC wall-clock times, free of the session's time zone.
-    oldest = F.lit(run_ts[:19]).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours_old} HOURS")
+    # Wall-clock times in UTC, free of the session's time zone.
+    now = datetime.fromisoformat(run_ts)
+    now = now.astimezone(timezone.utc).replace(tzinfo=None) if now.tzinfo else now
+    oldest = F.lit(now.isoformat()).cast("timestamp_ntz") - F.expr(f"INTERVAL {hours_old} HOURS")
     posted = cell(F.col("date_posted")).try_cast("timestamp_ntz")
     for column, wanted in (("scanned_site", sites), ("term", terms)):
         if wanted is not None:
             listings = listings.where(F.col(column).isin(*wanted))
     recent = listings.where(posted.isNull() | (posted >= oldest))
+    if results_per_term is None:
+        return recent
     by_term = Window.partitionBy("scanned_site", "term").orderBy("seq")
     ranked = recent.withColumn("_rank", F.row_number().over(by_term))
     return ranked.where(F.col("_rank") <= results_per_term).drop("_rank")

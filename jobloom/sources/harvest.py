@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.functions.text import SPACE
 from jobloom.schemas import CANDIDATE
 
-# Crawls to read when the list of crawls is not to be had.
-FALLBACK_INDEXES = ("CC-MAIN-2025-18-index", "CC-MAIN-2025-13-index")
-
 
 def seed_lines(lines: DataFrame) -> DataFrame:
     """Lines (``value``) that are not comments."""
@@ -39,17 +34,12 @@ def index_urls(lines: DataFrame) -> DataFrame:
     ).drop("_json")
 
 
-def newest_indexes(
-    indexes: DataFrame, n: int, fallback: Sequence[str] = FALLBACK_INDEXES
-) -> DataFrame:
-    """The first ``n`` of the index list, which has the newest first.
+def newest_indexes(indexes: DataFrame, n: int | None = None) -> DataFrame:
+    """The first ``n`` of the index list, which has the newest first; all by default.
 
-    An empty list, as when it could not be fetched, is replaced by ``fallback``.
+    An empty list stays empty: a caller that could not fetch one passes its own.
     """
-    if indexes.isEmpty():
-        rows = list(enumerate(fallback))
-        indexes = indexes.sparkSession.createDataFrame(rows, "list_ord BIGINT, index_name STRING")
-    return indexes.orderBy("list_ord").limit(n)
+    return indexes if n is None else indexes.orderBy("list_ord").limit(n)
 
 
 def answered(pairs: DataFrame) -> DataFrame:
@@ -58,9 +48,11 @@ def answered(pairs: DataFrame) -> DataFrame:
     return pairs.where(F.col("num_pages").isNotNull())
 
 
-def pages_to_fetch(counts: DataFrame, max_pages: int) -> DataFrame:
-    """One row per page of each (index, pattern), at most ``max_pages`` each."""
-    fetch = F.least(F.coalesce("num_pages", F.lit(0)), F.lit(max_pages)).cast("int")
+def pages_to_fetch(counts: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """One row per page of each (index, pattern), at most ``max_pages`` each if that is given."""
+    fetch = F.coalesce("num_pages", F.lit(0)).cast("int")
+    if max_pages is not None:
+        fetch = F.least(fetch, F.lit(max_pages))
     pages = F.when(fetch > 0, F.sequence(F.lit(0), fetch - 1))
     return counts.select("index_name", "pattern", F.explode(pages).alias("page"))
 

@@ -1,8 +1,9 @@
 """Which landed pages count: the stop rules of paged listings, as data.
 
-A group here is one board's (and term's) pages below the page cap, 50 or 200 of
-them, so the windows are small whatever the size of the table. ``status`` other
-than 200 or a body that does not parse is a failed page.
+A group is one board's (and term's) pages. Its rule looks at a few numbers per page, so only
+those are shuffled; payloads meet the one bound per group that comes out, a table of the size
+of the registry, which Spark broadcasts below its limit. ``status`` other than 200 or a body
+that does not parse is a failed page. Page caps are off unless a caller asks for one.
 """
 
 from __future__ import annotations
@@ -10,7 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobloom.settings import SMARTRECRUITERS_MAX_PAGES, WORKABLE_MAX_PAGES
+# The numbers a rule needs, per system.
+COUNTED = {
+    "workday": "struct<total:bigint, jobPostings:array<struct<>>>",
+    "smartrecruiters": "struct<totalFound:bigint, content:array<struct<>>>",
+    "workable": "struct<total:bigint, nextPage:string, results:array<struct<shortcode:string>>>",
+}
+GROUPS = {"workday": ["board", "term"], "smartrecruiters": ["board"], "workable": ["board"]}
 
 
 def usable(pages: DataFrame) -> DataFrame:
@@ -21,65 +28,70 @@ def _count(items: Column) -> Column:
     return F.greatest(F.coalesce(F.size(items), F.lit(0)), F.lit(0))
 
 
-def _until_stop(pages: DataFrame, group: list[str], failed: Column, last: Column) -> DataFrame:
-    """Pages before the first failed one, up to and with the first last one."""
-    per_group = Window.partitionBy(*group)
-    marked = pages.withColumns({
-        "_failed_at": F.min(F.when(failed, F.col("page_no"))).over(per_group),
-        "_last_at": F.min(F.when(last, F.col("page_no"))).over(per_group),
-    })
-    before_failed = F.col("page_no") < F.coalesce("_failed_at", F.col("page_no") + 1)
-    up_to_last = F.col("page_no") <= F.coalesce("_last_at", F.col("page_no"))
-    return marked.where(before_failed & up_to_last).drop("_failed_at", "_last_at")
+def capped(pages: DataFrame, max_pages: int | None) -> DataFrame:
+    return pages if max_pages is None else pages.where(F.col("page_no") < max_pages)
 
 
-def _bad() -> Column:
-    return (F.coalesce("status", F.lit(0)) != 200) | F.col("doc").isNull()
+def numbers(pages: DataFrame, ats: str, items: str, total: str) -> DataFrame:
+    """Per page: its group, ``page_no``, ``failed``, ``rows``, ``total`` and, for Workable,
+    ``codes`` (rows with a shortcode) and ``more`` (whether there is a next page)."""
+    text = F.ltrim("body")
+    doc = F.from_json(F.when(text.startswith("{"), text), COUNTED[ats])
+    read = pages.select(*GROUPS[ats], "page_no", "status", doc.alias("_doc"))
+    out = {
+        "failed": (F.coalesce("status", F.lit(0)) != 200) | F.col("_doc").isNull(),
+        "rows": _count(F.col(f"_doc.{items}")).cast("bigint"),
+        "total": F.coalesce(f"_doc.{total}", F.lit(0)),
+    }
+    if ats == "workable":
+        coded = F.filter("_doc.results", lambda r: F.coalesce(r["shortcode"], F.lit("")) != "")
+        out["codes"] = _count(coded).cast("bigint")
+        out["more"] = F.coalesce("_doc.nextPage", F.lit("")) != ""
+    return read.select(*GROUPS[ats], "page_no", *[c.alias(n) for n, c in out.items()])
 
 
-def workday_pages(pages: DataFrame, page_limit: int, max_pages: int) -> DataFrame:
-    """Per term: stop at a failed or empty page, or once the offset reaches total."""
-    capped = pages.where(F.col("page_no") < max_pages)
-    empty = _count(F.col("doc.jobPostings")) == 0
-    reached = (F.col("page_no") + 1) * page_limit >= F.coalesce("doc.total", F.lit(0))
-    return _until_stop(capped, ["board", "term"], _bad() | empty, reached)
+def _so_far(count: str) -> Column:
+    # A window over the numbers of one board's pages, a few bytes each.
+    pages = Window.partitionBy("board").orderBy("page_no")
+    return F.sum(count).over(pages.rowsBetween(Window.unboundedPreceding, Window.currentRow))
 
 
-def _so_far(size: Column) -> Column:
-    pages = Window.partitionBy("board").orderBy("page_no")
-    return F.sum(size).over(pages.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+def rows_so_far(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """SmartRecruiters pages (board, page_no, ...) with ``rows`` and ``rows_so_far`` of the board."""
+    counted = numbers(capped(pages, max_pages), "smartrecruiters", "content", "totalFound")
+    return counted.withColumn("rows_so_far", _so_far("rows"))
+
+
+def _until(pages: DataFrame, group: list[str], failed: Column, last: Column) -> DataFrame:
+    """(group, until): pages below ``until`` count, those before the first failed one and up
+    to and with the first last one. NULL if neither is among the pages."""
+    bound = F.least(
+        F.min(F.when(failed, F.col("page_no"))), F.min(F.when(last, F.col("page_no") + 1))
+    )
+    return pages.groupBy(*group).agg(bound.alias("until"))
 
 
-def rows_so_far(
-    pages: DataFrame, max_pages: int = SMARTRECRUITERS_MAX_PAGES
-) -> DataFrame:
-    """Pages below the cap with ``rows`` and the running ``rows_so_far`` of the board."""
-    size = _count(F.col("doc.content"))
-    capped = pages.where(F.col("page_no") < max_pages)
-    return capped.withColumns({"rows": size, "rows_so_far": _so_far(size)})
+def workday_until(pages: DataFrame, page_limit: int) -> DataFrame:
+    """Per term: stop at a failed or empty page, or once the offset reaches total."""
+    page = numbers(pages, "workday", "jobPostings", "total")
+    reached = (F.col("page_no") + 1) * page_limit >= F.col("total")
+    return _until(page, GROUPS["workday"], F.col("failed") | (F.col("rows") == 0), reached)
 
 
-def smartrecruiters_pages(
-    pages: DataFrame, max_pages: int = SMARTRECRUITERS_MAX_PAGES
-) -> DataFrame:
+def smartrecruiters_until(pages: DataFrame) -> DataFrame:
     """Stop at a failed page, an empty one, or once the rows so far reach totalFound."""
-    counted = rows_so_far(pages, max_pages)
-    last = (F.col("rows") == 0) | (
-        F.col("rows_so_far") >= F.coalesce("doc.totalFound", F.lit(0))
-    )
-    return _until_stop(counted, ["board"], _bad(), last).drop("rows", "rows_so_far")
+    last = (F.col("rows") == 0) | (F.col("rows_so_far") >= F.col("total"))
+    return _until(rows_so_far(pages), GROUPS["smartrecruiters"], F.col("failed"), last)
 
 
-def workable_pages(pages: DataFrame, max_pages: int = WORKABLE_MAX_PAGES) -> DataFrame:
+def workable_until(pages: DataFrame) -> DataFrame:
     """As above, counting rows with a shortcode; also stop without a next page."""
-    results = F.col("doc.results")
-    kept = _count(F.filter(results, lambda r: F.coalesce(r["shortcode"], F.lit("")) != ""))
-    capped = pages.where(F.col("page_no") < max_pages).withColumns(
-        {"_rows": _count(results), "_kept": _so_far(kept)}
-    )
-    last = (
-        (F.col("_rows") == 0)
-        | (F.coalesce("doc.nextPage", F.lit("")) == "")
-        | (F.col("_kept") >= F.coalesce("doc.total", F.lit(0)))
-    )
-    return _until_stop(capped, ["board"], _bad(), last).drop("_rows", "_kept")
+    page = numbers(pages, "workable", "results", "total").withColumn("_codes", _so_far("codes"))
+    last = (F.col("rows") == 0) | ~F.col("more") | (F.col("_codes") >= F.col("total"))
+    return _until(page, GROUPS["workable"], F.col("failed"), last)
+
+
+def below(pages: DataFrame, until: DataFrame, group: list[str]) -> DataFrame:
+    """The pages that count."""
+    kept = pages.join(until, group)
+    return kept.where(F.col("page_no") < F.coalesce("until", F.col("page_no") + 1)).drop("until")

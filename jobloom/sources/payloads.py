@@ -13,19 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobloom.functions.keys import SEQ_BITS, batch_seq
+from jobloom.functions.keys import SEQ_DIGITS, SEQ_TYPE, batch_seq
 from jobloom.functions.text import strip, text
 from jobloom.operators.boards import systems
 from jobloom.operators.dedupe import first_per_key
 from jobloom.schemas import POSTING_COLS, SOURCE_ORDER
 from jobloom.settings import Settings
-from jobloom.sources.paging import (
-    rows_so_far,
-    smartrecruiters_pages,
-    usable,
-    workable_pages,
-    workday_pages,
-)
+from jobloom.sources import paging
 
 # Payload fields read, per system.
 PAYLOADS = {
@@ -84,8 +78,13 @@ def display_name(*fallbacks: Column) -> Column:
 
 
 def present(value: Column) -> Column:
-    """Neither NULL, nor '', nor a zero id."""
-    return F.coalesce(~value.isin("", "0"), F.lit(False))
+    """Neither NULL nor ''. The string "0" is an id like any other."""
+    return F.coalesce(value != "", F.lit(False))
+
+
+def nonzero(value: Column) -> Column:
+    """Present, and not the number 0, for systems whose ids are numbers."""
+    return present(value) & (value != "0")
 
 
 def of_boards(pages: DataFrame, boards: DataFrame) -> DataFrame:
@@ -110,20 +109,23 @@ def of_boards(pages: DataFrame, boards: DataFrame) -> DataFrame:
 def kept_pages(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
     """Parsed pages (``doc``) of one system that its stop rule lets through."""
     own = pages.where(F.col("ats") == ats)
-    own = own.withColumn("doc", parse(ats, F.col("body"))).drop("body")
     if ats == "workday":
-        return workday_pages(own, settings.page_limit, settings.max_pages_per_term)
-    if ats == "smartrecruiters":
-        return smartrecruiters_pages(own)
-    if ats == "workable":
-        return workable_pages(own)
-    return usable(own)
+        own = paging.capped(own, settings.max_pages_per_term)
+        own = paging.below(own, paging.workday_until(own, settings.page_limit), paging.GROUPS[ats])
+    elif ats == "smartrecruiters":
+        own = paging.capped(own, settings.smartrecruiters_pages)
+        own = paging.below(own, paging.smartrecruiters_until(own), paging.GROUPS[ats])
+    elif ats == "workable":
+        own = paging.capped(own, settings.workable_pages)
+        own = paging.below(own, paging.workable_until(own), paging.GROUPS[ats])
+    else:
+        return paging.usable(own.withColumn("doc", parse(ats, F.col("body"))).drop("body"))
+    return own.withColumn("doc", parse(ats, F.col("body"))).drop("body")
 
 
 def running_offsets(pages: DataFrame) -> DataFrame:
     """SmartRecruiters pages with the rows listed so far."""
-    own = pages.where(F.col("ats") == "smartrecruiters")
-    return rows_so_far(own.withColumn("doc", parse("smartrecruiters", F.col("body"))).drop("body"))
+    return paging.rows_so_far(pages.where(F.col("ats") == "smartrecruiters"))
 
 
 def scan(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
@@ -204,7 +206,7 @@ def read_workday(pages: DataFrame, settings: Settings = Settings()) -> DataFrame
 def read_greenhouse(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = scan(pages, "greenhouse", settings)
     return _posting(
-        rows.where(present(F.col("p.id"))),
+        rows.where(nonzero(F.col("p.id"))),
         job_id=F.concat(F.lit("gh_"), "p.id"),
         title=strip(F.col("p.title")),
         apply_url=text(F.col("p.absolute_url")),
@@ -305,9 +307,9 @@ def unified_batch(
     """The run's batch: the six systems, then the aggregator postings."""
     parts = [read_boards(pages, settings).select(*POSTING_COLS)]
     if listings is not None:
-        last = SOURCE_ORDER.index("aggregator") << (63 - SEQ_BITS["source"])
-        after = F.lit(last).cast("bigint") + F.col("seq")
-        parts.append(listings.withColumn("seq", after).select(*POSTING_COLS))
+        last = SOURCE_ORDER.index("aggregator") * 10 ** (38 - SEQ_DIGITS["source"])
+        after = F.lit(str(last)).cast(SEQ_TYPE) + F.col("seq").cast("DECIMAL(37,0)")
+        parts.append(listings.withColumn("seq", after.cast(SEQ_TYPE)).select(*POSTING_COLS))
     return union_all(parts)
 
 

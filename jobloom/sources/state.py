@@ -24,10 +24,16 @@ class StateStore:
         """Highest committed run id: one number."""
         try:
             runs = self.spark.read.schema("run_id BIGINT").parquet(f"{self.root}/commits")
-        except AnalysisException:
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise  # damaged commits are not the same as none
             return None
         return runs.agg(F.max("run_id")).first()[0]
 
+    def committed(self, run_id: int) -> bool:
+        runs = self.spark.read.schema("run_id BIGINT").parquet(f"{self.root}/commits")
+        return not runs.where(F.col("run_id") == run_id).isEmpty()
+
     def read(self, run_id: int | None = None) -> DataFrame:
         """Snapshot of a run, the last one by default; empty before the first."""
         run_id = self.last_run() if run_id is None else run_id

@@ -8,12 +8,14 @@ which must not happen because half of the run had landed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from jobloom.operators.scoring import Scorer
 from jobloom.plans.hourly import Run, run
 from jobloom.settings import Settings
 from jobloom.sources.state import StateStore
@@ -21,6 +23,8 @@ from jobloom.sources.state import StateStore
 # What a run leaves behind; the state is read by the next run.
 OUTPUTS = ("state", "fresh", "messages", "sheet_rows", "counters")
 ANNOUNCED = "run_id BIGINT, run_ts STRING"
+# Announcements read at once; each is a file of one row.
+RUNS_PER_BATCH = 100
 
 
 def process_run(
@@ -30,17 +34,28 @@ def process_run(
     run_id: int,
     run_ts: str,
     settings: Settings = Settings(),
+    scorer: Callable[[], Scorer] | None = None,
+    complete_sources: Sequence[str] | None = None,
 ) -> Run | None:
     """Reconcile one landed run; nothing happens if it was committed before.
 
+    Detail payloads are read from ``details/run_id=N`` if the run landed any. A run that was
+    announced only after a later one can't be told from absences, so it fails.
+
     Outputs go to folders of the run's own, overwritten on a retry, and the commit
     comes last: a job is announced once however often the run is tried.
     """
     last = store.last_run()
     if last is not None and run_id <= last:
+        if not store.committed(run_id):
+            raise ValueError(f"run {run_id} was announced after run {last}; its absences can't be told")
         return None
     postings = spark.read.parquet(f"{landing}/runs/run_id={run_id}")
-    result = run(postings, store.read(), run_ts, settings=settings)
+    details = landed_details(spark, landing, run_id)
+    result = run(
+        postings, store.read(), run_ts, details, settings, scorer,
+        complete_sources=complete_sources,
+    )
 
     def write(name: str) -> None:
         table: DataFrame = getattr(result, name)
@@ -53,6 +68,16 @@ def process_run(
     return result
 
 
+def landed_details(spark: SparkSession, landing: str, run_id: int) -> DataFrame | None:
+    """The run's detail payloads; None if no such folder landed."""
+    try:
+        return spark.read.parquet(f"{landing}/details/run_id={run_id}")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def sync_stream(
     spark: SparkSession,
     landing: str,
@@ -60,6 +85,8 @@ def sync_stream(
     checkpoint: str,
     settings: Settings = Settings(),
     on_run: Callable[[int], None] | None = None,
+    scorer: Callable[[], Scorer] | None = None,
+    complete_sources: Sequence[str] | None = None,
 ) -> StreamingQuery:
     """Process every announced run, in order of run id, then stop."""
     store = StateStore(spark, root)
@@ -67,11 +94,13 @@ def sync_stream(
     def each(batch: DataFrame, _: int) -> None:
         # One row per new run: a few numbers, not data.
         for row in batch.distinct().orderBy("run_id").collect():
-            process_run(spark, landing, store, row.run_id, row.run_ts, settings)
-            if on_run is not None:
+            done = process_run(
+                spark, landing, store, row.run_id, row.run_ts, settings, scorer, complete_sources
+            )
+            if done is not None and on_run is not None:
                 on_run(row.run_id)
 
-    announced = spark.readStream.schema(ANNOUNCED).parquet(f"{landing}/announced")
+    announced = spark.readStream.schema(ANNOUNCED).option("maxFilesPerTrigger", RUNS_PER_BATCH).parquet(f"{landing}/announced")
     return (
         announced.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)

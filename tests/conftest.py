@@ -9,8 +9,9 @@ from jobloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("4", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    return local_session("4", shuffle_partitions=4, checkpoint_dir=folder)
 
 
 @pytest.fixture(scope="session")

@@ -1,5 +1,7 @@
 """Board links, candidates, registry growth, coverage."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def test_crawl_row_serves_only_its_own_system(spark):
     df = spark.createDataFrame([(1, "jobs.lever.co/*", both), (2, "apply.workable.com/*", both), (3, "other", both)],
                                "n bigint, pattern string, url string")
     got = di.crawl_candidates(df, "n").orderBy("seq").collect()
-    assert [(r.seq >> 20, r.ats) for r in got] == [(1, "lever"), (2, "workable")]
+    assert [(int(r.seq) // 10**12, r.ats) for r in got] == [(1, "lever"), (2, "workable")]
 
 
 ALIVE = [
@@ -68,7 +70,7 @@ def test_alive(spark):
 
 
 def cand(ats, key, seq, name=None, slug=None):
-    return (ats, key, None, None, None, slug or key, name or key, "seeds", seq)
+    return (ats, key, None, None, None, slug or key, name or key, "seeds", Decimal(seq))
 
 
 def test_discover(spark):
@@ -87,6 +89,7 @@ def test_discover(spark):
     assert [(r.ats, r.board_key) for r in rows] == [("ashby", "x"), ("lever", "old"), ("lever", "older"), ("lever", "x")]
     assert {r.ats: r.added for r in bo.added_counts(out.survivors).collect()} == {
         "workday": 0, "greenhouse": 0, "lever": 1, "ashby": 1, "smartrecruiters": 0, "workable": 0}
+    assert [r.ord for r in rows] == [0, 0, 1, 2]  # numbered on without gaps, whatever their seq
     again = di.discover(found, out.registry, probes)
     assert again.survivors.count() == 0
 
@@ -95,7 +98,8 @@ def test_coverage(spark):
     found = spark.createDataFrame([cand("lever", f"k{i:02}", i) for i in range(40)] + [cand("lever", "k00", 99)], CANDIDATE)
     reg = spark.createDataFrame([("lever", f"k{i:02}", None, None, None, "s", "n", i) for i in range(10)]
                                 + [("ashby", "z", None, None, None, "z", "z", 0)], BOARD)
-    rows = {r.ats: r for r in co.report(found, reg).collect()}
+    rows = {r.ats: r for r in co.report(found, reg, 15).collect()}
+    assert co.missing_boards(co.funnel_keys(found, reg)).count() == 30
     lever = rows["lever"]
     assert (lever.entries, lever.surfaced, lever.validated, lever.missing, lever.pct) == (10, 40, 10, 30, 25.0)
     assert lever.missing_boards.split("; ") == [f"k{i:02}" for i in range(10, 25)]
@@ -103,12 +107,18 @@ def test_coverage(spark):
 
 
 def test_workday_keys_print_as_tuples(spark):
-    rows = [("workday", "ab/wd1/S", "ab", "wd1", "S", None, "ab", "seeds", 1), ("workday", "a/wd1/S", "a", "wd1", "S", None, "a", "seeds", 2)]
+    rows = [("workday", "ab/wd1/S", "ab", "wd1", "S", None, "ab", "seeds", Decimal(1)), ("workday", "a/wd1/S", "a", "wd1", "S", None, "a", "seeds", Decimal(2))]
     marked = co.funnel_keys(spark.createDataFrame(rows, CANDIDATE), spark.createDataFrame([], BOARD))
-    got = [r.board for r in co.missing_sample(marked).orderBy("place").collect()]
+    got = [r.board for r in co.missing_sample(marked, 15).orderBy("place").collect()]
     assert got == ["('a', 'wd1', 'S')", "('ab', 'wd1', 'S')"]
 
 
 @pytest.mark.parametrize("name", list(bo.ATS))
 def test_every_system_has_crawl_patterns(name):
     assert bo.ATS[name].crawl_patterns
+
+
+def test_percentages_round_half_to_even(spark):
+    found = spark.createDataFrame([cand("lever", f"k{i:02}", i) for i in range(16)], CANDIDATE)
+    reg = spark.createDataFrame([("lever", "k00", None, None, None, "s", "n", 0)], BOARD)
+    assert {r.ats: r.pct for r in co.funnel(co.funnel_keys(found, reg)).collect()}["lever"] == 6.2

@@ -1,6 +1,7 @@
 """Dedupe, ranking and skew joins against plain loops."""
 
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,11 +130,10 @@ def test_reduce_makes_the_other_side_unique(spark):
         assert sorted(r.i for r in semi.collect()) == list(range(50))
 
 
-def test_hot_list_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "MAX_HOT", 3)
-    df = spark.range(100).select((F.col("id") % 10).alias("k"))
-    hot = skew.hot_hashes(df, ["k"], hot_rows=1)
-    assert hot.count() == 3 and hot.columns == ["_h", "_salts"]
+def test_every_hot_key_is_listed(spark):
+    df = spark.range(30000).select((F.col("id") % 15000).alias("k"))
+    hot = skew.hot_hashes(df, ["k"], hot_rows=2)
+    assert hot.count() == 15000 and hot.columns == ["_h", "_salts"]
 
 
 def test_global_row_number(spark):
@@ -142,3 +142,11 @@ def test_global_row_number(spark):
     df = spark.createDataFrame([(s,) for s in seqs], "seq bigint").repartition(6)
     rows = ranking.global_row_number(df, "seq", "pos").collect()
     assert [r.pos for r in sorted(rows, key=lambda r: r.seq)] == list(range(1, len(seqs) + 1))
+
+
+def test_global_row_number_by_wide_and_several_columns(spark):
+    rows = [("b", Decimal(10**37 + i)) for i in range(50)] + [("a", Decimal(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, seq decimal(38,0)").repartition(5)
+    got = ranking.global_row_number(df, ["k", "seq"], "pos").orderBy("pos").collect()
+    assert [(r.k, r.seq) for r in got] == sorted(rows) and [r.pos for r in got] == list(range(1, 101))
+    assert ranking.global_row_number(df.limit(0), "seq", "pos").count() == 0

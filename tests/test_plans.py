@@ -62,7 +62,7 @@ def test_missing_sample_cuts_before_the_shuffle(spark):
     from jobloom.sources.registry import with_board_key
 
     boards = with_board_key(view(spark, SF, "boards_fx"))
-    p = plan(coverage.missing_sample(coverage.funnel_keys(found, boards)))
+    p = plan(coverage.missing_sample(coverage.funnel_keys(found, boards), 15))
     assert "WindowGroupLimit" in p and "Partial" in p
 
 

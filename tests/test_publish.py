@@ -22,7 +22,7 @@ def job(seq, role="intern", location="NYC", **kw):
 def test_card(spark):
     jobs = [job(1, company="", location=None, title="x" * 300, sponsorship="no", clearance="yes", grad_year="2026"),
             job(2, role="other", posted_on="2026-01-01", sponsorship="yes")]
-    cards = [r.c for r in spark.createDataFrame(jobs, JOB).select("seq", pu.card().alias("c")).orderBy("seq").collect()]
+    cards = [r.c for r in spark.createDataFrame(jobs, JOB).select("seq", pu.card(256).alias("c")).orderBy("seq").collect()]
     assert len(cards[0].title) == 256 and cards[0].color == 0x2ECC71
     assert [(f.name, f.value) for f in cards[0].fields] == [
         ("Company", "—"), ("Role", "intern"), ("Location", "—"), ("Sponsorship", "❌ Not offered"),
@@ -148,3 +148,24 @@ def test_written_messages_and_sheet(spark, tmp_path):
     pu.write_sheet(sheet, str(tmp_path / "s"))
     back = spark.read.option("header", True).csv(str(tmp_path / "s"))
     assert back.columns == list(pu.SHEET_COLS) and back.count() == 12
+
+
+def test_landed_run_stores_the_batch_once(spark):
+    """Pages of a registry to messages; the union of all readers is handed over once."""
+    import json
+
+    from jobloom.schemas import BOARD, JOB_STATE
+
+    registry = spark.createDataFrame([("lever", "acme", None, None, None, "acme", "Acme", 3)], BOARD)
+    body = json.dumps([{"id": "1", "text": "Software Intern", "categories": {"location": "Austin, TX"}}])
+    kind = "ats string, board_key string, term string, term_ord int, page_no bigint, status int, body string"
+    pages = spark.createDataFrame([("lever", "acme", "", 0, 0, 200, body), ("lever", "other", "", 0, 0, 200, body)], kind)
+    stored = []
+
+    def keep(df, name):
+        stored.append(name)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    out = hourly.run_landed(registry, pages, None, spark.createDataFrame([], JOB_STATE), NOW, keep=keep)
+    assert [r.job_id for r in out.fresh.collect()] == ["lv_1"] and stored.count("postings") == 1
+    assert out.messages.count() == 1 and out.state.first().company == "Acme"

@@ -2,6 +2,7 @@
 
 import json
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,7 +187,7 @@ def test_page_rules_equal_a_client(spark, ats, seed):
     # Pages without items give no rows, whether they are let through or not.
     rows = payloads.scan(df, ats, Settings(max_pages_per_term=4))
     got = {(r.board, r.page_no) for r in rows.collect()}
-    cap = {"workday": 4, "smartrecruiters": 50, "workable": 200}[ats]
+    cap = {"workday": 4, "smartrecruiters": 10**6, "workable": 10**6}[ats]
     assert got == loop_pages(ats, pages, cap)
 
 
@@ -232,6 +233,9 @@ def test_source_filters(spark):
     df = spark.createDataFrame(rows, LISTING)
     got = aggregator.source_filters(df, "2026-01-03T00:00:00+00:00", 72, 3)
     assert sorted(r.seq for r in got.collect()) == [0, 2, 3]
+    assert sorted(r.seq for r in aggregator.source_filters(df, "2026-01-03T00:00:00+00:00").collect()) == [0, 2, 3, 4, 5]
+    late = aggregator.source_filters(df, "2026-01-05T01:00:00+02:00", 72)  # 23:00 of the 4th in UTC
+    assert sorted(r.seq for r in late.collect()) == [2, 3, 4, 5]
     assert aggregator.source_filters(df, "2026-01-03", sites=["glassdoor"]).count() == 0
     assert aggregator.source_filters(df, "2026-01-03", terms=["a"], sites=["indeed"]).count() == 5
 
@@ -253,11 +257,12 @@ def test_seeds_and_whole_texts(spark, tmp_path):
 def test_crawl_plan(spark):
     idx = spark.createDataFrame([(2, "c"), (0, "a"), (1, "b")], "list_ord bigint, index_name string")
     assert [r.index_name for r in harvest.newest_indexes(idx, 2).orderBy("list_ord").collect()] == ["a", "b"]
-    assert harvest.newest_indexes(idx.limit(0), 1).first().index_name == harvest.FALLBACK_INDEXES[0]
+    assert harvest.newest_indexes(idx).count() == 3 and harvest.newest_indexes(idx.limit(0)).count() == 0
     counts = spark.createDataFrame([("a", "p", 0), ("a", "q", 2), ("b", "p", 9), ("b", "q", None)],
                                    "index_name string, pattern string, num_pages bigint")
     plan = harvest.pages_to_fetch(counts, 3).groupBy("index_name", "pattern").agg(F.max("page").alias("m"))
     assert {(r[0], r[1]): r.m for r in plan.collect()} == {("a", "q"): 1, ("b", "p"): 2}
+    assert harvest.pages_to_fetch(counts).count() == 11
     assert harvest.answered(counts).count() == 3
 
 
@@ -265,7 +270,7 @@ def test_ledger(spark, tmp_path):
     from jobloom.schemas import CANDIDATE
 
     pairs = spark.createDataFrame([("i", "p"), ("i", "q")], "index_name string, pattern string")
-    found = spark.createDataFrame([("lever", "a", None, None, None, "a", "a", "index", 1)], CANDIDATE)
+    found = spark.createDataFrame([("lever", "a", None, None, None, "a", "a", "index", Decimal(1))], CANDIDATE)
     path = str(tmp_path / "ledger")
     harvest.append_ledger(path, pairs.where("pattern = 'p'"), found)
     left = harvest.pending_pairs(pairs, harvest.done_pairs(spark, path))
@@ -297,3 +302,23 @@ def test_pages_of_registered_boards(spark):
     pages = spark.createDataFrame([("ashby", "openx", "{}"), ("ashby", "gone", "{}")], "ats string, board_key string, body string")
     row = payloads.of_boards(pages, boards).collect()
     assert len(row) == 1 and row[0].board == "OpenX" and row[0].board_ord == 4
+
+
+def test_the_string_zero_is_an_id(spark):
+    ashby = page("ashby", {"jobs": [{"id": "0", "title": "A"}, {"id": "", "title": "B"}, {"title": "C"}]})
+    assert [r.job_id for r in read(spark, "ashby", ashby)] == ["ash_0"]
+    smart = page("smartrecruiters", {"totalFound": 1, "content": [{"id": "0", "name": "A"}]})
+    assert [r.job_id for r in read(spark, "smartrecruiters", smart)] == ["sr_0"]
+    green = page("greenhouse", {"jobs": [{"id": 0, "title": "A"}, {"id": 1, "title": "B"}]})
+    assert [r.job_id for r in read(spark, "greenhouse", green)] == ["gh_1"]
+
+
+def test_stop_rules_shuffle_no_payload(spark):
+    pages = spark.createDataFrame([page("smartrecruiters", {"totalFound": 1, "content": []})], PAGE)
+    from jobloom.sources import paging
+
+    plan = paging.smartrecruiters_until(pages)._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        assert "Exchange" not in line or "body" not in line
+    windows = [x for x in plan.splitlines() if "Window" in x]
+    assert windows and not any("body" in x or "_doc" in x for x in windows)

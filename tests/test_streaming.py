@@ -1,5 +1,6 @@
 """Streams equal batch runs, survive a restart, and announce once."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobloom.operators.dedupe import cross_source_dedupe
@@ -84,5 +85,28 @@ def test_harvest_stream(spark):
     stream()
     got = spark.read.parquet(out)
     assert got.columns == CANDIDATE_COLS
-    rows = got.select("board_key", F.shiftright("seq", 20).alias("doc")).collect()
+    rows = got.select("board_key", F.floor(F.col("seq") / 10**12).cast("int").alias("doc")).collect()
     assert sorted(map(tuple, rows)) == [("a", 1), ("a", 3), ("b", 1)]
+
+
+def test_late_runs_fail_and_are_not_reported(spark):
+    landing, root = scratch(spark, "landing"), scratch(spark, "root")
+    store, order = StateStore(spark, root), []
+    for run_id in (0, 1):
+        land(spark, landing, run_id, postings(run_id + 30, n=10))
+    assert process_run(spark, landing, store, 1, ts(1), PLAIN) is not None
+    with pytest.raises(ValueError, match="announced after run 1"):
+        process_run(spark, landing, store, 0, ts(0), PLAIN)
+    assert process_run(spark, landing, store, 1, ts(1), PLAIN) is None
+    query = sync_stream(spark, landing, root, f"{root}/cp", PLAIN, order.append)
+    with pytest.raises(Exception, match="announced after run 1"):
+        query.awaitTermination()
+    assert order == []
+
+
+def test_damaged_commits_are_no_empty_state(spark, tmp_path):
+    (tmp_path / "commits").mkdir()
+    (tmp_path / "commits" / "part-0.parquet").write_bytes(b"not parquet at all")
+    with pytest.raises(Exception):
+        StateStore(spark, str(tmp_path)).last_run()
+    assert StateStore(spark, str(tmp_path / "none")).last_run() is None

@@ -188,8 +188,8 @@ def test_detail_key(spark, source, job_id, url, want):
 def test_batch_seq_sorts_like_its_parts(spark):
     import itertools
 
-    parts = list(itertools.product((0, 6), (0, 1 << 19), (0, 15), (0, 1 << 19), (0, 65535)))
-    df = spark.createDataFrame(parts, "a int, b int, c int, d int, e int")
+    parts = list(itertools.product((0, 6), (0, 1 << 19), (0, 15), (0, 1 << 33), (0, 65536)))
+    df = spark.createDataFrame(parts, "a int, b int, c int, d bigint, e int")
     seq = keys.batch_seq(*[F.col(c) for c in "abcde"])
     rows = df.select("*", seq.alias("s")).orderBy("s").collect()
     assert [tuple(r)[:5] for r in rows] == sorted(parts)
@@ -197,6 +197,6 @@ def test_batch_seq_sorts_like_its_parts(spark):
 
 
 def test_batch_seq_refuses_overflow(spark):
-    df = spark.createDataFrame([(0, 0, 16, 0, 0)], "a int, b int, c int, d int, e int")
+    df = spark.createDataFrame([(0, 0, 10_000, 0, 0)], "a int, b int, c int, d int, e int")
     with pytest.raises(Exception, match="out of range"):
         df.select(keys.batch_seq(*[F.col(c) for c in "abcde"])).collect()
