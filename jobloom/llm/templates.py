@@ -12,8 +12,6 @@ from jobloom.session import written
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVER = 0.5
-#: Benchmark windows that may be broadcast; one takes about 40 bytes.
-MOST_WINDOWS = 500_000
 
 # What counts as a unit right after a number.
 UNITS = (
@@ -87,20 +85,21 @@ def items(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return windowed(rows.select("item_id", values(F.col("text")).alias("words"), template(F.col("text")).alias("template")), size)
 
 
-def hits(docs: DataFrame, known: DataFrame, size: int = WINDOW, most: int = MOST_WINDOWS) -> DataFrame:
-    """(doc_id, at, item_id, place): every window of a document that equals one of an item.
+def hits(docs: DataFrame, known: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(doc_id, version, at, item_id, place): every window of a document that equals one of an item.
 
-    ``known`` is the output of ``items``. Its windows are broadcast if counted to be few, so
+    ``version`` tells the texts of one doc_id apart. ``known`` is the output of ``items``. Its windows are broadcast if counted to be few, so
     that documents are not shuffled.
     """
     marks = known.select("item_id", F.posexplode("windows").alias("place", "window"))
-    marks, _ = small(marks, "benchmark-windows", most)
-    found = windowed(docs.filter("doc_id IS NOT NULL").select("doc_id", template(F.col("text")).alias("template")), size)
-    return found.select("doc_id", F.posexplode("windows").alias("at", "window")).join(marks, "window").drop("window")
+    marks, _ = small(marks, "benchmark-windows", 32)
+    # posexplode would add a filter on the array, and with it compute all windows once more
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), template(F.col("text")).alias("template"))
+    return windowed(rows, size).select("doc_id", "version", F.posexplode_outer("windows").alias("at", "window")).join(marks, "window").drop("window")
 
 
 def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, shift, asked, given): the values behind each placeholder of a hit.
+    """(doc_id, version, item_id, shift, asked, given): the values behind each placeholder of a hit.
 
     Texts are read again only for documents with hits on items that have placeholders. Their
     ids are broadcast if they are few.
@@ -109,9 +108,9 @@ def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDO
     of_typed = found.join(typed.select("item_id").distinct(), "item_id", "left_semi")
     ids, _ = small(of_typed.select("doc_id").distinct(), "documents-with-slots")
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").distinct()
-    given = texts.select("doc_id", values(F.col("text")).alias("given"))
-    near = of_typed.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
-    rows = near.join(given, "doc_id").join(typed, "item_id")
+    given = texts.select("doc_id", F.xxhash64("text").alias("version"), values(F.col("text")).alias("given"))
+    near = of_typed.groupBy("doc_id", "version", "item_id").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
+    rows = near.join(given, ["doc_id", "version"]).join(typed, "item_id")
 
     def behind(hit: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.struct(
@@ -119,8 +118,8 @@ def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDO
             F.get(F.col("words"), hit["place"] + k).alias("asked"), F.get(F.col("given"), hit["at"] + k).alias("given")))
         return F.filter(each, lambda s: s["asked"].startswith(MARK))
 
-    pairs = rows.select("doc_id", "item_id", F.explode(F.array_distinct(F.flatten(F.transform("hits", behind)))).alias("s"))
-    return pairs.select("doc_id", "item_id", "s.*")
+    pairs = rows.select("doc_id", "version", "item_id", F.explode(F.array_distinct(F.flatten(F.transform("hits", behind)))).alias("s"))
+    return pairs.select("doc_id", "version", "item_id", "s.*")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
@@ -139,13 +138,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: floa
     known = written(items(benchmark, size), "benchmark-items")
     found = written(hits(docs, known, size), "benchmark-hits")
     filled = written(slots(docs, known, found, size), "benchmark-slots")
-    per_value = filled.groupBy("doc_id", "item_id", "shift", "asked").agg(
+    per_value = filled.groupBy("doc_id", "version", "item_id", "shift", "asked").agg(
         F.min("given").alias("low"), F.max("given").alias("high"))
-    per_place = per_value.groupBy("doc_id", "item_id", "shift").agg(
+    per_place = per_value.groupBy("doc_id", "version", "item_id", "shift").agg(
         F.max((F.col("low") != F.col("high")).cast("int")).alias("mixed"), F.count("*").alias("slots"),
         F.sum((F.col("low") != F.col("asked")).cast("int")).alias("changed"))
-    places = found.select("doc_id", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"))
-    sound = places.join(per_place, ["doc_id", "item_id", "shift"], "left").filter("coalesce(mixed, 0) = 0")
+    places = found.select("doc_id", "version", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"))
+    sound = places.join(per_place, ["doc_id", "version", "item_id", "shift"], "left").filter("coalesce(mixed, 0) = 0")
     total = known.select("item_id", F.size("windows").alias("windows")).groupBy("item_id").agg(F.min("windows").alias("windows"))
     out = sound.groupBy("doc_id", "item_id").agg(
         F.count_distinct("place").alias("covered"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots"),
