@@ -18,7 +18,7 @@ from jobloom.operators import scoring as sc
 from jobloom.operators.ranking import global_row_number
 from jobloom.plans import hourly
 from jobloom.schemas import STATE_COLS
-from jobloom.session import written
+from jobloom.session import scratch, written
 from jobloom.settings import Settings
 
 col = F.col
@@ -538,19 +538,59 @@ add(
 )
 add(
     "t1_sheet_order",
-    lambda v: pu.sheet_sorted(v.sheet_payload_fx).select(
-        "append_seq", "first_seen", "role_type", ro.role_rank(col("role_type")).alias("role_rank")
+    lambda v: pu.sheet_positions(v.sheet_payload_fx).select(
+        "append_seq", "first_seen", "role_type", ro.role_rank(col("role_type")).alias("role_rank"),
+        "position",
     ),
     SHEETS,
-    f"SELECT append_seq, first_seen, role_type, {RANK} AS role_rank FROM sheet_payload_fx "
-    "ORDER BY role_rank, first_seen DESC, append_seq",
+    f"SELECT append_seq, first_seen, role_type, {RANK} AS role_rank, "
+    f"ROW_NUMBER() OVER (ORDER BY {RANK}, first_seen DESC, append_seq) AS position FROM sheet_payload_fx",
 )
 add(
     "u5_sheet",
-    lambda v: pu.sheet_sorted(
+    lambda v: pu.sheet_positions(
         v.sheet_fx.unionByName(pu.sheet_append(v.sheet_fx, v.sheet_payload_fx))
-    ).select("append_seq", *pu.SHEET_COLS),
+    ).select("append_seq", "position", *pu.SHEET_COLS),
     SHEETS,
-    f"SELECT append_seq, {SHEET_COLS} FROM sheet_fx UNION ALL SELECT append_seq, {SHEET_COLS} FROM appended",
+    f"SELECT append_seq, {SHEET_COLS}, ROW_NUMBER() OVER (ORDER BY {RANK}, first_seen DESC, append_seq) AS position "
+    f"FROM (SELECT append_seq, {SHEET_COLS} FROM sheet_fx UNION ALL SELECT append_seq, {SHEET_COLS} FROM appended) u",
+    APPENDED,
+)
+
+
+def message_files(v):
+    """Titles on the lines that the message sink wrote, read back as text."""
+    path = scratch(v.spark, "messages")
+    pu.write_messages(pu.messages(flagged_postings(v)), path)
+    embeds = F.from_json("value", "struct<embeds:array<struct<title:string, url:string>>>")["embeds"]
+    return v.spark.read.text(path).select(F.explode(embeds).alias("e")).select("e.title", "e.url")
+
+
+add(
+    "u4_message_files",
+    message_files,
+    "postings_fx",
+    "SELECT title, url FROM cards",
+    FLAGGED_POSTINGS + [
+        ("told", f"SELECT * FROM flagged WHERE {ANNOUNCE}"),
+        ("cards", CARD.format(jobs="told")),
+    ],
+)
+
+
+def sheet_files(v):
+    """The sheet as the CSV sink wrote it, read back; empty cells are empty texts."""
+    path = scratch(v.spark, "sheet")
+    pu.write_sheet(v.sheet_fx.unionByName(pu.sheet_append(v.sheet_fx, v.sheet_payload_fx)), path)
+    rows = v.spark.read.options(**pu.SHEET_FORMAT).csv(path)
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "role_type", "apply_url", "job_id")])
+
+
+add(
+    "u5_sheet_files",
+    sheet_files,
+    SHEETS,
+    "SELECT " + ", ".join(f"coalesce({c}, '') AS {c}" for c in ("title", "role_type", "apply_url", "job_id"))
+    + " FROM (SELECT * FROM sheet_fx UNION ALL SELECT * FROM appended) u",
     APPENDED,
 )

@@ -16,6 +16,10 @@ SHEET_COLS = (
     "first_seen", "company", "title", "role_type", "location", "posted_on",
     "source", "apply_url", "job_id", "sponsorship", "clearance", "grad_year",
 )
+SHEET_FORMAT = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False, "multiLine": True,
+}
 ROLE_COLORS = {"intern": 0x2ECC71, "new_grad": 0x3498DB, "mid": 0xF1C40F, "senior": 0xE74C3C}
 OTHER_COLOR = 0x95A5A6
 EMPTY = "—"
@@ -106,9 +110,12 @@ def write_messages(batches: DataFrame, path: str) -> None:
 
 
 def write_sheet(sheet: DataFrame, path: str) -> None:
-    """The sorted sheet as CSV with a header; part files follow the order."""
+    """The sorted sheet as CSV with a header; part files follow the order.
+
+    Cells keep their blanks, and quotes are doubled, as spreadsheets do.
+    """
     rows = sheet_sorted(sheet).select(*SHEET_COLS)
-    rows.write.option("header", True).option("emptyValue", "").csv(path)
+    rows.write.options(**SHEET_FORMAT).option("emptyValue", "").csv(path)
 
 
 def sheet_append(
@@ -129,3 +136,12 @@ def sheet_sorted(sheet: DataFrame) -> DataFrame:
     return sheet.orderBy(
         role_rank(F.col("role_type")), text(F.col("first_seen")).desc(), "append_seq"
     )
+
+
+def sheet_positions(sheet: DataFrame) -> DataFrame:
+    """Rows with ``position``, their line in the sorted sheet, 1 for the first."""
+    keyed = sheet.withColumns({
+        "_role": role_rank(F.col("role_type")), "_seen": text(F.col("first_seen")),
+    })
+    order = [F.col("_role").asc(), F.col("_seen").desc(), F.col("append_seq").asc()]
+    return global_row_number(keyed, order, "position").drop("_role", "_seen")

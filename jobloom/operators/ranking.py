@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobloom.session import written
@@ -13,8 +13,10 @@ from jobloom.session import written
 IN_PARTITION = (1 << 33) - 1
 
 
-def global_row_number(df: DataFrame, order: str | Sequence[str], out: str) -> DataFrame:
-    """Dense position 1..n by ``order``, columns that together are unique.
+def global_row_number(
+    df: DataFrame, order: str | Sequence[str | Column], out: str
+) -> DataFrame:
+    """Dense position 1..n by ``order``, columns (or ``col.desc()``) that together are unique.
 
     Rows are dealt by range and sorted within partitions, and stored with their place, so
     that both uses below see the same ranges. A position is that place plus the rows of the
