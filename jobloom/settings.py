@@ -21,3 +21,4 @@ class Settings:
     hours_old: int = HOURS_OLD
     enrich_descriptions: bool = True
     exclude_no_sponsorship: bool = False
+    keep_snapshots: int | None = None

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from jobloom.operators.reconcile import upgrade_state
 from jobloom.schemas import JOB_STATE
+from jobloom.session import remove
 
 
 class StateStore:
@@ -44,6 +45,12 @@ class StateStore:
     def write(self, state: DataFrame, run_id: int) -> None:
         state.write.mode("overwrite").parquet(f"{self.root}/state/run_id={run_id}")
 
+    def prune(self, keep: int) -> None:
+        """Delete all but the last ``keep`` committed snapshots; their commits stay."""
+        runs = self.spark.read.schema("run_id BIGINT").parquet(f"{self.root}/commits").distinct()
+        old = [r.run_id for r in runs.orderBy(F.desc("run_id")).collect()][max(1, keep):]
+        remove(self.spark, *[f"{self.root}/state/run_id={i}" for i in old])
+
     def commit(self, run_id: int) -> None:
         done = self.spark.range(run_id, run_id + 1, 1, 1).withColumnRenamed("id", "run_id")
         done.write.mode("append").parquet(f"{self.root}/commits")

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from jobloom.operators.scoring import Scorer
-from jobloom.plans.hourly import Run, run
+from jobloom.plans.hourly import run
+from jobloom.session import temporary
 from jobloom.settings import Settings
 from jobloom.sources.state import StateStore
 
@@ -36,8 +37,8 @@ def process_run(
     settings: Settings = Settings(),
     scorer: Callable[[], Scorer] | None = None,
     complete_sources: Sequence[str] | None = None,
-) -> Run | None:
-    """Reconcile one landed run; nothing happens if it was committed before.
+) -> bool:
+    """Reconcile one landed run; False, and nothing happens, if it was committed before.
 
     Detail payloads are read from ``details/run_id=N`` if the run landed any. A run that was
     announced only after a later one can't be told from absences, so it fails.
@@ -49,23 +50,26 @@ def process_run(
     if last is not None and run_id <= last:
         if not store.committed(run_id):
             raise ValueError(f"run {run_id} was announced after run {last}; its absences can't be told")
-        return None
+        return False
     postings = spark.read.parquet(f"{landing}/runs/run_id={run_id}")
     details = landed_details(spark, landing, run_id)
-    result = run(
-        postings, store.read(), run_ts, details, settings, scorer,
-        complete_sources=complete_sources,
-    )
+    with temporary(spark):  # what the run stores for itself goes once its outputs are there
+        result = run(
+            postings, store.read(), run_ts, details, settings, scorer,
+            complete_sources=complete_sources,
+        )
 
-    def write(name: str) -> None:
-        table: DataFrame = getattr(result, name)
-        table.write.mode("overwrite").parquet(f"{store.root}/{name}/run_id={run_id}")
+        def write(name: str) -> None:
+            table: DataFrame = getattr(result, name)
+            table.write.mode("overwrite").parquet(f"{store.root}/{name}/run_id={run_id}")
 
-    # Independent small jobs: side by side they share the cluster.
-    with ThreadPoolExecutor(len(OUTPUTS)) as pool:
-        list(pool.map(write, OUTPUTS))
-    store.commit(run_id)
-    return result
+        # Independent small jobs: side by side they share the cluster.
+        with ThreadPoolExecutor(len(OUTPUTS)) as pool:
+            list(pool.map(write, OUTPUTS))
+        store.commit(run_id)
+    if settings.keep_snapshots is not None:
+        store.prune(settings.keep_snapshots)
+    return True
 
 
 def landed_details(spark: SparkSession, landing: str, run_id: int) -> DataFrame | None:
@@ -97,7 +101,7 @@ def sync_stream(
             done = process_run(
                 spark, landing, store, row.run_id, row.run_ts, settings, scorer, complete_sources
             )
-            if done is not None and on_run is not None:
+            if done and on_run is not None:
                 on_run(row.run_id)
 
     announced = spark.readStream.schema(ANNOUNCED).option("maxFilesPerTrigger", RUNS_PER_BATCH).parquet(f"{landing}/announced")

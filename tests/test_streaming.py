@@ -61,9 +61,9 @@ def test_run_is_processed_once(spark):
     assert store.last_run() is None and store.read().count() == 0
     # A run that died before its commit is simply done again.
     store.write(spark.createDataFrame([], JOB_STATE), 5)
-    assert process_run(spark, landing, store, 5, ts(5), PLAIN) is not None
+    assert process_run(spark, landing, store, 5, ts(5), PLAIN)
     first = sorted(map(tuple, store.read().collect()), key=str)
-    assert process_run(spark, landing, store, 5, ts(6), PLAIN) is None
+    assert not process_run(spark, landing, store, 5, ts(6), PLAIN)
     assert sorted(map(tuple, store.read().collect()), key=str) == first and first
 
 
@@ -94,10 +94,10 @@ def test_late_runs_fail_and_are_not_reported(spark):
     store, order = StateStore(spark, root), []
     for run_id in (0, 1):
         land(spark, landing, run_id, postings(run_id + 30, n=10))
-    assert process_run(spark, landing, store, 1, ts(1), PLAIN) is not None
+    assert process_run(spark, landing, store, 1, ts(1), PLAIN)
     with pytest.raises(ValueError, match="announced after run 1"):
         process_run(spark, landing, store, 0, ts(0), PLAIN)
-    assert process_run(spark, landing, store, 1, ts(1), PLAIN) is None
+    assert not process_run(spark, landing, store, 1, ts(1), PLAIN)
     query = sync_stream(spark, landing, root, f"{root}/cp", PLAIN, order.append)
     with pytest.raises(Exception, match="announced after run 1"):
         query.awaitTermination()
@@ -110,3 +110,21 @@ def test_damaged_commits_are_no_empty_state(spark, tmp_path):
     with pytest.raises(Exception):
         StateStore(spark, str(tmp_path)).last_run()
     assert StateStore(spark, str(tmp_path / "none")).last_run() is None
+
+
+def test_scratch_goes_and_snapshots_are_kept(spark):
+    import os
+
+    from jobloom.session import shared_dir
+
+    landing, root = scratch(spark, "landing"), scratch(spark, "root")
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    store, few = StateStore(spark, root), Settings(enrich_descriptions=False, keep_snapshots=2)
+    for run_id in range(4):
+        land(spark, landing, run_id, postings(run_id + 40, n=15))
+    before = set(os.listdir(folder))
+    for run_id in range(4):
+        assert process_run(spark, landing, store, run_id, ts(run_id), few)
+    assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} <= {"root"}
+    assert sorted(os.listdir(f"{root.removeprefix('file://').removeprefix('file:')}/state")) == ["run_id=2", "run_id=3"]
+    assert store.read().count() > 0
