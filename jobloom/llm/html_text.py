@@ -46,7 +46,10 @@ SHORT, LINKS = 70, 0.5
 #: Share of stop words from which a long block is text, and up to which it is not.
 DENSE, SPARSE = 0.2, 0.08
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+# comments; declarations; tags, by quoted values or, with a quote left open, up to the next ">"; a tag cut short
+TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|"""
+    r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+|[^>]*+)>|<[a-zA-Z/!?][^>]*+\Z""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
