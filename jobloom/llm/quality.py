@@ -139,7 +139,10 @@ def fit(rows: DataFrame, pairs: int = PAIRS, seed: int = 7, penalty: float = 1e-
 
 
 def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
-    """``docs`` with a score of every text, null and empty texts too."""
-    names = docs.columns
+    """``docs`` with a score of every text, null and empty texts too.
+
+    A column that already has this name is replaced.
+    """
+    names = [c for c in docs.columns if c != name]
     rows = docs.withColumn("__features", features("text"))
     return rows.select(*names, model.score(F.col("__features")).alias(name))

@@ -44,7 +44,7 @@ def test_awkward_texts_have_scores(spark, documents):
     texts = [None, "", " ", "a", "é😀", "word " * 200_000, "\n" * 1000, "same", "same"]
     docs = documents(list(enumerate(texts)) + [(None, "no id")], clash=True)
     model = quality.fit(quality.labelled(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")), pairs=5000)
-    out = quality.scored(docs.drop("score"), model)
+    out = quality.scored(docs, model)
     rows = out.collect()
     assert out.columns == [*docs.drop("score").columns, "score"] and len(rows) == len(texts) + 1
     by = {r.doc_id: r.score for r in rows}
