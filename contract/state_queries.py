@@ -307,7 +307,7 @@ add(
 
 
 def details(v):
-    return v.details_fx.unionByName(en.ashby_details(v.ashby_boards_fx))
+    return v.details_fx.unionByName(en.ashby_details(v.ashby_boards_fx, plain_jobs(v)))
 
 
 TEXT = s.strip_tags("coalesce({}, '')")
@@ -346,23 +346,26 @@ def plain_jobs(v):
 
 add(
     "j7_detail_lookup",
-    lambda v: en.with_details(plain_jobs(v), details(v)).where(col("source") != "ashby").select(
-        "seq", "detail_key", "body"
+    lambda v: en.with_details(plain_jobs(v), details(v)).select(
+        "seq", "detail_key",
+        F.when(col("source") == "ashby", F.when(
+            col("body").isNotNull(), F.coalesce(F.get_json_object("body", "$.descriptionPlain"), F.lit(""))
+        )).otherwise(col("body")).alias("body"),
     ),
     JOBS,
-    "SELECT seq, detail_key, body FROM detailed WHERE source <> 'ashby'",
+    "SELECT seq, detail_key, CASE WHEN source = 'ashby' THEN plain ELSE body END AS body FROM detailed",
     DETAILED,
 )
 add(
     "j8_ashby_lookup",
-    lambda v: en.ashby_details(v.ashby_boards_fx).select(
+    lambda v: en.ashby_details(v.ashby_boards_fx, plain_jobs(v)).select(
         "detail_key",
         F.coalesce(F.get_json_object("body", "$.descriptionPlain"), F.lit("")).alias("plain"),
         F.coalesce(F.get_json_object("body", "$.descriptionHtml"), F.lit("")).alias("html"),
     ),
-    "ashby_boards_fx",
-    "SELECT detail_key, plain, html FROM ashby",
-    [ASHBY],
+    "jobs_fx ashby_boards_fx",
+    "SELECT detail_key, plain, html FROM ashby WHERE detail_key IN (SELECT detail_key FROM keyed_jobs WHERE source = 'ashby')",
+    DETAILED[:2],
 )
 add(
     "x13_descriptions",

@@ -34,17 +34,28 @@ def with_detail_key(jobs: DataFrame) -> DataFrame:
     )
 
 
-def ashby_details(boards: DataFrame) -> DataFrame:
-    """One DETAIL row per job of the Ashby board payloads (slug, status, body)."""
-    jobs = F.from_json("body", BOARD_ASHBY)["jobs"]
-    each = boards.where(F.col("status") == 200).select(
-        "slug", F.explode(jobs).alias("job")
+def ashby_details(boards: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
+    """One DETAIL row per job of the Ashby board payloads (slug, status, body).
+
+    With ``jobs``, only boards that they are on are parsed, and only their rows come out.
+    """
+    wanted = None
+    if jobs is not None:
+        keyed = with_detail_key(jobs.where(F.col("source") == "ashby"))
+        wanted = keyed.where(F.col("detail_key").isNotNull()).select("detail_key").distinct()
+        slugs = wanted.select(F.substring_index("detail_key", "/", 1).alias("slug")).distinct()
+        boards = boards.join(slugs, "slug", "left_semi")
+    listed = F.from_json("body", BOARD_ASHBY)["jobs"]
+    each = boards.where(F.col("status") == 200).select("slug", F.explode(listed).alias("job"))
+    each = each.where(F.col("job.id").isNotNull()).withColumn(
+        "detail_key", F.concat_ws("/", "slug", F.col("job.id"))
     )
-    key = F.concat_ws("/", "slug", F.col("job.id"))
+    if wanted is not None:
+        each = each.join(wanted, "detail_key", "left_semi")
     body = F.to_json(F.struct("job.descriptionPlain", "job.descriptionHtml"))
-    return each.where(F.col("job.id").isNotNull()).select(
+    return each.select(
         F.lit("ashby").alias("source"),
-        key.alias("detail_key"),
+        "detail_key",
         F.lit(200).alias("status"),
         body.alias("body"),
     )
