@@ -135,7 +135,7 @@ def buckets(classes: DataFrame) -> DataFrame:
     counted = held.groupBy("bucket", "band").agg(
         F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     first = counted.filter("size > 1").groupBy("x", "y", "size").agg(F.min(F.struct("band", "bucket")).alias("b"))
-    live, few = small(first.select("b.bucket", "size"), "live-buckets")
+    live, few = small(first.select("b.bucket", "size"), "live-buckets", 24)
     return held.join(live, "bucket") if few else join_per_key(held, "bucket", ["node"], live, "inner")
 
 

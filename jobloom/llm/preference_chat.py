@@ -83,7 +83,7 @@ def formatted(conversations: DataFrame, pairs: DataFrame | None = None) -> DataF
     sides = pairs.select("chosen_id", "rejected_id", F.explode(F.filter(F.array(
         F.struct(F.col("chosen_id").alias("id"), F.lit(True).alias("picked")),
         F.struct(F.col("rejected_id").alias("id"), F.lit(False).alias("picked"))), lambda s: s["id"].isNotNull())).alias("side"))
-    sides, _ = small(sides.select("chosen_id", "rejected_id", "side.*"), "preference-sides")
+    sides, _ = small(sides.select("chosen_id", "rejected_id", "side.*"), "preference-sides", 32)
     held = rows.join(sides, rows["conv_id"] == sides["id"]).groupBy("chosen_id", "rejected_id").agg(
         F.array_sort(F.collect_set(F.struct("picked", "turn", "role", "text"))).alias("all"))
     side = lambda picked: F.transform(F.filter("all", lambda t: t["picked"] == F.lit(picked)), lambda t: F.struct(t["role"], t["text"])).cast(TURNS)

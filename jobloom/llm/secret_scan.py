@@ -71,7 +71,7 @@ def scan(versions: DataFrame, path: str = "doc_id", text: str = "text",
     seen = empty_ledger(spark) if ledger is None else ledger.select("blob", "rule").distinct()
     new = paths.select("blob").distinct().select("blob", wanted).join(seen, ["blob", "rule"], "left_anti")
     if ledger is not None:
-        todo, few = small(new.groupBy("blob").agg(F.collect_set("rule").alias("rules")), "unseen-blobs")
+        todo, few = small(new.groupBy("blob").agg(F.collect_set("rule").alias("rules")), "unseen-blobs", 256)
         one = (blobs.join(todo, "blob", "left_semi") if few else blobs).dropDuplicates(["blob"]).join(todo, "blob")
     else:
         one = blobs.dropDuplicates(["blob"]).withColumn("rules", F.array(*(F.lit(r.version) for r in rules)))
@@ -87,8 +87,8 @@ def spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     Splitting a text at a pattern gives the gaps between its matches, so running sums of the
     lengths of gaps and matches place each match. Sums run per blob and rule.
     """
-    rows = blobs.select("blob", F.explode(F.concat(*(matches(no, r) for no, r in enumerate(rules)))).alias("h"))
-    rows = rows.select("blob", "h.*")
+    rows = blobs.select("blob", F.explode_outer(F.concat(*(matches(no, r) for no, r in enumerate(rules)))).alias("h"))
+    rows = rows.filter("h IS NOT NULL").select("blob", "h.*")  # explode would add a filter that matches all once more
     order = Window.partitionBy("blob", "kind_no").orderBy("i")
     before = F.coalesce(F.sum(F.col("gap") + F.col("len")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("start", before + F.col("gap"))

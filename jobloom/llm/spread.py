@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from jobloom.session import written
 
-#: Rows of two longs that may be broadcast: at most 16 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that may be broadcast, by counted rows and the bytes a row takes.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,10 +40,10 @@ def join_per_key(
     return dealt.join(used.join(per_key, key), [key, "__salt"], how).drop("__salt")
 
 
-def small(df: DataFrame, name: str, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` written once, and marked for broadcast if its counted rows are ``most`` or fewer."""
+def small(df: DataFrame, name: str, row_bytes: int = 16) -> tuple[DataFrame, bool]:
+    """``df`` written once, and marked for broadcast if its counted rows take BROADCAST_BYTES or less."""
     kept = written(df, name)
-    fits = kept.count() <= most
+    fits = kept.count() * row_bytes <= BROADCAST_BYTES
     return (F.broadcast(kept) if fits else kept), fits
 
 
