@@ -61,7 +61,8 @@ def blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
         if ids:
             yield block(ids, vectors)
 
-    return rows.select("id", "v").mapInArrow(pack, BLOCK)
+    full = rows.repartition(max(1, -(-rows.count() // size)))  # else each partition ends in a block that isn't full
+    return full.select("id", "v").mapInArrow(pack, BLOCK)
 
 
 def unpacked(ids: bytes, dims: int, code: str, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +164,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str =
     Query blocks meet candidate blocks on a grid of (query group, candidate group) keys.
     A task holds one block of each kind and its queries' best k.
     """
-    c = written(blocks(usable(candidates, id_col, vector_col), CANDIDATES, scale), "candidates")
-    q = written(blocks(usable(queries, id_col, vector_col), QUERIES, scale), "queries")
+    c = written(blocks(written(usable(candidates, id_col, vector_col), "vectors"), CANDIDATES, scale), "candidates")
+    q = written(blocks(written(usable(queries, id_col, vector_col), "vectors"), QUERIES, scale), "queries")
     n_c, n_q = c.count(), q.count()
     group_c, group_q = max(1, -(-n_c // BLOCKS_PER_TASK)), max(1, n_q)
 
