@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Callable
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column
@@ -117,21 +120,22 @@ class Encoder:
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def extend(self, text: str, out: list[int]) -> None:
-        pieces = self.exact(text) if not text.isascii() and self.newer(text) else self.plain(text)
-        known = self.known
-        for piece in pieces:
-            ids = known.get(piece)
-            out += self.learn(piece) if ids is None else ids
+    def pieces(self, text: str) -> list[str]:
+        # all of NEWER lies above U+0557, whose bytes begin below 0xD5
+        plain = text.isascii() or np.frombuffer(text.encode(), np.uint8).max() < 0xD5 or not self.newer(text)
+        return self.plain(text) if plain else self.exact(text)
+
+    def extend(self, text: str, out: array | list) -> None:
+        pieces = self.pieces(text)
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            found = [self.learn(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        out.extend(chain.from_iterable(found))
 
     def learn(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = tuple(merged(piece.encode(), self.ranks))
+        ids = self.known.get(piece) or self.older.get(piece) or tuple(merged(piece.encode(), self.ranks))
         if len(self.known) >= REMEMBERED:
-            # ``extend`` keeps looking into the same dictionary, so it is emptied, not replaced
-            self.older = dict(self.known)
-            self.known.clear()
+            self.older, self.known = self.known, {}
         if len(piece) <= LONGEST:
             self.known[piece] = ids
         return ids
@@ -142,8 +146,9 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def lists(offsets: list[int], values: list, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
+def lists(offsets: list[int], values: array) -> pa.Array:
+    flat = pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
 def encode(path: str, pattern: str) -> Callable[[Column], Column]:
@@ -155,13 +160,14 @@ def encode(path: str, pattern: str) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        own, offsets, out = encoder(path, pattern), [0], []
+        own, offsets, out = encoder(path, pattern), [0], array("i")  # four bytes an id
         for text in texts:
             own.extend(text.as_py() or "", out)
             offsets.append(len(out))
-        return lists(offsets, out, pa.int32())
+        return lists(offsets, out)
 
-    return ids
+    # else a plan that reads the ids twice, as to decode them, may encode twice
+    return ids.asNondeterministic()
 
 
 def decode(path: str) -> Callable[[Column], Column]:
@@ -170,6 +176,10 @@ def decode(path: str) -> Callable[[Column], Column]:
     @F.arrow_udf("binary")
     def data(ids: pa.Array) -> pa.Array:
         token = load_bytes(path).__getitem__
-        return pa.array([None if x is None else b"".join(map(token, x)) for x in (row.as_py() for row in ids)], pa.binary())
+        ends, values, missing = ids.offsets.to_numpy(), ids.values.to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        return pa.array([
+            None if gone else b"".join(map(token, values[a:b].tolist()))
+            for gone, a, b in zip(missing, ends[:-1], ends[1:], strict=True)
+        ], pa.binary())
 
     return data
