@@ -226,7 +226,7 @@ for number, (ats, pages) in enumerate(PAGED.items(), 1):
 
 def all_kept(v):
     return pl.union_all([
-        pl.usable(
+        pl.paging.usable(
             v.payloads_fx.where(col("ats") == a).withColumn("doc", pl.parse(a, col("body")))
         ).select("ats", "board", "page_no")
         for a in LIST_PATH
