@@ -16,7 +16,7 @@ RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 @query("op1_template_leaks")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return templates.found(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("op2_html_text")

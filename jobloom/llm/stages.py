@@ -54,7 +54,7 @@ def one_per_id(docs: DataFrame) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no item of ``benchmark`` leaks. Those without a doc_id stay."""
-    found = templates.leaks(docs, table(spark, sf_dir, "benchmark"))
+    found = templates.found(docs, table(spark, sf_dir, "benchmark"))
     return without_ids(docs, found.select("doc_id"), "leaks")
 
 

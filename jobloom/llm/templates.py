@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,40 +27,48 @@ UNITS = (
 
 #: Private-use characters: one before each placeholder, one in place of a number's inner points.
 #: After the mark comes the kind: n number, u unit, p proper name.
+#: Any run of white space but a single space.
+SPACE = r"[\s\p{Z}&&[^ ]][\s\p{Z}]*+| [\s\p{Z}]++"
 MARK, POINT = "\ue000", "\ue001"
 NAME = r"\p{Lu}(?<=[\p{Ll},;:0-9] \p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 NUMBER = r"[0-9](?<![\p{L}\p{N}][0-9])[0-9]*+(?:[.,:/][0-9]++)*+"
+OPENING = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{Ll}+(?![\p{L}\p{N}])"
 UNIT = rf"({MARK}n[0-9.,:/]++) (?: ?({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-INNER = rf"(?<={MARK}n[0-9.,:/]{{1,99}})[.,:/](?=[0-9])"
+INNER = rf"[.,:/](?=[0-9])(?<={MARK}n[0-9.,:/]{{1,99}}[.,:/])"
 VALUE = rf"{MARK}(?:n[0-9]++(?:[.,:/][0-9]++)*+|([pu])[\p{{L}}\p{{N}}]++)"
 BETWEEN = rf"[^\p{{L}}\p{{N}}{MARK}{POINT}]+"
 
 
-def marked(text: Column) -> Column:
+def marked(text: Column, opening: bool = False) -> Column:
     """A whole text in lower case, with a mark and a kind before each number, unit and name.
 
     A number is a run of digits with inner points, commas, colons or slashes; a unit is one of
-    UNITS right after a number; a name is a capitalised word that opens no sentence. Null
-    counts as empty.
+    UNITS right after a number; a name is a capitalised word that opens no sentence, or with
+    ``opening`` any capitalised word. Runs of white space count as one space. Null counts as empty.
     """
     t = F.coalesce(text.cast("string"), F.lit(""))
     t = F.replace(F.replace(t, F.lit(MARK), F.lit(" ")), F.lit(POINT), F.lit(" "))
-    t = F.regexp_replace(t, NAME, f"{MARK}p$0")
+    t = F.regexp_replace(F.regexp_replace(t, SPACE, " "), OPENING if opening else NAME, f"{MARK}p$0")
     t = F.regexp_replace(t, NUMBER, f" {MARK}n$0 ")
     return F.lower(F.regexp_replace(t, UNIT, f"$1 {MARK}u$2 "))
 
 
-def values(text: Column) -> Column:
+def values(text: Column, opening: bool = False) -> Column:
     """Words; a placeholder is its mark, kind and value."""
-    return F.array_remove(F.split(F.regexp_replace(marked(text), INNER, POINT), BETWEEN), "")
+    return F.array_remove(F.split(F.regexp_replace(marked(text, opening), INNER, POINT), BETWEEN), "")
 
 
-def template(text: Column) -> Column:
+def template(text: Column, opening: bool = False) -> Column:
     """The same words, but a placeholder is only its mark and kind."""
-    kinds = F.regexp_replace(F.regexp_replace(marked(text), VALUE, f"{MARK}$1"), f"{MARK}(?![pu])", f"{MARK}n")
+    kinds = F.regexp_replace(F.regexp_replace(marked(text, opening), VALUE, f"{MARK}$1"), f"{MARK}(?![pu])", f"{MARK}n")
     return F.array_remove(F.split(kinds, BETWEEN), "")
 
 
+def plain(text: Column) -> Column:
+    """Lower-case words without placeholders: the same for any case and line breaks."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+
+
 def windowed(rows: DataFrame, size: int = WINDOW) -> DataFrame:
     """``rows`` with ``windows``, the hashes of all runs of ``size`` words of ``template``.
 
@@ -79,26 +90,27 @@ def windowed(rows: DataFrame, size: int = WINDOW) -> DataFrame:
     return out.select(*names, all_.alias("windows"))
 
 
-def items(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+def items(benchmark: DataFrame, size: int = WINDOW, opening: bool = False) -> DataFrame:
     """(item_id, words, windows) of each item. Rows without an item_id are left out."""
     rows = benchmark.filter("item_id IS NOT NULL").select("item_id", "text").distinct()
-    return windowed(rows.select("item_id", values(F.col("text")).alias("words"), template(F.col("text")).alias("template")), size)
+    return windowed(rows.select("item_id", values(F.col("text"), opening).alias("words"), template(F.col("text"), opening).alias("template")), size)
 
 
-def hits(docs: DataFrame, known: DataFrame, size: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, known: DataFrame, size: int = WINDOW, cut: Callable[[Column], Column] = template) -> DataFrame:
     """(doc_id, version, at, item_id, place): every window of a document that equals one of an item.
 
-    ``version`` tells the texts of one doc_id apart. ``known`` is the output of ``items``. Its windows are broadcast if counted to be few, so
-    that documents are not shuffled.
+    ``version`` tells the texts of one doc_id apart. ``known`` is the output of ``items``, or has the
+    windows of words that ``cut`` gives. Its windows are broadcast if counted to be few, so that
+    documents are not shuffled.
     """
     marks = known.select("item_id", F.posexplode("windows").alias("place", "window"))
     marks, _ = small(marks, "benchmark-windows", 32)
     # posexplode would add a filter on the array, and with it compute all windows once more
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), template(F.col("text")).alias("template"))
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("version"), cut(F.col("text")).alias("template"))
     return windowed(rows, size).select("doc_id", "version", F.posexplode_outer("windows").alias("at", "window")).join(marks, "window").drop("window")
 
 
-def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDOW) -> DataFrame:
+def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDOW, opening: bool = False) -> DataFrame:
     """(doc_id, version, item_id, shift, asked, given): the values behind each placeholder of a hit.
 
     Texts are read again only for documents with hits on items that have placeholders. Their
@@ -108,7 +120,7 @@ def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDO
     of_typed = found.join(typed.select("item_id").distinct(), "item_id", "left_semi")
     ids, _ = small(of_typed.select("doc_id").distinct(), "documents-with-slots")
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").distinct()
-    given = texts.select("doc_id", F.xxhash64("text").alias("version"), values(F.col("text")).alias("given"))
+    given = texts.select("doc_id", F.xxhash64("text").alias("version"), values(F.col("text"), opening).alias("given"))
     near = of_typed.groupBy("doc_id", "version", "item_id").agg(F.collect_set(F.struct("at", "place")).alias("hits"))
     rows = near.join(given, ["doc_id", "version"]).join(typed, "item_id")
 
@@ -122,7 +134,7 @@ def slots(docs: DataFrame, known: DataFrame, found: DataFrame, size: int = WINDO
     return pairs.select("doc_id", "version", "item_id", "s.*")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER, opening: bool = False) -> DataFrame:
     """(doc_id, item_id, windows, covered, slots, changed, reparameterised) of all leaked items.
 
     An item leaks into a document that holds ``cover`` or more of its template windows, counted
@@ -130,14 +142,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: floa
     positions in document and item), each value of the item stands for one value of the
     document. ``changed`` counts the item's values that stand for others; then the question is
     re-parameterised. An item or document of fewer than ``size`` tokens has one window, all of
-    it, so a short item only leaks into documents that consist of it.
+    it, so a short item only leaks into documents that consist of it. ``opening`` is that of
+    ``marked``.
 
     Null and empty texts have no windows. Rows without an id are left out, repeated rows
     count once, and rows that share a doc_id count as one document. Other columns are left out.
     """
-    known = written(items(benchmark, size), "benchmark-items")
-    found = written(hits(docs, known, size), "benchmark-hits")
-    filled = written(slots(docs, known, found, size), "benchmark-slots")
+    known = written(items(benchmark, size, opening), "benchmark-items")
+    found = written(hits(docs, known, size, lambda t: template(t, opening)), "benchmark-hits")
+    filled = written(slots(docs, known, found, size, opening), "benchmark-slots")
     per_value = filled.groupBy("doc_id", "version", "item_id", "shift", "asked").agg(
         F.min("given").alias("low"), F.max("given").alias("high"))
     per_place = per_value.groupBy("doc_id", "version", "item_id", "shift").agg(
@@ -151,3 +164,32 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: floa
         F.coalesce(F.min("changed"), F.lit(0)).alias("changed")).join(total, "item_id")
     out = out.filter(F.col("covered") >= cover * F.col("windows"))
     return out.select("doc_id", "item_id", "windows", "covered", "slots", "changed", (F.col("changed") > 0).alias("reparameterised"))
+
+
+def copies(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
+    """(doc_id, item_id, windows, covered): items copied word for word, whatever the case or line breaks.
+
+    A document holds ``cover`` or more of an item's windows of lower-case words. Rows are left
+    out as in ``leaks``.
+    """
+    rows = benchmark.filter("item_id IS NOT NULL").select("item_id", plain(F.col("text")).alias("template")).distinct()
+    known = written(windowed(rows, size), "benchmark-plain")
+    found = hits(docs, known, size, plain)
+    total = known.select("item_id", F.size("windows").alias("windows")).groupBy("item_id").agg(F.min("windows").alias("windows"))
+    out = found.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("covered")).join(total, "item_id")
+    return out.filter(F.col("covered") >= cover * F.col("windows")).select("doc_id", "item_id", "windows", "covered")
+
+
+def found(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
+    """The columns of ``leaks``, one row for each (document, item) found in any of three ways.
+
+    These are ``leaks``, ``leaks`` with names that open sentences, and ``copies``; the first that
+    finds a pair gives its figures. A copy has no slots.
+    """
+    word = copies(docs, benchmark, size, cover).withColumns(
+        {"slots": F.lit(0).cast("long"), "changed": F.lit(0).cast("long"), "reparameterised": F.lit(False)})
+    ways = [leaks(docs, benchmark, size, cover), leaks(docs, benchmark, size, cover, True), word]
+    figures = ["windows", "covered", "slots", "changed", "reparameterised"]
+    each = [w.select("doc_id", "item_id", F.struct(F.lit(i).alias("way"), *figures).alias("f")) for i, w in enumerate(ways)]
+    best = functools.reduce(DataFrame.unionByName, each).groupBy("doc_id", "item_id").agg(F.min("f").alias("f"))
+    return best.select("doc_id", "item_id", *[F.col("f")[c].alias(c) for c in figures])

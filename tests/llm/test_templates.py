@@ -116,3 +116,24 @@ def test_native(spark):
     docs, bench = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame(BENCH, "item_id long, text string")
     plan = tp.hits(docs, tp.items(bench))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def pairs(spark, docs, bench):
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    rows = tp.found(d, b).collect()
+    assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
+    return {(r.doc_id, r.item_id): r for r in rows}
+
+
+def test_copies_of_any_case_and_line_breaks(spark):
+    docs = [(1, ITEM.lower()), (2, ITEM.upper()), (3, ITEM.title()), (4, ITEM.replace(" ", "\n")), (5, ITEM.replace(" ", "  ")), (6, ITEM), (7, "other words")]
+    got = pairs(spark, docs, [(1, ITEM)])
+    assert set(got) == {(i, 1) for i in range(1, 7)} and not any(r.reparameterised for r in got.values())
+    # re-wrapped and with other values
+    assert pairs(spark, [(1, CONSISTENT.replace(" ", "\r\n  "))], [(1, ITEM)])[1, 1].changed == 5
+
+
+def test_names_that_open_sentences(spark):
+    item = "Tom has 5 apples. Anna gives Tom 3 apples more. Tom eats 2 apples of them. Anna asks how many apples Tom has."
+    other = item.replace("Tom", "Paul").replace("Anna", "Vera")
+    assert pairs(spark, [(1, other)], [(1, item)])[1, 1].reparameterised
