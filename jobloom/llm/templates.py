@@ -138,9 +138,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: floa
     """(doc_id, item_id, windows, covered, slots, changed, reparameterised) of all leaked items.
 
     An item leaks into a document that holds ``cover`` or more of its template windows, counted
-    over the places where its slots are filled consistently: at one place (a shift between
-    positions in document and item), each value of the item stands for one value of the
-    document. ``changed`` counts the item's values that stand for others; then the question is
+    over the windows whose slots are filled consistently: at one shift between positions in
+    document and item, each value of the item stands for one value of the document. Windows
+    that touch a value that stands for several do not count; others of the shift do. ``changed`` counts the item's values that stand for others; then the question is
     re-parameterised. An item or document of fewer than ``size`` tokens has one window, all of
     it, so a short item only leaks into documents that consist of it. ``opening`` is that of
     ``marked``.
@@ -154,10 +154,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: floa
     per_value = filled.groupBy("doc_id", "version", "item_id", "shift", "asked").agg(
         F.min("given").alias("low"), F.max("given").alias("high"))
     per_place = per_value.groupBy("doc_id", "version", "item_id", "shift").agg(
-        F.max((F.col("low") != F.col("high")).cast("int")).alias("mixed"), F.count("*").alias("slots"),
-        F.sum((F.col("low") != F.col("asked")).cast("int")).alias("changed"))
+        F.collect_set(F.when(F.col("low") != F.col("high"), F.col("asked"))).alias("mixed"), F.count("*").alias("slots"),
+        F.sum(((F.col("low") != F.col("asked")) | (F.col("high") != F.col("asked"))).cast("int")).alias("changed"))
+    words = known.select("item_id", F.posexplode("words").alias("pos", "word")).filter(F.col("word").startswith(MARK))
+    words = words.groupBy("item_id").agg(F.collect_set(F.struct("pos", "word")).alias("words"))
+    of_mixed = F.filter("words", lambda w: F.array_contains(F.col("mixed"), w["word"]))
+    per_place = per_place.join(words, "item_id").withColumn("mixed", F.transform(of_mixed, lambda w: w["pos"])).drop("words")
     places = found.select("doc_id", "version", "item_id", "place", (F.col("at") - F.col("place")).alias("shift"))
-    sound = places.join(per_place, ["doc_id", "version", "item_id", "shift"], "left").filter("coalesce(mixed, 0) = 0")
+    sound = places.join(per_place, ["doc_id", "version", "item_id", "shift"], "left")
+    touched = F.exists("mixed", lambda at: at.between(F.col("place"), F.col("place") + size - 1))
+    sound = sound.filter(~F.coalesce(touched, F.lit(False)))
     total = known.select("item_id", F.size("windows").alias("windows")).groupBy("item_id").agg(F.min("windows").alias("windows"))
     out = sound.groupBy("doc_id", "item_id").agg(
         F.count_distinct("place").alias("covered"), F.coalesce(F.max("slots"), F.lit(0)).alias("slots"),

@@ -137,3 +137,13 @@ def test_names_that_open_sentences(spark):
     item = "Tom has 5 apples. Anna gives Tom 3 apples more. Tom eats 2 apples of them. Anna asks how many apples Tom has."
     other = item.replace("Tom", "Paul").replace("Anna", "Vera")
     assert pairs(spark, [(1, other)], [(1, item)])[1, 1].reparameterised
+
+
+def test_an_inconsistent_value_costs_only_its_own_windows(spark):
+    rest = "the old bridge over the river was closed for a long time and nobody in the whole valley knew when it would be opened again"
+    item = f"In spring the mayor Olga met the baker, and {rest}, so that the mayor Olga left."
+    one = item.replace("Olga left", "Rita left")
+    assert {(r.doc_id, r.item_id) for r in leaks(spark, [(1, one), (2, item)], [(1, item)])} == {(1, 1), (2, 1)}
+    item = f"There are 5 apples and 5 pears, and {rest}."
+    (row,) = leaks(spark, [(1, item.replace("5 apples", "7 apples").replace("5 pears", "3 pears"))], [(1, item)])
+    assert row.changed == 1 and row.reparameterised and row.covered < row.windows
