@@ -15,6 +15,8 @@ from jobloom.session import written
 WINDOW = 8
 #: Share of an item's windows that a document must hold.
 COVER = 0.5
+#: Consecutive words of an item that are a leak whatever their share of it.
+RUN = 13
 
 # What counts as a unit right after a number.
 UNITS = (
@@ -172,27 +174,40 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: floa
     return out.select("doc_id", "item_id", "windows", "covered", "slots", "changed", (F.col("changed") > 0).alias("reparameterised"))
 
 
-def copies(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
+def copies(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, windows, covered): items copied word for word, whatever the case or line breaks.
 
-    A document holds ``cover`` or more of an item's windows of lower-case words. Rows are left
-    out as in ``leaks``.
+    A document holds ``cover`` or more of an item's windows of lower-case words, or ``run`` of
+    its words in a row. An item of fewer than ``size`` words is one window of its own length, and
+    is found anywhere in a document. Rows are left out as in ``leaks``.
     """
     rows = benchmark.filter("item_id IS NOT NULL").select("item_id", plain(F.col("text")).alias("template")).distinct()
-    known = written(windowed(rows, size), "benchmark-plain")
-    found = hits(docs, known, size, plain)
+    rows = rows.withColumn("__words", F.size("template")).filter("__words > 0")
+    lengths = sorted(r[0] for r in rows.select(F.least("__words", F.lit(size))).distinct().collect())  # at most ``size``
+    # each length is a scan of its own, made only for lengths that items have
+    both = [(written(windowed(rows.filter(F.least("__words", F.lit(size)) == n).drop("__words"), n), "benchmark-plain"), n) for n in lengths]
+    if not both:
+        both = [(windowed(rows.drop("__words"), size), size)]
+    known = functools.reduce(DataFrame.unionByName, [k for k, _ in both])
+    held = written(functools.reduce(DataFrame.unionByName, [hits(docs, k, n, plain) for k, n in both]), "benchmark-copies")
+    places = held.groupBy("doc_id", "version", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(
+        F.array_sort(F.collect_set("place")).alias("places"))
+    ahead = max(run - size, 0)  # so many windows follow the first of a run
+    in_a_row = F.exists(F.sequence(F.lit(0), F.size("places") - 1), lambda i: F.get("places", i + ahead) == F.get("places", i) + ahead)
+    runs = places.filter(in_a_row).select("doc_id", "item_id").distinct().withColumn("run", F.lit(True))
     total = known.select("item_id", F.size("windows").alias("windows")).groupBy("item_id").agg(F.min("windows").alias("windows"))
-    out = found.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("covered")).join(total, "item_id")
-    return out.filter(F.col("covered") >= cover * F.col("windows")).select("doc_id", "item_id", "windows", "covered")
+    out = held.groupBy("doc_id", "item_id").agg(F.count_distinct("place").alias("covered")).join(total, "item_id")
+    out = out.join(runs, ["doc_id", "item_id"], "left").filter(F.col("run").isNotNull() | (F.col("covered") >= cover * F.col("windows")))
+    return out.select("doc_id", "item_id", "windows", "covered")
 
 
-def found(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER) -> DataFrame:
+def found(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, cover: float = COVER, run: int = RUN) -> DataFrame:
     """The columns of ``leaks``, one row for each (document, item) found in any of three ways.
 
     These are ``leaks``, ``leaks`` with names that open sentences, and ``copies``; the first that
     finds a pair gives its figures. A copy has no slots.
     """
-    word = copies(docs, benchmark, size, cover).withColumns(
+    word = copies(docs, benchmark, size, cover, run).withColumns(
         {"slots": F.lit(0).cast("long"), "changed": F.lit(0).cast("long"), "reparameterised": F.lit(False)})
     ways = [leaks(docs, benchmark, size, cover), leaks(docs, benchmark, size, cover, True), word]
     figures = ["windows", "covered", "slots", "changed", "reparameterised"]

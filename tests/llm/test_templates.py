@@ -147,3 +147,13 @@ def test_an_inconsistent_value_costs_only_its_own_windows(spark):
     item = f"There are 5 apples and 5 pears, and {rest}."
     (row,) = leaks(spark, [(1, item.replace("5 apples", "7 apples").replace("5 pears", "3 pears"))], [(1, item)])
     assert row.changed == 1 and row.reparameterised and row.covered < row.windows
+
+
+def test_runs_of_long_items_and_short_items_in_long_documents(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)]
+    part = lambda a, b: "before it " + " ".join(words[a:b]) + " and after it"
+    bench = [(1, " ".join(words)), (2, "short one here"), (3, "unheard"), (4, ""), (5, "a b c d e f g")]
+    docs = [(1, part(10, 42)), (2, part(40, 53)), (3, part(40, 52)), (4, part(0, 12) + part(20, 32)), (5, "this is a Short\none here, said he"),
+            (6, "short one, not here"), (7, "a b c d e f g"), (8, "x a b c d e f g h"), (9, "short"), (10, None)]
+    assert set(pairs(spark, docs, bench)) == {(1, 1), (2, 1), (5, 2), (7, 5), (8, 5)}
+    assert pairs(spark, docs, []) == {} and pairs(spark, [], bench) == {}
