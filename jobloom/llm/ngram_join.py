@@ -97,6 +97,17 @@ def digest_of(ngrams: bytes) -> bytes:
     return hashlib.blake2b(ngrams, digest_size=16).digest()
 
 
+def node_of(doc_id: str, digest: str) -> Column:
+    """24 bytes that stand for an n-gram set and sort by its smallest doc_id, then by its digest."""
+    high = F.lpad(F.hex(F.col(doc_id).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")  # unsigned order is that of the ids
+    return F.concat(F.unhex(high), F.col(digest))
+
+
+def doc_of(node: Column) -> Column:
+    """The doc_id of a node."""
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, digest, n, bands) per row: the n-gram set's digest and size, and its band hashes."""
 
@@ -153,7 +164,9 @@ class Group:
     def __init__(self, rows: list[dict], threshold: float):
         self.threshold = threshold
         self.band, self.low, self.high = rows[0]["band"], rows[0]["low"], rows[0]["high"]
-        self.node = np.array([r["node"] for r in rows], np.int64)
+        self.names = sorted({bytes(r["node"]) for r in rows})
+        place = {n: i for i, n in enumerate(self.names)}
+        self.node = np.array([place[bytes(r["node"])] for r in rows], np.int64)  # by order
         self.own = np.array([r["own"] for r in rows], np.int64)
         self.members = np.array([r["members"] for r in rows], np.int64)
         self.bands = np.array([r["bands"] for r in rows], np.int64)
@@ -181,7 +194,7 @@ class Group:
             mark[:] = False
             yield i, np.flatnonzero(js & (both / (self.n + self.n[i] - both) >= self.threshold))
 
-    def found(self) -> list[tuple[int, int, int]]:
+    def found(self) -> list[tuple[bytes, bytes, int]]:
         """(node, hub, links): a node's linked documents here, and the smallest node it is connected to."""
         count = np.zeros(len(self.node), np.int64)
         root = list(range(len(self.node)))
@@ -200,7 +213,7 @@ class Group:
                 if a != b:
                     a, b = (a, b) if self.node[a] < self.node[b] else (b, a)
                     root[b] = a
-        return [(int(self.node[i]), int(self.node[top(i)]), int(count[i])) for i in range(len(root)) if count[i]]
+        return [(self.names[self.node[i]], self.names[self.node[top(i)]], int(count[i])) for i in range(len(root)) if count[i]]
 
 
 def verified(grouped: DataFrame, threshold: float) -> DataFrame:
@@ -212,7 +225,7 @@ def verified(grouped: DataFrame, threshold: float) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             rows = Group(held, threshold).found()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["node", "hub", "links"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["node", "hub", "links"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -225,22 +238,22 @@ def verified(grouped: DataFrame, threshold: float) -> DataFrame:
         if held:
             yield out()
 
-    return grouped.mapInArrow(verify, "node long, hub long, links long")
+    return grouped.mapInArrow(verify, "node binary, hub binary, links long")
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, digest, ngrams): the whole sorted n-gram sets of some documents."""
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, digest, ngrams): the whole sorted n-gram sets of the documents with these ``ids``."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.tobytes() for s in ngram_sets(batch.column(1), words)]
             digests = [digest_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["node", "digest", "ngrams"])
+                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "ngrams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
-    return texts.select("node", word_hashes(F.col("text")).alias("words")).mapInArrow(
-        build, "node long, digest binary, ngrams binary").dropDuplicates(["node", "digest"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    return texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(
+        build, "doc_id long, digest binary, ngrams binary").dropDuplicates(["doc_id", "digest"])
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
@@ -254,24 +267,25 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
 
     A null or empty text, or one without words, has no n-grams and no links. Fewer words than
     ``words`` are one n-gram. Rows without a doc_id are left out, and so are other columns.
-    Repeated rows count as copies. Of several texts under one doc_id that is ``copy_of`` for more
-    than one of them, the one with the smaller digest of its set is compared.
+    Repeated rows count as copies. Texts that share a doc_id are compared and linked like others.
     """
     bands, rows = bands_and_rows(threshold, recall)
     drawn = written(sketches(docs, words, bands, rows), "sketches")
     classes = drawn.groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    compared = classes.filter("n > 0").groupBy("node").agg(F.min(F.struct("digest", "members", "bands")).alias("c")).select("node", "c.*")
+        F.min("doc_id").alias("low"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("node", node_of("low", "digest")), "classes")
+    compared = classes.filter("n > 0").select("node", "members", "bands")
     members = written(block_pairs(buckets(compared)), "bucket-members")
-    nodes, _ = small(members.select("node").distinct(), "candidates")
-    info = compared.join(nodes, "node", "left_semi").join(sets_of(docs, nodes, words), ["node", "digest"])
-    grouped = members.join(info.drop("digest"), "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+    nodes, _ = small(members.select("node").distinct(), "candidates", 32)
+    ids, _ = small(nodes.select(doc_of(F.col("node")).alias("doc_id")).distinct(), "candidate-ids")
+    sets = sets_of(docs, ids, words).select(node_of("doc_id", "digest").alias("node"), "ngrams")
+    info = compared.join(nodes, "node", "left_semi").join(sets, "node")
+    grouped = members.join(info, "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
     found = written(verified(grouped, threshold), "links")
     labels = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_class = classes.select("digest", "node", "members", "n").join(labels, "node", "left").join(links, "node", "left").select(
-        "digest", "n", F.col("node").alias("copy_of"), F.coalesce("label", "node").alias("class_id"),
+        "digest", "n", doc_of(F.col("node")).alias("copy_of"), doc_of(F.coalesce("label", "node")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     out = join_per_key(drawn.select("doc_id", "digest"), "digest", ["doc_id"], per_class, "inner")
     alone = F.col("n") == 0

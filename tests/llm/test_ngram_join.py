@@ -79,6 +79,16 @@ def test_one_id_with_two_texts(spark, documents):
     assert len(out) == 4 and all(c == 1 for d, c, _ in out)
 
 
+def test_unlike_texts_of_one_id_are_all_compared(spark, documents):
+    rnd = random.Random(6)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    near = [t + " end" for t in texts]
+    rows = [(7, t) for t in texts] + [(-9, t) for t in near[:3]] + [(2**62, t) for t in near[3:]] + [(7, texts[0])]
+    assert run(documents(rows)) == brute(rows)
+    rows = [(7, texts[0]), (7, texts[1]), (9, near[1]), (-(2**63), "one two"), (2**63 - 1, "one two")]
+    assert run(documents(rows)) == brute(rows)
+
+
 @pytest.mark.parametrize("threshold,recall", [(0.8, 0.99999), (0.5, 0.99), (0.9, 0.999), (1.0, 0.99)])
 def test_bands_reach_the_recall(threshold, recall):
     bands, rows = nj.bands_and_rows(threshold, recall)
