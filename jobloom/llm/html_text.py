@@ -40,6 +40,8 @@ ASIDE_NAMES = frozenset((
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget"
 ).split())
 REMARK_NAMES = frozenset("comment comments disqus replies reply respond".split())
+#: Before such a word a name says what is not there, or how the page is laid out.
+LAYOUT = frozenset("with without has have no not non hide hidden show open is toggle".split())
 
 #: Below these characters a block is short; above this share of link text it is a menu.
 SHORT, LINKS = 70, 0.5
@@ -59,12 +61,28 @@ class Block(NamedTuple):
     linked: int
     heading: bool
     article: bool
+    doubt: bool = False  # a name that only holds an aside's name, as in "comment-list" or "has-toc"
+
+
+def named(value: str) -> tuple[set[str], bool]:
+    """The names that whole classes or ids are or end in, and whether others hold such a name."""
+    sure: set[str] = set()
+    doubt = False
+    known = ASIDE_NAMES | REMARK_NAMES | {"header"}
+    for one in value.split():
+        parts = [p for p in re.split(r"[^a-z0-9]+", one) if p]
+        if parts and parts[-1] in known and LAYOUT.isdisjoint(parts):
+            sure.add(parts[-1])
+        elif not known.isdisjoint(parts):
+            doubt = True
+    return sure, doubt
 
 
 def kind_of(tag: str, attributes: str, article: bool) -> str:
-    """'hard' or 'soft' for an element that holds no article text, '' for others.
+    """'hard' or 'soft' for an element that holds no article text, 'doubt' or '' for others.
 
-    An article or main element opened inside a soft one is read after all.
+    An article or main element opened inside a soft one is read after all. A class or id counts
+    if it is such a name or ends in it; if it only holds one, its blocks are in doubt.
     """
     if tag in DROPPED or tag == "footer" or (tag == "header" and not article):
         return "hard"
@@ -73,6 +91,7 @@ def kind_of(tag: str, attributes: str, article: bool) -> str:
     if not attributes or tag in HEADINGS or tag in ("html", "body"):
         return ""
     names: set[str] = set()
+    doubt = False
     for name, *values in NAMES.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -81,18 +100,22 @@ def kind_of(tag: str, attributes: str, article: bool) -> str:
             if "display:none" in value.replace(" ", ""):
                 return "hard"
             continue
-        names.update(re.split(r"[^a-z0-9]+", value))
-    if names & REMARK_NAMES:
-        return "hard"
+        sure, some = named(value)
+        names |= sure
+        doubt = doubt or some
     if tag in ("article", "main"):
         return ""
-    return "soft" if names & ASIDE_NAMES or ("header" in names and not article) else ""
+    if names & REMARK_NAMES:
+        return "hard"
+    if names & ASIDE_NAMES or ("header" in names and not article):
+        return "soft"
+    return "doubt" if doubt else ""
 
 
 def blocks(page: str) -> list[Block]:
     """Blocks of the page in order, without those of elements that never hold the article."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, kind of what is dropped, inside an article
+    stack: list[tuple[str, str, bool, bool]] = []  # tag, kind of what is dropped, inside an article, in doubt
     opened: Counter[str] = Counter()
     parts: list[str] = []
     linked = at = 0
@@ -103,7 +126,7 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), heading, bool(stack) and stack[-1][2]))
+            out.append(Block(text, min(linked, len(text)), heading, bool(stack) and stack[-1][2], bool(stack) and stack[-1][3]))
         parts.clear()
         linked, heading = 0, False
 
@@ -148,13 +171,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        _, kind, article = stack[-1] if stack else ("", "", False)
+        _, kind, article, doubt = stack[-1] if stack else ("", "", False, False)
         own = kind_of(tag, attributes, article)
+        if own == "doubt":
+            own, doubt = "", True
         if tag in ("article", "main") and not own:
             kind, article = ("" if kind == "soft" else kind), True
         elif 'role="main"' in attributes:
             article = True
-        stack.append((tag, kind if kind == "hard" else own or kind, article))
+        stack.append((tag, kind if kind == "hard" else own or kind, article, doubt))
         opened[tag] += 1
         if tag in HEADINGS:
             heading = True
@@ -163,17 +188,22 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def density(block: Block) -> float:
+    """Share of stop words."""
+    words = WORD.findall(block.text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
 def first_pass(block: Block) -> bool | None:
     """True for text, False for the rest, None where a short or middling block can't tell."""
     if block.linked > LINKS * len(block.text) and not block.heading:
         return False
     if len(block.text) < SHORT:
         return None
+    share = density(block)
     if block.article:
         return True
-    words = WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    return True if density >= DENSE else False if density <= SPARSE else None
+    return True if share >= DENSE else False if share <= SPARSE else None
 
 
 def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
@@ -202,12 +232,25 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
+def weights(found: list[Block], inside: list[bool]) -> tuple[int, int]:
+    """Characters of dense text inside and outside; of all text that is not links, if none is dense."""
+    dense = [len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) and density(b) >= DENSE for b in found]
+    sizes = [len(b.text) * d if any(dense) else len(b.text) - b.linked for b, d in zip(found, dense, strict=True)]
+    within = sum(n for n, i in zip(sizes, inside, strict=True) if i)
+    return within, sum(sizes) - within
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line. Empty for an empty or null page.
 
-    On a page with an article or main element, only what is inside is looked at.
+    Blocks in doubt are left out if the others hold as much dense text. On a page with an article
+    or main element, only what is inside is looked at.
     """
     found = blocks(page or "")
+    flags = [not b.doubt for b in found]
+    if any(flags) and not all(flags):
+        own, others = weights(found, flags)
+        found = [b for b, f in zip(found, flags, strict=True) if f] if own >= others else found
     if any(b.article for b in found):
         found = [b for b in found if b.article]
     labels = second_pass(found, [first_pass(b) for b in found])

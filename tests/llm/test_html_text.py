@@ -79,3 +79,18 @@ def test_given_pages_by_another_way(spark):
 def test_open_quotes_end_at_the_next_bracket():
     assert ht.main_text('<article><p title="x>one</p><p>two</p></article>') == "one\ntwo"
     assert ht.main_text('<p title="' + "<a " * 3000) == ""
+
+
+OTHER = "There was a man who had it all, and he was not in the least sure that this is what they had for him."
+
+
+@pytest.mark.parametrize("name", ["with-sidebar", "content-no-sidebar", "menu-open", "has-toc", "search-results", "related-topics",
+                                  "post no-comments", "comments-open"])
+@pytest.mark.parametrize("tag", ["div", "article", "main"])
+def test_a_wrapper_that_holds_a_name_keeps_its_text(name, tag):
+    assert ht.main_text(f'<{tag} class="{name}"><h1>Head</h1><p>{LONG}</p><p>{OTHER}</p></{tag}>') == f"Head\n{LONG}\n{OTHER}"
+
+
+@pytest.mark.parametrize("name", ["comments", "post-comments", "comment-list", "site-footer", "left-sidebar", "related_posts"])
+def test_named_elements_beside_the_text_go(name):
+    assert ht.main_text(f'<div class="post"><p>{LONG}</p></div><div class="{name}"><p>{LONG[:90]}</p></div>') == LONG
