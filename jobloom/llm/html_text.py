@@ -40,6 +40,10 @@ ASIDE_NAMES = frozenset((
     "sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget"
 ).split())
 REMARK_NAMES = frozenset("comment comments disqus replies reply respond".split())
+#: Elements of these names are never read, nor are articles inside them.
+CLOSED_NAMES = frozenset((
+    "ad ads advert adverts advertisement advertising promo promoted promotion recommended related sponsor sponsored"
+).split())
 #: Before such a word a name says what is not there, or how the page is laid out.
 LAYOUT = frozenset("with without has have no not non hide hidden show open is toggle".split())
 
@@ -105,7 +109,7 @@ def kind_of(tag: str, attributes: str, article: bool) -> str:
         doubt = doubt or some
     if tag in ("article", "main"):
         return ""
-    if names & REMARK_NAMES:
+    if names & (REMARK_NAMES | CLOSED_NAMES):
         return "hard"
     if names & ASIDE_NAMES or ("header" in names and not article):
         return "soft"
@@ -195,14 +199,17 @@ def density(block: Block) -> float:
 
 
 def first_pass(block: Block) -> bool | None:
-    """True for text, False for the rest, None where a short or middling block can't tell."""
+    """True for text, False for the rest, None where a short or middling block can't tell.
+
+    A long block of an article needs fewer stop words to be text, and with few it can't tell.
+    """
     if block.linked > LINKS * len(block.text) and not block.heading:
         return False
     if len(block.text) < SHORT:
         return None
     share = density(block)
     if block.article:
-        return True
+        return True if share > SPARSE else None
     return True if share >= DENSE else False if share <= SPARSE else None
 
 
@@ -243,16 +250,15 @@ def weights(found: list[Block], inside: list[bool]) -> tuple[int, int]:
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line. Empty for an empty or null page.
 
-    Blocks in doubt are left out if the others hold as much dense text. On a page with an article
-    or main element, only what is inside is looked at.
+    Blocks in doubt are left out if the others hold as much dense text, and blocks outside of
+    article and main elements if these hold as much. The two passes decide on the rest.
     """
     found = blocks(page or "")
-    flags = [not b.doubt for b in found]
-    if any(flags) and not all(flags):
-        own, others = weights(found, flags)
-        found = [b for b, f in zip(found, flags, strict=True) if f] if own >= others else found
-    if any(b.article for b in found):
-        found = [b for b in found if b.article]
+    for inside in (lambda b: not b.doubt, lambda b: b.article):
+        flags = [inside(b) for b in found]
+        if any(flags) and not all(flags):
+            own, others = weights(found, flags)
+            found = [b for b, f in zip(found, flags, strict=True) if f] if own >= others else found
     labels = second_pass(found, [first_pass(b) for b in found])
     return "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
 

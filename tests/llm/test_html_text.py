@@ -84,6 +84,17 @@ def test_open_quotes_end_at_the_next_bracket():
 OTHER = "There was a man who had it all, and he was not in the least sure that this is what they had for him."
 
 
+@pytest.mark.parametrize("page,want", [
+    (f'<div id="content"><p>{LONG}</p><p>{OTHER}</p></div><div class="related"><article><p>{OTHER}</p></article></div>', f"{LONG}\n{OTHER}"),
+    (f'<div id="content"><p>{LONG}</p><p>{OTHER}</p></div><div><article><p>Teaser.</p></article></div>', f"{LONG}\n{OTHER}\nTeaser."),
+    (f'<div class="promo"><article><p>{OTHER}</p></article></div><article><p>{LONG}</p></article>', LONG),
+    (f'<p>{OTHER}</p><article><p>{LONG}</p><p>{OTHER}</p></article>', f"{LONG}\n{OTHER}"),
+    (f'<article><p>{LONG}</p><ul><li><a href="/">{OTHER}</a></li></ul><p>{"Price table 12 EUR, " * 6}</p><p><a href="/">{OTHER}</a></p></article>', LONG),
+])
+def test_an_article_element_is_evidence_only(page, want):
+    assert ht.main_text(page) == want
+
+
 @pytest.mark.parametrize("name", ["with-sidebar", "content-no-sidebar", "menu-open", "has-toc", "search-results", "related-topics",
                                   "post no-comments", "comments-open"])
 @pytest.mark.parametrize("tag", ["div", "article", "main"])
