@@ -87,7 +87,7 @@ class Model(NamedTuple):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """(y, features) of at most ``most`` labelled documents.
+    """(doc_id, y, x) of at most ``most`` labelled documents, one row a document.
 
     Of conflicting labels the smaller counts; of rows that share a doc_id one text is taken.
     Labels other than 0 and 1, and nulls, are left out.
@@ -96,7 +96,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
     y = y.groupBy("doc_id").agg(F.min("quality").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     y = F.broadcast(y)  # at most ``most`` rows of two numbers
-    return docs.select("doc_id", "text").join(y, "doc_id").select("doc_id", "y", features("text").alias("x"))
+    rows = docs.select("doc_id", "text").join(y, "doc_id").select("doc_id", F.struct("y", features("text").alias("x")).alias("row"))
+    return rows.groupBy("doc_id").agg(F.max("row").alias("row")).select("doc_id", "row.*")
 
 
 def fit(rows: DataFrame, pairs: int = PAIRS, seed: int = 7, penalty: float = 1e-3) -> Model:

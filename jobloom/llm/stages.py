@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm import bpe, ngram_join, quality, secret_scan, templates
-from jobloom.llm.spread import table, without_ids
+from jobloom.llm.spread import small, table
 from jobloom.session import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,34 +28,53 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return kept.drop("__score")
 
 
-def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id.
+def rows_by_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that tells its rows apart: doc_id, if no id is null or repeats.
 
-    Documents without words or without a doc_id stay. Of rows that share a doc_id one stays.
+    Otherwise rows are written once with a number of their own. Ids are counted first, so that
+    texts are written again only where that is needed.
     """
-    groups = ngram_join.similar(docs)
-    rest = without_ids(docs, groups.filter("class_id <> doc_id").select("doc_id"), "near-duplicates")
-    return one_per_id(rest)
+    if docs.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        return docs, "doc_id"
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows"), "__row"
 
 
-def one_per_id(docs: DataFrame) -> DataFrame:
-    """``docs`` without further rows of a doc_id, if there are any; that of the smallest text stays.
+def without_rows(rows: DataFrame, key: str, gone: DataFrame, names: list[str], name: str) -> DataFrame:
+    """The columns ``names`` of ``rows`` whose ``key`` is not in the one column of ``gone``."""
+    ids, _ = small(gone.select(F.col(gone.columns[0]).alias("__id")).distinct(), name)
+    return rows.join(ids, rows[key] == ids["__id"], "left_anti").select(*names)
 
-    The ids are counted first, so that texts are shuffled only where an id repeats.
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of the smallest doc_id.
+
+    Rows are told apart by their own, so unlike texts that share a doc_id all stay, and rows
+    without a doc_id go if they are like others, which come first if they have one. Of documents
+    without words, only repeated rows of a doc_id and text go.
     """
-    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if ids.isEmpty():
-        return docs
     names = docs.columns
-    twice = docs.join(ids, "doc_id", "left_semi").select(F.struct(*names).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("order"))
-    first = twice.groupBy("doc_id").agg(F.min_by("row", F.struct("order", F.xxhash64("row"))).alias("row")).select("row.*")
-    return without_ids(docs, ids, "repeated-ids").select(*names).unionByName(first.select(*names))
+    rows, key = rows_by_key(docs)
+    groups = ngram_join.similar(rows.select(F.col(key).alias("doc_id"), "text"))
+    if key == "doc_id":
+        return without_rows(rows, key, groups.filter("class_id <> doc_id").select("doc_id"), names, "near-duplicates")
+    own = rows.select(F.col(key).alias("__key"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    of = own.join(groups.select(F.col("doc_id").alias("__key"), "class_id", "n_ngrams"), "__key")
+    words = F.col("n_ngrams") > 0
+    of = of.filter(words | F.col("doc_id").isNotNull()).select(
+        F.when(words, F.col("class_id")).alias("class"), F.when(~words, F.col("doc_id")).alias("id"), F.when(~words, F.col("hash")).alias("same"),
+        F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "__key").alias("order"))
+    of = written(of, "row-groups")
+    first = of.groupBy("class", "id", "same").agg(F.min("order").alias("first")).select("first.__key")
+    gone = of.select("order.__key").join(first, "__key", "left_anti")
+    return without_rows(rows, key, gone, names, "near-duplicates")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no item of ``benchmark`` leaks. Those without a doc_id stay."""
-    found = templates.found(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.select("doc_id"), "leaks")
+    """Rows into which no item of ``benchmark`` leaks, whether they have a doc_id or share one."""
+    names = docs.columns
+    rows, key = rows_by_key(docs)
+    found = templates.found(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return without_rows(rows, key, found.select("doc_id"), names, "leaks")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

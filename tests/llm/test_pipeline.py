@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 import public_tokenizers as P
 import pytest
-from jobloom.llm import bpe, stages
+from jobloom.llm import bpe, quality, stages
 from jobloom.session import written
 
 SF = "/root/testdata/sf0.01"
@@ -100,3 +100,23 @@ def test_no_labels(spark, documents, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     assert stages.good_quality(spark, documents(AWKWARD), sf).count() == len(AWKWARD)
+
+
+def test_rows_of_one_id_and_of_none_are_decided_each(spark, documents, tmp_path):
+    sf = str(tmp_path)
+    item = "which of the seven old bridges over the river was closed by the mayor in the spring of that year"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(1, text("a")), (1, text("b")), (2, text("b") + " end"), (None, text("a") + " end"), (None, text("c")), (None, text("c")),
+            (3, text("d")), (3, text("d")), (4, ""), (4, ""), (4, "?"), (None, ""), (5, "so " + item), (5, text("e")), (None, "and " + item)]
+    docs = documents(rows)
+    out = sorted((r.doc_id or 0, r.text) for r in stages.one_of_each(spark, docs, sf).collect())
+    assert out == sorted([(1, text("a")), (1, text("b")), (0, text("c")), (3, text("d")), (4, ""), (4, "?"), (0, ""), (5, "so " + item), (5, text("e"))])
+    out = sorted((r.doc_id or 0, r.text) for r in stages.decontaminated(spark, docs, sf).collect())
+    assert out == sorted((i or 0, t) for i, t in rows if item not in t)
+
+
+def test_one_labelled_row_for_each_id(spark, documents):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    docs = documents([(1, f"text number {i} of one id") for i in range(50)] + [(2, "another")])
+    assert sorted(r.doc_id for r in quality.labelled(docs, labels).collect()) == [1, 2]
