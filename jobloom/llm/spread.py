@@ -45,12 +45,3 @@ def small(df: DataFrame, name: str, row_bytes: int = 16) -> tuple[DataFrame, boo
     kept = written(df, name)
     fits = kept.count() * row_bytes <= BROADCAST_BYTES
     return (F.broadcast(kept) if fits else kept), fits
-
-
-def without_ids(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is not in the one column of ``ids``; null ids stay.
-
-    The ids are broadcast if counted to be few, and joined by a shuffle otherwise.
-    """
-    ids, _ = small(ids.select(F.col(ids.columns[0]).alias("__id")).distinct(), name)
-    return docs.join(ids, docs["doc_id"] == ids["__id"], "left_anti")
