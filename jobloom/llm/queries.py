@@ -6,12 +6,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import bpe, html_text, ngram_join, preference_chat, quality, secret_scan, sharding, sql, templates, topk, warc
+from jobloom.llm import alignment, bpe, html_text, ngram_join, preference_chat, quality, secret_scan, sharding, sql, templates, topk, warc
 from jobloom.llm.registry import query
 from jobloom.llm.spread import table
 from jobloom.session import written
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op1_template_leaks")
@@ -99,3 +100,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.read_archives(archives)
     checked = records.withColumn("page_id", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", "path", "error"))).otherwise(F.col("page_id")))
     return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, digest=True).withColumnRenamed("groups", "groups_sha256")
