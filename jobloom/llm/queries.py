@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import alignment, bpe, html_text, ngram_join, preference_chat, quality, secret_scan, sharding, sql, templates, topk, warc
+from jobloom.llm import alignment, bpe, html_text, ngram_join, preference_chat, quality, resampling, secret_scan, sharding, sql, templates, topk, warc
 from jobloom.llm.registry import query
 from jobloom.llm.spread import table
 from jobloom.session import written
@@ -102,6 +102,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op11_target_resampling", sql.resampling(resampling.BUCKETS, resampling.LEAST_WORDS, resampling.PERCENT, resampling.SEED))
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, digest=True).withColumnRenamed("groups", "groups_sha256")

@@ -119,3 +119,44 @@ SELECT doc_id, n_bytes::BIGINT AS n_bytes, CASE WHEN depth = 0 THEN 'all' ELSE l
   depth::INTEGER AS depth, shard_bytes::BIGINT AS shard_bytes
 FROM a WHERE k = 1
 """
+
+
+def resampling(buckets: int, least_words: int, percent: int, seed: int) -> str:
+    """Features are single words. A word's CRC is computed byte by byte, once for each distinct word."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {words} AS words FROM documents
+), w AS MATERIALIZED (
+  SELECT r, unnest(words) AS word FROM d UNION ALL SELECT -1, unnest({words}) FROM benchmark
+), c AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda x, i: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END)) AS byte_crc
+), k AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, bytes),
+    lambda x, b: xor(x >> 8, byte_crc[(xor(x, b) & 255) + 1])), 4294967295) % {buckets} AS bucket
+  FROM (
+    SELECT word, list_transform(range(1, strlen(word) + 1), lambda i: ('0x' || substr(hex(encode(word)), 2 * i - 1, 2))::BIGINT) AS bytes
+    FROM (SELECT DISTINCT word FROM w)), c
+), b AS MATERIALIZED (
+  SELECT r, bucket, count(*) AS n FROM w JOIN k USING (word) GROUP BY r, bucket
+), h AS (
+  SELECT bucket, coalesce(sum(n) FILTER (r >= 0), 0) AS s, coalesce(sum(n) FILTER (r < 0), 0) AS t FROM b GROUP BY bucket
+), g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + {buckets})::DOUBLE
+    / ((s + 1)::DOUBLE * (sum(t) OVER () + {buckets})::DOUBLE)))::BIGINT AS gain FROM h
+), v AS (
+  SELECT r, sum(n * gain)::BIGINT AS weight FROM b JOIN g USING (bucket) WHERE r >= 0 GROUP BY r
+), x AS (
+  SELECT r, doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN v USING (r)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= {least_words} ORDER BY score DESC, doc_id NULLS LAST, n_features, r) AS place,
+    count(*) FILTER (n_features >= {least_words}) OVER () AS enough FROM x
+)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+  CASE WHEN n_features >= {least_words} AND place <= {percent} * enough // 100 THEN place END::BIGINT AS rank
+FROM o
+"""

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from jobloom.llm import queries as _  # noqa: F401  (registers them)
 from jobloom.llm.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +22,7 @@ def duck():
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql())
 
