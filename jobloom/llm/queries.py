@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobloom.llm import alignment, bpe, html_text, ngram_join, preference_chat, quality, resampling, secret_scan, sharding, sql, templates, topk, warc
+from jobloom.llm import alignment, bpe, html_text, ngram_join, preference_chat, quality, resampling, secret_scan, sharding, sql, templates, topk, toxicity, warc
 from jobloom.llm.registry import query
 from jobloom.llm.spread import table
 from jobloom.session import written
@@ -107,6 +107,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def held_out_of_toxic(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 3 == 1
+
+
+@query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(toxicity.labelled(docs, labels.filter(~held_out_of_toxic(F.col("doc_id")))))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out_of_toxic(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.scored(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, digest=True).withColumnRenamed("groups", "groups_sha256")
