@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,16 +25,26 @@ from jobloom.llm.spread import join_per_key, small
 from jobloom.session import written
 
 #: Documents in a block at most; a bit of a bitmap is a document of its block.
-BLOCK = 1 << 12
+PLACE_BITS = 12
+BLOCK = 1 << PLACE_BITS
+#: Bits of an id; a pair is A's id and B's id, in so many bits.
+ID_BITS = 20
+MOST_ID = (1 << ID_BITS) - 1
 #: A block also ends when it holds so many (pair, document) entries.
 ENTRIES = 1 << 21
-#: Characters that are tokenized at once.
-SLICE = 1 << 20
+#: Characters and documents that are tokenized at once.
+SLICE, SLICE_DOCS = 1 << 20, 1 << 9
 #: Bytes of a bitmap that is kept whole; others list their bytes that are not zero.
 WHOLE = BLOCK // 8
 #: The plane of a bitmap that says which documents hold a pair at all.
 HELD = -1
 
+#: Characters about which libraries may differ, whether they are letters, numbers or blanks.
+UNSURE = re.compile("[^\\t\\n\\r -~\u00a1-\u017f]").search
+#: Characters of a run, with or without blanks, from which a text is left to a library that takes any run.
+LONG_RUN = 1 << 12
+GAPS = re.compile(r"\S+").split
+
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 #: Rows of documents have no pair; rows of bitmaps have neither place nor document.
 ALIGNED = f"block long, place int, {DOCUMENT}, pair long, plane int, n long, bits binary"
@@ -51,6 +66,32 @@ def bytes_of_a(tokenizer: Tokenizer) -> list[bytes]:
     return [bytes(map(letters.__getitem__, t)) if set(t) <= letters.keys() else t.encode() for t in names]
 
 
+def usual(text: str) -> bool:
+    """Whether a text has Latin letters and runs of usual length only."""
+    if UNSURE(text):
+        return False
+    return len(text) < LONG_RUN or max(map(len, [*text.split(), *GAPS(text)])) < LONG_RUN
+
+
+def ranked(file_a: bytes, tokens: list[bytes]) -> tiktoken.Encoding | None:
+    """The tokenizer of ``file_a`` as an encoding by ranks, which is faster.
+
+    The two agree if the file only splits texts as byte-level files do, and merges in the order of
+    the ids; else None. Two tokens that join to a third one always do so in one way: what they
+    cover has no other cut by the merges before.
+    """
+    spec = json.loads(file_a)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    merges = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model.get("merges", [])]
+    ids = [model["vocab"][m] for m in merges] if model["type"] == "BPE" else []
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec["normalizer"]
+    if not plain or not ids or ids != sorted(ids) or model.get("ignore_merges") or len(ids) + 256 != len(set(model["vocab"]) - {t["content"] for t in spec["added_tokens"]}):
+        return None
+    special = {t["id"] for t in spec["added_tokens"]}
+    ranks = {t: i for i, t in enumerate(tokens) if i not in special}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def bytes_of_b(tokenizer: SentencePieceProcessor) -> list[bytes]:
     """The bytes of each id of a sentence-piece tokenizer."""
     ids = range(tokenizer.get_piece_size())
@@ -61,19 +102,23 @@ def bytes_of_b(tokenizer: SentencePieceProcessor) -> list[bytes]:
 
 
 class Groups(NamedTuple):
-    """Tokens of one text and the group that each belongs to, in order."""
+    """Tokens of some texts, one after the other, and the group that each belongs to.
+
+    ``starts`` has the first group of each text, and the number of groups.
+    """
 
     a: np.ndarray
     b: np.ndarray
     group_a: np.ndarray
     group_b: np.ndarray
+    starts: np.ndarray
 
     def sizes(self) -> tuple[np.ndarray, np.ndarray]:
-        n = int(self.group_a[-1]) + 1 if len(self.a) else 0
-        return np.bincount(self.group_a, minlength=n), np.bincount(self.group_b, minlength=n)
+        return np.bincount(self.group_a, minlength=self.starts[-1]), np.bincount(self.group_b, minlength=self.starts[-1])
 
 
-NONE = Groups(*(np.zeros(0, np.int64),) * 4)
+def flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
 
 
 class Aligner:
@@ -85,38 +130,51 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = SentencePieceProcessor(model_proto=file_b)
         self.bytes_a, self.bytes_b = bytes_of_a(self.a), bytes_of_b(self.b)
+        if max(len(self.bytes_a), len(self.bytes_b)) > MOST_ID:
+            raise ValueError("a vocabulary has too many ids")
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         both = [range(len(self.bytes_a)), range(len(self.bytes_b))]
+        self.ranked = ranked(file_a, self.bytes_a)
         # twice the id, and one more for the last token of its side of a group
         self.written = [f"{i}{mark}" for ids, last in zip(both, "|;", strict=True) for i in ids for mark in (",", last)]
 
-    def groups(self, texts: list[str]) -> Iterator[Groups]:
-        """Per text the tokens of space + text, cut where tokens of both end."""
-        coded_a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+    def coded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """The ids of both for space + text; none for an empty text, or one that either does not give back."""
+        whole = [" " + t for t in texts]
+        quick = [self.ranked is not None and usual(t) for t in whole]
+        others = iter(self.a.encode_batch_fast([t for t, q in zip(whole, quick, strict=True) if not q], add_special_tokens=False))
+        coded_a = [self.ranked.encode_ordinary(t) if q else next(others).ids for t, q in zip(whole, quick, strict=True)]
         coded_b = self.b.encode(texts, num_threads=1)
-        for text, code, ids_b in zip(texts, coded_a, coded_b, strict=True):
-            ids_a = code.ids
-            data = (" " + text).encode()
-            if not text or b"".join(map(self.bytes_a.__getitem__, ids_a)) != data or b"".join(map(self.bytes_b.__getitem__, ids_b)) != data:
-                yield NONE
-                continue
-            a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
-            end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-            ends = np.zeros(len(data) + 1, bool)
-            ends[end_a] = True
-            cuts = end_b[ends[end_b]]
-            yield Groups(a, b, np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b))
-
-    def text_of(self, g: Groups) -> str:
-        """The groups in order, as in ``a1,a2|b1;a3|b2,b3``."""
-        if not len(g.a):
-            return ""
+        for i, text in enumerate(whole):
+            data = text.encode()
+            # ranks give back every text
+            same = quick[i] or b"".join(map(self.bytes_a.__getitem__, coded_a[i])) == data
+            if not (texts[i] and same and b"".join(map(self.bytes_b.__getitem__, coded_b[i])) == data):
+                coded_a[i], coded_b[i] = [], []
+        return coded_a, coded_b
+
+    def groups(self, coded_a: list[list[int]], coded_b: list[list[int]]) -> Groups:
+        """The tokens of texts, cut where tokens of both end; each text ends in a cut."""
+        a, b = flat(coded_a), flat(coded_b)
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        ends = np.zeros((2, int(end_a[-1]) + 1 if len(a) else 1), bool)
+        ends[0, end_a], ends[1, end_b] = True, True
+        cut_a, cut_b = ends[1, end_a], ends[0, end_b]
+        cuts = np.concatenate(([0], np.cumsum(cut_a)))
+        starts = cuts[np.concatenate(([0], np.cumsum([len(x) for x in coded_a]))).astype(np.int64)]
+        return Groups(a, b, cuts[:-1], np.cumsum(cut_b) - cut_b, starts)
+
+    def texts_of(self, g: Groups) -> list[str]:
+        """The groups of each text in order, as in ``a1,a2|b1;a3|b2,b3``."""
+        before_a, before_b = (np.concatenate(([0], np.cumsum(n))) for n in g.sizes())
         last_a, last_b = np.diff(g.group_a, append=-1) != 0, np.diff(g.group_b, append=-1) != 0
         codes = np.empty(len(g.a) + len(g.b), np.int64)
-        codes[np.arange(len(g.a)) + np.searchsorted(g.group_b, g.group_a)] = 2 * g.a + last_a
-        codes[np.arange(len(g.b)) + np.searchsorted(g.group_a, g.group_b, "right")] = 2 * (len(self.bytes_a) + g.b) + last_b
-        return "".join(map(self.written.__getitem__, codes.tolist()))[:-1]
+        codes[np.arange(len(g.a)) + before_b[g.group_a]] = 2 * g.a + last_a
+        codes[np.arange(len(g.b)) + before_a[g.group_b + 1]] = 2 * (len(self.bytes_a) + g.b) + last_b
+        bounds = (before_a + before_b)[g.starts].tolist()
+        parts = list(map(self.written.__getitem__, codes.tolist()))
+        return ["".join(parts[x:y])[:-1] for x, y in zip(bounds, bounds[1:])]  # noqa: B905
 
 
 @functools.lru_cache(maxsize=1)
@@ -126,21 +184,21 @@ def aligner(file_a: bytes, file_b: bytes) -> Aligner:
 
 def each_once(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct (group, id) in order, and how often each occurs."""
-    both, times = np.unique(group << 32 | ids, return_counts=True)
-    return both >> 32, both & 0xFFFFFFFF, times
+    both, times = np.unique(group << ID_BITS | ids, return_counts=True)
+    return both >> ID_BITS, both & MOST_ID, times
 
 
-def pairs_of(g: Groups, most: int = ENTRIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(pair, links): the linked id pairs of a text, ``most`` at a time; a pair may come again.
+def pairs_of(g: Groups, most: int = ENTRIES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(pair, group, links): the linked id pairs, about ``most`` at a time; a pair may come again.
 
-    A pair is ``a << 32 | b``. Groups of one token on either side are one link each; in others
-    ids that occur several times are multiplied instead of paired one by one.
+    Groups of one token on either side are one link each; in others ids that occur several times
+    are multiplied instead of paired one by one.
     """
     size_a, size_b = g.sizes()
     single = (size_a == 1) & (size_b == 1)
     of_a, of_b = single[g.group_a], single[g.group_b]
-    pair = g.a[of_a] << 32 | g.b[of_b]
-    yield pair, np.ones(len(pair), np.int64)
+    pair = g.a[of_a] << ID_BITS | g.b[of_b]
+    yield pair, g.group_a[of_a], np.ones(len(pair), np.int64)
     if single.all():
         return
     group_a, a, times_a = each_once(g.group_a[~of_a], g.a[~of_a])
@@ -154,7 +212,7 @@ def pairs_of(g: Groups, most: int = ENTRIES) -> Iterator[tuple[np.ndarray, np.nd
         n = (beyond - first)[start:stop]
         row = np.repeat(np.arange(start, stop), n)
         at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[start:stop], n)
-        yield a[row] << 32 | b[at], times_a[row] * times_b[at]
+        yield a[row] << ID_BITS | b[at], group_a[row], times_a[row] * times_b[at]
         start = stop
 
 
@@ -211,27 +269,29 @@ class Block:
         self.entries = 0
 
     def add(self, g: Groups) -> None:
-        for pair, links in pairs_of(g):
+        """The next documents. A code is a pair and the place of a document."""
+        place = self.documents + np.repeat(np.arange(len(g.starts) - 1), np.diff(g.starts))
+        for pair, group, links in pairs_of(g):
             if len(pair):
-                self.codes.append(np.stack((pair, np.full(len(pair), self.documents))))
+                self.codes.append(pair << PLACE_BITS | place[group])
                 self.links.append(links)
                 self.entries += len(pair)
             if self.entries > 2 * ENTRIES:
                 self.fold()
-        self.documents += 1
+        self.documents += len(g.starts) - 1
 
     def fold(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The distinct (pair, place), sorted, and the links of each."""
-        (pair, place), links = np.concatenate(self.codes, axis=1), np.concatenate(self.links)
-        order = np.lexsort((place, pair))
-        pair, place, links = pair[order], place[order], links[order]
-        starts = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(place, prepend=-1) != 0))
-        pair, place, links = pair[starts], place[starts], np.add.reduceat(links, starts)
-        self.codes, self.links, self.entries = [np.stack((pair, place))], [links], len(pair)
-        return pair, place, links
+        codes, links = np.concatenate(self.codes), np.concatenate(self.links)
+        order = np.argsort(codes)
+        codes = codes[order]
+        starts = np.flatnonzero(np.diff(codes, prepend=-1))
+        codes, links = codes[starts], np.add.reduceat(links[order], starts)
+        self.codes, self.links, self.entries = [codes], [links], len(codes)
+        return codes >> PLACE_BITS, codes & (BLOCK - 1), links
 
-    def full(self) -> bool:
-        return self.documents >= BLOCK or self.entries >= ENTRIES
+    def takes(self, documents: int) -> bool:
+        return self.documents + documents <= BLOCK and self.entries < ENTRIES
 
     def bitmaps(self) -> Iterator[pa.RecordBatch]:
         """A bitmap for each pair, and one for each binary digit of its links beyond the first."""
@@ -263,11 +323,11 @@ def batch_of(rows: int, **columns) -> pa.RecordBatch:
 
 
 def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts that hold about SLICE characters."""
+    """Bounds of runs of texts that hold about SLICE characters, and SLICE_DOCS texts at most."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text)
-        if size >= SLICE:
+        if size >= SLICE or i + 1 - start >= SLICE_DOCS:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -282,28 +342,28 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, digest: bool = False) ->
     """
     files = docs.sparkSession.sparkContext.broadcast(tuple(open(p, "rb").read() for p in (path_a, path_b)))
 
-    names = ("block", "place", "n_a", "n_b", "n_groups", "n_links", "groups")
-
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(*files.value)
-        first = TaskContext.get().partitionId() << 32
-        block = Block(first)
+        block = Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for start, stop in slices(texts):
-                rows: list[tuple] = []
-                for g in own.groups(texts[start:stop]):
-                    size_a, size_b = g.sizes()
-                    text = own.text_of(g)
-                    if digest and text:
-                        text = hashlib.sha256(text.encode()).hexdigest()
-                    rows.append((block.number, block.documents, len(g.a), len(g.b), len(size_a), int(size_a @ size_b), text))
-                    block.add(g)
-                    if block.full():
-                        yield from block.bitmaps()
-                        block = Block(block.number + 1)
-                columns = dict(zip(names, map(list, zip(*rows, strict=True)), strict=True))
-                yield batch_of(len(rows), doc_id=ids.slice(start, stop - start), **columns)
+                n = stop - start
+                coded = own.coded(texts[start:stop])
+                g = own.groups(*coded)
+                size_a, size_b = g.sizes()
+                links = np.concatenate(([0], np.cumsum(size_a * size_b)))[g.starts]
+                lines = own.texts_of(g)
+                if digest:
+                    lines = [hashlib.sha256(x.encode()).hexdigest() if x else x for x in lines]
+                if not block.takes(n):
+                    yield from block.bitmaps()
+                    block = Block(block.number + 1)
+                place = np.arange(block.documents, block.documents + n, dtype=np.int32)
+                block.add(g)
+                yield batch_of(
+                    n, block=np.full(n, block.number), place=place, doc_id=ids.slice(start, n), n_a=[len(x) for x in coded[0]],
+                    n_b=[len(x) for x in coded[1]], n_groups=np.diff(g.starts), n_links=np.diff(links), groups=lines)
         yield from block.bitmaps()
 
     return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, ALIGNED), "aligned")
@@ -318,7 +378,7 @@ def pair_counts(rows: DataFrame) -> DataFrame:
     held = F.when(F.col("plane") == HELD, F.col("n")).otherwise(0)
     weight = F.expr("shiftleft(1L, greatest(plane, 0))")
     pairs = rows.filter("pair IS NOT NULL").groupBy("pair").agg(F.sum(held).alias("documents"), F.sum(F.col("n") * weight).alias("links"))
-    pairs = pairs.withColumns({"a": F.shiftright("pair", 32).cast("int"), "b": F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")})
+    pairs = pairs.withColumns({"a": F.shiftright("pair", ID_BITS).cast("int"), "b": F.col("pair").bitwiseAND(F.lit(MOST_ID)).cast("int")})
     most = F.max("documents").over(Window.partitionBy("a"))  # an id meets the ids of one vocabulary at most
     return pairs.select("pair", "a", "b", "documents", "links", (F.col("documents") == most).alias("best"))
 

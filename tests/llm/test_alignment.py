@@ -92,7 +92,8 @@ def test_given_documents(spark):
 def test_small_blocks_and_no_broadcast(spark, documents, monkeypatch):
     """Blocks of eight documents, and pair counts that are joined by a shuffle."""
     monkeypatch.setattr(spread, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(alignment.Block, "full", lambda self: self.documents >= 8)
+    monkeypatch.setattr(alignment, "SLICE_DOCS", 3)
+    monkeypatch.setattr(alignment.Block, "takes", lambda self, n: self.documents + n <= 8)
     docs = documents(list(enumerate(TEXTS * 3))).coalesce(1)
     assert rows_of(alignment.scored(docs, A, B)) == brute(TEXTS * 3)
 
@@ -125,12 +126,20 @@ def test_bitmaps(n):
 
 
 def test_groups_of_many_tokens():
-    g = alignment.Groups(np.array([1, 1, 2, 3]), np.array([7, 8, 8, 9]), np.array([0, 0, 0, 1]), np.array([0, 0, 0, 1]))
-    want = Counter({(1, 7): 2, (1, 8): 4, (2, 7): 1, (2, 8): 2, (3, 9): 1})
+    g = alignment.Groups(np.array([1, 1, 2, 3]), np.array([7, 8, 8, 9]), np.array([0, 0, 0, 1]), np.array([0, 0, 0, 1]), np.array([0, 1, 2]))
+    want = Counter({(1, 7, 0): 2, (1, 8, 0): 4, (2, 7, 0): 1, (2, 8, 0): 2, (3, 9, 1): 1})
     for most in (1, 2, 100):
         got = Counter()
-        for pair, links in alignment.pairs_of(g, most):
-            for p, n in zip(pair.tolist(), links.tolist()):
-                got[p >> 32, p & 0xFFFFFFFF] += n
+        for pair, group, links in alignment.pairs_of(g, most):
+            for p, k, n in zip(pair.tolist(), group.tolist(), links.tolist()):
+                got[p >> alignment.ID_BITS, p & alignment.MOST_ID, k] += n
         assert got == want
 
+
+def test_ranks_give_the_ids_of_the_file():
+    own = alignment.Aligner(*(open(p, "rb").read() for p in (A, B)))
+    texts = [t or "" for t in TEXTS] + ["don't we'll  \n\t x1y2 ²³ ªº ÀÿĀſ\u00ad", "a" * 5000 + " b", " " * 5000]
+    assert own.ranked and [alignment.usual(t) for t in texts[-3:]] == [True, False, False]
+    for text in texts:
+        if alignment.usual(text):
+            assert own.ranked.encode_ordinary(" " + text) == own.a.encode(" " + text, add_special_tokens=False).ids
