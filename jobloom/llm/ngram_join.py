@@ -22,8 +22,8 @@ THRESHOLD = 0.8
 RECALL = 0.99999
 #: Hash functions that bands and rows may use in all.
 MOST_HASHES = 160
-#: Members in a block; large buckets are compared block by block.
-BLOCK = 128
+#: Members and n-grams in a block; larger buckets are compared block by block.
+MOST_MEMBERS, MOST_NGRAMS = 1 << 10, 1 << 18
 
 SKETCH = "doc_id long, digest binary, n long, bands array<bigint>"
 
@@ -135,42 +135,88 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, band, size, node): the members of the buckets that have to be looked at.
+    """(bucket, band, parts, node, members): the members of the buckets that have to be looked at.
 
     A bucket is a band with one value. Buckets of one member have no pairs. Of buckets with
     the same members only the one of the first band stays: a pair counts in the first band that
-    brings it together, and that band is the same for all of them.
+    brings it together, and that band is the same for all of them. ``parts`` is the number of
+    blocks that a bucket takes.
     """
-    held = classes.select("node", F.posexplode("bands").alias("band", "value"))
-    held = held.select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    held = classes.select("node", "n", "members", F.posexplode("bands").alias("band", "value"))
+    held = held.select("node", "n", "members", "band", F.xxhash64("band", "value").alias("bucket"))
     counted = held.groupBy("bucket", "band").agg(
-        F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-    first = counted.filter("size > 1").groupBy("x", "y", "size").agg(F.min(F.struct("band", "bucket")).alias("b"))
-    live, few = small(first.select("b.bucket", "size"), "live-buckets", 24)
+        F.count("*").alias("size"), F.sum("n").alias("ngrams"),
+        F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    first = counted.filter("size > 1").groupBy("x", "y", "size", "ngrams").agg(F.min(F.struct("band", "bucket")).alias("b"))
+    parts = F.greatest(F.ceil(F.col("size") / MOST_MEMBERS), F.ceil(F.col("ngrams") / MOST_NGRAMS)).cast("int")
+    live, few = small(first.select("b.bucket", parts.alias("parts")), "live-buckets", 24)
+    held = held.drop("n")
     return held.join(live, "bucket") if few else join_per_key(held, "bucket", ["node"], live, "inner")
 
 
-def block_pairs(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Each member once for each pair of blocks (low, high) of its bucket that its block is in."""
-    parts = F.ceil(F.col("size") / block).cast("int")
-    own = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return own.select("bucket", "band", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node")
+def cores(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(node, members, home): the core that a member of a bucket of several blocks belongs to.
 
+    Such a bucket has a pivot, the member with the most copies, of these the smallest. By the n-grams
+    of the pivot that x lacks, and those of x, a pair shares at least ``|pivot| - lacks_x - lacks_y``
+    n-grams, and is linked if that is t / (1 + t) of ``n_x + n_y``. All members whose half of this
+    holds are linked to each other and need no comparison: they are the pivot's core, whatever
+    bucket they share with it. A member in several cores belongs to that of the first pivot, so
+    buckets of one group mostly have one core.
+    """
+    order = F.struct((-F.col("members")).alias("rank"), F.col("node").alias("pivot"))
+    large = members.filter("parts > 1").select("bucket", "node", "members")
+    pivots = large.groupBy("bucket").agg(F.min(order).alias("first")).select("bucket", "first.*")
+    pivots = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("ngrams").alias("center")), "pivot")
+    rows = join_per_key(large.join(sets.select("node", "ngrams"), "node"), "bucket", ["node"], pivots, "inner")
+    share = threshold / (1 + threshold)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for own, center in zip(batch.column(4), batch.column(5), strict=True):
+                x, p = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(center.as_py(), np.uint64)
+                lacks = len(p) - len(np.intersect1d(x, p, assume_unique=True))
+                kept.append(2 * (lacks + share * len(x)) <= len(p) - 1e-6)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(kept, pa.bool_()))
+
+    found = rows.select("node", "members", "rank", "pivot", "ngrams", "center").mapInArrow(near, "node binary, members long, rank long, pivot binary")
+    return found.groupBy("node", "members").agg(F.min(F.struct("rank", "pivot")).alias("first")).select(
+        "node", "members", F.col("first.pivot").alias("home"))
+
+
+def core_links(homes: DataFrame) -> DataFrame:
+    """(node, hub, links) of the members of cores: all others of the core, and its smallest node."""
+    per_home = homes.groupBy("home").agg(F.sum("members").alias("all"), F.min("node").alias("hub"))
+    rows = join_per_key(homes, "home", ["node"], per_home, "inner")
+    return rows.select("node", "hub", (F.col("all") - F.col("members")).alias("links")).filter("links > 0")
 
-class Group:
-    """Members of one pair of blocks, compared in whole."""
 
-    def __init__(self, rows: list[dict], threshold: float):
-        self.threshold = threshold
-        self.band, self.low, self.high = rows[0]["band"], rows[0]["low"], rows[0]["high"]
-        self.names = sorted({bytes(r["node"]) for r in rows})
+#: ``core`` is a member's core, empty for none, and ``home`` that of its block.
+ROWS = "bucket long, home binary, part int, parts int, band int, node binary, members long, bands array<bigint>, core binary, ngrams binary"
+LINKS = "node binary, hub binary, links long"
+PACKED = f"{LINKS}, bucket long, home binary, part int, packed binary"
+
+
+class Group:
+    """Members of one block, or of two, compared in whole."""
+
+    def __init__(self, blocks: list[pa.Table], threshold: float):
+        rows = pa.concat_tables(blocks)
+        column = {c: rows.column(c).combine_chunks() for c in ("node", "members", "bands", "core", "ngrams", "band")}
+        self.threshold, self.two = threshold, len(blocks) == 2
+        self.band = column["band"][0].as_py()
+        nodes = [n.as_py() for n in column["node"]]
+        self.names = sorted(set(nodes))
         place = {n: i for i, n in enumerate(self.names)}
-        self.node = np.array([place[bytes(r["node"])] for r in rows], np.int64)  # by order
-        self.own = np.array([r["own"] for r in rows], np.int64)
-        self.members = np.array([r["members"] for r in rows], np.int64)
-        self.bands = np.array([r["bands"] for r in rows], np.int64)
-        sets = [np.frombuffer(r["ngrams"], np.uint64) for r in rows]
+        self.node = np.array([place[n] for n in nodes], np.int64)  # by order
+        self.own = np.repeat(np.arange(len(blocks)), [b.num_rows for b in blocks])
+        self.members = column["members"].to_numpy()
+        none = -1 - np.arange(rows.num_rows)  # differ from all
+        core = column["core"].dictionary_encode()
+        self.core = np.where([len(x.as_py()) == 0 for x in column["core"]], none, core.indices.to_numpy())
+        self.bands = np.array(column["bands"].to_pylist(), np.int64)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in column["ngrams"]]
         self.n = np.array([len(s) for s in sets])
         self.starts = np.concatenate(([0], np.cumsum(self.n)))
         self.codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -178,15 +224,16 @@ class Group:
     def links(self) -> Iterator[tuple[int, np.ndarray]]:
         """(i, js): the members alike to member i, each pair once.
 
-        A pair is compared in the first band they share, and blocks of different number only
-        with each other.
+        A pair is compared in the first band they share, if it is not of one core. Members of
+        two blocks are compared with those of the other only.
         """
         mark = np.zeros(self.codes.max() + 1, bool)
         at = np.arange(len(self.node))
         for i in at:
-            js = (self.own != self.own[i]) & (at > i) if self.low != self.high else at > i
+            js = (at > i) & (self.own != self.own[i]) if self.two else at > i
             js &= np.minimum(self.n, self.n[i]) >= self.threshold * np.maximum(self.n, self.n[i])
-            js &= ~(self.bands[:, : self.band] == self.bands[i, : self.band]).any(axis=1) & (self.node != self.node[i])
+            js &= (self.node != self.node[i]) & (self.core != self.core[i])
+            js[js] = ~(self.bands[js, : self.band] == self.bands[i, : self.band]).any(axis=1)
             if not js.any():
                 continue
             mark[self.codes[self.starts[i] : self.starts[i + 1]]] = True
@@ -216,29 +263,106 @@ class Group:
         return [(self.names[self.node[i]], self.names[self.node[top(i)]], int(count[i])) for i in range(len(root)) if count[i]]
 
 
-def verified(grouped: DataFrame, threshold: float) -> DataFrame:
-    """(node, hub, links) of rows sorted by (bucket, low, high) within partitions, group by group."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in ``keys``, over the bounds of batches."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        values = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+        start = 0
+        for i, value in enumerate(values):
+            if value != now:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, start, now = [], i, value
+        if len(values) > start:
+            held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def link_arrays(found: list[tuple[bytes, bytes, int]]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in found], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))]
+
+
+def blocks(rows: DataFrame, threshold: float) -> DataFrame:
+    """PACKED rows of ROWS: links of the buckets of one block, and the blocks of larger ones, a row each.
+
+    A block has the members of one core, or of none, that hash to its part. So a member's n-gram
+    set moves once per bucket.
+    """
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-        key = None
+        for group in runs(batches, ["bucket", "home", "part"]):
+            if group.column("parts")[0].as_py() == 1:
+                links = link_arrays(Group([group], threshold).found())
+                rest = [pa.nulls(len(links[0]), t) for t in (pa.int64(), pa.binary(), pa.int32(), pa.binary())]
+            else:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, group.schema) as out:
+                    out.write_table(group)
+                links = [pa.nulls(1, t) for t in (pa.binary(), pa.binary(), pa.int64())]
+                rest = [group.column(c).combine_chunks()[:1] for c in ("bucket", "home", "part")] + [pa.array([sink.getvalue().to_pybytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*links, *rest], [c.split()[0] for c in PACKED.split(", ")])
+
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    keys = ["bucket", "home", "part"]
+    return rows.select(*names).repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(verify, PACKED)
+
+
+def block_pairs(packed: DataFrame) -> DataFrame:
+    """(bucket, low, high, own, packed): each block once for each block of its bucket that it has to meet.
+
+    Two blocks of one core need not meet, so a bucket that is one core has no pairs.
+    """
+    own = packed.select("bucket", "packed", F.struct("home", "part").alias("block"))
+    of_bucket = own.groupBy("bucket").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    rows = own.join(of_bucket, "bucket").withColumn("own", (F.array_position("blocks", F.col("block")) - 1).cast("int"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.size("blocks") - 1),
+        lambda j: (F.length("block.home") == 0) | (F.get("blocks", j)["home"] != F.col("block.home")))
+    rows = rows.withColumn("other", F.explode(others))
+    return rows.select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "packed")
 
-        def out() -> pa.RecordBatch:
-            rows = Group(held, threshold).found()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64()))], ["node", "hub", "links"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                now = row["bucket"], row["low"], row["high"]
-                if now != key and held:
-                    yield out()
-                    held = []
-                key = now
-                held.append(row)
-        if held:
-            yield out()
+def verified(pairs: DataFrame, threshold: float) -> DataFrame:
+    """LINKS between the members of two blocks, or within one."""
 
-    return grouped.mapInArrow(verify, "node binary, hub binary, links long")
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ["bucket", "low", "high"]):
+            held = [pa.ipc.open_stream(x.as_py()).read_all() for x in group.column("packed")]
+            yield pa.RecordBatch.from_arrays(link_arrays(Group(held, threshold).found()), ["node", "hub", "links"])
+
+    keys = ["bucket", "low", "high"]
+    return pairs.repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(verify, LINKS)
+
+
+def links_of(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """LINKS of all pairs that a bucket brings together, stored; each pair once.
+
+    ``members`` is the output of ``buckets``, ``sets`` has node, bands and ngrams.
+    """
+    large = not members.filter("parts > 1").isEmpty()
+    rows = members.join(sets, "node")
+    if large:
+        homes = written(cores(members, sets, threshold), "cores")
+        rows = rows.join(homes.select("node", "home"), "node", "left")
+    else:
+        rows = rows.withColumn("home", F.lit(b""))
+    several = F.col("parts") > 1
+    core = F.coalesce("home", F.lit(b""))
+    part = F.when(several, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).otherwise(0)
+    rows = rows.select(
+        "bucket", F.when(several, core).otherwise(F.lit(b"")).alias("home"), part.alias("part"), "parts", "band", "node", "members", "bands",
+        core.alias("core"), "ngrams")
+    done = written(blocks(rows, threshold), "blocks")
+    found = done.filter("node IS NOT NULL").select("node", "hub", "links")
+    if large:
+        across = written(verified(block_pairs(done.filter("packed IS NOT NULL")), threshold), "block-links")
+        found = found.unionByName(across).unionByName(core_links(homes))
+    return found
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -274,14 +398,15 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     classes = drawn.groupBy("digest").agg(
         F.min("doc_id").alias("low"), F.count("*").alias("members"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", node_of("low", "digest")), "classes")
-    compared = classes.filter("n > 0").select("node", "members", "bands")
-    members = written(block_pairs(buckets(compared)), "bucket-members")
+    compared = classes.filter("n > 0").select("node", "members", "n", "bands")
+    members = written(buckets(compared), "bucket-members")
     nodes, _ = small(members.select("node").distinct(), "candidates", 32)
     ids, _ = small(nodes.select(doc_of(F.col("node")).alias("doc_id")).distinct(), "candidate-ids")
     sets = sets_of(docs, ids, words).select(node_of("doc_id", "digest").alias("node"), "ngrams")
-    info = compared.join(nodes, "node", "left_semi").join(sets, "node")
-    grouped = members.join(info, "node").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
-    found = written(verified(grouped, threshold), "links")
+    info = compared.select("node", "bands").join(nodes, "node", "left_semi").join(sets, "node")
+    if not members.filter("parts > 1").isEmpty():
+        info = written(info, "candidate-sets")  # read twice then
+    found = written(links_of(members, info, threshold), "links")
     labels = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_class = classes.select("digest", "node", "members", "n").join(labels, "node", "left").join(links, "node", "left").select(

@@ -62,6 +62,56 @@ def test_large_group_of_near_copies(spark, documents):
     assert run(documents(rows)) == brute(rows)
 
 
+def near_copies(n, edits, seed=4):
+    """Copies of a text of 120 words with up to ``edits`` words changed, and unlike texts."""
+    rnd = random.Random(seed)
+    words = [f"w{rnd.randrange(900)}" for _ in range(120)]
+    rows = []
+    for i in range(n):
+        copy = list(words)
+        for _ in range(rnd.randrange(edits + 1)):
+            copy[rnd.randrange(120)] = f"x{rnd.randrange(50)}"
+        rows.append((i, " ".join(copy)))
+    return rows + [(100_000 + i, f"unlike text number {i} of {i * 7} words that {i} nobody {i * 3} shares") for i in range(20)]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3, 5])
+def test_blocks_of_one_bucket(spark, documents, monkeypatch, edits):
+    """Cores, rings, and blocks of few members; copies of other texts beside them."""
+    monkeypatch.setattr(nj, "MOST_MEMBERS", 16)
+    rows = near_copies(150, edits) + [(200_000 + i, t) for i, t in near_copies(60, edits, 9)]
+    assert run(documents(rows + [(7, rows[3][1]), (8, rows[3][1])])) == brute(rows + [(7, rows[3][1]), (8, rows[3][1])])
+
+
+def test_blocks_by_ngrams(spark, documents, monkeypatch):
+    monkeypatch.setattr(nj, "MOST_NGRAMS", 500)
+    rows = near_copies(40, 3)
+    assert run(documents(rows)) == brute(rows)
+
+
+def test_rows_grow_with_the_group(spark, documents, monkeypatch):
+    """Blocks, and the pairs of blocks that meet, of 500, 1,000 and 2,000 near copies of one text."""
+    monkeypatch.setattr(nj, "MOST_MEMBERS", 64)
+    made = collections.defaultdict(list)
+    for name in ("blocks", "block_pairs", "verified"):
+        def watched(rows, *more, name=name, build=getattr(nj, name)):
+            made[name].append(rows.count())
+            return build(rows, *more)
+        monkeypatch.setattr(nj, name, watched)
+    for n in (500, 1000, 2000):
+        words = [f"w{i}" for i in range(600)]
+        rows = []
+        for i in range(n):
+            copy = list(words)
+            copy[(i * 37) % 300] = f"x{i}"
+            rows.append((i, " ".join(copy)))
+        out = nj.similar(documents(rows)).collect()
+        assert {(r.class_id, r.n_links) for r in out} == {(0, n - 1)}
+    for name in ("blocks", "verified"):
+        a, b, c = made[name]
+        assert b <= 2.5 * a + 10 and c <= 2.5 * b + 10, made
+
+
 def test_awkward_rows(spark, documents):
     long = "tok " + " ".join(f"word{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, "?!"), (4, "one two"), (5, "One, two!"), (6, "one two three four five"),
