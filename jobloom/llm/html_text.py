@@ -34,29 +34,47 @@ BLOCKS = frozenset((
 ).split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_NAMES = frozenset((
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs complementary consent contentinfo "
-    "cookie cookies copyright footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice "
-    "notices notification overlay pager pagination popup promo promoted promotion recommended related search share "
-    "sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget"
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent contentinfo cookie cookies "
+    "footer gdpr login masthead menu modal nav navbar navigation newsletter notification notifications overlay pager "
+    "pagination popup promo promoted promotion share sharing sidebar signup skip social sponsor sponsored subscribe "
+    "subscription toc toolbar topbar widget"
 ).split())
-REMARK_NAMES = frozenset("comment comments disqus replies reply respond".split())
+#: Names that stand for asides as well as for what an article is about.
+VAGUE_NAMES = frozenset("complementary copyright legal notice notices recommended related search".split())
 #: Elements of these names are never read, nor are articles inside them.
 CLOSED_NAMES = frozenset((
-    "ad ads advert adverts advertisement advertising promo promoted promotion recommended related sponsor sponsored"
+    "ad ads advert adverts advertisement advertising promo promoted promotion sponsor sponsored"
 ).split())
+#: Readers' remarks, where such a word starts or ends a name.
+REMARK = re.compile(
+    r"comments?(?:list|form|box|area|body|text|thread|section|wrap|wrapper|container|feed|meta|count)?|disqus|replies|reply|respond")
 #: Before such a word a name says what is not there, or how the page is laid out.
-LAYOUT = frozenset("with without has have no not non hide hidden show open is toggle".split())
+LAYOUT = frozenset("with without has have no not non hide hidden show open closed is toggle".split())
+#: Beside such a name another is only in doubt.
+ARTICLE_NAMES = frozenset("article body content entry main page post story text".split())
+#: What an open element is ended by when it is not closed: the next of these, up to the container.
+ENDED_BY = {
+    "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
+    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])), "td": (frozenset(["td", "th", "tr"]), frozenset(["table"])),
+    "th": (frozenset(["td", "th", "tr"]), frozenset(["table"])), "tr": (frozenset(["tr", "tbody", "tfoot"]), frozenset(["table"])),
+}
 
 #: Below these characters a block is short; above this share of link text it is a menu.
 SHORT, LINKS = 70, 0.5
 #: Share of stop words from which a long block is text, and up to which it is not.
 DENSE, SPARSE = 0.2, 0.08
+#: Share of stop words in all words of a page below which its language is none of the four.
+KNOWN = 0.03
+#: Characters that take the place of SHORT in scripts that write no spaces.
+SHORT_UNSPACED = 25
+#: Blocks in doubt go if the others hold this share of their dense text.
+DOUBT = 0.25
 
 # comments; declarations; tags, by quoted values or, with a quote left open, up to the next ">"; a tag cut short
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|"""
     r"""<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^>"'])*+|[^>]*+)>|<[a-zA-Z/!?][^>]*+\Z""", re.S)
-NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,56 +86,68 @@ class Block(NamedTuple):
     doubt: bool = False  # a name that only holds an aside's name, as in "comment-list" or "has-toc"
 
 
-def named(value: str) -> tuple[set[str], bool]:
-    """The names that whole classes or ids are or end in, and whether others hold such a name."""
+def attributes_of(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name; quoted values are never taken for names."""
+    return {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(raw) if m[1]}
+
+
+def named(value: str) -> tuple[set[str], bool, bool]:
+    """The names that whole classes or ids are or end in; whether one stands for remarks; whether others are in doubt."""
     sure: set[str] = set()
-    doubt = False
-    known = ASIDE_NAMES | REMARK_NAMES | {"header"}
+    remark = doubt = False
     for one in value.split():
         parts = [p for p in re.split(r"[^a-z0-9]+", one) if p]
-        if parts and parts[-1] in known and LAYOUT.isdisjoint(parts):
+        if not parts or not LAYOUT.isdisjoint(parts):
+            doubt = doubt or not (ASIDE_NAMES | VAGUE_NAMES).isdisjoint(parts)
+        elif REMARK.fullmatch(parts[0]) or REMARK.fullmatch(parts[-1]):
+            remark = True
+        elif parts[-1] in ASIDE_NAMES or parts[-1] == "header":
             sure.add(parts[-1])
-        elif not known.isdisjoint(parts):
+        elif not (ASIDE_NAMES | VAGUE_NAMES).isdisjoint(parts):
             doubt = True
-    return sure, doubt
+    return sure, remark, doubt
 
 
-def kind_of(tag: str, attributes: str, article: bool) -> str:
+def kind_of(tag: str, raw: str, article: bool, by_name: bool = True) -> str:
     """'hard' or 'soft' for an element that holds no article text, 'doubt' or '' for others.
 
     An article or main element opened inside a soft one is read after all. A class or id counts
-    if it is such a name or ends in it; if it only holds one, its blocks are in doubt.
+    if it is such a name or ends in it; if it only holds one, or stands beside a name for the article,
+    its blocks are in doubt. Without ``by_name`` only remarks and hidden elements go by their attributes.
     """
     if tag in DROPPED or tag == "footer" or (tag == "header" and not article):
         return "hard"
     if tag == "form":
         return "soft"
-    if not attributes or tag in HEADINGS or tag in ("html", "body"):
+    if not raw or tag in HEADINGS or tag in ("html", "body"):
         return ""
     names: set[str] = set()
-    doubt = False
-    for name, *values in NAMES.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return "hard"
-        if name == "style":
-            if "display:none" in value.replace(" ", ""):
-                return "hard"
-            continue
-        sure, some = named(value)
+    doubt = remark = False
+    own = attributes_of(raw)
+    if "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", ""):
+        return "hard"
+    for name in ("class", "id", "role"):
+        sure, remarks, some = named(own.get(name, ""))
         names |= sure
-        doubt = doubt or some
-    if tag in ("article", "main"):
+        remark, doubt = remark or remarks, doubt or some
+    if remark and tag not in ("article", "main"):
+        return "hard"
+    if tag in ("article", "main") or not by_name:
         return ""
-    if names & (REMARK_NAMES | CLOSED_NAMES):
+    if not ARTICLE_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", f"{own.get('class', '')} {own.get('id', '')}")) and not names & CLOSED_NAMES:
+        return "doubt" if names & ASIDE_NAMES or doubt else ""
+    if names & CLOSED_NAMES:
         return "hard"
     if names & ASIDE_NAMES or ("header" in names and not article):
         return "soft"
     return "doubt" if doubt else ""
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks of the page in order, without those of elements that never hold the article."""
+def blocks(page: str, by_name: bool = True) -> list[Block]:
+    """Blocks of the page in order, without those of elements that never hold the article.
+
+    Elements whose end tags may be left out end where HTML says so.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = []  # tag, kind of what is dropped, inside an article, in doubt
     opened: Counter[str] = Counter()
@@ -134,6 +164,27 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         linked, heading = 0, False
 
+    def close(name: str) -> None:
+        while True:
+            tag = stack.pop()[0]
+            opened[tag] -= 1
+            if tag == name:
+                return
+
+    def end_open(tag: str) -> None:
+        """End the elements that ``tag`` ends when it opens."""
+        if opened["p"] and tag in BLOCKS:  # what is open inside a p holds no blocks
+            close("p")
+        for own in ("li", "dt", "dd", "td", "th", "tr"):
+            by, within = ENDED_BY[own]
+            if opened[own] and tag in by:
+                for name in (x[0] for x in reversed(stack)):
+                    if name in within:
+                        break
+                    if name == own:
+                        close(own)
+                        break
+
     def add(raw: str) -> None:
         nonlocal linked, breaks
         if not raw or (stack and stack[-1][1]):
@@ -163,20 +214,17 @@ def blocks(page: str) -> list[Block]:
             breaks = 0
         if closing:
             if opened[tag]:
-                while True:
-                    name = stack.pop()[0]
-                    opened[name] -= 1
-                    if name == tag:
-                        break
+                close(tag)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
+        end_open(tag)
         if tag in VOID or attributes.endswith("/"):
             continue
         _, kind, article, doubt = stack[-1] if stack else ("", "", False, False)
-        own = kind_of(tag, attributes, article)
+        own = kind_of(tag, attributes, article, by_name)
         if own == "doubt":
             own, doubt = "", True
         if tag in ("article", "main") and not own:
@@ -198,15 +246,34 @@ def density(block: Block) -> float:
     return sum(w in STOP_WORDS for w in words) / max(1, len(words))
 
 
-def first_pass(block: Block) -> bool | None:
+def known(found: list[Block]) -> bool:
+    """Whether the page is in a language whose stop words are known."""
+    words = [w for b in found if b.linked <= LINKS * len(b.text) for w in WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) >= KNOWN * len(words)
+
+
+def is_short(block: Block) -> bool:
+    spaced = len(block.text) < 12 * (1 + block.text.count(" "))
+    return len(block.text) < (SHORT if spaced else SHORT_UNSPACED)
+
+
+def is_dense(block: Block, by_words: bool) -> bool:
+    """Long, not mostly links, and of many stop words, if the page's language is ``known``."""
+    return not is_short(block) and block.linked <= LINKS * len(block.text) and (not by_words or density(block) >= DENSE)
+
+
+def first_pass(block: Block, by_words: bool = True) -> bool | None:
     """True for text, False for the rest, None where a short or middling block can't tell.
 
-    A long block of an article needs fewer stop words to be text, and with few it can't tell.
+    A long block of an article needs fewer stop words to be text, and with few it can't tell. In
+    a language whose stop words are not known, length and links decide.
     """
     if block.linked > LINKS * len(block.text) and not block.heading:
         return False
-    if len(block.text) < SHORT:
+    if is_short(block):
         return None
+    if not by_words:
+        return True
     share = density(block)
     if block.article:
         return True if share > SPARSE else None
@@ -239,9 +306,9 @@ def second_pass(found: list[Block], labels: list[bool | None]) -> list[bool]:
     return out
 
 
-def weights(found: list[Block], inside: list[bool]) -> tuple[int, int]:
+def weights(found: list[Block], inside: list[bool], by_words: bool) -> tuple[int, int]:
     """Characters of dense text inside and outside; of all text that is not links, if none is dense."""
-    dense = [len(b.text) >= SHORT and b.linked <= LINKS * len(b.text) and density(b) >= DENSE for b in found]
+    dense = [is_dense(b, by_words) for b in found]
     sizes = [len(b.text) * d if any(dense) else len(b.text) - b.linked for b, d in zip(found, dense, strict=True)]
     within = sum(n for n, i in zip(sizes, inside, strict=True) if i)
     return within, sum(sizes) - within
@@ -250,20 +317,26 @@ def weights(found: list[Block], inside: list[bool]) -> tuple[int, int]:
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line. Empty for an empty or null page.
 
-    Blocks in doubt are left out if the others hold as much dense text, and blocks outside of
-    article and main elements if these hold as much. The two passes decide on the rest.
+    Blocks in doubt are left out if the others hold a quarter as much dense text, and blocks
+    outside of article and main elements if these hold as much as they do. The two passes decide
+    on the rest. A page of which nothing is left is read once more without the names of its elements.
     """
-    found = blocks(page or "")
-    for inside in (lambda b: not b.doubt, lambda b: b.article):
-        flags = [inside(b) for b in found]
-        if any(flags) and not all(flags):
-            own, others = weights(found, flags)
-            found = [b for b, f in zip(found, flags, strict=True) if f] if own >= others else found
-    labels = second_pass(found, [first_pass(b) for b in found])
-    return "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
+    for by_name in (True, False):
+        found = blocks(page or "", by_name)
+        by_words = known(found)
+        for inside, least in ((lambda b: not b.doubt, DOUBT), (lambda b: b.article, 1.0)):
+            flags = [inside(b) for b in found]
+            if any(flags) and not all(flags):
+                own, others = weights(found, flags, by_words)
+                found = [b for b, f in zip(found, flags, strict=True) if f] if own >= least * others else found
+        labels = second_pass(found, [first_pass(b, by_words) for b in found])
+        text = "\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
+        if text:
+            break
+    return text
 
 
 @F.arrow_udf(StringType())
 def extracted(pages: pa.Array) -> pa.Array:
-    """A column function from whole html to main text, page by page."""
+    """A column function from whole html to main text, page by page; repeated pages give equal texts."""
     return pa.array([main_text(p.as_py()) for p in pages], pa.string())

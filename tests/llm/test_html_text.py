@@ -105,3 +105,40 @@ def test_a_wrapper_that_holds_a_name_keeps_its_text(name, tag):
 @pytest.mark.parametrize("name", ["comments", "post-comments", "comment-list", "site-footer", "left-sidebar", "related_posts"])
 def test_named_elements_beside_the_text_go(name):
     assert ht.main_text(f'<div class="post"><p>{LONG}</p></div><div class="{name}"><p>{LONG[:90]}</p></div>') == LONG
+
+
+S = "The council has agreed on a plan for the old harbour, and the work is to begin in the spring of next year."
+REMARK = "I think that this is a very long remark about the thing and it is not a part of the article that was written at all. " * 3
+
+
+@pytest.mark.parametrize("element", [
+    'div class="comments-area"', 'div class="comment-list"', 'ol class="commentlist"', 'section id="comments-section"',
+    'div id="disqus_thread"', 'div class="post-comments"', "div class=comment", 'div class="comment-respond"',
+])
+def test_remarks_never_count(element):
+    tag = element.split()[0]
+    inner = f"<li>{REMARK}<li>{REMARK}" if tag == "ol" else f"<p>{REMARK}</p><p>{REMARK}</p>"
+    page = f"<div><h1>Title</h1><p>{S}</p></div><{element}>{inner}</{tag}>"
+    assert ht.main_text(page) == f"Title\n{S}"
+    assert ht.main_text(f"<article><h1>Title</h1><p>{S}</p><{element}>{inner}</{tag}></article>") == f"Title\n{S}"
+
+
+@pytest.mark.parametrize("page", [
+    f'<div title="the hidden valley">{S}</div>', f"<p class=notice>Cookies.<p>{S}", f"<ul><li class=ad>Buy now.<li>{S}</ul>",
+    f'<div class="article search">{S}</div>', f'<div id="public-notice">{S}</div>', f'<div data-x="class=sidebar">{S}</div>',
+    f"<table><tr><td class=ad>Buy now.<td>{S}<tr><td class=menu>Menu</table>", f"<dl><dt class=ad>Buy<dd>{S}</dl>",
+    f'<div class="search-results"><p>{S}</p></div>', f'<div class="sidebar"><p>{S}</p></div>',
+    f'<div><p>{S}</p></div><div class="related-posts"><p>{REMARK}</p></div>',
+])
+def test_article_text_is_kept_and_asides_go(page):
+    assert ht.main_text(page) == S
+
+
+@pytest.mark.parametrize("text", [
+    "Городской совет утвердил план восстановления старой гавани, и работы должны начаться весной следующего года.",
+    "市议会已经同意了旧港口的重建计划，工程将于明年春天开始，届时市民可以前往参观并提出意见和建议。",
+    "Kaupunginvaltuusto hyväksyi vanhan sataman kunnostussuunnitelman, ja työt alkavat ensi vuoden keväällä.",
+])
+def test_languages_without_stop_words(text):
+    page = f"<ul class=menu><li><a href=x>a</a></ul><div><h1>Z</h1><p>{text}</p><p>{text}</p></div><div><a href=a>{text}</a></div>"
+    assert ht.main_text(page) == f"Z\n{text}\n{text}"
