@@ -14,12 +14,12 @@ CONSISTENT = ("Intro words. A train leaves Berlin at 7:15 and drives 340 km to r
               "How long does the trip from Berlin take? More.")
 
 
-def brute(spark, docs, bench, size=8, cover=0.5):
+def brute(spark, docs, bench, size=8, cover=0.5, literals=0, opening=False):
     """Word by word in Python over the words that Spark cut."""
 
     def cut(rows):
         df = spark.createDataFrame([r for r in rows if r[0] is not None], "i long, text string").distinct()
-        out = df.select("i", tp.values(F.col("text")).alias("v"), tp.template(F.col("text")).alias("t")).collect()
+        out = df.select("i", tp.values(F.col("text"), opening).alias("v"), tp.template(F.col("text"), opening).alias("t")).collect()
         assert all(len(r.v) == len(r.t) for r in out)
         return [(r.i, r.v, r.t) for r in out]
 
@@ -157,3 +157,85 @@ def test_runs_of_long_items_and_short_items_in_long_documents(spark):
             (6, "short one, not here"), (7, "a b c d e f g"), (8, "x a b c d e f g h"), (9, "short"), (10, None)]
     assert set(pairs(spark, docs, bench)) == {(1, 1), (2, 1), (5, 2), (7, 5), (8, 5)}
     assert pairs(spark, docs, []) == {} and pairs(spark, [], bench) == {}
+
+
+def brute_found(spark, docs, bench, size=8, cover=0.5, run=13, literals=3):
+    """``found`` by loops: template windows of enough literal words whose slots are consistent, and runs of plain words."""
+
+    def cut(rows, opening):
+        df = spark.createDataFrame([r for r in rows if r[0] is not None], "i long, text string").distinct()
+        return [(r.i, r.v, r.t) for r in df.select("i", tp.values(F.col("text"), opening).alias("v"), tp.template(F.col("text"), opening).alias("t")).collect()]
+
+    out = set()
+    for opening in (False, True):
+        documents = cut(docs, opening)
+        for item, asked, own in cut(bench, opening):
+            n = min(size, len(own))
+            spans = [p for p in range(len(own) - n + 1) if n and sum(not w.startswith(tp.MARK) for w in own[p : p + n]) * size >= n * literals]
+            covered = collections.defaultdict(set)
+            for doc, given, other in documents:
+                if n < size and len(other) != n:
+                    continue
+                shifts = collections.defaultdict(list)
+                for p in spans:
+                    for at in range(len(other) - n + 1):
+                        if other[at : at + n] == own[p : p + n]:
+                            shifts[at - p].append(p)
+                for shift, places in shifts.items():
+                    stands = collections.defaultdict(set)
+                    for k in {k for p in places for k in range(p, p + n)}:
+                        if asked[k].startswith(tp.MARK):
+                            stands[asked[k]].add(given[k + shift])
+                    mixed = {k for k, w in enumerate(asked) if len(stands.get(w, ())) > 1}
+                    covered[doc] |= {p for p in places if not mixed & set(range(p, p + size))}
+            out |= {(d, item) for d, places in covered.items() if places and len(places) >= cover * len(spans)}
+    for item, asked, _ in cut(bench, False):
+        own = [w[2:] if w.startswith(tp.MARK) else w for w in asked]
+        n = min(size, len(own))
+        covered, rows = collections.defaultdict(set), set()
+        for doc, given, _ in cut(docs, False):
+            other = [w[2:] if w.startswith(tp.MARK) else w for w in given]
+            for p in range(len(own) - n + 1 if n else 0):
+                if any(other[at : at + n] == own[p : p + n] for at in range(len(other) - n + 1)):
+                    covered[doc].add(p)
+            if any(other[at : at + run] == own[p : p + run] for p in range(len(own) - run + 1) for at in range(len(other) - run + 1)):
+                rows.add((doc, item))
+        out |= rows | {(d, item) for d, places in covered.items() if len(places) >= cover * (len(own) - n + 1)}
+    return out
+
+
+CLASH = ("item_id", "windows", "at", "place", "hits", "way", "w0", "words", "version")
+
+
+def found(spark, docs, bench):
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
+    b = spark.createDataFrame(bench, "item_id long, text string").withColumns({c: F.lit(1) for c in ("doc_id", "window", "words", "template")})
+    rows = tp.found(d, b).collect()
+    assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
+    return {(r.doc_id, r.item_id) for r in rows}
+
+
+def test_found_equals_brute_force(spark):
+    docs = [(i, t[:400] if t else t) for i, t in DOCS if i != 11]
+    assert found(spark, docs, BENCH) == brute_found(spark, docs, BENCH)
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "Gamma", "7", "12 km", "delta,", "omega.", "kappa", "Sigma", "mu"]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    bench = [(i, text(rnd.randrange(3, 24))) for i in range(20)]
+    docs = [(i, text(rnd.randrange(2, 30)) + " " + bench[i % 20][1].replace("7", str(i)) + " " + text(4)) for i in range(40)]
+    assert found(spark, docs, bench) == brute_found(spark, docs, bench)
+    assert found(spark, [], bench) == set() and found(spark, docs, []) == set() and found(spark, [], []) == set()
+
+
+def test_lists_of_numbers_are_no_templates(spark):
+    item = "Sum these: 3 8 15 22 31 40 57 66 71 80 92 105 118 127 144"
+    docs = [(1, "Winners of the years 2001 2002 2003 2004 2005 2006 2007 2008 2009 2010 2011 2012 2013 2014 2015 2016"),
+            (2, "Lottery draw: 5 9 12 40 41 42 45 47 48 49 50 51 52 53 54"), (3, "so " + item.lower() + " now")]
+    assert found(spark, docs, [(1, item)]) == {(3, 1)}
+
+
+def test_numbers_of_any_length_are_one_word(spark):
+    number = ".".join("1" * 120)
+    df = spark.createDataFrame([(f"Version {number} of it has 3 parts",)], "t string")
+    v, t = df.select(tp.values(F.col("t")), tp.template(F.col("t"))).first()
+    assert len(v) == len(t) == 7 and v[1] == f"{tp.MARK}n{number}" and t[1] == f"{tp.MARK}n"
