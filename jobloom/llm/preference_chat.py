@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobloom.llm.spread import small
+from jobloom.operators.ranking import global_row_number
 
-#: Parts in which conversations of one opening are numbered, by the first two digits of an MD5 sum.
-PARTS = 256
 TURNS = "array<struct<role:string,text:string>>"
 
 
@@ -19,28 +18,24 @@ def turns(conversations: DataFrame) -> DataFrame:
 
 
 def paired(rows: DataFrame) -> DataFrame:
-    """(chosen_id, rejected_id): conversations with the same first turn, two by two.
-
-    In the order of (MD5 part, conv_id), the first and second of an opening are a pair, the
-    third and fourth, and so on. The one with more assistant characters is chosen, at a tie
-    the first. A conversation left over has a null rejected_id. No task numbers all
-    conversations of an opening: they are counted by part, and parts follow each other.
+    """(chosen_id, rejected_id): conversations two by two, those of equal openings together.
+
+    The order is that of the first turn's role, the MD5 sum of its text, and then of MD5 sums of the
+    conv_ids: so conversations with the same first turn stand side by side, and what is left over
+    of them meets others of the same role, whatever prefix they share. The first and second
+    are a pair, the third and fourth, and so on. The one with more assistant characters is chosen, at a
+    tie the first. Of an odd number the last has a null rejected_id. Conversations are numbered
+    by ranges of that order, so no task sees all of an opening.
     """
     said = F.when(F.col("role") == "assistant", F.length("text")).otherwise(0)
-    one = rows.distinct().groupBy("conv_id").agg(
-        F.min(F.struct("turn", "role", F.xxhash64("text").alias("text"))).alias("first"), F.sum(said).alias("said"))
-    one = one.select("conv_id", "said", F.xxhash64("first.role", "first.text").alias("opening"),
-                     F.substring(F.md5(F.col("conv_id").cast("string")), 1, 2).alias("part"))
-    counts = one.groupBy("opening", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("opening").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("opening", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    order = Window.partitionBy("opening", "part").orderBy("conv_id")
-    numbered = one.withColumn("i", F.row_number().over(order) - 1).join(counts, ["opening", "part"])
-    at = (F.col("i") + F.col("before")).cast("long")
-    sides = numbered.select("opening", F.floor(at / 2).alias("pair"), (-F.col("said")).alias("less"), (at % 2).alias("side"), "conv_id")
-    both = sides.groupBy("opening", "pair").agg(
-        F.min(F.struct("less", "side", "conv_id"))["conv_id"].alias("chosen_id"),
-        F.max(F.struct("less", "side", "conv_id"))["conv_id"].alias("last"), F.count("*").alias("n"))
+    one = rows.distinct().groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("first"), F.sum(said).alias("said"))
+    one = one.select("conv_id", "said", F.col("first.role").alias("role"), F.md5("first.text").alias("opening"),
+                     F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8).alias("part"))
+    placed = global_row_number(one, ["role", "opening", "part", "conv_id"], "place")
+    sides = placed.select(F.floor((F.col("place") - 1) / 2).alias("pair"), (-F.col("said")).alias("less"), "place", "conv_id")
+    both = sides.groupBy("pair").agg(
+        F.min(F.struct("less", "place", "conv_id"))["conv_id"].alias("chosen_id"),
+        F.max(F.struct("less", "place", "conv_id"))["conv_id"].alias("last"), F.count("*").alias("n"))
     return both.select("chosen_id", F.when(F.col("n") == 2, F.col("last")).alias("rejected_id"))
 
 

@@ -39,7 +39,7 @@ OP5 = """
 WITH v AS (
   SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(coalesce(x, 0))))
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(64 * coalesce(x, 0)::DOUBLE)))
   GROUP BY vec_id
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
@@ -69,9 +69,9 @@ WITH t AS (
     sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS said
   FROM t GROUP BY conv_id
 ), n AS (
-  SELECT *, turns[1] AS opening, row_number() OVER (PARTITION BY turns[1] ORDER BY substr(md5(conv_id::VARCHAR), 1, 2), conv_id) - 1 AS seat FROM d
+  SELECT *, row_number() OVER (ORDER BY turns[1].role, md5(turns[1].text), substr(md5(conv_id::VARCHAR), 1, 8), conv_id) - 1 AS seat FROM d
 ), p AS (
-  SELECT list({{'id': conv_id, 'turns': turns}} ORDER BY said DESC, seat) AS two FROM n GROUP BY opening, seat // 2
+  SELECT list({{'id': conv_id, 'turns': turns}} ORDER BY said DESC, seat) AS two FROM n GROUP BY seat // 2
 ), s AS (
   SELECT two[1].id AS chosen_id, two[2].id AS rejected_id, two[1].turns AS c, two[2].turns AS r FROM p
 ), k AS (

@@ -17,24 +17,29 @@ CANDIDATES, QUERIES = 4096, 512
 DIMENSIONS = 16
 #: Candidate blocks that one task goes through for each of its query blocks.
 BLOCKS_PER_TASK = 8
+#: Query blocks that meet the same copy of a candidate block.
+QUERY_BLOCKS_PER_TASK = 16
 #: Largest scores that float64 sums hold exactly.
 EXACT = float(1 << 53)
 
 BLOCK = "ids binary, dims int, code string, data binary"
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): one vector per id, without null or non-finite parts.
+def usable(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
+    """(id, v): one vector of whole numbers per id, floor(scale * x), if all of them are finite.
 
-    Of rows that share an id, the smallest vector stays.
+    Of rows that share an id, the smallest of these vectors stays.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    rows = rows.withColumn("v", F.transform("v", lambda x: x * F.lit(float(scale))))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & finite)
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    # beyond EXACT every double is whole, and a long would not hold it
+    whole = F.transform("v", lambda x: F.when(F.abs(x) < EXACT, F.floor(x).cast("double")).otherwise(x))
+    return rows.select("id", whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
-def blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
+def blocks(rows: DataFrame, size: int) -> DataFrame:
     """Blocks of up to ``size`` vectors, stored dimension by dimension. Shorter vectors get zeros."""
 
     def block(ids: list[int], vectors: list[list[float]]) -> pa.RecordBatch:
@@ -42,7 +47,6 @@ def blocks(rows: DataFrame, size: int, scale: float) -> DataFrame:
         whole = np.zeros((dims, len(ids)))
         for i, v in enumerate(vectors):
             whole[: len(v), i] = v
-        whole = np.floor(whole * scale)
         code = "<i2" if not whole.size or np.abs(whole).max() < 1 << 15 else "<f8"
         return pa.RecordBatch.from_pydict({
             "ids": [np.array(ids, "<i8").tobytes()], "dims": pa.array([dims], pa.int32()),
@@ -152,26 +156,32 @@ def rest_norms(m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.cumsum(squares[::-1], axis=0)[::-1])
 
 
+def groups(blocks: int, per_task: int) -> int:
+    """Groups that so many blocks are dealt to."""
+    return max(1, -(-blocks // per_task))
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id",
           vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of floor(scale * x).
 
     A query's own id is no candidate. Ties go to the smaller id. Rows with a null id, a null
-    vector, or a null or non-finite component take no part; of rows sharing an id the
-    smallest vector counts. Vectors of different lengths are padded with zeros. Fewer than
-    k candidates give fewer rows. Other columns are left out.
-
-    Query blocks meet candidate blocks on a grid of (query group, candidate group) keys.
-    A task holds one block of each kind and its queries' best k.
+    vector, or a component that is null or not finite, itself or ``scale`` times, take no part; of
+    rows sharing an id the smallest vector of whole numbers counts. Vectors of different
+    lengths are padded with zeros. Fewer than k candidates give fewer rows; without queries or
+    candidates there are none. Other columns are left out.
+
+    Query blocks meet candidate blocks on a grid of (query group, candidate group) keys, so a
+    candidate block is shuffled once per group of QUERY_BLOCKS_PER_TASK query blocks. A task
+    holds one block of each kind at a time, and its queries' best k.
     """
-    c = written(blocks(written(usable(candidates, id_col, vector_col), "vectors"), CANDIDATES, scale), "candidates")
-    q = written(blocks(written(usable(queries, id_col, vector_col), "vectors"), QUERIES, scale), "queries")
-    n_c, n_q = c.count(), q.count()
-    group_c, group_q = max(1, -(-n_c // BLOCKS_PER_TASK)), max(1, n_q)
+    c = written(blocks(written(usable(candidates, id_col, vector_col, scale), "vectors"), CANDIDATES), "candidates")
+    q = written(blocks(written(usable(queries, id_col, vector_col, scale), "vectors"), QUERIES), "queries")
+    group_c, group_q = groups(c.count(), BLOCKS_PER_TASK), groups(q.count(), QUERY_BLOCKS_PER_TASK)
 
-    def dealt(df: DataFrame, groups: int, own: str, other: str, others: int) -> DataFrame:
+    def dealt(df: DataFrame, number: int, own: str, other: str, others: int) -> DataFrame:
         """Each block once per group of the other side."""
-        mine = F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias(own)
+        mine = F.pmod(F.xxhash64("ids"), F.lit(number)).cast("int").alias(own)
         return df.select("*", mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     left = dealt(q, group_q, "g", "h", group_c).select("g", "h", *(F.col(x).alias(f"q_{x}") for x in q.columns))

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from jobloom.llm import preference_chat as pc
-from jobloom.llm import sql
+from jobloom.llm import queries, sql
 
 KIND = "conv_id long, turn long, role string, text string, opening string, part string, side string, all int"
 TALK = [(0, "user", "hi"), (1, "assistant", "a"), (2, "user", "b")]
@@ -61,3 +61,11 @@ def test_given_pairs(spark):
 
 def test_no_conversations(spark):
     assert formatted(spark, []).count() == 0
+
+
+def test_given_conversations_make_pairs(spark):
+    """Nearly every given conversation has a partner, so prompts and paired masks are made of them."""
+    for sf in ("sf0.001", "sf0.01"):
+        rows = queries.op8(spark, f"/root/testdata/{sf}").collect()
+        assert sum(r.rejected_id is None for r in rows) <= 1 and len(rows) >= 10
+        assert all(r.chosen != r.rejected and r.rejected_mask for r in rows if r.rejected_id is not None)

@@ -3,22 +3,22 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
-from jobloom.llm import topk
+from jobloom.llm import sql, topk
 
 KIND = "vec_id long, embedding array<float>, label int, id long, v string, ids binary, rank int, g int"
 
 
 def brute(rows, queries, k, scale=64):
-    vectors = {}
+    whole = {}
     for i, v in rows:
-        if i is None or v is None or any(x is None or not math.isfinite(x) for x in v):
+        if i is None or v is None or any(x is None or not math.isfinite(scale * float(np.float32(x))) for x in v):
             continue
-        w = [float(np.float32(x)) for x in v]
-        vectors[i] = min(vectors[i], w) if i in vectors else w
-    whole = {i: [math.floor(scale * x) for x in v] for i, v in vectors.items()}
+        w = [math.floor(scale * float(np.float32(x))) for x in v]
+        whole[i] = min(whole[i], w) if i in whole else w
     out = []
     for q in sorted({i for i in queries if i in whole}):
         score = lambda w: max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(whole[q], w))))  # noqa: E731, B023
@@ -61,6 +61,26 @@ def test_numbers_beyond_float64_sums(spark):
     assert run(spark, rows, [0], 3) == brute(rows, [0], 3)
 
 
+def test_repeated_ids_and_huge_components(spark):
+    """The smallest whole vector of an id counts; 64 times 1e308 is no number."""
+    kind = "vec_id long, embedding array<double>"
+    rows = [(1, [0.001, 5.0]), (1, [0.002, 1.0]), (20, [1.0, 1.0]), (2, [1e308, 1.0]), (3, [-1e308, 0.0]), (4, [1e300, 0.0])]
+    df = spark.createDataFrame(rows, kind)
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id = 20"), 5).collect())
+    assert got == [(20, 1, 4, (1 << 63) - 1), (20, 2, 1, 64 * 64)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [r for r in rows if r[0] != 4])
+    small = df.where("vec_id <> 4")
+    assert sorted(tuple(r) for r in topk.top_k(small, small.where("vec_id = 20"), 20).collect()) == sorted(con.execute(sql.OP5).fetchall())
+
+
+def test_candidate_blocks_move_once_per_group_of_query_blocks():
+    """Copies of candidate blocks grow with the groups, not with the query blocks."""
+    copies = [topk.groups(n, topk.QUERY_BLOCKS_PER_TASK) for n in (1, 16, 17, 160)]
+    assert copies == [1, 1, 2, 10]
+
+
 def test_pruning_drops_most_candidates():
     rng = np.random.default_rng(5)
     x = np.floor(64 * rng.normal(0, 0.01, (64, 500)))
