@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that a fit takes at most, those of the smallest hashes.
-MOST_LABELLED = 20_000
+MOST_LABELLED = 10_000
 #: Score at which a document counts as toxic.
 THRESHOLD = 0.7
 SHIFT = math.log(THRESHOLD / (1 - THRESHOLD))
@@ -24,9 +24,11 @@ BUCKETS = 1 << 20
 BEGINNINGS = (4, 6)
 #: Numbers that stand for a term in interactions.
 FACTORS = 8
-#: Labelled documents that must hold a term, and standard deviations its toxic share must be off, for it to count.
-LEAST_DOCUMENTS, LEAST_DEVIATION = 3, 3.0
-STEPS, RATE, PENALTY, FOLDS = 300, 0.1, 1.0, 3
+#: Labelled documents that must hold a term for it to count.
+LEAST_DOCUMENTS = 3
+#: Terms that may count by chance.
+CHANCE = 100
+STEPS, RATE, PENALTY, FOLDS = 200, 0.1, 1.0, 3
 
 WORD = re.compile(r"[^\W\d_]+").findall
 #: Distinct words whose terms a worker remembers, and the longest word that has beginnings.
@@ -147,20 +149,25 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> D
 
 
 def counting(found: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The buckets in LEAST_DOCUMENTS or more whose share of toxic ones is off by LEAST_DEVIATION or more."""
+    """The buckets in LEAST_DOCUMENTS or more whose share of toxic ones is off by more than chance.
+
+    Of m buckets that mean nothing about one is off by sqrt(2 ln m) standard deviations, and about
+    CHANCE are by sqrt(2 ln m / CHANCE), which the penalty keeps small. So more documents, which
+    have more words, ask for more.
+    """
     buckets, where, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
     toxic = np.bincount(where, weights=np.repeat(y, [len(x) for x in found]), minlength=len(buckets))
     p = float(y.mean())
     off = np.abs(toxic - n * p) / np.sqrt(n * p * (1 - p))
-    return buckets[(n >= LEAST_DOCUMENTS) & (off >= LEAST_DEVIATION)]
+    often = n >= LEAST_DOCUMENTS
+    return buckets[often & (off >= math.sqrt(2 * math.log(max(2.0, often.sum() / CHANCE))))]
 
 
 def best_cut(values: np.ndarray, y: np.ndarray) -> float:
-    """The value between two documents from which on calling them toxic has the highest F1."""
+    """The value between two documents from which on calling them toxic has the highest F0.5: a false alarm costs more than a miss."""
     order = np.argsort(-values, kind="stable")
     hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    at = int(np.argmax(f1))
+    at = int(np.argmax(1.25 * hits / (np.arange(1, len(y) + 1) + 0.25 * y.sum())))
     return float(values[order[at]] + values[order[min(at + 1, len(y) - 1)]]) / 2
 
 
