@@ -10,7 +10,7 @@ from contract.registry import add
 from jobloom.operators.reconcile import FLAGS
 from jobloom.schemas import CANDIDATE_COLS, STATE_COLS
 from jobloom.session import scratch
-from jobloom.sources.state import StateStore
+from jobloom.sources.deltas import DeltaStore
 from jobloom.streaming.harvest import harvest_stream
 from jobloom.streaming.sync import announce, sync_stream
 
@@ -22,15 +22,16 @@ def run_ts(run_id: int) -> str:
     return f"2026-01-0{run_id + 3}T00:00:00+00:00"
 
 
-def synced(v) -> StateStore:
-    """Land the postings as three runs, announce them, and stream them."""
+def synced(v) -> DeltaStore:
+    """Land the postings as three runs, announce them, and stream them into a state of deltas."""
     landing, root = scratch(v.spark, "landing"), scratch(v.spark, "sync")
     runs = v.postings_fx.withColumn("run_id", col("seq") % RUNS)
     runs.write.partitionBy("run_id").parquet(f"{landing}/runs")
     for run_id in range(RUNS):
         announce(v.spark, landing, run_id, run_ts(run_id))
-    sync_stream(v.spark, landing, root, f"{root}/checkpoint").awaitTermination()
-    return StateStore(v.spark, root)
+    store = DeltaStore(v.spark, root)
+    sync_stream(v.spark, landing, root, f"{root}/checkpoint", store=store).awaitTermination()
+    return store
 
 
 def run_ctes() -> list[tuple[str, str]]:
@@ -66,6 +67,30 @@ add(
     f"SELECT {', '.join(STATE_COLS)} FROM state_{RUNS - 1}",
     run_ctes(),
 )
+
+
+def compacted(v) -> DeltaStore:
+    """The same runs, their deltas merged into a new base."""
+    store = synced(v)
+    store.compact()
+    return store
+
+
+add(
+    "u1_compacted_state",
+    lambda v: compacted(v).read(),
+    "postings_fx",
+    f"SELECT {', '.join(STATE_COLS)} FROM state_{RUNS - 1}",
+    run_ctes(),
+)
+add(
+    "f2_indexed_keys",
+    lambda v: synced(v).active_keys().select(F.lower(F.hex("key")).alias("key")),
+    "postings_fx",
+    f"SELECT DISTINCT md5({s.fuzzy_key()}) AS key FROM state_{RUNS - 1} "
+    f"WHERE status = 'active' AND {s.fuzzy_key()} IS NOT NULL",
+    run_ctes(),
+)
 add(
     "st3_announced_once",
     lambda v: v.spark.read.parquet(f"{synced(v).root}/fresh").select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from jobloom.functions.roles import announceable
 from jobloom.functions.text import strip_html, strip_html_each, text
 from jobloom.operators.reconcile import FLAGS
 from jobloom.operators.skew import HOT_ROWS, join_unique
+from jobloom.session import written
+from jobloom.sources.details import versions, with_newest
 
 # Detail payloads, the fields read.
 DETAIL_WORKDAY = "struct<jobPostingInfo:struct<jobDescription:string>>"
@@ -85,8 +89,14 @@ def with_details(jobs: DataFrame, details: DataFrame, hot_rows: int = HOT_ROWS)
 def with_description(jobs: DataFrame) -> DataFrame:
     """Add ``full_description``: the scrape-time text, else the payload's, else ''.
 
-    Payloads are parsed into columns first, so that each body is parsed once.
+    Payloads are parsed into columns first, so that each body is parsed once. Ashby jobs may come
+    with ``plain`` and ``html`` in place of a body.
     """
+    if "plain" in jobs.columns:
+        own = F.struct(F.col("plain").alias("descriptionPlain"), F.col("html").alias("descriptionHtml"))
+        ashby = F.when((F.col("source") == "ashby") & (F.col("plain").isNotNull() | F.col("html").isNotNull()), own)
+    else:
+        ashby = F.from_json(F.when(F.col("source") == "ashby", F.col("body")), DETAIL_ASHBY)
     source = F.col("source")
 
     def payload(name: str, schema: str) -> Column:
@@ -96,7 +106,7 @@ def with_description(jobs: DataFrame) -> DataFrame:
         "_workday": payload("workday", DETAIL_WORKDAY)["jobPostingInfo"]["jobDescription"],
         "_greenhouse": payload("greenhouse", DETAIL_GREENHOUSE)["content"],
         "_lever": payload("lever", DETAIL_LEVER),
-        "_ashby": payload("ashby", DETAIL_ASHBY),
+        "_ashby": ashby,
     })
     # One source per row, so one pass through the HTML clean-up serves all.
     ashby_plain, ashby_html = F.col("_ashby.descriptionPlain"), F.col("_ashby.descriptionHtml")
@@ -127,19 +137,29 @@ def with_description(jobs: DataFrame) -> DataFrame:
 
 
 def enrich(
-    jobs: DataFrame, details: DataFrame | None = None, hot_rows: int = HOT_ROWS
+    jobs: DataFrame,
+    details: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+    boards: DataFrame | None = None,
+    as_of: str | None = None,
+    keep: Callable[[DataFrame, str], DataFrame] = written,
 ) -> DataFrame:
     """Jobs with ``full_description`` and the three flags set from it.
 
-    Without detail payloads only scrape-time descriptions count.
+    ``details`` are landed payloads, ``boards`` those of whole Ashby boards; of several versions of
+    a description the newest landed at ``as_of`` or before counts. Without either only
+    scrape-time descriptions count.
     """
-    if details is None:
-        nothing = F.lit(None).cast("string")
-        joined = with_detail_key(jobs).withColumn("body", nothing)
-    else:
+    keyed = with_detail_key(jobs)
+    if details is None and boards is None:
+        joined = keyed.withColumn("body", F.lit(None).cast("string"))
+    elif boards is None and as_of is None:
         joined = with_details(jobs, details, hot_rows)
+    else:
+        found = versions(details, boards, keyed, keep)
+        joined = with_newest(keyed, found, as_of, hot_rows)
     flagged = with_flags(with_description(joined), "full_description")
-    return flagged.drop("body", "detail_key")
+    return flagged.drop("body", "plain", "html", "detail_key")
 
 
 def flag_counts(flagged: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ RoleFn = Callable[[Column], Column]
 FLAGS = ("sponsorship", "clearance", "grad_year")
 FIRST_COLS = ("company", "title", "apply_url", "location", "posted_on", "source")
 LAST_COLS = ("title", "apply_url", "location")
+#: What the fuzzy key of an active row is made of.
+KEY_COLS = ("company", "title", "location", "status")
 
 
 def upgrade_state(state: DataFrame) -> DataFrame:
@@ -48,13 +50,21 @@ def without_relistings(
     spread: str = "job_id",
     key_fn: KeyFn = fuzzy_key,
     hot_rows: int = HOT_ROWS,
+    keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """Jobs whose key no prior active row has; a job without a key always stays."""
+    """Jobs whose key no prior active row has; a job without a key always stays.
+
+    ``prior_keys`` has fuzzy_key, or their hashes as the index of a ``DeltaStore`` gives them. The
+    keys of the jobs are read twice, to find hot ones and to join: ``keep`` stores the jobs with
+    them in between, so that each is computed once.
+    """
     keyed = with_key(jobs, key_fn)
-    kept = join_unique(
-        keyed, prior_keys, ["fuzzy_key"], "left_anti", spread, hot_rows, reduce=[]
-    )
-    return kept.drop("fuzzy_key")
+    key = prior_keys.columns[0]
+    if key == "key":
+        keyed = keyed.withColumn("key", F.unhex(F.md5("fuzzy_key")))
+    keyed = keyed if keep is None else keep(keyed, "keyed-jobs")
+    kept = join_unique(keyed, prior_keys, [key], "left_anti", spread, hot_rows, reduce=[])
+    return kept.drop("fuzzy_key", "key")
 
 
 def batch_by_id(postings: DataFrame) -> DataFrame:
@@ -85,6 +95,45 @@ def reconcile(
     for runs in which other sources failed. Postings may come without their
     descriptions, which are the bulk of a batch and not needed here.
     """
+    return _reconciled(postings, state, now, role_for, complete_sources).drop("old")
+
+
+def changes(
+    postings: DataFrame,
+    state: DataFrame,
+    now: str,
+    since: str | None,
+    role_for: RoleFn = role,
+    complete_sources: Sequence[str] | None = None,
+) -> DataFrame:
+    """The rows of ``reconcile`` that a state of deltas has to store, with ``before``.
+
+    ``since`` is the time of the run before, which stands for the ``last_seen`` of the rows it
+    saw. A row that is only seen again needs no new one; one that is active but was not seen,
+    by that run or by this one, does. ``before`` has the old company, title, location and status.
+    """
+    rows = _reconciled(postings, state, now, role_for, complete_sources)
+    updated, kept = F.col("change") == "updated", F.col("change") == "kept"
+    differs = F.lit(False)
+    for c in (*LAST_COLS, "status"):
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"old.{c}"))
+    seen_before = F.col("old.last_seen").eqNullSafe(F.lit(since))
+    altered = (
+        F.col("change").isin("new", "removed")
+        | (updated & (differs | ~seen_before))
+        | (kept & (F.col("status") == "active") & seen_before)
+    )
+    before = F.when(F.col("old").isNotNull(), F.struct(*[F.col(f"old.{c}").alias(c) for c in KEY_COLS]))
+    return rows.where(altered).withColumn("before", before).drop("old")
+
+
+def _reconciled(
+    postings: DataFrame,
+    state: DataFrame,
+    now: str,
+    role_for: RoleFn,
+    complete_sources: Sequence[str] | None,
+) -> DataFrame:
     batch = batch_by_id(postings)
     old = state.select("job_id", F.struct(*STATE_COLS[1:]).alias("old"))
     rows = batch.join(old, "job_id", "full_outer")
@@ -136,6 +185,7 @@ def reconcile(
         "change",
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
         "first",
+        "old",
     )
 
 
@@ -187,9 +237,18 @@ def with_descriptions(jobs: DataFrame, postings: DataFrame) -> DataFrame:
     return jobs.join(wanted, "seq", "left").na.fill("", ["description"])
 
 
-def change_counts(reconciled: DataFrame) -> DataFrame:
-    """One row: new, updated and removed. A repeat of a new id counts as updated."""
+def change_counts(reconciled: DataFrame, batch: DataFrame | None = None) -> DataFrame:
+    """One row: new, updated and removed. A repeat of a new id counts as updated.
+
+    Where ``reconciled`` has changed rows only, ``batch`` has all rows that were reconciled: each
+    of them is an update, but the first of each new id.
+    """
     is_new = F.col("change") == "new"
+    if batch is not None:
+        rows = reconciled.agg(F.count_if(is_new).alias("new_jobs"), F.count_if(F.col("change") == "removed").alias("removed"))
+        one = batch.agg(F.count(F.lit(1)).alias("_rows"))
+        both = rows.withColumn("_one", F.lit(1)).join(one.withColumn("_one", F.lit(1)), "_one")
+        return both.select("new_jobs", (F.col("_rows") - F.col("new_jobs")).alias("updated"), "removed")
     repeats = F.when(is_new, F.col("n") - 1).when(F.col("change") == "updated", F.col("n"))
     return reconciled.agg(
         F.count_if(is_new).alias("new_jobs"),

@@ -16,7 +16,9 @@ from jobloom.operators.scoring import Scorer, score_titles
 from jobloom.session import written
 from jobloom.settings import Settings
 from jobloom.sources.aggregator import read_listings, source_filters
-from jobloom.sources.payloads import of_boards, unified_batch
+from jobloom.sources.deltas import DeltaStore
+from jobloom.sources.labels import LabelStore
+from jobloom.sources.payloads import landed, of_boards, unified_batch
 
 
 @dataclass
@@ -43,33 +45,48 @@ def run(
     scorer: Callable[[], Scorer] | None = None,
     keep: Keep = written,
     complete_sources: Sequence[str] | None = None,
+    store: DeltaStore | None = None,
+    boards: DataFrame | None = None,
+    labels: LabelStore | None = None,
 ) -> Run:
     """Process one whole batch against the state before it.
 
     ``keep(df, name)`` stores a table that several outputs read, so that it is
     computed once and no plan grows over several steps. Descriptions stay out of
     the shuffles: they are fetched for the few jobs that are announced.
-    ``details`` are landed detail payloads; ``scorer`` builds a model for titles
-    without a keyword label. ``complete_sources`` names the sources whose jobs may be removed
+    ``details`` are landed detail payloads, ``boards`` whole Ashby boards (slug, status, body); of
+    several versions the newest up to ``now`` counts. ``scorer`` builds a model for titles
+    without a keyword label; with ``labels`` only titles that store lacks are scored. ``complete_sources`` names the sources whose jobs may be removed
     for being absent, where others failed; by default all.
+
+    With a ``store`` of deltas, whose ``read`` gives ``state``, only changed rows are stored and
+    ``state`` of the result has no others; keys of active rows come from the store's index.
     """
     slim = postings.drop("description")
     marked = keep(cross_source_marked(slim), "batch")
     kept = marked.where(~F.col("dropped"))
-    reconciled = keep(rc.reconcile(kept, state, now, complete_sources=complete_sources), "reconciled")
+    if store is None:
+        rows, prior = rc.reconcile(kept, state, now, complete_sources=complete_sources), rc.active_keys(state)
+    else:
+        rows = rc.changes(kept, state, now, store.last_ts(), complete_sources=complete_sources)
+        prior = store.active_keys()
+    reconciled = keep(rows, "reconciled")
     if scorer is not None:
         titles = rc.undecided(reconciled).select("title").distinct()
-        labels = keep(score_titles(titles, scorer), "labels")
-        reconciled = keep(rc.with_scored_roles(reconciled, labels), "scored")
+        scored = score_titles(titles, scorer) if labels is None else labels.labelled(titles, scorer, now)
+        reconciled = keep(rc.with_scored_roles(reconciled, keep(scored, "labels")), "scored")
 
     new_jobs = rc.new_jobs(reconciled)
-    fresh = keep(rc.without_relistings(new_jobs, rc.active_keys(state)), "fresh")
+    fresh = keep(rc.without_relistings(new_jobs, prior, keep=keep), "fresh")
     after = rc.next_state(reconciled)
     if settings.enrich_descriptions:
         targets = rc.with_descriptions(en.targets(fresh), postings)
-        flagged = keep(en.enrich(targets, details).select("job_id", *rc.FLAGS), "flagged")
+        flagged = en.enrich(targets, details, boards=boards, as_of=now if boards is not None else None, keep=keep)
+        flagged = keep(flagged.select("job_id", *rc.FLAGS), "flagged")
         fresh = rc.merge_flags(fresh, flagged)
         after = rc.flagged_state(reconciled, flagged)
+    if store is not None:
+        after = after.join(reconciled.select("job_id", "before"), "job_id")
     told = en.without_no_sponsorship(fresh) if settings.exclude_no_sponsorship else fresh
 
     return Run(
@@ -78,7 +95,7 @@ def run(
         fresh=fresh,
         messages=pub.messages(told),
         sheet_rows=pub.sheet_rows(told),
-        counters=counters(marked, reconciled, fresh, told),
+        counters=counters(marked, reconciled, fresh, told, None if store is None else kept),
     )
 
 
@@ -93,30 +110,32 @@ def run_landed(
     scorer: Callable[[], Scorer] | None = None,
     keep: Keep = written,
     complete_sources: Sequence[str] | None = None,
+    boards: DataFrame | None = None,
 ) -> Run:
     """A whole run from landed data: registered boards' pages and listings to all outputs.
 
-    The batch is stored once, so that each payload is parsed once for all that reads it.
+    Bodies are parsed once, as pages are landed in columns; the batch is stored once too.
     ``pages`` carry ats, board_key, term, term_ord, page_no, status and body.
     """
     found = None
     if listings is not None:
         recent = source_filters(listings, now, settings.hours_old, settings.results_per_term)
         found = read_listings(recent)
-    batch = keep(unified_batch(of_boards(pages, registry), found, settings), "postings")
-    return run(batch, state, now, details, settings, scorer, keep, complete_sources)
+    parsed = landed(of_boards(pages, registry), keep)
+    batch = keep(unified_batch(parsed, found, settings), "postings")
+    return run(batch, state, now, details, settings, scorer, keep, complete_sources, boards=boards)
 
 
 def counters(
-    marked: DataFrame, reconciled: DataFrame, fresh: DataFrame, told: DataFrame
+    marked: DataFrame, reconciled: DataFrame, fresh: DataFrame, told: DataFrame, batch: DataFrame | None = None
 ) -> DataFrame:
-    """One row of run counters, from four one-row aggregates."""
-    batch = marked.agg(
+    """One row of run counters, from four one-row aggregates; ``batch`` is that of ``change_counts``."""
+    total = marked.agg(
         F.count(F.lit(1)).alias("total"), F.count_if("dropped").alias("cross_dropped")
     )
     left = fresh.agg(F.count(F.lit(1)).alias("_fresh"))
     out = told.agg(F.count(F.lit(1)).alias("_told"))
-    rows = [batch, rc.change_counts(reconciled), left, out]
+    rows = [total, rc.change_counts(reconciled, batch), left, out]
     one = rows[0].withColumn("_one", F.lit(1))
     for other in rows[1:]:
         one = one.join(other.withColumn("_one", F.lit(1)), "_one")

@@ -17,6 +17,10 @@ COUNTED = {
     "smartrecruiters": "struct<totalFound:bigint, content:array<struct<>>>",
     "workable": "struct<total:bigint, nextPage:string, results:array<struct<shortcode:string>>>",
 }
+#: The field of a payload that says how many rows there are in all.
+TOTALS = {"workday": "total", "smartrecruiters": "totalFound", "workable": "total"}
+#: Columns of landed pages that rules read.
+NUMBERS = ("failed", "rows", "total", "codes", "more")
 GROUPS = {"workday": ["board", "term"], "smartrecruiters": ["board"], "workable": ["board"]}
 
 
@@ -34,7 +38,11 @@ def capped(pages: DataFrame, max_pages: int | None) -> DataFrame:
 
 def numbers(pages: DataFrame, ats: str, items: str, total: str) -> DataFrame:
     """Per page: its group, ``page_no``, ``failed``, ``rows``, ``total`` and, for Workable,
-    ``codes`` (rows with a shortcode) and ``more`` (whether there is a next page)."""
+    ``codes`` (rows with a shortcode) and ``more`` (whether there is a next page).
+
+    Landed pages have these columns; others are parsed for them."""
+    if set(NUMBERS) <= set(pages.columns):
+        return pages.select(*GROUPS[ats], "page_no", *NUMBERS)
     text = F.ltrim("body")
     doc = F.from_json(F.when(text.startswith("{"), text), COUNTED[ats])
     read = pages.select(*GROUPS[ats], "page_no", "status", doc.alias("_doc"))

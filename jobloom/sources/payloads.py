@@ -18,6 +18,7 @@ from jobloom.functions.text import strip, text
 from jobloom.operators.boards import systems
 from jobloom.operators.dedupe import first_per_key
 from jobloom.schemas import POSTING_COLS, SOURCE_ORDER
+from jobloom.session import written
 from jobloom.settings import Settings
 from jobloom.sources import paging
 
@@ -61,6 +62,8 @@ ITEMS = {
     "workable": "results",
 }
 
+Keep = Callable[[DataFrame, str], DataFrame]
+
 DAY_MILLIS = 86_400_000
 FIRST_MILLIS, LAST_MILLIS = -62_135_596_800_000, 253_402_300_799_999
 
@@ -106,8 +109,40 @@ def of_boards(pages: DataFrame, boards: DataFrame) -> DataFrame:
     return pages.join(fields, ["ats", "board_key"])
 
 
+def landed(pages: DataFrame, keep: Keep = written) -> DataFrame:
+    """Pages with their bodies parsed, stored: each body is parsed once for all that reads it.
+
+    Beside the columns of ``pages`` but ``body`` there are one column per system with the items of
+    its payloads, and the numbers that stop rules look at. All are filled for a page's own system
+    only, and parquet columns are read one by one, so a rule reads a few numbers and a reader the
+    items of its system.
+    """
+    docs = {f"_{ats}": parse(ats, F.when(F.col("ats") == ats, F.col("body"))) for ats in PAYLOADS}
+    parsed = pages.withColumns(docs).drop("body")
+    own = F.coalesce(*[F.when(F.col(f"_{ats}").isNotNull(), True) for ats in PAYLOADS], F.lit(False))
+    items = {ats: F.col(f"_{ats}.{ITEMS[ats]}" if ITEMS[ats] else f"_{ats}") for ats in PAYLOADS}
+    totals = [F.col(f"_{ats}.{name}") for ats, name in paging.TOTALS.items()]
+    codes = F.filter(items["workable"], lambda r: F.coalesce(r["shortcode"], F.lit("")) != "")
+    numbers = {
+        "failed": (F.coalesce("status", F.lit(0)) != 200) | ~own,
+        "rows": F.coalesce(*[F.when(x.isNotNull(), F.size(x)) for x in items.values()], F.lit(0)).cast("bigint"),
+        "total": F.coalesce(*totals, F.lit(0).cast("bigint")),
+        "codes": F.when(codes.isNotNull(), F.size(codes)).otherwise(0).cast("bigint"),
+        "more": F.coalesce("_workable.nextPage", F.lit("")) != "",
+    }
+    kept = [c for c in pages.columns if c != "body"]
+    return keep(parsed.select(*kept, *[c.alias(n) for n, c in numbers.items()], *[items[a].alias(a) for a in PAYLOADS]), "landed-pages")
+
+
+def is_landed(pages: DataFrame) -> bool:
+    return set(PAYLOADS) <= set(pages.columns)
+
+
 def kept_pages(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
-    """Parsed pages (``doc``) of one system that its stop rule lets through."""
+    """Pages of one system that its stop rule lets through, with their ``items``.
+
+    ``pages`` may be ``landed``; else bodies are parsed here, once more for a stop rule's numbers.
+    """
     own = pages.where(F.col("ats") == ats)
     if ats == "workday":
         own = paging.capped(own, settings.max_pages_per_term)
@@ -118,9 +153,13 @@ def kept_pages(pages: DataFrame, ats: str, settings: Settings = Settings()) -> D
     elif ats == "workable":
         own = paging.capped(own, settings.workable_pages)
         own = paging.below(own, paging.workable_until(own), paging.GROUPS[ats])
-    else:
-        return paging.usable(own.withColumn("doc", parse(ats, F.col("body"))).drop("body"))
-    return own.withColumn("doc", parse(ats, F.col("body"))).drop("body")
+    if is_landed(pages):
+        ok = own if ats in paging.GROUPS else own.where(~F.col("failed"))
+        return ok.withColumn("items", F.col(ats)).drop(*PAYLOADS, *paging.NUMBERS)
+    parsed = own.withColumn("doc", parse(ats, F.col("body"))).drop("body")
+    if ats not in paging.GROUPS:
+        parsed = paging.usable(parsed)
+    return parsed.withColumn("items", F.col(f"doc.{ITEMS[ats]}" if ITEMS[ats] else "doc")).drop("doc")
 
 
 def running_offsets(pages: DataFrame) -> DataFrame:
@@ -130,15 +169,15 @@ def running_offsets(pages: DataFrame) -> DataFrame:
 
 def scan(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
     """One row per item (``p``) of the kept pages, with its place in the batch."""
-    if ats in ("greenhouse", "lever", "ashby"):
+    if ats not in paging.GROUPS and not is_landed(pages):
         # A body that does not parse has no items. To filter on that as well would
         # make Spark parse every body twice.
         ok = pages.where((F.col("ats") == ats) & (F.col("status") == 200))
-        kept = ok.withColumn("doc", parse(ats, F.col("body"))).drop("body")
+        items = F.col(f"doc.{ITEMS[ats]}" if ITEMS[ats] else "doc")
+        kept = ok.withColumn("doc", parse(ats, F.col("body"))).drop("body").withColumn("items", items).drop("doc")
     else:
         kept = kept_pages(pages, ats, settings)
-    items = F.col(f"doc.{ITEMS[ats]}" if ITEMS[ats] else "doc")
-    placed = kept.select("*", F.posexplode(items).alias("pos", "p")).drop("doc")
+    placed = kept.select("*", F.posexplode("items").alias("pos", "p")).drop("items")
     rank = F.element_at(
         F.create_map(*[F.lit(x) for i, s in enumerate(SOURCE_ORDER) for x in (s, i)]),
         F.col("ats"),
@@ -304,7 +343,10 @@ def read_boards(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def unified_batch(
     pages: DataFrame, listings: DataFrame | None = None, settings: Settings = Settings()
 ) -> DataFrame:
-    """The run's batch: the six systems, then the aggregator postings."""
+    """The run's batch: the six systems, then the aggregator postings.
+
+    ``pages`` should be ``landed``, so that no body is parsed twice.
+    """
     parts = [read_boards(pages, settings).select(*POSTING_COLS)]
     if listings is not None:
         last = SOURCE_ORDER.index("aggregator") * 10 ** (38 - SEQ_DIGITS["source"])

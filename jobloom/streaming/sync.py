@@ -17,8 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jobloom.operators.scoring import Scorer
 from jobloom.plans.hourly import run
-from jobloom.session import temporary
+from jobloom.session import temporary, written
 from jobloom.settings import Settings
+from jobloom.sources.deltas import DeltaStore
 from jobloom.sources.state import StateStore
 
 # What a run leaves behind; the state is read by the next run.
@@ -31,7 +32,7 @@ RUNS_PER_BATCH = 100
 def process_run(
     spark: SparkSession,
     landing: str,
-    store: StateStore,
+    store: StateStore | DeltaStore,
     run_id: int,
     run_ts: str,
     settings: Settings = Settings(),
@@ -54,19 +55,28 @@ def process_run(
     postings = spark.read.parquet(f"{landing}/runs/run_id={run_id}")
     details = landed_details(spark, landing, run_id)
     with temporary(spark):  # what the run stores for itself goes once its outputs are there
+        deltas = store if isinstance(store, DeltaStore) else None
         result = run(
             postings, store.read(), run_ts, details, settings, scorer,
-            complete_sources=complete_sources,
+            complete_sources=complete_sources, store=deltas,
         )
 
-        def write(name: str) -> None:
+        if deltas is not None:
+            result.state = written(result.state, "changes")
+
+        def write(name: str) -> str | None:
             table: DataFrame = getattr(result, name)
+            if name == "state" and deltas is not None:
+                return deltas.write(table, run_id, run_ts)
             table.write.mode("overwrite").parquet(f"{store.root}/{name}/run_id={run_id}")
 
         # Independent small jobs: side by side they share the cluster.
         with ThreadPoolExecutor(len(OUTPUTS)) as pool:
-            list(pool.map(write, OUTPUTS))
-        store.commit(run_id)
+            done = dict(zip(OUTPUTS, pool.map(write, OUTPUTS), strict=True))
+        if deltas is None:
+            store.commit(run_id)
+        else:
+            deltas.commit(run_id, run_ts, done["state"])
     if settings.keep_snapshots is not None:
         store.prune(settings.keep_snapshots)
     return True
@@ -91,9 +101,13 @@ def sync_stream(
     on_run: Callable[[int], None] | None = None,
     scorer: Callable[[], Scorer] | None = None,
     complete_sources: Sequence[str] | None = None,
+    store: StateStore | DeltaStore | None = None,
 ) -> StreamingQuery:
-    """Process every announced run, in order of run id, then stop."""
-    store = StateStore(spark, root)
+    """Process every announced run, in order of run id, then stop.
+
+    State is kept in ``store``, by default as one snapshot per run below ``root``.
+    """
+    store = StateStore(spark, root) if store is None else store
 
     def each(batch: DataFrame, _: int) -> None:
         # One row per new run: a few numbers, not data.
