@@ -15,6 +15,7 @@ from jobloom.session import scratch, written
 from jobloom.sources import harvest as ha
 from jobloom.sources import payloads as pl
 from jobloom.sources.registry import with_board_key
+from jobloom.sources.registry_files import register
 
 col = F.col
 SYSTEMS = ", ".join(f"('{a}')" for a in bo.ATS)
@@ -193,9 +194,19 @@ add(
     lambda v: discovered(v).registry,
     VIEWS, f"SELECT {BOARD} FROM merged", FOUND,
 )
+
+
+def registry_round_trip(v):
+    """The merged registry written as registry files and read back."""
+    register(v.spark)
+    path = scratch(v.spark, "registry-files")
+    discovered(v).registry.write.format("board_registry").mode("overwrite").save(path)
+    return v.spark.read.format("board_registry").load(path)
+
+
 add(
     "u3_registry_sink",
-    lambda v: written(discovered(v).registry, "registry"),
+    registry_round_trip,
     VIEWS, f"SELECT {BOARD} FROM merged", FOUND,
 )
 add(
@@ -218,9 +229,8 @@ FROM (SELECT page_id, regexp_extract_all(body, '(?i)([a-z0-9.-]+)\.example\.(?:c
 )
 
 
-def resumed(v):
-    """A crawl cut off after some pairs: the ledger keeps those pairs' candidates,
-    and only the pending pairs' lines are read again."""
+def crawl(v):
+    """Index lines as (index, pattern) pairs, and what the pairs of a table find."""
     lines = v.url_lines_fx.withColumns({
         "index_name": F.concat(F.lit("CRAWL-"), (col("line_no") % 3).cast("string")),
         "pattern": F.concat(F.lit("pattern-"), (col("line_no") % 7).cast("string")),
@@ -231,6 +241,13 @@ def resumed(v):
         own = ha.index_urls(lines.join(of_pairs, ["index_name", "pattern"]))
         return di.candidates(own, "index", "line_no", body="url")
 
+    return pairs, harvest
+
+
+def resumed(v):
+    """A crawl cut off after some pairs: the ledger keeps those pairs' candidates,
+    and only the pending pairs' lines are read again."""
+    pairs, harvest = crawl(v)
     path = scratch(v.spark, "ledger")
     done = pairs.where(col("pattern") < "pattern-4")
     ha.append_ledger(path, done, harvest(done))
@@ -239,16 +256,40 @@ def resumed(v):
     return ha.ledger_candidates(v.spark, path)
 
 
+INDEX_LINKS = [
+    ("index_lines", "SELECT line_no, coalesce(json_extract_string(value, '$.url'), '') AS body "
+              "FROM url_lines_fx WHERE json_valid(value)"),
+    *s.links("index_lines", "line_no"),
+]
 add(
     "u7_harvest_ledger",
     resumed,
     "url_lines_fx",
     f"SELECT ats, board_key, tenant, wd, site, slug, name, 'index' AS origin, (line_no::HUGEINT * 1000000000000::HUGEINT + pos)::DECIMAL(38,0) AS seq FROM links",
-    [
-        ("index_lines", "SELECT line_no, coalesce(json_extract_string(value, '$.url'), '') AS body "
-                  "FROM url_lines_fx WHERE json_valid(value)"),
-        *s.links("index_lines", "line_no"),
-    ],
+    INDEX_LINKS,
+)
+
+
+def crashed(v):
+    """A crawl that died between its two writes, and one that died before its manifest row; then it ran again."""
+    pairs, harvest = crawl(v)
+    path = scratch(v.spark, "ledger")
+    harvest(pairs.where(col("pattern") < "pattern-3")).write.parquet(f"{path}/found/attempt=died-early")
+    harvest(pairs).write.parquet(f"{path}/found/attempt=died-late")
+    pairs.write.parquet(f"{path}/done/attempt=died-late")
+    for _ in range(2):  # the second time nothing is pending
+        pending = ha.pending_pairs(pairs, ha.done_pairs(v.spark, path))
+        ha.append_ledger(path, pending, harvest(pending))
+    return co.entry_counts(ha.ledger_candidates(v.spark, path))
+
+
+add(
+    "u7_crashed_ledger",
+    crashed,
+    "url_lines_fx",
+    f"SELECT a.ats, COUNT(l.board_key) AS entries, COUNT(DISTINCT l.board_key) AS unique_keys "
+    f"FROM (VALUES {SYSTEMS}) a(ats) LEFT JOIN links l ON l.ats = a.ats GROUP BY a.ats",
+    INDEX_LINKS,
 )
 
 

@@ -102,6 +102,17 @@ SELECT source,
 FROM jobs_fx WHERE source IN ('workday','greenhouse','lever')
 """)
 
+# Each detail once more as it was landed earlier, and some as they will be later.
+_view("detail_versions_fx", "details_fx", """
+SELECT source, detail_key, status, body, '2026-01-02T00:00:00+00:00' AS landed FROM details_fx
+UNION ALL
+SELECT source, detail_key, 200, CASE source WHEN 'workday' THEN '{"jobPostingInfo":{"jobDescription":"Unable to sponsor."}}'
+         WHEN 'greenhouse' THEN '{"content":"Class of 2027"}' ELSE '{"descriptionPlain":"Unable to sponsor."}' END, '2026-01-01T00:00:00+00:00'
+FROM details_fx
+UNION ALL
+SELECT source, detail_key, 200, '{}', '2026-01-05T00:00:00+00:00' FROM details_fx WHERE status = 200
+""")
+
 _view("ashby_boards_fx", "jobs_fx", """
 SELECT 'acme' || CAST(seq % 7 AS STRING) AS slug, seq AS part,
        CASE WHEN seq % 19 = 0 THEN 404 ELSE 200 END AS status,

@@ -15,6 +15,7 @@ from jobloom.sources import aggregator as ag
 from jobloom.sources import harvest as ha
 from jobloom.sources import payloads as pl
 from jobloom.sources import registry as rg
+from jobloom.sources.registry_files import register
 from jobloom.session import scratch
 
 col = F.col
@@ -191,11 +192,19 @@ SCAN_ID = {
     "workday": ("externalPath", "title"), "greenhouse": ("id", "title"), "lever": ("id", "text"),
     "ashby": ("id", "title"), "smartrecruiters": ("id", "name"), "workable": ("shortcode", "title"),
 }
+
+
+def landed_view(v, name, ats):
+    """Paged systems are read from landed pages, the others in one go."""
+    pages = getattr(v, name)
+    return pl.landed(pages) if ats in PAGED else pages
+
+
 for number, ats in enumerate(LIST_PATH, 1):
     raw_id, raw_title = SCAN_ID[ats]
     add(
         f"s{number}_{ats}_scan",
-        lambda v, ats=ats, a=raw_id, b=raw_title: pl.scan(getattr(v, READ_VIEW[ats]), ats).select(
+        lambda v, ats=ats, a=raw_id, b=raw_title: pl.scan(landed_view(v, READ_VIEW[ats], ats), ats).select(
             "board", "page_no", col("pos").cast("bigint").alias("pos"), "seq",
             col(f"p.{a}").alias("raw_id"), col(f"p.{b}").alias("raw_title"),
         ),
@@ -215,7 +224,7 @@ for number, ats in enumerate(LIST_PATH, 1):
 for number, (ats, pages) in enumerate(PAGED.items(), 1):
     add(
         f"p{number}_{ats}_pages",
-        lambda v, ats=ats, pages=pages: pl.kept_pages(getattr(v, pages), ats).select(
+        lambda v, ats=ats, pages=pages: pl.kept_pages(landed_view(v, pages, ats), ats).select(
             "board", "term", "page_no"
         ),
         pages,
@@ -317,12 +326,12 @@ UNIFIED = (
 )
 add(
     "n8_unified_batch",
-    lambda v: pl.unified_batch(mixed_pages(v), ag.read_listings(v.listings_fx)),
+    lambda v: pl.unified_batch(pl.landed(mixed_pages(v)), ag.read_listings(v.listings_fx)),
     MIXED + " listings_fx", UNIFIED, mixed_ctes() + LISTING_CTES,
 )
 add(
     "o1_union_sources",
-    lambda v: pl.unified_batch(mixed_pages(v), ag.read_listings(v.listings_fx))
+    lambda v: pl.unified_batch(pl.landed(mixed_pages(v)), ag.read_listings(v.listings_fx))
     .groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq")),
     MIXED + " listings_fx",
     f"SELECT source, COUNT(*) AS n, MIN(seq) AS first_seq FROM ({UNIFIED}) u GROUP BY source",
@@ -420,9 +429,21 @@ add(
 
 # --- registry and harvest text -----------------------------------------------
 
+
+
+def registry_files(v):
+    """The registry read from files, after a first version was replaced by a second."""
+    register(v.spark)
+    path = scratch(v.spark, "registry-files")
+    boards = rg.with_board_key(v.boards_fx)
+    for version in (boards.where("ats = 'lever'"), boards):
+        version.write.format("board_registry").mode("overwrite").save(path)
+    return v.spark.read.format("board_registry").load(path)
+
+
 add(
     "s8_registry",
-    lambda v: rg.with_board_key(v.boards_fx),
+    registry_files,
     "boards_fx",
     f"SELECT ats, {s.board_key()} AS board_key, tenant, wd, site, slug, name, ord FROM boards_fx",
 )

@@ -20,6 +20,8 @@ from jobloom.plans import hourly
 from jobloom.schemas import STATE_COLS
 from jobloom.session import scratch, written
 from jobloom.settings import Settings
+from jobloom.sources import details as dt
+from jobloom.sources.labels import LabelStore, title_hash
 
 col = F.col
 STATE = ", ".join(STATE_COLS)
@@ -63,17 +65,42 @@ def landed_run(v):
     pages = mixed.select(
         "ats", col("board").alias("board_key"), "term", "term_ord", "page_no", "status", "body"
     )
-    every = Settings(hours_old=24 * 366 * 60, enrich_descriptions=False)
+    every = Settings(hours_old=24 * 366 * 60)
     return hourly.run_landed(boards, pages, v.listings_fx, v.prior_jobs_fx, NOW, settings=every)
 
 
+RUN_COLS = ["kind", "place", "job_id", "title", "role_type", "source", "first_seen", *rc.FLAGS]
+
+
+def published(v):
+    """A whole run: its new jobs with their flags, the messages with their cards' titles, and the sheet's rows."""
+    out = landed_run(v)
+    none = {c: F.lit(None).cast("string") for c in RUN_COLS}
+    jobs = out.fresh.withColumns({"kind": F.lit("job"), "place": col("seq").cast("string")}).select(*RUN_COLS)
+    titles = F.array_join(F.transform("cards", lambda c: c["title"]), "|")
+    cards = out.messages.select(*[
+        {**none, "kind": F.lit("message"), "place": col("message_no").cast("string"), "title": titles}[c].alias(c) for c in RUN_COLS])
+    sheet = out.sheet_rows.select(*[
+        {**none, "kind": F.lit("sheet"), **{x: col(x) for x in ("job_id", "title", "role_type", *rc.FLAGS)}}[c].alias(c) for c in RUN_COLS])
+    return jobs.unionByName(cards).unionByName(sheet)
+
+
+RUN_FLAGS = ", ".join(f"coalesce(f.{x}, '') AS {x}" for x in rc.FLAGS)
 add(
     "run_landed_pages",
-    lambda v: landed_run(v).fresh.select("seq", "job_id", "title", "role_type", "source", "first_seen"),
+    published,
     MIXED + " listings_fx prior_jobs_fx",
-    "SELECT seq, job_id, title, role_type, source, first_seen FROM fresh",
+    f"""
+SELECT 'job' AS kind, seq::VARCHAR AS place, job_id, title, role_type, source, first_seen, {", ".join(rc.FLAGS)} FROM done
+UNION ALL
+SELECT 'message', ((pos - 1) // 10)::VARCHAR, NULL, string_agg(title, '|' ORDER BY pos), NULL, NULL, NULL, NULL, NULL, NULL
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY seq) AS pos FROM done WHERE {ANNOUNCE}) q GROUP BY (pos - 1) // 10
+UNION ALL
+SELECT 'sheet', NULL, coalesce(job_id, ''), coalesce(title, ''), role_type, NULL, NULL, {", ".join(rc.FLAGS)} FROM done""",
     mixed_ctes() + LISTING_CTES + [("whole", UNIFIED)] + s.deduped("whole")
-    + s.reconciled("kept", "prior_jobs_fx", NOW) + [s.new_jobs(), s.fresh("prior_jobs_fx")],
+    + s.reconciled("kept", "prior_jobs_fx", NOW) + [s.new_jobs(), s.fresh("prior_jobs_fx")]
+    + s.flagged(f"(SELECT * FROM fresh WHERE {s.announceable('role_type')}) f", "description")
+    + [("done", f"SELECT r.* EXCLUDE ({', '.join(rc.FLAGS)}), {RUN_FLAGS} FROM fresh r LEFT JOIN flagged f ON f.job_id = r.job_id")],
 )
 
 # --- dedupe ------------------------------------------------------------------
@@ -155,7 +182,7 @@ add(
 add(
     "j2_anti_join_keys",
     lambda v: rc.without_relistings(
-        v.postings_fx, rc.active_keys(v.prior_jobs_fx), spread="seq"
+        v.postings_fx.drop("description"), rc.active_keys(v.prior_jobs_fx), spread="seq", keep=written
     ).select("seq"),
     BOTH,
     "SELECT seq FROM fresh",
@@ -278,6 +305,25 @@ add(
     f"SELECT seq, coalesce({s.keyword_role()}, {LABEL}, 'mid') AS role_type FROM said",
     [SAID],
 )
+
+
+def label_runs(v):
+    """Two runs over one label store: the second scores only titles that the first did not have."""
+    store = LabelStore(v.spark, scratch(v.spark, "labels"), "stub-1")
+    store.labelled(sc.ambiguous_titles(said(v).where("seq % 2 = 0")), stub(), "run 1")
+    titles = sc.ambiguous_titles(said(v))
+    store.labelled(titles, stub(), "run 2")
+    return titles.withColumn("title_hash", title_hash(col("title"))).join(store.read(), "title_hash").select("title", "label", "run")
+
+
+add(
+    "g4_label_store",
+    label_runs,
+    "",
+    f"SELECT title, {LABEL} AS label, CASE WHEN bool_or(seq % 2 = 0) THEN 'run 1' ELSE 'run 2' END AS run "
+    f"FROM said WHERE {s.keyword_role()} IS NULL AND {LABEL} IS NOT NULL GROUP BY title",
+    [SAID],
+)
 add(
     "j6_label_join",
     lambda v: sc.join_labels(
@@ -306,8 +352,9 @@ add(
 # --- enrichment --------------------------------------------------------------
 
 
-def details(v):
-    return v.details_fx.unionByName(en.ashby_details(v.ashby_boards_fx, plain_jobs(v)))
+def enriched(v):
+    """Jobs enriched from the details and boards landed up to NOW."""
+    return en.enrich(plain_jobs(v), v.detail_versions_fx, boards=v.ashby_boards_fx, as_of=NOW)
 
 
 TEXT = s.strip_tags("coalesce({}, '')")
@@ -319,11 +366,14 @@ FROM (SELECT slug, unnest(CAST(json_extract(body, '$.jobs') AS JSON[])) AS p
       FROM ashby_boards_fx WHERE status = 200) q
 WHERE json_extract_string(p, '$.id') IS NOT NULL""")
 DETAILED = [
+    ("newest_details", f"""
+SELECT source, detail_key, body FROM detail_versions_fx WHERE status = 200 AND landed <= '{NOW}'
+QUALIFY ROW_NUMBER() OVER (PARTITION BY source, detail_key ORDER BY landed DESC) = 1"""),
     ("keyed_jobs", f"SELECT *, {DETAIL_KEY} AS detail_key FROM jobs_fx"),
     ASHBY,
     ("detailed", f"""
 SELECT k.*, d.body, a.plain, a.html FROM keyed_jobs k
-LEFT JOIN details_fx d ON d.source = k.source AND d.detail_key = k.detail_key AND d.status = 200
+LEFT JOIN newest_details d ON d.source = k.source AND d.detail_key = k.detail_key
 LEFT JOIN ashby a ON k.source = 'ashby' AND a.detail_key = k.detail_key"""),
     ("described", f"""
 SELECT * EXCLUDE (landed, body, plain, html), CASE
@@ -337,39 +387,46 @@ SELECT * EXCLUDE (landed, body, plain, html), CASE
     lambda y: y <> ''), chr(10))
   ELSE '' END AS full_description FROM detailed"""),
 ]
-JOBS = "jobs_fx details_fx ashby_boards_fx"
+JOBS = "jobs_fx detail_versions_fx ashby_boards_fx"
 
 
 def plain_jobs(v):
     return v.jobs_fx.drop("landed")
 
 
+def looked_up(v):
+    keyed = en.with_detail_key(plain_jobs(v))
+    return dt.with_newest(keyed, dt.versions(v.detail_versions_fx, v.ashby_boards_fx, keyed), NOW)
+
+
 add(
     "j7_detail_lookup",
-    lambda v: en.with_details(plain_jobs(v), details(v)).select(
-        "seq", "detail_key",
-        F.when(col("source") == "ashby", F.when(
-            col("body").isNotNull(), F.coalesce(F.get_json_object("body", "$.descriptionPlain"), F.lit(""))
-        )).otherwise(col("body")).alias("body"),
+    lambda v: looked_up(v).select(
+        "seq", "detail_key", F.when(col("source") == "ashby", col("plain")).otherwise(col("body")).alias("body"),
     ),
     JOBS,
     "SELECT seq, detail_key, CASE WHEN source = 'ashby' THEN plain ELSE body END AS body FROM detailed",
     DETAILED,
 )
+
+
+def wanted_board_jobs(v):
+    wanted = en.with_detail_key(plain_jobs(v)).where("source = 'ashby' AND detail_key IS NOT NULL").select("detail_key").distinct()
+    return dt.board_jobs(v.ashby_boards_fx, wanted).join(wanted, "detail_key", "left_semi")
+
+
 add(
     "j8_ashby_lookup",
-    lambda v: en.ashby_details(v.ashby_boards_fx, plain_jobs(v)).select(
-        "detail_key",
-        F.coalesce(F.get_json_object("body", "$.descriptionPlain"), F.lit("")).alias("plain"),
-        F.coalesce(F.get_json_object("body", "$.descriptionHtml"), F.lit("")).alias("html"),
+    lambda v: wanted_board_jobs(v).select(
+        "detail_key", F.coalesce("plain", F.lit("")).alias("plain"), F.coalesce("html", F.lit("")).alias("html"),
     ),
-    "jobs_fx ashby_boards_fx",
+    "jobs_fx detail_versions_fx ashby_boards_fx",
     "SELECT detail_key, plain, html FROM ashby WHERE detail_key IN (SELECT detail_key FROM keyed_jobs WHERE source = 'ashby')",
-    DETAILED[:2],
+    DETAILED[:3],
 )
 add(
     "x13_descriptions",
-    lambda v: en.enrich(plain_jobs(v), details(v)).select("seq", "full_description"),
+    lambda v: enriched(v).select("seq", "full_description"),
     JOBS, "SELECT seq, full_description FROM described", DETAILED,
 )
 ENRICHED = DETAILED + [
@@ -379,19 +436,19 @@ ENRICHED = DETAILED + [
 ]
 add(
     "x13_enriched_flags",
-    lambda v: en.enrich(plain_jobs(v), details(v)).select("seq", *FLAGS),
+    lambda v: enriched(v).select("seq", *FLAGS),
     JOBS, f"SELECT seq, {', '.join(FLAGS)} FROM flagged", ENRICHED,
 )
 add(
     "a3_flag_counts",
-    lambda v: en.flag_counts(en.enrich(plain_jobs(v), details(v))),
+    lambda v: en.flag_counts(enriched(v)),
     JOBS,
     "SELECT " + ", ".join(f"COUNT(*) FILTER ({f} <> '') AS {f}" for f in FLAGS) + " FROM flagged",
     ENRICHED,
 )
 add(
     "f5_without_no_sponsorship",
-    lambda v: en.without_no_sponsorship(en.enrich(plain_jobs(v), details(v))).select(
+    lambda v: en.without_no_sponsorship(enriched(v)).select(
         "seq", "sponsorship"
     ),
     JOBS, "SELECT seq, sponsorship FROM flagged WHERE sponsorship <> 'no'", ENRICHED,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,18 +68,37 @@ def pending_pairs(pairs: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def append_ledger(path: str, pairs: DataFrame, candidates: DataFrame) -> None:
-    """Store the candidates first, then mark their pairs as done.
+    """Store candidates and their pairs as one attempt, which counts once ``manifest`` names it.
 
-    A crash between the two only means that the pairs are read again; the distinct
-    step after the harvest makes the repeat harmless.
+    A crash before that leaves rows that are never read: the pairs are pending still, and what
+    they find is stored once.
     """
-    candidates.write.mode("append").parquet(f"{path}/found")
-    pairs.select("index_name", "pattern").write.mode("append").parquet(f"{path}/done")
+    attempt = uuid.uuid4().hex
+    candidates.write.parquet(f"{path}/found/attempt={attempt}")
+    pairs.select("index_name", "pattern").write.parquet(f"{path}/done/attempt={attempt}")
+    name_attempt(pairs.sparkSession, path, attempt)
+
+
+def name_attempt(spark: SparkSession, path: str, attempt: str) -> None:
+    row = spark.createDataFrame([(attempt,)], "attempt STRING")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _named(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
+    """Rows of the attempts that the manifest names; none before the first."""
+    try:
+        named = spark.read.schema("attempt STRING").parquet(f"{path}/manifest").distinct()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    rows = spark.read.schema(f"{schema}, attempt STRING").parquet(f"{path}/{kind}")
+    return rows.join(named, "attempt", "left_semi").drop("attempt")
 
 
 def done_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("index_name STRING, pattern STRING").parquet(f"{path}/done")
+    return _named(spark, path, "done", "index_name STRING, pattern STRING")
 
 
 def ledger_candidates(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CANDIDATE).parquet(f"{path}/found")
+    return _named(spark, path, "found", CANDIDATE)
