@@ -64,8 +64,12 @@ def test_no_conversations(spark):
 
 
 def test_given_conversations_make_pairs(spark):
-    """Nearly every given conversation has a partner, so prompts and paired masks are made of them."""
+    """Every given conversation has a partner; all but those without an assistant's turn have a mask."""
     for sf in ("sf0.001", "sf0.01"):
         rows = queries.op8(spark, f"/root/testdata/{sf}").collect()
         assert sum(r.rejected_id is None for r in rows) <= 1 and len(rows) >= 10
-        assert all(r.chosen != r.rejected and r.rejected_mask for r in rows if r.rejected_id is not None)
+        two = [r for r in rows if r.rejected_id is not None]
+        assert all(r.chosen != r.rejected for r in two)
+        for side, mask in [(x, m) for r in two for x, m in ((r.chosen, r.chosen_mask), (r.rejected, r.rejected_mask))]:
+            assert bool(mask) == ("<|assistant|>" in side)
+        assert sum(bool(r.chosen_mask and r.rejected_mask) for r in two) > 0.5 * len(two)
