@@ -361,3 +361,54 @@ FROM merged m JOIN probes_fx p ON p.ats = m.ats AND p.board_key = m.board_key"""
         *mixed_ctes("merged_pages"),
     ],
 )
+
+
+# --- all sources in one plan -------------------------------------------------
+
+
+def harvested_whole(v):
+    """Seeds, published texts, listings and a crawl that was cut off once and went on from its ledger."""
+    lines = v.url_lines_fx.withColumns({
+        "index_name": F.concat(F.lit("CRAWL-"), (col("line_no") % 3).cast("string")),
+        "pattern": F.concat(F.lit("pattern-"), (col("line_no") % 7).cast("string")),
+    })
+    seeds = v.seeds_fx.withColumn("line_no", F.regexp_extract("value", "seed([0-9]+)", 1).cast("bigint"))
+    ledger = scratch(v.spark, "ledger")
+    di.harvest(index=lines.where(col("pattern") < "pattern-4"), ledger=ledger)
+    lists = v.crawl_text_fx.withColumnRenamed("page_id", "doc_id")
+    return written(di.harvest(seeds, lists, v.listings_fx, lines, ledger), "candidates")
+
+
+URLS = ("job_url_direct", "job_url", "apply_url")
+WHOLE_VIEWS = VIEWS + " seeds_fx listings_fx"
+WHOLE = [
+    ("harvest", f"""
+SELECT CAST(regexp_extract(value, 'seed([0-9]+)', 1) AS BIGINT) AS doc, value AS body FROM seeds_fx WHERE NOT starts_with(ltrim(value), '#')
+UNION ALL SELECT page_id + {di.ROOM}, body FROM crawl_text_fx
+""" + "".join(f"UNION ALL SELECT seq * 3 + {i} + {2 * di.ROOM}, {c} FROM listings_fx WHERE {c} IS NOT NULL\n" for i, c in enumerate(URLS)) + f"""
+UNION ALL SELECT line_no + {3 * di.ROOM}, coalesce(json_extract_string(value, '$.url'), '') FROM url_lines_fx WHERE json_valid(value)"""),
+    *s.links("harvest", "doc"),
+    ("found", f"""
+SELECT ats, board_key, tenant, wd, site, slug, name,
+  CASE doc // {di.ROOM} WHEN 0 THEN 'seeds' WHEN 1 THEN 'lists' WHEN 2 THEN 'listings' ELSE 'index' END AS origin,
+  (doc::HUGEINT * 1000000000000::HUGEINT + pos)::DECIMAL(38,0) AS seq
+FROM links"""),
+    *FOUND[FOUND.index(next(x for x in FOUND if x[0] == "uniq")):],
+]
+add(
+    "discover_all_sources",
+    lambda v: di.discover(harvested_whole(v), registry(v), v.probes_fx).survivors.select(*CANDIDATE_COLS),
+    WHOLE_VIEWS, f"SELECT {CAND} FROM survivors", WHOLE,
+)
+add(
+    "u6_coverage_all_sources",
+    lambda v: co.report(harvested_whole(v), registry(v), 15),
+    WHOLE_VIEWS,
+    """
+SELECT f.ats, coalesce(r.entries, 0) AS entries, coalesce(r.unique_keys, 0) AS unique_keys, f.surfaced,
+  f.validated, f.missing, f.pct, coalesce(m.missing_boards, '') AS missing_boards
+FROM funnel f
+LEFT JOIN (SELECT ats, COUNT(*) AS entries, COUNT(DISTINCT board_key) AS unique_keys FROM registry GROUP BY ats) r ON r.ats = f.ats
+LEFT JOIN (SELECT ats, string_agg(board, '; ' ORDER BY place) AS missing_boards FROM sampled GROUP BY ats) m ON m.ats = f.ats""",
+    WHOLE,
+)
