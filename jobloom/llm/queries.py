@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from jobloom.llm import alignment, bpe, html_text, ngram_join, preference_chat, quality, resampling, secret_scan, sharding, sql, templates, topk, toxicity, warc
 from jobloom.llm.registry import query
 from jobloom.llm.spread import table
-from jobloom.session import written
+from jobloom.session import scratch
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -96,8 +96,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_warc", sql.OP10)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    archives = written(warc.write_archives(pages, warc.dictionary(pages)), "archives")
-    records = warc.read_archives(archives)
+    folder = scratch(spark, "archives")
+    files = warc.save_archives(warc.write_archives(pages, warc.dictionary(pages)), folder)
+    if files.isEmpty():
+        return warc.read_archives(files.select("path", F.lit(b"").alias("content"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = warc.read_archives(warc.open_archives(spark, folder))
     checked = records.withColumn("page_id", F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(" ", "path", "error"))).otherwise(F.col("page_id")))
     return checked.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

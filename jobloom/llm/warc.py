@@ -7,16 +7,20 @@ dictionary in a leading skippable frame, then one frame per record.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobloom.llm.spread import join_per_key
+from jobloom.session import written
 
 # Fixed values of the formats.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -125,6 +129,54 @@ def write_archives(
     return rows.mapInArrow(pack, ARCHIVE)
 
 
+def file_system(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder that all machines share, and its path there."""
+    uri = re.sub("^file:/+", "file:///", folder)
+    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def save_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Write each row of ``archives`` as a file of ``folder``; (path, bytes) of the files.
+
+    A task writes a file under a name of its own below ``_tried``. The names that finished tasks
+    have returned are stored, and only those files are then moved to their archives' names, which a second
+    run of a move finds done. So what a lost task left is never taken for an archive. Null contents
+    give no file; archives of one name are an error.
+    """
+    tried = f"{folder}/_tried"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = file_system(tried)
+        system.create_dir(at, recursive=True)
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                if not content.is_valid:
+                    continue
+                own, data = uuid.uuid4().hex, content.as_buffer()
+                with system.open_output_stream(f"{at}/{own}") as out:
+                    out.write(data)
+                yield pa.RecordBatch.from_pydict({"path": [path.as_py()], "own": [own], "bytes": [data.size]})
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, at = file_system(folder)
+        for batch in batches:
+            for path, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if system.get_file_info(f"{at}/_tried/{own}").type == fs.FileType.File:
+                    system.move(f"{at}/_tried/{own}", f"{at}/{path}")
+            yield batch.select([0, 2])
+
+    names = written(archives.select("path", "content").mapInArrow(write, "path string, own string, bytes long"), "archive-names")
+    twice = names.groupBy("path").count().filter("count > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"two archives are named {twice.first()[0]}")
+    return written(names.mapInArrow(move, "path string, bytes long"), "archive-files")
+
+
+def open_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """The archive files of a folder, as ``read_archives`` takes them."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+
+
 def frames(content: bytes, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes | None, str | None]]:
     """(offset, data, error) of each frame after the dictionary. A broken frame ends the archive."""
     view, at, held = memoryview(content), 0, None

@@ -1,6 +1,8 @@
 """Archives written and read back; faulty archives give errors, not crashes."""
 
 import hashlib
+import os
+import re
 import struct
 
 import pytest
@@ -8,6 +10,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from jobloom.llm import warc
+from jobloom.session import scratch
 
 PAGES = "page_id long, url string, html string, payload string, digest string, size long, target long"
 
@@ -63,8 +66,10 @@ def read(spark, content):
     return warc.read_archives(df).collect()
 
 
+LENGTH = int(re.search(rb"Content-Length: (\d+)", good())[1])
+LONGER = good().replace(b"Content-Length: %d" % LENGTH, b"Content-Length: %d" % (LENGTH + 1))
 FAULTS = [
-    (good().replace(b"hello", b"jello"), "digest"), (good().replace(b"Content-Length: 10", b"Content-Length: 11"), "length"),
+    (good().replace(b"hello", b"jello"), "digest"), (LONGER, "length"),
     (good().replace(b"WARC/1.1", b"WARC/9.9"), "header"), (good().replace(b"WARC-Date: ", b"X-Date: "), "warc-date"),
     (good()[:-4], "length"), (b"", "header"), (good().replace(b"WARC-Type: response", b"WARC-Type response"), "colon"),
 ]
@@ -72,8 +77,7 @@ FAULTS = [
 
 @pytest.mark.parametrize("data,error", FAULTS)
 def test_faulty_records(spark, data, error):
-    if data == good():
-        pytest.skip("fault not applied")
+    assert data != good()
     rows = read(spark, archive(good(), data, good(b"later")))
     assert rows[0].error is None and error in rows[1].error.lower() and rows[2].error is None
 
@@ -102,3 +106,22 @@ def test_binary_files_are_read(spark, tmp_path):
     (tmp_path / "a.warc.zst").write_bytes(archive(good()))
     files = spark.read.format("binaryFile").load(str(tmp_path))
     assert warc.read_archives(files).filter(F.col("error").isNull()).count() == 1
+
+
+def test_archives_are_files(spark):
+    """What finished tasks wrote lands as files; what a lost one left does not."""
+    folder = scratch(spark, "archives")
+    local = folder.removeprefix("file://").removeprefix("file:")
+    os.makedirs(f"{local}/_tried")
+    with open(f"{local}/_tried/left-by-a-lost-task", "wb") as left:
+        left.write(archive(good(b"never read")))
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>") for i in range(40)], "page_id long, url string, html string").repartition(3)
+    files = warc.save_archives(warc.write_archives(pages, b"", archive_bytes=300), folder)
+    names = sorted(r.path for r in files.collect())
+    assert len(names) > 3 and names == sorted(n for n in os.listdir(local) if n.endswith(".warc.zst"))
+    with open(f"{local}/{names[0]}", "rb") as one:  # any reader can open it
+        assert zstandard.ZstdDecompressor().decompressobj().decompress(one.read()).startswith(b"WARC/1.1")
+    rows = warc.read_archives(warc.open_archives(spark, folder)).collect()
+    assert sorted(r.page_id for r in rows) == list(range(40)) and not any(r.error for r in rows)
+    with pytest.raises(ValueError, match="are named a"):
+        warc.save_archives(spark.createDataFrame([("a", b"x"), ("a", b"y")], "path string, content binary"), scratch(spark, "twice"))
