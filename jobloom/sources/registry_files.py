@@ -13,6 +13,8 @@ import shutil
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from typing import TextIO
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -33,6 +35,30 @@ def current(path: str) -> str | None:
         return None
 
 
+def entries(file: TextIO) -> Iterator[dict]:
+    """The items of the list ``companies`` one by one, so that a file of any length takes the memory of one."""
+    import yaml
+
+    loader = yaml.SafeLoader(file)
+    try:
+        while loader.check_event(yaml.StreamStartEvent, yaml.DocumentStartEvent):
+            loader.get_event()
+        if not loader.check_event(yaml.MappingStartEvent):
+            return
+        loader.get_event()
+        while not loader.check_event(yaml.MappingEndEvent):
+            key = loader.construct_document(loader.compose_node(None, None))
+            if key != "companies" or not loader.check_event(yaml.SequenceStartEvent):
+                loader.compose_node(None, None)
+                continue
+            loader.get_event()
+            while not loader.check_event(yaml.SequenceEndEvent):
+                yield loader.construct_document(loader.compose_node(None, None))
+            loader.get_event()
+    finally:
+        loader.dispose()
+
+
 class RegistryFile(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -50,12 +76,10 @@ class RegistryReader(DataSourceReader):
         return [RegistryFile(os.path.join(folder, n)) for n in names if n.endswith(".yaml")]
 
     def read(self, partition: RegistryFile) -> Iterator[tuple]:
-        import yaml
-
         if partition is None or not getattr(partition, "path", None):
             return
         with open(partition.path, encoding="utf-8") as file:
-            for entry in (yaml.safe_load(file) or {}).get("companies") or []:
+            for entry in entries(file):
                 yield tuple(entry.get(c) for c in FIELDS)
 
 
@@ -78,13 +102,17 @@ class RegistryWriter(DataSourceWriter):
 
         folder = os.path.join(self.path, self.version)
         os.makedirs(folder, exist_ok=True)
-        entries = [{c: r[c] for c in FIELDS if r[c] is not None} for r in rows]
-        if not entries:
+        first = next(rows := iter(rows), None)
+        if first is None:
             return Written(None, 0)
-        name = f"part-{uuid.uuid4().hex}.yaml"
+        name, count = f"part-{uuid.uuid4().hex}.yaml", 0
         with open(os.path.join(folder, f".{name}"), "w", encoding="utf-8") as file:
-            yaml.safe_dump({"companies": entries}, file, allow_unicode=True, sort_keys=False)
-        return Written(name, len(entries))
+            file.write("companies:\n")
+            # Row by row: a list of all entries, and its YAML tree, would be held whole.
+            for r in chain([first], rows):
+                yaml.safe_dump([{c: r[c] for c in FIELDS if r[c] is not None}], file, allow_unicode=True, sort_keys=False)
+                count += 1
+        return Written(name, count)
 
     def commit(self, messages: list[Written | None]) -> None:
         """Show the files of the tasks that count, not of those that ran twice; then name the version."""

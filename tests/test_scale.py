@@ -1,11 +1,13 @@
 """What must not grow faster than the input: reads, shuffles, skew and memory."""
 
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from jobloom.operators import skew
 from jobloom.session import written
 from jobloom.sources import details as dt
+from jobloom.sources.registry_files import FIELDS, RegistryFile, RegistryReader, RegistryWriter
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +41,33 @@ def test_jobs_are_read_once_for_their_details(spark):
     physical = out._jdf.queryExecution().sparkPlan().toString()
     assert physical.count("jobs-to-look-up") == 1
     assert {r.job_id: r.body for r in out.collect()} == {"j": "b", "i": None}
+
+
+def test_a_registry_file_takes_the_memory_of_one_entry(tmp_path):
+    def rows(n):
+        for i in range(n):
+            yield dict.fromkeys(FIELDS, None) | {"ats": "lever", "board_key": f"b{i}", "slug": "x" * 500, "name": "- a: [\n- b", "ord": i}
+
+    writer = RegistryWriter(str(tmp_path), True)
+    RegistryWriter(str(tmp_path / "first"), True).write(rows(1))  # imports and caches
+    tracemalloc.start()
+    done = writer.write(rows(2000))
+    peak = tracemalloc.get_traced_memory()[1]
+    writer.commit([done])
+    reader = RegistryReader(str(tmp_path))
+    (part,) = reader.partitions()
+    tracemalloc.reset_peak()
+    base = tracemalloc.get_traced_memory()[0]
+    count = sum(r == tuple(row[c] for c in FIELDS) for r, row in zip(reader.read(part), rows(2000), strict=True))
+    read = tracemalloc.get_traced_memory()[1] - base
+    tracemalloc.stop()
+    assert count == done.rows == 2000 and peak < 1 << 20 and read < 1 << 20
+
+
+def test_registry_files_kept_by_hand(tmp_path):
+    def read(text):
+        (tmp_path / "f.yaml").write_text(text)
+        return [r[:2] for r in RegistryReader("").read(RegistryFile(str(tmp_path / "f.yaml")))]
+
+    assert read("# x\nother: [1, {companies: [2]}]\ncompanies:\n  - {ats: lever, board_key: a}\n  - ats: ashby\n    board_key: b\nz: 1\n") == [("lever", "a"), ("ashby", "b")]
+    assert read("") == read("companies:\n") == read("companies: []\n") == []
