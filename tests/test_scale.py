@@ -1,9 +1,12 @@
 """What must not grow faster than the input: reads, shuffles, skew and memory."""
 
+import os
 import tracemalloc
 
 from pyspark.sql import functions as F
 
+from contract import fixtures
+from jobloom.functions.text import strip
 from jobloom.operators import skew
 from jobloom.session import written
 from jobloom.sources import details as dt
@@ -16,6 +19,26 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_trim_is_no_pattern(spark):
+    df = spark.createDataFrame([("\x1c\u3000 a\u00a0b \x85",), ("ab",), (" ",), (None,), ("\u200ba",)], "x string")
+    out = df.select(strip(F.col("x")).alias("y"))
+    assert "regexp" not in plan(out)
+    assert [r.y for r in out.collect()] == ["a\u00a0b", "ab", "", "", "\u200ba"]
+
+
+def test_page_numbers_are_worked_out_once(spark):
+    made = {}
+    for name in ("wd_pages_fx", "sr_pages_fx", "wk_pages_fx"):
+        assert "Window" not in plan(fixtures.view(spark, SF, name, made))
+
+
+def test_tables_are_dealt_by_size(spark, monkeypatch):
+    monkeypatch.setattr(fixtures, "DEALT_BYTES", 1 << 10)
+    rows = fixtures.table(spark, SF, "lineitem")
+    want = os.path.getsize(f"{SF}/lineitem.parquet") / 1024
+    assert rows.rdd.getNumPartitions() >= want > spark.sparkContext.defaultParallelism
+
+
 def test_rows_without_a_key_are_spread(spark):
     fact = spark.range(4000).select(F.lit(None).cast("string").alias("k"), "id")
     unique = spark.createDataFrame([("a", 1)], "k string, v int")
