@@ -132,13 +132,19 @@ def by_path(done: Scan, path: str = "doc_id") -> DataFrame:
     return join_per_key(done.paths, "blob", [path], per_blob(done.findings))
 
 
-def redacted(docs: DataFrame, found: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, found: DataFrame, text: str = "text", mark: str = "[SECRET]",
+             hashes: DataFrame | None = None) -> DataFrame:
     """``docs`` with every span of ``found`` (blob, spans) in ``text`` replaced by ``mark``.
 
     Spans that touch or overlap become one mark. Other texts, null among them, stay as they
-    are; so do all other columns.
+    are; so do all other columns. ``hashes`` (__has) are the distinct xxhash64 of the blobs of ``found``,
+    marked for broadcast: texts that are not among them are then not shuffled.
     """
     names = docs.columns
+    if hashes is not None:
+        same = F.xxhash64(address(F.col(text))) == F.col("__has")
+        some = redacted(docs.join(hashes, same, "left_semi"), found, text, mark)
+        return docs.join(hashes, same, "left_anti").unionByName(some)
     rows = docs.withColumn("__blob", address(F.col(text)))
     per = found.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     rows = join_per_key(rows, "__blob", [names[0]], per)

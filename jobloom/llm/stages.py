@@ -80,7 +80,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret and ``n_chars`` counted anew."""
     found = secret_scan.scan(docs, ledger=secret_scan.empty_ledger(spark)).findings
-    clean = secret_scan.redacted(docs, secret_scan.per_blob(found))
+    found = written(secret_scan.per_blob(found), "secret-spans")
+    # Few blobs hold secrets: if their hashes can be broadcast, no other text is shuffled again.
+    hashes, few = small(found.select(F.xxhash64("blob").alias("__has")).distinct(), "secret-hashes")
+    clean = secret_scan.redacted(docs, found, hashes=hashes if few else None)
     changed = F.col("n_chars").isNotNull() & F.col("text").isNotNull()
     kind = docs.schema["n_chars"].dataType
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contract import fixtures
 from jobloom.functions.text import strip
+from jobloom.llm import secret_scan
 from jobloom.operators import skew
 from jobloom.session import written
 from jobloom.sources import details as dt
@@ -94,3 +95,13 @@ def test_registry_files_kept_by_hand(tmp_path):
 
     assert read("# x\nother: [1, {companies: [2]}]\ncompanies:\n  - {ats: lever, board_key: a}\n  - ats: ashby\n    board_key: b\nz: 1\n") == [("lever", "a"), ("ashby", "b")]
     assert read("") == read("companies:\n") == read("companies: []\n") == []
+
+
+def test_only_texts_with_secrets_are_moved(spark):
+    texts = ["password = hunter22 and", "nothing here", None, "", "password = short", "AKIA" + "A" * 16, "nothing here"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = secret_scan.per_blob(secret_scan.scan(docs).findings)
+    hashes = found.select(F.xxhash64("blob").alias("__has")).distinct()
+    out = secret_scan.redacted(docs, found, hashes=F.broadcast(hashes))
+    assert sorted(map(str, out.collect())) == sorted(map(str, secret_scan.redacted(docs, found).collect()))
+    assert "Union" in plan(out) and out.where("doc_id = 0").first().text == "[SECRET] and"
