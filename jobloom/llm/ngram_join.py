@@ -24,6 +24,8 @@ RECALL = 0.99999
 MOST_HASHES = 160
 #: Members and n-grams in a block; larger buckets are compared block by block.
 MOST_MEMBERS, MOST_NGRAMS = 1 << 10, 1 << 18
+#: Words of the texts that a worker takes at once.
+MOST_WORDS = 1 << 19
 
 SKETCH = "doc_id long, digest binary, n long, bands array<bigint>"
 
@@ -51,10 +53,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (doc_id, words) in slices that end with the first text to reach MOST_WORDS."""
+    for batch in batches:
+        ends = batch.column(1).offsets.to_numpy()
+        start = 0
+        for i in range(1, len(ends)):
+            if i == len(ends) - 1 or ends[i] - ends[start] >= MOST_WORDS:
+                yield batch.slice(start, i - start)
+                start = i
+
+
 def ngram_sets(words: pa.ListArray, size: int) -> list[np.ndarray]:
     """The distinct n-grams of each row, sorted. Fewer than ``size`` words are one n-gram."""
     offsets = words.offsets.to_numpy()
-    flat = words.values.to_numpy().view(np.uint64)
+    flat = words.values.to_numpy().view(np.uint64)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
     step = np.uint64(0x9E3779B97F4A7C15)
     runs = np.zeros(max(0, len(flat) - size + 1), np.uint64)
     for k in range(size):
@@ -112,7 +126,7 @@ def sketches(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """(doc_id, digest, n, bands) per row: the n-gram set's digest and size, and its band hashes."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = ngram_sets(batch.column(1), words)
             digests = [digest_of(s.tobytes()) for s in sets]
             found: list[list[int] | None] = [None] * len(sets)
@@ -339,15 +353,14 @@ def verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(verify, LINKS)
 
 
-def links_of(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def links_of(members: DataFrame, sets: DataFrame, homes: DataFrame | None, threshold: float) -> DataFrame:
     """LINKS of all pairs that a bucket brings together, stored; each pair once.
 
-    ``members`` is the output of ``buckets``, ``sets`` has node, bands and ngrams.
+    ``members`` is the output of ``buckets``, ``sets`` has node, bands and ngrams, ``homes`` is the
+    output of ``cores``, None if no bucket takes several blocks.
     """
-    large = not members.filter("parts > 1").isEmpty()
     rows = members.join(sets, "node")
-    if large:
-        homes = written(cores(members, sets, threshold), "cores")
+    if homes is not None:
         rows = rows.join(homes.select("node", "home"), "node", "left")
     else:
         rows = rows.withColumn("home", F.lit(b""))
@@ -359,25 +372,29 @@ def links_of(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
         core.alias("core"), "ngrams")
     done = written(blocks(rows, threshold), "blocks")
     found = done.filter("node IS NOT NULL").select("node", "hub", "links")
-    if large:
+    if homes is not None:
         across = written(verified(block_pairs(done.filter("packed IS NOT NULL")), threshold), "block-links")
         found = found.unionByName(across).unionByName(core_links(homes))
     return found
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, digest, ngrams): the whole sorted n-gram sets of the documents with these ``ids``."""
+def sets_of(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, ngrams): the whole sorted n-gram sets of these ``nodes``, and of other texts of their ids.
+
+    Sets are made unique by node, so a join by node needs no other shuffle of them.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [s.tobytes() for s in ngram_sets(batch.column(1), words)]
             digests = [digest_of(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["doc_id", "digest", "ngrams"])
 
+    ids, _ = small(nodes.select(doc_of(F.col("node")).alias("doc_id")).distinct(), "candidate-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    return texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(
-        build, "doc_id long, digest binary, ngrams binary").dropDuplicates(["doc_id", "digest"])
+    built = texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInArrow(build, "doc_id long, digest binary, ngrams binary")
+    return built.select(node_of("doc_id", "digest").alias("node"), "ngrams").dropDuplicates(["node"])
 
 
 def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, recall: float = RECALL) -> DataFrame:
@@ -401,12 +418,15 @@ def similar(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, r
     compared = classes.filter("n > 0").select("node", "members", "n", "bands")
     members = written(buckets(compared), "bucket-members")
     nodes, _ = small(members.select("node").distinct(), "candidates", 32)
-    ids, _ = small(nodes.select(doc_of(F.col("node")).alias("doc_id")).distinct(), "candidate-ids")
-    sets = sets_of(docs, ids, words).select(node_of("doc_id", "digest").alias("node"), "ngrams")
-    info = compared.select("node", "bands").join(nodes, "node", "left_semi").join(sets, "node")
-    if not members.filter("parts > 1").isEmpty():
-        info = written(info, "candidate-sets")  # read twice then
-    found = written(links_of(members, info, threshold), "links")
+    info = compared.select("node", "bands").join(nodes, "node", "left_semi").join(sets_of(docs, nodes, words), "node")
+    homes = None
+    several = members.filter("parts > 1")
+    if not several.isEmpty():
+        # only the sets of their members are built for the cores, so that the others move once
+        of_several, _ = small(several.select("node").distinct(), "members-of-several", 32)
+        own = sets_of(docs, of_several, words).join(of_several, "node", "left_semi")
+        homes = written(cores(members, written(own, "sets-of-several"), threshold), "cores")
+    found = written(links_of(members, info, homes, threshold), "links")
     labels = components(found.select(F.col("node").alias("a"), F.col("hub").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     per_class = classes.select("digest", "node", "members", "n").join(labels, "node", "left").join(links, "node", "left").select(

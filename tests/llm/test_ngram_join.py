@@ -3,6 +3,7 @@
 import collections
 import random
 
+import pyarrow as pa
 import pytest
 import regex
 
@@ -165,3 +166,39 @@ def test_components(spark):
             root[b] = a
     assert got == {x: top(x) for x in root}
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_sets_of_large_buckets_are_built_for_cores(spark, documents, monkeypatch):
+    monkeypatch.setattr(nj, "MOST_MEMBERS", 16)
+    small = [(i, f"{i // 2} alike in twos " + " ".join(f"p{i // 2}n{k}" for k in range(60)) + (" end" if i % 2 else "")) for i in range(300_000, 300_040)]
+    seen = {}
+
+    def watched(members, sets, *more, build=nj.cores):
+        seen["sets"], seen["members"] = sets.count(), members.filter("parts > 1").select("node").distinct().count()
+        return build(members, sets, *more)
+
+    def linked(members, sets, *more, build=nj.links_of):
+        seen["plan"] = sets._jdf.queryExecution().executedPlan().toString()
+        return build(members, sets, *more)
+
+    monkeypatch.setattr(nj, "cores", watched)
+    monkeypatch.setattr(nj, "links_of", linked)
+    rows = near_copies(60, 2) + small
+    assert run(documents(rows)) == brute(rows)
+    assert 0 < seen["sets"] == seen["members"] <= 60
+    assert "hashpartitioning(doc_id" not in seen["plan"]  # the sets are dealt by node, once
+
+
+def test_words_are_taken_in_slices(spark, documents, monkeypatch):
+    rows = near_copies(60, 3) + [(400_000, None), (400_001, ""), (400_002, "one " * 700)]
+    whole = run(documents(rows))
+    taken = []
+    words = pa.array([[1] * 700, [], [2] * 30, [3] * 5, [4] * 600], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), words], ["doc_id", "words"])
+    monkeypatch.setattr(nj, "MOST_WORDS", 500)
+    taken = [b.column(0).to_pylist() for b in nj.slices([batch, batch.slice(1, 2), batch.slice(0, 0)])]
+    assert taken == [[0], [1, 2, 3, 4], [1, 2]]
+    for part in nj.slices([batch]):
+        alone = [nj.ngram_sets(batch.slice(i, 1).column(1), 5)[0].tolist() for i in part.column(0).to_pylist()]
+        assert [s.tolist() for s in nj.ngram_sets(part.column(1), 5)] == alone
+    assert run(documents(rows)) == whole == brute(rows)
