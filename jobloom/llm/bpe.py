@@ -5,8 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 from array import array
-from collections.abc import Callable
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +29,13 @@ NEWER = (
 ).replace(" ", "")
 
 #: Distinct pieces in a generation of those whose ids a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Characters of the longest piece that is remembered.
 LONGEST = 64
+#: Bytes of the longest piece whose pairs are searched one by one.
+SHORT = 24
+#: Ids in a batch that is handed back; a text with more has a batch of its own.
+BATCH_IDS = 1 << 18
 
 
 @functools.lru_cache(maxsize=2)
@@ -47,6 +50,22 @@ def load_bytes(path: str) -> dict[int, bytes]:
     return {rank: token for token, rank in load(path).items()}
 
 
+def merged_short(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """As ``merged``, for a piece of few bytes: the next pair is searched among all."""
+    rank_of, never = ranks.get, 1 << 62
+    n = len(piece)
+    cuts = list(range(n + 1))  # bounds of the tokens
+    pairs = [rank_of(piece[i : i + 2], never) for i in range(n - 1)]
+    while pairs and (least := min(pairs)) < never:
+        i = pairs.index(least)
+        del cuts[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = rank_of(piece[cuts[i] : cuts[i + 2]], never)
+        if i:
+            pairs[i - 1] = rank_of(piece[cuts[i - 1] : cuts[i + 1]], never)
+    return [ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+
 def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one piece: always the leftmost pair of the smallest rank merges next.
 
@@ -57,6 +76,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if piece in ranks:
         return [ranks[piece]]
     n = len(piece)
+    if n <= SHORT:
+        return merged_short(piece, ranks)
     width = 1 << (n - 1).bit_length()
     rank_of, never = ranks.get, 1 << 62
     ends = list(range(1, n + 1))  # of the token that starts at a live position
@@ -112,13 +133,13 @@ def splitter(pattern: str) -> regex.Pattern:
 
 
 class Encoder:
-    """Ids of whole texts. Pieces are remembered in two generations of a fixed size."""
+    """Ids of whole texts. Pieces are remembered in two generations of a fixed size, ids as four bytes each."""
 
     def __init__(self, path: str, pattern: str):
         self.ranks, self.exact = load(path), splitter(pattern).findall
         self.plain, self.newer = regex.compile(pattern).findall, regex.compile(f"[{NEWER}]").search
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         # all of NEWER lies above U+0557, whose bytes begin below 0xD5
@@ -130,10 +151,10 @@ class Encoder:
         found = list(map(self.known.get, pieces))
         if None in found:
             found = [self.learn(p) if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        out.extend(chain.from_iterable(found))
+        out.extend(array("i", b"".join(found)))
 
-    def learn(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece) or self.older.get(piece) or tuple(merged(piece.encode(), self.ranks))
+    def learn(self, piece: str) -> bytes:
+        ids = self.known.get(piece) or self.older.get(piece) or array("i", merged(piece.encode(), self.ranks)).tobytes()
         if len(self.known) >= REMEMBERED:
             self.older, self.known = self.known, {}
         if len(piece) <= LONGEST:
@@ -151,20 +172,32 @@ def lists(offsets: list[int], values: array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
 
 
+def encoded(own: Encoder, texts: pa.Array) -> Iterator[pa.Array]:
+    """The ids of ``texts``, a list each, in batches that end with the first text to reach BATCH_IDS."""
+    offsets, out = [0], array("i")  # four bytes an id
+    for text in texts:
+        own.extend(text.as_py() or "", out)
+        offsets.append(len(out))
+        if len(out) >= BATCH_IDS:
+            yield lists(offsets, out)
+            offsets, out = [0], array("i")
+    if len(offsets) > 1 or not len(texts):
+        yield lists(offsets, out)
+
+
 def encode(path: str, pattern: str) -> Callable[[Column], Column]:
     """A column function from text to token ids.
 
     ``path`` is the rank file, at the same place on every machine. Null and empty texts
-    have no ids. A text is split by ``pattern`` and never cut elsewhere.
+    have no ids. A text is split by ``pattern`` and never cut elsewhere. Ids go back in batches
+    of about BATCH_IDS, however many texts a worker gets at once.
     """
 
     @F.arrow_udf("array<int>")
-    def ids(texts: pa.Array) -> pa.Array:
-        own, offsets, out = encoder(path, pattern), [0], array("i")  # four bytes an id
-        for text in texts:
-            own.extend(text.as_py() or "", out)
-            offsets.append(len(out))
-        return lists(offsets, out)
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = encoder(path, pattern)
+        for texts in batches:
+            yield from encoded(own, texts)
 
     # else a plan that reads the ids twice, as to decode them, may encode twice
     return ids.asNondeterministic()

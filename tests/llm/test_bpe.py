@@ -2,8 +2,10 @@
 
 import base64
 import random
+from array import array
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -99,3 +101,31 @@ def test_query_digests(spark, reference):
 def test_ids_are_made_once(spark):
     plan = queries.op4(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2
+
+
+def test_ids_go_back_in_bounded_batches(monkeypatch, reference):
+    """One batch of texts was one batch of ids before, whatever its size."""
+    monkeypatch.setattr(bpe, "BATCH_IDS", 100)
+    texts = [None, "", "word " * 40, "a b c", "lang " * 300, "", "x" * 50]
+    own = bpe.Encoder(PATH, P.PATTERN)
+    parts = list(bpe.encoded(own, pa.array(texts)))
+    assert [i for p in parts for i in p.to_pylist()] == [reference.encode_ordinary(t or "") for t in texts]
+    assert len(parts) > 1 and all(len(p.values) < 100 + 310 for p in parts)
+    assert [len(p) for p in bpe.encoded(own, pa.array([], pa.string()))] == [0]
+
+
+def test_short_pieces_equal_the_tree(monkeypatch):
+    ranks, rnd = bpe.load(PATH), random.Random(8)
+    pieces = [bytes(rnd.choice(b"aabcdeth \xc3\xa9\xff07") for _ in range(rnd.randrange(1, 40))) for _ in range(2000)]
+    short = [[ranks[p]] if p in ranks else bpe.merged_short(p, ranks) for p in pieces]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert short == [bpe.merged(p, ranks) for p in pieces]
+
+
+def test_remembered_ids_take_four_bytes():
+    """What a worker keeps after many pieces: two generations of 1 << 16 at most, once 1 << 18 with ids as tuples."""
+    own = bpe.Encoder(PATH, P.PATTERN)
+    out = array("i")
+    own.extend(" ".join(f"k{i * 7919 % 1000003}z" for i in range(300_000)), out)
+    kept = [*own.known.values(), *own.older.values()]
+    assert len(kept) <= 2 * bpe.REMEMBERED <= 1 << 17 and all(type(ids) is bytes and len(ids) % 4 == 0 for ids in kept)
