@@ -96,6 +96,7 @@ def harvest(
 
 
 def discover(found: DataFrame, registry: DataFrame, probes: DataFrame) -> Discovery:
-    distinct = b.distinct_candidates(found)
-    survivors = b.validated(b.not_registered(distinct, registry), probes)
+    # Stored, as several outputs read them: the first of each board is then looked for once.
+    distinct = written(b.distinct_candidates(found), "distinct-candidates")
+    survivors = written(b.validated(b.not_registered(distinct, registry), probes), "new-boards")
     return Discovery(distinct, survivors, b.merge_registry(registry, survivors))

@@ -122,3 +122,15 @@ def test_percentages_round_half_to_even(spark):
     found = spark.createDataFrame([cand("lever", f"k{i:02}", i) for i in range(16)], CANDIDATE)
     reg = spark.createDataFrame([("lever", "k00", None, None, None, "s", "n", 0)], BOARD)
     assert {r.ats: r.pct for r in co.funnel(co.funnel_keys(found, reg)).collect()}["lever"] == 6.2
+
+
+def test_discovery_looks_for_first_candidates_once(spark):
+    """What it returns reads stored tables; the aggregate ran again for each output before."""
+    found = spark.createDataFrame([cand("lever", f"co{i % 7}", i) for i in range(30)], CANDIDATE)
+    registry = spark.createDataFrame([], BOARD)
+    probes = spark.createDataFrame([("lever", f"co{i}", 200, '[{"id":1}]') for i in range(5)], PROBE)
+    out = di.discover(found, registry, probes)
+    for df in (out.distinct, out.survivors):
+        assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.board_key, int(r.seq)) for r in out.survivors.collect()) == [(f"co{i}", i) for i in range(5)]
+    assert out.distinct.count() == 7 and sorted(r.ord for r in out.registry.collect()) == list(range(5))
