@@ -73,30 +73,54 @@ def rows_so_far(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
 def _until(pages: DataFrame, group: list[str], failed: Column, last: Column) -> DataFrame:
     """(group, until): pages below ``until`` count, those before the first failed one and up
     to and with the first last one. NULL if neither is among the pages."""
-    bound = F.least(
-        F.min(F.when(failed, F.col("page_no"))), F.min(F.when(last, F.col("page_no") + 1))
-    )
-    return pages.groupBy(*group).agg(bound.alias("until"))
+    return pages.groupBy(*group).agg(_bound(failed, last).alias("until"))
+
+
+def _bound(failed: Column, last: Column) -> Column:
+    first = F.when(failed, F.col("page_no")).when(last, F.col("page_no") + 1)
+    return F.min(first)
+
+
+def _counted(page: DataFrame, ats: str) -> DataFrame:
+    """Pages with the running count that the system's rule looks at."""
+    if ats == "smartrecruiters":
+        return page.withColumn("rows_so_far", _so_far("rows"))
+    return page.withColumn("_codes", _so_far("codes")) if ats == "workable" else page
+
+
+def _ends(ats: str, page_limit: int = 0) -> tuple[Column, Column]:
+    """Whether a page of ``_counted`` is failed, and whether it is the last."""
+    failed, none = F.col("failed"), F.col("rows") == 0
+    if ats == "workday":
+        return failed | none, (F.col("page_no") + 1) * page_limit >= F.col("total")
+    if ats == "smartrecruiters":
+        return failed, none | (F.col("rows_so_far") >= F.col("total"))
+    return failed, none | ~F.col("more") | (F.col("_codes") >= F.col("total"))
 
 
 def workday_until(pages: DataFrame, page_limit: int) -> DataFrame:
     """Per term: stop at a failed or empty page, or once the offset reaches total."""
     page = numbers(pages, "workday", "jobPostings", "total")
-    reached = (F.col("page_no") + 1) * page_limit >= F.col("total")
-    return _until(page, GROUPS["workday"], F.col("failed") | (F.col("rows") == 0), reached)
+    return _until(page, GROUPS["workday"], *_ends("workday", page_limit))
 
 
 def smartrecruiters_until(pages: DataFrame) -> DataFrame:
     """Stop at a failed page, an empty one, or once the rows so far reach totalFound."""
-    last = (F.col("rows") == 0) | (F.col("rows_so_far") >= F.col("total"))
-    return _until(rows_so_far(pages), GROUPS["smartrecruiters"], F.col("failed"), last)
+    return _until(rows_so_far(pages), GROUPS["smartrecruiters"], *_ends("smartrecruiters"))
 
 
 def workable_until(pages: DataFrame) -> DataFrame:
     """As above, counting rows with a shortcode; also stop without a next page."""
-    page = numbers(pages, "workable", "results", "total").withColumn("_codes", _so_far("codes"))
-    last = (F.col("rows") == 0) | ~F.col("more") | (F.col("_codes") >= F.col("total"))
-    return _until(page, GROUPS["workable"], F.col("failed"), last)
+    page = _counted(numbers(pages, "workable", "results", "total"), "workable")
+    return _until(page, GROUPS["workable"], *_ends("workable"))
+
+
+def below_at_once(pages: DataFrame, ats: str, page_limit: int) -> DataFrame:
+    """The pages that count, of pages with NUMBERS: they move once, items and all, and are not joined."""
+    group = GROUPS[ats]
+    bound = _bound(*_ends(ats, page_limit)).over(Window.partitionBy(*group))
+    kept = _counted(pages.dropna(subset=group), ats).withColumn("until", bound)
+    return kept.where(F.col("page_no") < F.coalesce("until", F.col("page_no") + 1)).drop("until", "rows_so_far", "_codes")
 
 
 def below(pages: DataFrame, until: DataFrame, group: list[str]) -> DataFrame:

@@ -141,25 +141,41 @@ def is_landed(pages: DataFrame) -> bool:
 def kept_pages(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFrame:
     """Pages of one system that its stop rule lets through, with their ``items``.
 
-    ``pages`` may be ``landed``; else bodies are parsed here, once more for a stop rule's numbers.
+    ``pages`` may be ``landed``; else bodies are parsed here, once, and meet their rule in one shuffle.
     """
     own = pages.where(F.col("ats") == ats)
-    if ats == "workday":
-        own = paging.capped(own, settings.max_pages_per_term)
-        own = paging.below(own, paging.workday_until(own, settings.page_limit), paging.GROUPS[ats])
-    elif ats == "smartrecruiters":
-        own = paging.capped(own, settings.smartrecruiters_pages)
-        own = paging.below(own, paging.smartrecruiters_until(own), paging.GROUPS[ats])
-    elif ats == "workable":
-        own = paging.capped(own, settings.workable_pages)
-        own = paging.below(own, paging.workable_until(own), paging.GROUPS[ats])
-    if is_landed(pages):
-        ok = own if ats in paging.GROUPS else own.where(~F.col("failed"))
-        return ok.withColumn("items", F.col(ats)).drop(*PAYLOADS, *paging.NUMBERS)
-    parsed = own.withColumn("doc", parse(ats, F.col("body"))).drop("body")
     if ats not in paging.GROUPS:
-        parsed = paging.usable(parsed)
-    return parsed.withColumn("items", F.col(f"doc.{ITEMS[ats]}" if ITEMS[ats] else "doc")).drop("doc")
+        ok = (own if is_landed(pages) else _parsed(own, ats)).where(~F.col("failed"))
+        return ok.withColumn("items", F.col(ats)).drop(*PAYLOADS, *paging.NUMBERS)
+    own = paging.capped(own, {
+        "workday": settings.max_pages_per_term, "smartrecruiters": settings.smartrecruiters_pages, "workable": settings.workable_pages,
+    }[ats])
+    if not is_landed(pages):
+        ok = paging.below_at_once(_parsed(own, ats), ats, settings.page_limit)
+    elif ats == "workday":
+        ok = paging.below(own, paging.workday_until(own, settings.page_limit), paging.GROUPS[ats])
+    elif ats == "smartrecruiters":
+        ok = paging.below(own, paging.smartrecruiters_until(own), paging.GROUPS[ats])
+    else:
+        ok = paging.below(own, paging.workable_until(own), paging.GROUPS[ats])
+    return ok.withColumn("items", F.col(ats)).drop(*PAYLOADS, *paging.NUMBERS)
+
+
+def _parsed(pages: DataFrame, ats: str) -> DataFrame:
+    """Pages of one system with the columns of ``landed`` that it fills, in place of ``body``: parsed once."""
+    doc = pages.withColumn("_doc", parse(ats, F.col("body"))).drop("body")
+    items = F.col(f"_doc.{ITEMS[ats]}" if ITEMS[ats] else "_doc")
+    total = F.col(f"_doc.{paging.TOTALS[ats]}") if ats in paging.TOTALS else F.lit(None)
+    codes = F.filter(items, lambda r: F.coalesce(r["shortcode"], F.lit("")) != "") if ats == "workable" else None
+    numbers = {
+        "failed": (F.coalesce("status", F.lit(0)) != 200) | F.col("_doc").isNull(),
+        "rows": F.when(items.isNotNull(), F.size(items)).otherwise(0).cast("bigint"),
+        "total": F.coalesce(total.cast("bigint"), F.lit(0).cast("bigint")),
+        "codes": (F.lit(0) if codes is None else F.when(codes.isNotNull(), F.size(codes)).otherwise(0)).cast("bigint"),
+        "more": F.coalesce("_doc.nextPage", F.lit("")) != "" if ats == "workable" else F.lit(False),
+    }
+    kept = [c for c in pages.columns if c != "body"]
+    return doc.select(*kept, *[c.alias(n) for n, c in numbers.items()], items.alias(ats))
 
 
 def running_offsets(pages: DataFrame) -> DataFrame:
@@ -177,7 +193,8 @@ def scan(pages: DataFrame, ats: str, settings: Settings = Settings()) -> DataFra
         kept = ok.withColumn("doc", parse(ats, F.col("body"))).drop("body").withColumn("items", items).drop("doc")
     else:
         kept = kept_pages(pages, ats, settings)
-    placed = kept.select("*", F.posexplode("items").alias("pos", "p")).drop("items")
+    # Of an inner explode Spark would infer a filter on the items and parse each body for it as well.
+    placed = kept.select("*", F.posexplode_outer("items").alias("pos", "p")).drop("items").where(F.col("pos").isNotNull())
     rank = F.element_at(
         F.create_map(*[F.lit(x) for i, s in enumerate(SOURCE_ORDER) for x in (s, i)]),
         F.col("ats"),

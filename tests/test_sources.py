@@ -322,3 +322,20 @@ def test_stop_rules_shuffle_no_payload(spark):
         assert "Exchange" not in line or "body" not in line
     windows = [x for x in plan.splitlines() if "Window" in x]
     assert windows and not any("body" in x or "_doc" in x for x in windows)
+
+
+def test_unlanded_bodies_are_parsed_once(spark):
+    """One scan and one parse per system before the one shuffle; there were a scan and up to three parses more."""
+    pages = spark.sql(
+        "SELECT 'smartrecruiters' AS ats, b AS board, b AS name, '' AS tenant, '' AS wd, '' AS site, '' AS term, 0 AS term_ord, 1L AS board_ord,"
+        " id AS page_no, IF(id = 7, 500, 200) AS status, '{\"totalFound\":5,\"content\":[{\"id\":\"a\"},{\"id\":\"\"}]}' AS body"
+        " FROM range(20) LATERAL VIEW explode(array('x', 'y', NULL)) t AS b").repartition(3)
+    rows = payloads.scan(pages, "smartrecruiters")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and plan.count("hashpartitioning(board") == 1 and "Join" not in plan
+    landed = payloads.scan(payloads.landed(pages), "smartrecruiters")
+
+    def of(df):
+        return sorted((r.board, r.page_no, r.pos, r.p.id) for r in df.collect())
+
+    assert of(rows) == of(landed) == [(b, n, k, "a" if k == 0 else "") for b in "xy" for n in range(3) for k in range(2)]
