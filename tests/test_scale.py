@@ -11,6 +11,8 @@ from jobloom.llm import secret_scan
 from jobloom.operators import skew
 from jobloom.session import written
 from jobloom.sources import details as dt
+from jobloom.sources import paging
+from jobloom.sources import payloads as pl
 from jobloom.sources.registry_files import FIELDS, RegistryFile, RegistryReader, RegistryWriter
 
 SF = "/root/testdata/sf0.001"
@@ -40,6 +42,36 @@ def test_tables_are_dealt_by_size(spark, monkeypatch):
     assert rows.rdd.getNumPartitions() >= want > spark.sparkContext.defaultParallelism
 
 
+def paged(spark, boards, ats):
+    """Two pages of each board and one of none; the first has all rows, so the second doesn't count."""
+    body = {"workday": '{"total":1,"jobPostings":[{"title":"a"}]}', "smartrecruiters": '{"totalFound":1,"content":[{"id":"a"}]}',
+            "workable": '{"total":1,"nextPage":"n","results":[{"shortcode":"a"}]}'}[ats]
+    rows = spark.range(boards * 2 + 1).selectExpr(
+        f"'{ats}' AS ats", f"IF(id < {boards * 2}, 'b' || (id div 2), NULL) AS board", "id % 2 AS page_no", "200 AS status", f"'{body}' AS body")
+    return rows.withColumns({c: F.lit(0) for c in ("term_ord", "board_ord")} | {c: F.lit("x") for c in ("term", "name", "tenant", "wd", "site")})
+
+
+def test_landed_pages_are_dealt_by_their_count(spark, monkeypatch):
+    """Stored bytes are few where boards are alike: their bounds were broadcast, or few tasks sorted all pages with their items."""
+    monkeypatch.setattr(paging, "PAGES_A_TASK", 500, raising=False)
+    for ats in paging.GROUPS:
+        pages = paged(spark, 2000, ats)
+        out = pl.kept_pages(pl.landed(pages), ats)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 2000 and max(sizes) < 500
+        physical = plan(out).split("== Physical Plan ==")[1]
+        assert "Broadcast" not in physical
+        assert not any("Sort [" in x and f"{ats}#" in x for x in physical.splitlines()) and "SortMergeJoin" not in physical
+        own = pl.kept_pages(pages, ats)
+        assert sorted(map(str, out.select(*sorted(out.columns)).collect())) == sorted(map(str, own.select(*sorted(own.columns)).collect()))
+        assert f"{ats}#" not in plan(out.select("board", "page_no")).split("== Physical Plan ==")[1]
+
+
+def test_landed_pages_of_one_task_are_left_to_spark(spark):
+    out = pl.kept_pages(pl.landed(paged(spark, 20, "smartrecruiters")), "smartrecruiters")
+    assert "REPARTITION_BY_NUM" not in plan(out) and sorted((r.board, r.page_no) for r in out.collect()) == sorted((f"b{i}", 0) for i in range(20))
+
+
 def test_rows_without_a_key_are_spread(spark):
     fact = spark.range(4000).select(F.lit(None).cast("string").alias("k"), "id")
     unique = spark.createDataFrame([("a", 1)], "k string, v int")
