@@ -6,6 +6,7 @@ import tracemalloc
 from pyspark.sql import functions as F
 
 from contract import fixtures
+from jobloom import session
 from jobloom.functions.text import strip
 from jobloom.llm import secret_scan
 from jobloom.operators import skew
@@ -137,3 +138,36 @@ def test_only_texts_with_secrets_are_moved(spark):
     out = secret_scan.redacted(docs, found, hashes=F.broadcast(hashes))
     assert sorted(map(str, out.collect())) == sorted(map(str, secret_scan.redacted(docs, found).collect()))
     assert "Union" in plan(out) and out.where("doc_id = 0").first().text == "[SECRET] and"
+
+
+def test_landed_pages_that_count_are_stored_by_system(spark, monkeypatch):
+    """Readers no longer deal pages in one plan, where the shuffle files of all systems lie side by side."""
+    monkeypatch.setattr(paging, "PAGES_A_TASK", 10)
+    pages = [paged(spark, 30, ats) for ats in paging.GROUPS]
+    both = pages[0].unionByName(pages[1]).unionByName(pages[2])
+    names = []
+    out = pl.unified_batch(pl.landed(both), keep=lambda df, name: names.append(name) or session.stored(df, name))
+    assert names == [f"kept-{a}" for a in paging.GROUPS] and "REPARTITION_BY_NUM" not in plan(out)
+    assert out.count() == 60 and sorted(map(str, out.collect())) == sorted(map(str, pl.unified_batch(both).collect()))
+
+
+def shuffle_bytes(spark):
+    at = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(os.path.getsize(os.path.join(d, f)) for top in at for d, _, fs in os.walk(top) for f in fs if f.startswith("shuffle_"))
+
+
+def test_shuffle_files_of_a_stored_table_go(spark):
+    import time
+
+    before = shuffle_bytes(spark)
+    rows = spark.range(200_000).repartition(4, "id").select("id", F.sha1(F.col("id").cast("string")).alias("x"))
+    back = session.stored(rows.groupBy("x").agg(F.min("id").alias("id")), "t")
+    for _ in range(50):
+        if shuffle_bytes(spark) < before + 100_000:
+            break
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) < before + 100_000 and back.count() == 200_000
+    assert spark.conf.get(session.FREE_SHUFFLES) == "false"
+    with session.recorded() as paths:
+        session.stored(rows, "u")
+    assert len(paths) == 1 and all(f.endswith((".zstd.parquet", "_SUCCESS")) for f in os.listdir(paths[0].removeprefix("file:")) if not f.startswith("."))
