@@ -150,3 +150,19 @@ def test_global_row_number_by_wide_and_several_columns(spark):
     got = ranking.global_row_number(df, ["k", "seq"], "pos").orderBy("pos").collect()
     assert [(r.k, r.seq) for r in got] == sorted(rows) and [r.pos for r in got] == list(range(1, 101))
     assert ranking.global_row_number(df.limit(0), "seq", "pos").count() == 0
+
+
+def test_rows_whose_key_has_one_source_are_not_shuffled(spark):
+    """Stored keys tell them apart; before, all rows were shuffled for the hot keys and again for the mixed ones."""
+    from jobloom.session import stored
+
+    rows = [(n, f"j{n}", f"Company {n // 2}", "Engineer", "", "Austin", "", "lever" if n % 20 == 1 else "ashby") for n in range(400)]
+    rows += [(400, "x", "", "", "", None, "", None), (401, "y", "", "", "", None, "", "lever")]
+    df = spark.createDataFrame(rows, "seq LONG, job_id STRING, company STRING, title STRING, apply_url STRING, location STRING, posted_on STRING, source STRING")
+    names = []
+    marked = dedupe.cross_source_marked(df, keep=lambda t, name: names.append(name) or stored(t, name))
+    plain = dedupe.cross_source_marked(df)
+    assert names == ["repeated-keys", "hot-keys"] and marked.columns == plain.columns
+    assert sorted(marked.collect()) == sorted(plain.collect()) and marked.where("dropped").count() == 20
+    near = dedupe._may_be_in(spark.range(400).selectExpr("CAST(id AS STRING) AS _key"), spark.range(0, 400, 40).selectExpr("CAST(id AS STRING) AS _key"))
+    assert sorted(int(r._key) for r in near.where("_near").collect()) == list(range(0, 400, 40))

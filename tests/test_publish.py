@@ -169,3 +169,24 @@ def test_landed_run_stores_the_batch_once(spark):
     out = hourly.run_landed(registry, pages, None, spark.createDataFrame([], JOB_STATE), NOW, keep=keep)
     assert [r.job_id for r in out.fresh.collect()] == ["lv_1"] and stored.count("postings") == 1
     assert out.messages.count() == 1 and out.state.first().company == "Acme"
+
+
+def test_landed_run_drops_what_it_no_longer_reads(spark):
+    """One copy of the jobs is left beside the reconciled ones; all tables of the run stayed before."""
+    import json
+    import os
+
+    from jobloom import session
+    from jobloom.schemas import BOARD, JOB_STATE
+
+    registry = spark.createDataFrame([("lever", "acme", None, None, None, "acme", "Acme", 3), ("smartrecruiters", "b", None, None, None, "b", "B", 4)], BOARD)
+    bodies = {"acme": [{"id": "1", "text": "Software Intern", "categories": {"location": "Austin, TX"}}], "b": {"totalFound": 1, "content": [{"id": "2", "name": "Intern"}]}}
+    kind = "ats string, board_key string, term string, term_ord int, page_no bigint, status int, body string"
+    pages = spark.createDataFrame([(a, b, "", 0, 0, 200, json.dumps(bodies[b])) for a, b in (("lever", "acme"), ("smartrecruiters", "b"))], kind)
+    with session.recorded() as made:
+        out = hourly.run_landed(registry, pages, None, spark.createDataFrame([], JOB_STATE), NOW)
+    left = sorted(os.path.basename(p)[:-33] for p in made if os.path.exists(p.removeprefix("file:")))
+    assert left == ["flagged", "fresh-flagged", "positions", "reconciled", "totals"]
+    assert sorted(r.job_id for r in out.fresh.collect()) == sorted(r.job_id for r in out.new_jobs.collect()) == ["lv_1", "sr_2"]
+    assert out.state.count() == out.sheet_rows.count() == 2 and out.messages.count() == 1
+    assert out.counters.first().asDict() == {"total": 2, "cross_dropped": 0, "new_jobs": 2, "updated": 0, "removed": 0, "suppressed": 0, "excluded": 0}
